@@ -14,6 +14,35 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import ordinal
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = ordinal.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", F.col("ql_expected").alias("expected_grade"), F.col("ql_tail").alias("tail"), F.col("ql_keep").alias("keep"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import html_text
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import packing
+    from corpusloom.llm.tokens import vocabulary
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import token_files
+    from corpusloom.llm.tokens import vocabulary
+
+    return token_files.read_files(spark, token_files.write_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import mixing
 
