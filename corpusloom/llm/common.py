@@ -58,3 +58,16 @@ def whole(c: Column) -> Column:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, bool]:
+    """docs with lid, and whether lid is unique: the id itself where ids are, else the place in order of (id, text), null ids last, equal rows sharing one."""
+    n = docs.count()
+    if docs.where(F.col(doc_id).isNotNull()).select(doc_id).distinct().count() == n:
+        return docs.withColumn("lid", F.col(doc_id).cast("long")), True
+    order = [F.col(doc_id).asc_nulls_last(), F.col(text).asc_nulls_last()]
+    in_order = docs.repartitionByRange(max(2, shuffle_parts(docs.sparkSession)), *order).sortWithinPartitions(*order)
+    held = written(in_order.withColumn("lid", F.monotonically_increasing_id()), "numbered")
+    same = held.groupBy(F.col(doc_id).alias("nb_id"), F.col(text).alias("nb_text")).agg(F.min("lid").alias("nb_first"))
+    joined = held.join(same, F.col(doc_id).eqNullSafe(F.col("nb_id")) & F.col(text).eqNullSafe(F.col("nb_text")))
+    return joined.withColumn("lid", F.col("nb_first")).select(*docs.columns, "lid"), False

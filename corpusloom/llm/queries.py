@@ -14,6 +14,19 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import line_dedup
+
+    done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.col("ln_lines").alias("n_lines"), F.col("ln_removed").alias("n_removed"))
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import hilbert_ann
+
+    return hilbert_ann.nearest(table(spark, sf_dir, "embeddings"), every=20)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import ordinal
 
@@ -67,6 +80,12 @@ SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copi
 """
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import ngram_join
+
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
