@@ -86,6 +86,12 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"))
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import katz
+
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
