@@ -1,69 +1,96 @@
 """Token ids of whole texts by a public tokenizer, exactly as the library gives them.
 
-Words repeat, so ids are kept per chunk of text. A chunk is cut only where the
-pre-tokenizer always cuts, whatever stands around it; texts with white space of
-any other shape go to the library whole. Both ways give the same ids (tested).
+Words repeat, so the ids of a word are kept. Texts are cut at single blanks and
+line ends only, where the pre-tokenizers always cut whatever stands around;
+a text with white space of any other shape goes to the library whole. Both ways
+give the same ids (tested).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
-#: chunks kept per worker process; when full the table starts anew, results stay the same
-CACHED_CHUNKS = 300_000
-#: characters encoded at a time, so that a batch of long texts stays small
-AT_ONCE = 2_000_000
-#: white space other than single blanks and single line ends within the text
-ODD = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
-#: byte-level pre-tokenizer: a word takes the blank before it, a line end stands alone
-BYTE_CHUNK = re.compile(r" ?[^ \n]+|\n")
+#: words kept per worker process and table: as many of late use, as many of earlier use
+KEPT_WORDS = 300_000
+#: signs that end a word; no apostrophe, which may begin a pre-token, and nothing of a special token's name
+TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+
+
+class Odd(Exception):
+    """White space of another shape."""
+
+
+class Words(dict):
+    """word to the ids of ``before + word``; the least lately used half goes when it is full."""
+
+    def __init__(self, tokenizer, before: str, empty: bytes | None) -> None:
+        super().__init__()
+        self.tokenizer, self.before, self.empty, self.old = tokenizer, before, empty, {}
+        self.tails: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            if not word and self.empty is not None:
+                found = self.empty
+            elif word.split() != [word]:
+                raise Odd
+            elif (core := word.rstrip(TAIL)) != word and core[-1:].isalpha() and "\u03a3" not in core:
+                # pre-tokenizers cut between a letter and such signs (a sigma's lower case may look ahead)
+                found = self[core] + self.tail(word[len(core) :])
+            else:
+                found = self.ids(self.before + word)
+        if len(self) >= KEPT_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+    def tail(self, signs: str) -> bytes:
+        if signs not in self.tails:
+            if len(self.tails) >= 10_000:
+                self.tails.clear()
+            self.tails[signs] = self.ids(signs)
+        return self.tails[signs]
+
+    def ids(self, text: str) -> bytes:
+        import numpy as np
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 class Encoder:
-    """kind 'byte': white space is kept in tokens; 'word': white space is dropped."""
+    """kind 'byte': a word takes the blank before it and a line end stands alone; 'word': white space is dropped."""
 
     def __init__(self, path: str, kind: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.cache = Tokenizer.from_file(path), kind, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
-
-    def _chunks(self, text: str) -> list[str] | None:
-        if ODD.search(text):
-            return None
-        return BYTE_CHUNK.findall(text) if self.kind == "byte" else text.split()
-
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        chunks = [self._chunks(t) for t in texts]
-        cache = self.cache
-        missing = {c for own in chunks if own is not None for c in own if c not in cache}
-        if len(cache) + len(missing) > CACHED_CHUNKS:
-            cache.clear()
-            missing = {c for own in chunks if own is not None for c in own}
-        missing = list(missing)
-        cache.update(zip(missing, self._ids(missing), strict=True))
-        odd = iter(self._ids([t for t, own in zip(texts, chunks, strict=True) if own is None]))
-        return [next(odd) if own is None else b"".join(map(cache.__getitem__, own)) for own in chunks]
+        self.tokenizer = Tokenizer.from_file(path)
+        if kind == "byte":
+            self.first, self.later = Words(self.tokenizer, "", None), Words(self.tokenizer, " ", None)
+            self.line_end = self.first.ids("\n")
+        else:
+            self.first = self.later = Words(self.tokenizer, "", b"")
+            self.line_end = b""
+
+    def one(self, text: str) -> bytes:
+        first, later, lines = self.first.__getitem__, self.later.__getitem__, []
+        if not text:
+            return b""
+        try:
+            for line in text.split("\n"):
+                words = iter(line.split(" "))
+                lines.append(first(next(words)) + b"".join(map(later, words)))
+        except Odd:
+            return self.first.ids(text)
+        return self.line_end.join(lines)
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null: none."""
-        batch, held = [], 0
-        for t in texts:
-            batch.append(t or "")
-            held += len(batch[-1])
-            if held >= AT_ONCE:
-                yield from self._batch(batch)
-                batch, held = [], 0
-        if batch:
-            yield from self._batch(batch)
+        return (self.one(t or "") for t in texts)
+
+
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
 def encoder(path: str, kind: str) -> Encoder:
