@@ -331,11 +331,9 @@ def remaining(own: DataFrame) -> DataFrame:
     return both.groupBy("a", "b", "na", "nb").count().where(F.col("count") >= _bound(F.col("na"), F.col("nb"))).select("a", "b")
 
 
-def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row per row of docs."""
-    spark = docs.sparkSession
-    importable(spark)
-    own, unique = numbered(docs.select(doc_id, text), doc_id, text)
+def grouped(own: DataFrame, unique: bool, text: str) -> DataFrame:
+    """(lid, n, label) of every document with words; label is equal within a component."""
+    spark = own.sparkSession
     rows = own.select("lid", F.col(text).alias("text"))
     rows = rows if unique else rows.dropDuplicates(["lid"])
     counts = spark.sparkContext.broadcast(counted(rows))
@@ -350,11 +348,25 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         edges = found if edges is None else edges.union(found)
         labels = components(edges).withColumnRenamed("node", "cid")
         labelled = written(words_of.join(labels, "cid", "left").select("word", "cid", "n", F.coalesce("label", "cid").alias("label")), "labelled")
-    ids = own.select("lid", F.col(doc_id).alias("doc_id"))
     if labels is None:
-        classed = members.select("lid", "n", F.col("cid").alias("label"))
-    else:
-        classed = members.join(labels, "cid", "left").select("lid", "n", F.coalesce("label", "cid").alias("label"))
-    known = ids.join(classed, "lid", "left")
+        return members.select("lid", "n", F.col("cid").alias("label"))
+    return members.join(labels, "cid", "left").select("lid", "n", F.coalesce("label", "cid").alias("label"))
+
+
+def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row per row of docs."""
+    importable(docs.sparkSession)
+    own, unique = numbered(docs.select(doc_id, text), doc_id, text)
+    known = own.select("lid", F.col(doc_id).alias("doc_id")).join(grouped(own, unique, text), "lid", "left")
     smallest = known.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return known.join(smallest, "label", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").cast("long").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The first document of every component, and every document without words; columns as they are."""
+    importable(docs.sparkSession)
+    own, unique = numbered(docs, doc_id, text)
+    known = grouped(own.select("lid", text), unique, text)
+    gone = known.join(known.groupBy("label").agg(F.min("lid").alias("first")), "label").where("lid <> first").select("lid")
+    kept = own.join(gone, "lid", "left_anti")
+    return (kept if unique else kept.dropDuplicates(["lid"])).select(*docs.columns)

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import importable
+from corpusloom.llm.common import importable, written
 
 BUCKETS, MAX_LABELLED, CUT = 1 << 18, 12_000, 0.6
 SCREEN, MIN_DF, RIDGE, STEPS = 3.0, 5, 1e-4, 400
@@ -97,36 +97,33 @@ class Model:
         return [float(1 / (1 + np.exp(min(700.0, t - score)))) for t in self.thresholds]
 
 
-def screened(rows: list[np.ndarray], low: np.ndarray) -> list[int]:
-    """Buckets whose share differs between low and top grades by SCREEN standard errors."""
-    flat = np.concatenate(rows) if rows else np.zeros(0, "i8")
-    marks = np.repeat(low, [len(r) for r in rows])
-    a, b = np.bincount(flat[marks], minlength=BUCKETS), np.bincount(flat[~marks], minlength=BUCKETS)
-    na, nb = max(1, low.sum()), max(1, (~low).sum())
-    share = (a + b) / (na + nb)
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / na + 1 / nb))
-    return np.flatnonzero((a + b >= MIN_DF) & (np.abs(a / na - b / nb) > SCREEN * error)).tolist()
+def differs(low, high, all_low: int, all_high: int):
+    """Whether a feature's share differs between low and top grades by SCREEN standard errors."""
+    low, high = np.asarray(low, "f8"), np.asarray(high, "f8")
+    share = (low + high) / max(1, all_low + all_high)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / max(1, all_low) + 1 / max(1, all_high)))
+    return (low + high >= MIN_DF) & (np.abs(low / max(1, all_low) - high / max(1, all_high)) > SCREEN * error)
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
-    """Cumulative-link regression by full-batch Adam on the screened buckets."""
+def fit(rows: list[np.ndarray], grades: np.ndarray, chosen: list[int]) -> Model:
+    """Cumulative-link regression by full-batch Adam on the chosen buckets; rows hold no others."""
     levels = sorted(set(grades.tolist()))
     if len(levels) < 2:
         return Model({}, [])
     y = np.searchsorted(levels, grades)
-    chosen = screened(rows, y < len(levels) - 1)
     column = np.full(BUCKETS, -1)
     column[chosen] = np.arange(len(chosen))
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    feature = column[np.concatenate(rows)]
-    doc, feature = doc[feature >= 0], feature[feature >= 0]
+    feature = column[np.concatenate(rows).astype(np.int64)]
     n, k = len(rows), len(levels) - 1
     at_least = np.array([(y >= i + 1).mean() for i in range(k)])
     first = -np.log(at_least / (1 - at_least))
     theta = np.concatenate([np.zeros(len(chosen)), first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
+    cuts_of = lambda t: np.cumsum(np.concatenate([t[len(chosen) : len(chosen) + 1], np.exp(t[len(chosen) + 1 :])]))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
+    up, down = np.flatnonzero(y > 0), np.flatnonzero(y < k)
     for step in range(1, STEPS + 1):
-        w, cuts = theta[: len(chosen)], np.cumsum(np.concatenate([theta[len(chosen) : len(chosen) + 1], np.exp(theta[len(chosen) + 1 :])]))
+        w, cuts = theta[: len(chosen)], cuts_of(theta)
         score = np.bincount(doc, weights=w[feature], minlength=n)
         tail = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts[None, :], -35, 35)))
         upper = np.concatenate([np.ones((n, 1)), tail], 1)
@@ -135,18 +132,15 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
         slope = tail * (1 - tail)
         # d(-log p)/d(cut_i): the tail that bounds the grade from above counts against, from below for
         by_cut = np.zeros((n, k))
-        rows_up, rows_low = y > 0, y < k
-        by_cut[np.flatnonzero(rows_up), y[rows_up] - 1] += slope[rows_up, y[rows_up] - 1] / p[rows_up]
-        by_cut[np.flatnonzero(rows_low), y[rows_low]] -= slope[rows_low, y[rows_low]] / p[rows_low]
+        by_cut[up, y[up] - 1] += slope[up, y[up] - 1] / p[up]
+        by_cut[down, y[down]] -= slope[down, y[down]] / p[down]
         by_score = -by_cut.sum(1)
         g_w = np.bincount(feature, weights=by_score[doc], minlength=len(chosen))[: len(chosen)] / n + RIDGE * w
-        g_cut = by_cut.mean(0)
-        later = np.cumsum(g_cut[::-1])[::-1]
+        later = np.cumsum(by_cut.mean(0)[::-1])[::-1]
         g = np.concatenate([g_w, later[:1], later[1:] * np.exp(theta[len(chosen) + 1 :])])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    cuts = np.cumsum(np.concatenate([theta[len(chosen) : len(chosen) + 1], np.exp(theta[len(chosen) + 1 :])]))
-    return Model({int(b): float(x) for b, x in zip(chosen, theta, strict=False)}, cuts.tolist())
+    return Model({int(b): float(x) for b, x in zip(chosen, theta, strict=False)}, cuts_of(theta).tolist())
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -156,7 +150,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def learnt(docs: DataFrame, grades: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """A model of at most max_labelled rated documents; their features, not their texts, come to the driver."""
+    """A model of at most max_labelled rated documents; only their screened features come to the driver."""
     importable(docs.sparkSession)
 
     def features(batches):
@@ -169,8 +163,24 @@ def learnt(docs: DataFrame, grades: DataFrame, max_labelled: int = MAX_LABELLED)
 
     some = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # a bounded table, so it may be broadcast
     rated = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "grade")
-    rows = rated.mapInArrow(features, "doc_id long, grade int, features array<int>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    return fit([np.asarray(x, "i8") for x in rows["features"]], rows["grade"].to_numpy())
+    rows = written(rated.mapInArrow(features, "doc_id long, grade int, features array<int>").dropDuplicates(["doc_id"]), "rated")
+    levels = rows.groupBy("grade").count().toPandas()
+    if len(levels) < 2:
+        return Model({}, [])
+    top = int(levels["grade"].max())
+    high = int(levels["count"][levels["grade"] == top].sum())
+    low = int(levels["count"].sum()) - high
+    counts = rows.select(F.explode("features").alias("b"), (F.col("grade") < top).cast("long").alias("low")).groupBy("b").agg(F.sum("low").alias("low"), F.count("low").alias("n"))
+    counts = counts.where(F.col("n") >= MIN_DF).toPandas()  # BUCKETS rows at most
+    chosen = sorted(counts["b"][differs(counts["low"], counts["n"] - counts["low"], low, high)].tolist())
+    wanted = frozenset(chosen)
+
+    def kept(batches):
+        for frame in batches:
+            yield frame.assign(features=[[b for b in own.tolist() if b in wanted] for own in frame["features"]])
+
+    sample = rows.mapInPandas(kept, rows.schema).toPandas().sort_values("doc_id")
+    return fit([np.asarray(x, "i4") for x in sample["features"]], sample["grade"].to_numpy(), chosen)
 
 
 def classified(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
