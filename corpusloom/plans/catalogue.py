@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from corpusloom.plans import lexical, store, voting
+
 
 def queries() -> dict:
-    return {}
+    return voting.QUERIES | store.QUERIES | lexical.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return voting.SQL | store.SQL | lexical.SQL

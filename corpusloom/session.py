@@ -35,3 +35,9 @@ def importable(spark: SparkSession) -> None:
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([p for p in [*paths, ROOT] if p])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a few unsplittable files dealt to all cores; tables of many files stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
