@@ -194,13 +194,13 @@ def nested_conjugations(spark, sf_dir):
 
 @query(
     """WITH r AS (SELECT * FROM (VALUES ('gam', 1, 'to go'), ('vac', 2, 'to speak'), ('as', 2, 'to be')) AS t(root, gana, meaning)), w AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'gam' WHEN 1 THEN 'vac' WHEN 2 THEN 'as' ELSE 'zzz' END AS lemma, p_size % 3 <> 0 AS verb FROM part)
-SELECT p_partkey, lemma, gana, meaning FROM w LEFT JOIN r ON verb AND lemma = root"""
+SELECT p_partkey, lemma, coalesce(gana, 0) AS gana, meaning FROM w LEFT JOIN r ON verb AND lemma = root"""
 )
 def root_broadcast_lookup(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     lemma = F.element_at(F.array(*map(F.lit, ("gam", "vac", "as", "zzz"))), F.col("p_size") % 4 + 1)
     words = part.select("p_partkey", lemma.alias("lemma"), (F.col("p_size") % 3 != 0).alias("verb"))
-    return lexicon.with_root(words, lexicon.common_roots(spark), "lemma", F.col("verb")).select("p_partkey", "lemma", "gana", F.get("meanings", F.lit(0)).alias("meaning"))
+    return lexicon.with_root(words, lexicon.common_roots(spark), "lemma", F.col("verb")).select("p_partkey", "lemma", F.coalesce("gana", F.lit(0)).alias("gana"), F.get("meanings", F.lit(0)).alias("meaning"))
 
 
 # fixed values: opening rules of the grammar

@@ -49,9 +49,9 @@ def point_lookup(spark, sf_dir):
     return store.point_lookup(table(spark, sf_dir, "documents"), "doc_id", 42).select("doc_id", "source", F.col("n_chars").cast("long").alias("n_chars"))
 
 
-@query("SELECT doc_id, quality IS NOT NULL AS disambiguated, quality AS selected_parse FROM documents LEFT JOIN labels USING (doc_id)")
+@query("SELECT doc_id, quality IS NOT NULL AS disambiguated, coalesce(quality, -1) AS selected_parse FROM documents LEFT JOIN labels USING (doc_id)")
 def update_disambiguation(spark, sf_dir):
-    return store.with_choice(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id", "quality")
+    return store.with_choice(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id", "quality").withColumn("selected_parse", F.coalesce("selected_parse", F.lit(-1)))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
