@@ -137,6 +137,8 @@ LABELLED = np.asarray([
     # navigation, menus and link lists
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (2, 1.0, 1, 1.0, 12, 0.0, 0, 1, 0, 0), (4, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0),
     (1, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (3, 1.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0), (6, 0.8, 4, 1.0, 5, 1.0, 0, 0, 0, 0), (9, 0.9, 60, 0.0, 8, 1.0, 0, 0, 0, 0), (5, 1.0, 40, 0.0, 5, 1.0, 0, 1, 1, 0),
+    (3, 1.0, 80, 0.0, 0, 0.0, 0, 0, 0, 0), (12, 0.9, 30, 0.0, 0, 0.0, 0, 0, 0, 0), (7, 1.0, 55, 0.0, 60, 0.0, 0, 0, 0, 0), (2, 1.0, 0, 0.0, 80, 0.0, 0, 0, 0, 0), (15, 0.8, 25, 0.0, 30, 0.0, 0, 0, 0, 0), (4, 0.75, 10, 0.0, 45, 0.0, 0, 0, 0, 0),
+    (20, 1.0, 45, 0.0, 20, 0.0, 0, 0, 0, 0), (1, 1.0, 40, 0.1, 30, 0.0, 0, 0, 0, 0), (10, 0.7, 90, 0.0, 6, 0.0, 0, 0, 0, 0), (6, 1.0, 5, 0.0, 70, 0.0, 1, 0, 0, 0), (30, 0.9, 60, 0.0, 50, 0.0, 0, 0, 0, 0), (5, 0.8, 35, 0.0, 12, 0.0, 0, 0, 0, 0),
     # adverts, notices, sidebars, forms, comments: marked containers, whatever their length
     (12, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0), (35, 0.0, 50, 0.0, 60, 0.0, 0, 1, 1, 0), (80, 0.0, 70, 0.0, 4, 0.0, 0, 1, 0, 0), (6, 0.0, 30, 0.1, 7, 0.0, 1, 1, 0, 0), (25, 0.2, 3, 0.0, 30, 0.0, 0, 1, 1, 0), (150, 0.0, 20, 0.0, 15, 0.0, 0, 1, 1, 0),
     # page headers and footers
@@ -144,8 +146,10 @@ LABELLED = np.asarray([
     (5, 0.0, 4, 1.0, 6, 1.0, 0, 0, 0, 0), (8, 0.0, 2, 1.0, 3, 0.0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 2, 0.0, 0, 0, 0, 0),
     # paragraphs of an article element, short ones too
     (80, 0.0, 9, 0.0, 75, 0.0, 0, 0, 1, 1), (1, 0.0, 60, 0.0, 40, 0.0, 0, 0, 1, 1), (3, 0.0, 12, 0.0, 0, 0.0, 0, 0, 1, 1), (2, 0.0, 70, 0.0, 4, 0.0, 0, 0, 1, 1), (30, 0.3, 25, 0.0, 45, 0.1, 0, 0, 1, 1), (5, 1.0, 30, 0.0, 50, 0.0, 0, 0, 1, 1),
+    (5, 1.0, 60, 0.0, 50, 0.0, 0, 0, 1, 1), (9, 0.9, 80, 0.1, 3, 0.0, 0, 0, 1, 1), (2, 1.0, 45, 0.0, 30, 1.0, 0, 0, 1, 1),
     (45, 0.0, 30, 0.0, 6, 0.0, 0, 0, 1, 1), (8, 0.0, 12, 0.0, 9, 0.0, 1, 0, 1, 1), (1, 0.0, 1, 1.0, 1, 0.0, 1, 0, 1, 1), (20, 0.0, 8, 0.0, 3, 0.0, 0, 0, 1, 1), (4, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 1), (12, 0.0, 12, 0.0, 1, 0.0, 0, 0, 1, 1),
     # the same without an article element
+    (80, 0.0, 20, 0.0, 6, 1.0, 0, 0, 0, 1), (50, 0.0, 60, 0.0, 3, 1.0, 0, 0, 0, 1), (35, 0.1, 5, 1.0, 9, 0.9, 0, 0, 0, 1), (22, 0.0, 70, 0.0, 1, 1.0, 0, 0, 0, 1), (28, 0.4, 40, 0.0, 50, 0.0, 0, 0, 0, 1),
     (75, 0.0, 8, 0.0, 60, 0.0, 0, 0, 0, 1), (40, 0.1, 50, 0.0, 35, 0.0, 0, 0, 0, 1), (25, 0.0, 30, 0.0, 28, 0.2, 0, 0, 0, 1), (60, 0.0, 1, 1.0, 4, 0.0, 0, 0, 0, 1), (18, 0.0, 45, 0.0, 70, 0.0, 0, 0, 0, 1), (33, 0.2, 3, 1.0, 40, 0.0, 0, 0, 0, 1),
     (9, 0.0, 4, 1.0, 80, 0.0, 1, 0, 0, 1), (7, 0.0, 60, 0.0, 55, 0.0, 1, 0, 0, 1), (5, 0.0, 60, 0.0, 65, 0.0, 0, 0, 0, 1), (3, 0.0, 70, 0.0, 45, 0.0, 0, 0, 0, 1), (120, 0.0, 0, 0.0, 5, 0.0, 0, 0, 0, 1),
 ], "f8")
@@ -200,6 +204,8 @@ def extract(pages: DataFrame, html: str = "html", to: str = "text") -> DataFrame
 
     @pandas_udf("string")
     def text(column):
-        return column.map(main_text, na_action=None)
+        import pandas as pd
+
+        return pd.Series([main_text(x) for x in column], dtype=object)
 
     return pages.withColumn("ht_text", text(F.coalesce(F.col(html), F.lit("")))).drop(html, to).withColumnRenamed("ht_text", to)
