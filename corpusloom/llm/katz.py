@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import importable, shuffle_parts, written
 from corpusloom.llm.line_dedup import mixed
 
-K, BLOCK_TOKENS, SPREAD = 5, 4_000_000, 2_000_000
+K, BLOCK_TOKENS, SPREAD = 5, 1_500_000, 2_000_000
 END, START = b" end", b" start"  # no words: words hold no blank
 FLOW = "key long, kind int, block long, blob binary"
 BLOCK, TOTALS, PAIRS, HELD, FOLLOWED, HISTORY, ALPHA, WORD_STATS, PAIR_STATS = range(9)
@@ -52,29 +52,42 @@ class Index(dict):
 
 
 def word_hash(word: bytes) -> int:
-    import hashlib
+    import xxhash
 
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return xxhash.xxh3_64_intdigest(word)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    import io
+    """Arrays byte plane by byte plane, compressed: small numbers take few bytes."""
+    import struct
 
     import zstandard
 
-    out = io.BytesIO()
+    out = []
     for a in arrays:
-        np.lib.format.write_array(out, np.ascontiguousarray(a), allow_pickle=False)
-    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
+        a = np.ascontiguousarray(a)
+        out.append(struct.pack("<4sQ", a.dtype.str.encode(), a.size) + a.reshape(-1).view(np.uint8).reshape(a.size, a.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def unpack(blob: bytes, n: int) -> list[np.ndarray]:
-    import io
+    import struct
 
     import zstandard
 
-    at = io.BytesIO(zstandard.ZstdDecompressor().decompress(blob))
-    return [np.lib.format.read_array(at, allow_pickle=False) for _ in range(n)]
+    data, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
+    for _ in range(n):
+        kind, size = struct.unpack_from("<4sQ", data, at)
+        kind = np.dtype(kind.rstrip(b"\0").decode())
+        at += 12
+        planes = np.frombuffer(data, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
+        at += size * kind.itemsize
+    return out
+
+
+def deltas(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
 
 
 def held_out(doc_id) -> bool:
@@ -135,16 +148,18 @@ def histories(n: np.ndarray, index: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-def pair_table(held, n, index, vocabulary, totals, parts: int):
-    """Distinct pairs of a block in order of bucket: (u, v, training count, bucket, place of each token's pair)."""
-    start = len(vocabulary) - 1  # the start history is the last entry
-    u = histories(n, index, start)
-    code, inverse = np.unique(u.astype(np.int64) * len(vocabulary) + index, return_inverse=True)
+def pair_table(held, n, index, totals, ids, parts: int):
+    """Distinct pairs of a block by bucket, history and follower: (u, v, training count, bucket, place of each token's pair)."""
+    size, start = len(ids), len(ids) - 1  # the start history is the last entry
+    by_id = np.argsort(ids, kind="stable")
+    rank = np.empty(size, np.int64)
+    rank[by_id] = np.arange(size)
+    code, inverse = np.unique(rank[histories(n, index, start)] * size + rank[index], return_inverse=True)
     train = np.bincount(inverse, weights=np.repeat(held == 0, n), minlength=len(code)).astype(np.int64)
-    pu, pv = code // len(vocabulary), code % len(vocabulary)
+    pu, pv = by_id[code // size], by_id[code % size]
     spread = -(-totals[pu] // SPREAD)
-    salt = mixed(vocabulary[pv], 21) % np.maximum(spread, 1).astype(np.uint64)
-    bucket = (mixed(vocabulary[pu] ^ (salt * np.uint64(0x9E3779B97F4A7C15)), 22) % np.uint64(parts)).astype(np.int64)
+    salt = mixed(ids[pv], 21) % np.maximum(spread, 1).astype(np.uint64)
+    bucket = (mixed(ids[pu].astype(np.uint64) ^ (salt * np.uint64(0x9E3779B97F4A7C15)), 22) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -212,21 +227,25 @@ def asked(parts: int):
             for block, blob in zip(rows["block"], rows["blob"], strict=True):
                 *_, vocabulary, own = unpack(blob, 7)
                 at = (mixed(vocabulary, 31) % np.uint64(parts)).astype(np.int64)
-                yield table([(b, BLOCK, block, pack(vocabulary[x], own[x], x.astype(np.int32))) for b, x in groups(at, parts)])
+                yield table([(b, BLOCK, block, pack(vocabulary[x], own[x], x)) for b, x in groups(at, parts)])
 
     return run
 
 
-def word_totals(start: int):
-    """One partition of the word table: totals back to the blocks, and counts of counts."""
+def word_totals(start: int, parts: int):
+    """One partition of the word table: totals and numbers back to the blocks, and counts of counts."""
 
     def run(key, rows):
         asks = [unpack(b, 3) for b in rows["blob"]]
         word, inverse = np.unique(np.concatenate([a[0] for a in asks]), return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate([a[1] for a in asks])).astype(np.int64)
+        # a word's number over all partitions, small for frequent words
+        number = np.empty(len(word), np.int64)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(word)) * parts + key[0]
         out, at = [], 0
         for block, a in zip(rows["block"], asks, strict=True):
-            out.append((block, TOTALS, block, pack(a[2], total[inverse[at : at + len(a[0])]])))
+            own = inverse[at : at + len(a[0])]
+            out.append((block, TOTALS, block, pack(deltas(a[2]), total[own], number[own])))
             at += len(a[0])
         seen = total[(word != np.uint64(start)) & (total > 0)]
         out.append((-1 - key[0], WORD_STATS, -1, pack(np.array([*np.bincount(np.minimum(seen, K + 2), minlength=K + 3)[: K + 2], len(seen), seen.sum()], np.int64))))
@@ -235,12 +254,14 @@ def word_totals(start: int):
     return run
 
 
-def totals_of(rows, size: int) -> np.ndarray:
-    out = np.zeros(size, np.int64)
+def totals_of(rows, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Training counts and numbers of a block's words."""
+    total, number = np.zeros(size, np.int64), np.zeros(size, np.int64)
     for b in rows["blob"][rows["kind"] == TOTALS]:
-        at, total = unpack(b, 2)
-        out[at] = total
-    return out
+        at, t, n = unpack(b, 3)
+        at = np.cumsum(at)
+        total[at], number[at] = t, n
+    return total, number
 
 
 def block_pairs(parts: int):
@@ -251,16 +272,16 @@ def block_pairs(parts: int):
             return rows  # counts of counts
         block = key[0]
         _, _, held, n, index, vocabulary, _ = unpack(rows["blob"][rows["kind"] == BLOCK].iloc[0], 7)
-        totals = totals_of(rows, len(vocabulary))
-        u, v, train, bucket, _ = pair_table(held, n, index, vocabulary, totals, parts)
-        out = [(block % parts, TOTALS, block, pack(np.arange(len(totals), dtype=np.int32), totals))]
+        totals, ids = totals_of(rows, len(vocabulary))
+        u, v, train, bucket, _ = pair_table(held, n, index, totals, ids, parts)
+        out = [(block % parts, TOTALS, block, pack(deltas(np.arange(len(totals))), totals, ids))]
         for b, x in groups(bucket, parts):
-            follower, place = np.unique(v[x], return_inverse=True)
-            history, length = np.unique(u[x], return_inverse=True)
-            out.append((b, PAIRS, block, pack(vocabulary[history], length.astype(np.int32), vocabulary[follower], totals[follower], place.astype(np.int32), train[x].astype(np.int32))))
+            follower, first = np.unique(ids[v[x]], return_index=True)
+            cuts = np.flatnonzero(np.diff(u[x], prepend=-1))
+            out.append((b, PAIRS, block, pack(deltas(ids[u[x][cuts]]), np.diff(cuts, append=len(x)), deltas(follower), totals[v[x][first]], ids[v[x]], train[x])))
         own = np.unique(histories(n, index, len(vocabulary) - 1)[np.repeat(held == 1, n)])
-        at = (mixed(vocabulary[own], 33) % np.uint64(parts)).astype(np.int64)
-        out += [(b, HELD, block, pack(vocabulary[own[x]], own[x].astype(np.int32), totals[own[x]])) for b, x in groups(at, parts)]
+        at = (mixed(ids[own], 33) % np.uint64(parts)).astype(np.int64)
+        out += [(b, HELD, block, pack(ids[own[x]], own[x], totals[own[x]])) for b, x in groups(at, parts)]
         return table(out)
 
     return run
@@ -274,20 +295,20 @@ def pair_totals(parts: int):
         out = list(rows[~own].itertuples(index=False, name=None))
         if own.any():
             asks = [unpack(b, 6) for b in rows["blob"][own]]
-            u, v = np.concatenate([a[0][a[1]] for a in asks]), np.concatenate([a[2][a[4]] for a in asks])
-            words = np.concatenate([a[3][a[4]] for a in asks])
-            # pairs are known by both hashes: order by one mixed with the other, checked on both
-            mixed_key = mixed(u, 41) ^ mixed(v, 42)
-            order = np.lexsort((v, u, mixed_key))
+            u, v = np.concatenate([np.repeat(np.cumsum(a[0]), a[1]) for a in asks]), np.concatenate([a[4] for a in asks])
+            words = np.concatenate([a[3][np.searchsorted(np.cumsum(a[2]), a[4])] for a in asks])
+            trained, sizes = np.concatenate([a[5] for a in asks]), [len(a[4]) for a in asks]
+            del asks
+            order = np.lexsort((v, u))
             first = np.ones(len(order), bool)
             first[1:] = (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1])
             inverse = np.empty(len(order), np.int64)
             inverse[order] = np.cumsum(first) - 1
-            total = np.bincount(inverse, weights=np.concatenate([a[5] for a in asks])).astype(np.int64)
+            total = np.bincount(inverse, weights=trained).astype(np.int64)
             at = 0
-            for block, a in zip(rows["block"][own], asks, strict=True):
-                out.append((key[0], FOLLOWED, block, pack(total[inverse[at : at + len(a[4])]].astype(np.int32))))
-                at += len(a[4])
+            for block, size in zip(rows["block"][own], sizes, strict=True):
+                out.append((key[0], FOLLOWED, block, pack(total[inverse[at : at + size]])))
+                at += size
             seen = np.flatnonzero(total > 0)
             r, where = total[seen], order[first][seen]
             out.append((key[0], PAIR_STATS, -1, pack(np.bincount(np.minimum(r, K + 2), minlength=K + 3)[: K + 2].astype(np.int64))))
@@ -296,7 +317,7 @@ def pair_totals(parts: int):
             c = words[where]
             sums += [np.bincount(place, weights=c == i, minlength=len(history)) for i in range(1, K + 1)] + [np.bincount(place, weights=np.where(c > K, c, 0), minlength=len(history))]
             at = (mixed(history, 33) % np.uint64(parts)).astype(np.int64)
-            out += [(b, HISTORY, -1, pack(history[x], np.stack([s[x] for s in sums]).astype(np.int64))) for b, x in groups(at, parts)]
+            out += [(b, HISTORY, -1, pack(history[x], *[s[x].astype(np.int64) for s in sums])) for b, x in groups(at, parts)]
         return table(out)
 
     return run
@@ -306,11 +327,11 @@ def alphas(unigrams: Unigrams, d: np.ndarray):
     """One partition of the history table: alpha back to the blocks that ask."""
 
     def run(key, rows):
-        stats = [unpack(b, 2) for b in rows["blob"][rows["kind"] == HISTORY]]
-        known = np.zeros(0, np.uint64)
+        stats = [unpack(b, 2 * K + 3) for b in rows["blob"][rows["kind"] == HISTORY]]
+        known = np.zeros(0, np.int64)
         if stats:
             known, inverse = np.unique(np.concatenate([s[0] for s in stats]), return_inverse=True)
-            sums = np.stack([np.bincount(inverse, weights=np.concatenate([s[1][i] for s in stats])) for i in range(2 * K + 2)])
+            sums = np.stack([np.bincount(inverse, weights=np.concatenate([s[1 + i] for s in stats])) for i in range(2 * K + 2)])
         out = []
         for block, b in rows[rows["kind"] == HELD][["block", "blob"]].itertuples(index=False, name=None):
             word, at, count = unpack(b, 3)
@@ -335,9 +356,9 @@ def scores(unigrams: Unigrams, d: np.ndarray, parts: int):
     def run(key, rows):
         import pandas as pd
 
-        ids, null, held, n, index, vocabulary, _ = unpack(rows["blob"][rows["kind"] == BLOCK].iloc[0], 7)
-        totals = totals_of(rows, len(vocabulary))
-        u, v, _, bucket, place = pair_table(held, n, index, vocabulary, totals, parts)
+        doc_ids, null, held, n, index, vocabulary, _ = unpack(rows["blob"][rows["kind"] == BLOCK].iloc[0], 7)
+        totals, ids = totals_of(rows, len(vocabulary))
+        u, v, _, bucket, place = pair_table(held, n, index, totals, ids, parts)
         answers = rows[rows["kind"] == FOLLOWED].sort_values("key")
         r = np.concatenate([unpack(b, 1)[0] for b in answers["blob"]]).astype(np.int64)
         alpha = np.ones(len(vocabulary))
@@ -348,7 +369,7 @@ def scores(unigrams: Unigrams, d: np.ndarray, parts: int):
         starts = np.cumsum(n) - n
         by_word = totals[index]
         return pd.DataFrame({
-            "doc_id": pd.array(ids, "Int64").copy() if not null.any() else pd.Series(ids, dtype="Int64").mask(null.astype(bool)),
+            "doc_id": pd.Series(doc_ids, dtype="Int64").mask(null.astype(bool)) if null.any() else doc_ids,
             "held_out": held.astype(bool), "n_tokens": n.astype(np.int64), "n_known": np.add.reduceat((by_word > 0).astype(np.int64), starts), "train_tokens": np.int64(unigrams.tokens),
             "base_score": np.add.reduceat(unigrams.base(totals)[index], starts), "score": np.add.reduceat(np.log10(p)[place], starts),
         })
@@ -368,9 +389,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per document."""
     spark = docs.sparkSession
     importable(spark)
-    parts = max(4, shuffle_parts(spark))
+    parts = max(4, 3 * shuffle_parts(spark) // 2)
     own = written(blocks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), "blocks")
-    totals = own.mapInPandas(asked(parts), FLOW).groupBy("key").applyInPandas(word_totals(word_hash(START)), FLOW)
+    totals = own.mapInPandas(asked(parts), FLOW).groupBy("key").applyInPandas(word_totals(word_hash(START), parts), FLOW)
     pairs = totals.union(own).groupBy("key").applyInPandas(block_pairs(parts), FLOW)
     counts = written(pairs.groupBy("key").applyInPandas(pair_totals(parts), FLOW), "counts")
     del totals, pairs
