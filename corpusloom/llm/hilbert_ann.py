@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import importable, shuffle_parts, written
 
 TOP, CURVES, DIMENSIONS, BITS = 20, 4, 6, 10
-SAMPLE, CALIBRATED, TARGET, BLOCK, CHUNK = 4_000, 128, 0.95, 4_096, 4_096
+SAMPLE, CALIBRATED, TARGET, BLOCK, CHUNK = 4_000, 128, 0.95, 16_384, 4_096
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
