@@ -99,8 +99,8 @@ def _blocks(docs: DataFrame, doc_id: str) -> tuple[DataFrame, list]:
     spark = docs.sparkSession
     rows = docs.select(doc_id).count()
     n = min(MAX_BLOCKS, max(4 * shuffle_parts(spark), rows // BLOCK_ROWS, 2))
-    shares = [i / n for i in range(1, n)]
-    cuts = docs.agg(F.percentile_approx(doc_id, shares, max(10_000, 4 * n)).alias("q")).first()["q"] or []
+    shares = f"CAST(split('{','.join(str(i / n) for i in range(1, n))}', ',') AS array<double>)"  # one literal, however many
+    cuts = docs.select(F.col(doc_id).alias("d")).agg(F.expr(f"percentile_approx(d, {shares}, {max(10_000, 4 * n)})").alias("q")).first()["q"] or []
     cuts = sorted(set(cuts))
     step = 256
     c = F.col(doc_id)
@@ -108,7 +108,8 @@ def _blocks(docs: DataFrame, doc_id: str) -> tuple[DataFrame, list]:
         block = F.lit(0)
     else:
         # two steps: which 256 cuts, then where among them
-        coarse, fine = F.array(*map(F.lit, cuts[::step])), F.array(*map(F.lit, cuts))
+        listed = lambda ids: F.split(F.lit(",".join(map(str, ids))), ",").cast("array<bigint>")  # noqa: E731  one literal, however many
+        coarse, fine = listed(cuts[::step]), listed(cuts)
         at = F.size(F.filter(coarse, lambda x: x <= c))
         upto = F.size(F.filter(F.slice(fine, F.greatest((at - 1) * step + 1, F.lit(1)), step), lambda x: x <= c))
         block = F.when(at == 0, 0).otherwise((at - 1) * step + upto)
