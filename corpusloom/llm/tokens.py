@@ -16,10 +16,21 @@ KEPT_WORDS = 300_000
 TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
 
+#: letters before this are composed and lower-cased one by one
+PLAIN = "\u0250"
+
+
 class Odd(Exception):
     """White space of another shape."""
 
 
+def byte_alphabet() -> list[str]:
+    """The byte-level scheme's sign for each byte: printable Latin-1 stands for itself, the rest follows from 256 on."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    rest = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(own)))}
+    return [rest.get(b, chr(b)) for b in range(256)]
+
+
 class Words(dict):
     """word to the ids of ``before + word``; the least lately used half goes when it is full."""
 
@@ -27,6 +38,8 @@ class Words(dict):
         super().__init__()
         self.tokenizer, self.before, self.empty, self.old = tokenizer, before, empty, {}
         self.tails: dict[str, bytes] = {}
+        self.lowers = empty is not None
+        self.alphabet = byte_alphabet()
 
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
@@ -38,6 +51,9 @@ class Words(dict):
             elif (core := word.rstrip(TAIL)) != word and core[-1:].isalpha() and "\u03a3" not in core:
                 # pre-tokenizers cut between a letter and such signs (a sigma's lower case may look ahead)
                 found = self[core] + self.tail(word[len(core) :])
+            elif word.isalpha() and max(word) < PLAIN:
+                low = word.lower() if self.lowers else word
+                found = self.letters(word) if low == word else self[low] if len(low) == len(word) else self.ids(self.before + word)
             else:
                 found = self.ids(self.before + word)
         if len(self) >= KEPT_WORDS:
@@ -46,6 +62,14 @@ class Words(dict):
         self[word] = found
         return found
 
+    def letters(self, word: str) -> bytes:
+        """A word of plain letters is one pre-token: straight to the model, in its byte alphabet."""
+        import numpy as np
+
+        known = self.before + word
+        spelled = known if self.before == "" and word.isascii() else "".join(map(self.alphabet.__getitem__, known.encode()))
+        return np.asarray([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+
     def tail(self, signs: str) -> bytes:
         if signs not in self.tails:
             if len(self.tails) >= 10_000:
