@@ -12,7 +12,6 @@ from corpusloom.session import importable, table  # noqa: F401
 
 #: a word, wherever an operator's contract says words
 WORD = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,18 +38,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table that written() made, once nothing reads it any more."""
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def ascii_lower(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
-
-
 def whole(c: Column) -> Column:
     """A null text counts as empty."""
     return F.coalesce(c, F.lit(""))
@@ -71,3 +58,51 @@ def numbered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, bool]:
     same = held.groupBy(F.col(doc_id).alias("nb_id"), F.col(text).alias("nb_text")).agg(F.min("lid").alias("nb_first"))
     joined = held.join(same, F.col(doc_id).eqNullSafe(F.col("nb_id")) & F.col(text).eqNullSafe(F.col("nb_text")))
     return joined.withColumn("lid", F.col("nb_first")).select(*docs.columns, "lid"), False
+
+
+CHUNKS = 64
+
+
+def table_rows(total):
+    """A task's table of fixed size as CHUNKS compressed rows (chunk, blob); empty chunks are left out."""
+    import numpy as np
+    import pandas as pd
+    import zlib
+
+    parts = [(i, x) for i, x in enumerate(np.split(total, CHUNKS)) if x.any()]
+    return pd.DataFrame({"chunk": pd.Series([i for i, _ in parts], dtype="int32"), "blob": [zlib.compress(x.tobytes(), 1) for _, x in parts]})
+
+
+def table_of(rows: DataFrame, size: int, kind: str, combine: str):
+    """The tables of all tasks combined by the named numpy operation, chunk by chunk on the executors; the driver gets one table of fixed size."""
+    import zlib
+
+    import numpy as np
+
+    def merge(key, own):
+        import pandas as pd
+
+        total = np.zeros(size // CHUNKS, kind)
+        for b in own["blob"]:
+            total = getattr(np, combine)(total, np.frombuffer(zlib.decompress(b), kind))
+        return pd.DataFrame({"chunk": [key[0]], "blob": [zlib.compress(total.tobytes(), 1)]})
+
+    out = np.zeros(size, kind)
+    for r in rows.groupBy("chunk").applyInPandas(merge, "chunk int, blob binary").collect():
+        at = r["chunk"] * (size // CHUNKS)
+        out[at : at + size // CHUNKS] = np.frombuffer(zlib.decompress(bytes(r["blob"])), kind)
+    return out
+
+
+def bitmap_of(spots: DataFrame, bits: int):
+    """Bits set at the numbers of the column s, as an array of u32 of fixed size."""
+    import numpy as np
+
+    def mark(batches):
+        total = np.zeros(bits >> 5, np.uint32)
+        for rows in batches:
+            s = rows["s"].to_numpy(np.int64)
+            np.bitwise_or.at(total, s >> 5, np.uint32(1) << (s & 31).astype(np.uint32))
+        yield table_rows(total)
+
+    return table_of(spots.select("s").mapInPandas(mark, "chunk int, blob binary"), bits >> 5, "<u4", "bitwise_or")

@@ -5,7 +5,7 @@ removed when an earlier line (by doc_id, then place) has a Jaccard similarity of
 at least 4/5 with it, whether or not that earlier line stays itself. Lines of
 fewer than MIN_WORDS different words take no part and stay.
 
-1. Every line's words are counted in a table of fixed size, hashed by word; the
+1. All words are counted in a table of fixed size, hashed by word; the
    counts give one global order of words, rarest first.
 2. Lines with equal sets are one class, found first within a task, so that a
    frequent line costs each task one row. Later members are removed.
@@ -13,8 +13,9 @@ fewer than MIN_WORDS different words take no part and stay.
    tasks of these words. Lines meet there only with lines of their word, and the
    length filter, the positional filter and a 64-bit parity sketch, which bounds
    the symmetric difference from below, leave the candidates.
-4. Each line's earliest candidates are verified on the words themselves. A line
-   with further candidates, none of them verified so far, is looked up again
+4. Each line's nearest candidate by sketch is verified on the words themselves,
+   then the others where it failed. A line whose candidates were not all kept
+   and all failed is looked up again
    against all of its candidates, so the result is exact.
 
 Words that are frequent in prefixes are cut in chunks, each pair of chunks being
@@ -34,24 +35,23 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import importable, numbered, shuffle_parts, written
+from corpusloom.llm.common import bitmap_of, importable, numbered, shuffle_parts, table_of, table_rows, written
 
 MIN_WORDS = 5
 COUNTS, HASH_BITS, COUNT_MOST = 1 << 20, 44, (1 << 19) - 1
 #: entries of one word that one group may hold; docs of which one is sampled to find such words
 HOT, SAMPLED = 20_000, 16
-#: earliest candidates verified at first; lines looked up again at a time
-EARLIEST, AGAIN = 3, 500_000
-CACHED_WORDS, FLUSH_LINES, BITMAP = 300_000, 200_000, 1 << 25
+#: candidates kept of a line and word group where the nearest isn't near at all; lines looked up again at a time
+NEAREST, AGAIN = 8, 500_000
+AT_ONCE, SEEN_LINES, FLUSH_LINES, BITMAP = 1_000, 50_000, 200_000, 1 << 25
 
 
-class Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        import hashlib
+def word_hashes(words) -> np.ndarray:
+    """HASH_BITS bits of each word's xxh3."""
+    import xxhash
 
-        h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") & ((1 << HASH_BITS) - 1)
-        self[word] = h
-        return h
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64)
+    return (own & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)
 
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -71,20 +71,28 @@ def prefix_length(n):
     return n - (4 * n + 4) // 5 + 1
 
 
-def token_arrays(ids, texts, hashes: Hashes):
-    """Of all lines that take part: their ids, places, numbers of words and words, flat."""
-    doc, place, size, flat = [], [], [], []
-    get = hashes.__getitem__
+def token_arrays(ids, texts, seen: set | None = None):
+    """Of all lines that take part: their ids, places, numbers of words and words, flat; then ids and places of lines that seen holds already."""
+    doc, place, size, flat, again_doc, again_place = [], [], [], [], [], []
     for d, t in zip(ids, texts, strict=True):
         if t:
-            for i, line in enumerate(t.split("\n")):
-                own = words_of(line)
+            words: list[str] = []
+            for i, line in enumerate(t.lower().split("\n")):
+                if seen is not None and line in seen:
+                    again_doc.append(d)
+                    again_place.append(i)
+                    continue
+                own = set(line.split())
                 if len(own) >= MIN_WORDS:
                     doc.append(d)
                     place.append(i)
                     size.append(len(own))
-                    flat.extend(map(get, own))
-    return np.asarray(doc, np.int64), np.asarray(place, np.int32), np.asarray(size, np.int32), np.asarray(flat, np.int64)
+                    words.extend(own)
+                    if seen is not None and len(seen) < SEEN_LINES:
+                        seen.add(line)
+            flat.append(word_hashes(words))
+    own = np.asarray(doc, np.int64), np.asarray(place, np.int32), np.asarray(size, np.int32), np.concatenate([*flat, np.zeros(0, np.int64)])
+    return own if seen is None else (*own, np.asarray(again_doc, np.int64), np.asarray(again_place, np.int32))
 
 
 def ordered(size: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,18 +113,23 @@ def prefixes(size: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> tuple[np
 def dumps(arrays: list[np.ndarray]) -> bytes:
     import io
 
+    import zstandard
+
     out = io.BytesIO()
     for a in arrays:
         np.lib.format.write_array(out, np.ascontiguousarray(a), allow_pickle=False)
-    return out.getvalue()
+    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
 
 
 def loads(blobs, n: int) -> list[np.ndarray]:
+    """The n arrays of all blobs, each joined over the blobs."""
     import io
 
-    parts = []
+    import zstandard
+
+    parts, tool = [], zstandard.ZstdDecompressor()
     for b in blobs:
-        at = io.BytesIO(b)
+        at = io.BytesIO(tool.decompress(b))
         parts.append([np.lib.format.read_array(at, allow_pickle=False) for _ in range(n)])
     return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else []
 
@@ -126,10 +139,10 @@ def earlier(doc, place, doc2, place2):
 
 
 def meet(word, doc, place, size, position, sketch):
-    """All pairs of entries of one word that pass the filters, as positions in these arrays: (later, earlier)."""
+    """All pairs of entries of one word that pass the filters, as positions in these arrays: (later, earlier), and how far apart their sketches are."""
     order = np.lexsort((size, word))
     word, doc, place, size, position, sketch = (a[order] for a in (word, doc, place, size, position, sketch))
-    out_x, out_y = [], []
+    out_x, out_y, out_d = [], [], []
     alive = np.arange(len(word) - 1) if len(word) > 1 else np.zeros(0, np.int64)
     lag = 1
     while len(alive):
@@ -143,36 +156,39 @@ def meet(word, doc, place, size, position, sketch):
             a, b = size[alive], size[other]
             need = (4 * (a + b) + 8) // 9
             room = np.minimum(position[alive], position[other]) + 1 + np.minimum(a - 1 - position[alive], b - 1 - position[other])
-            near = np.bitwise_count(sketch[alive] ^ sketch[other]).astype(np.int64) <= a + b - 2 * need
-            hit = near & (room >= need) & ((doc[alive] != doc[other]) | (place[alive] != place[other]))
+            apart = np.bitwise_count(sketch[alive] ^ sketch[other]).astype(np.int64)
+            hit = (apart <= a + b - 2 * need) & (room >= need) & ((doc[alive] != doc[other]) | (place[alive] != place[other]))
             i, j = alive[hit], other[hit]
             swap = earlier(doc[i], place[i], doc[j], place[j])
             out_x.append(order[np.where(swap, j, i)])
             out_y.append(order[np.where(swap, i, j)])
+            # in hundredths of what the bound allows
+            out_d.append(100 * apart[hit] // np.maximum(a + b - 2 * need, 1)[hit])
         lag += 1
     if not out_x:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_x), np.concatenate(out_y)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(out_x), np.concatenate(out_y), np.concatenate(out_d)
 
 
 def counted(docs: DataFrame) -> np.ndarray:
-    """How many lines hold a word of each bucket, at most COUNT_MOST: a table of fixed size."""
+    """How often words of each bucket stand in the texts, at most COUNT_MOST: a table of fixed size."""
 
     def count(batches):
-        import pandas as pd
-
-        total, hashes = np.zeros(COUNTS, np.int64), Hashes()
+        total = np.zeros(COUNTS, np.int64)
         for rows in batches:
-            if len(hashes) > CACHED_WORDS:
-                hashes.clear()
-            total += np.bincount(token_arrays(rows["lid"], rows["text"], hashes)[3] & (COUNTS - 1), minlength=COUNTS)
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pd.DataFrame({"bucket": at, "n": total[at]})
-
-    rows = docs.mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(COUNTS, np.int64)
-    out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+            held, n = [], 0
+            for t in rows["text"]:
+                if t:
+                    held.append(word_hashes(t.lower().split()))
+                    n += len(held[-1])
+                    if n > 1_000_000:
+                        total += np.bincount(np.concatenate(held) & (COUNTS - 1), minlength=COUNTS)
+                        held, n = [], 0
+            if held:
+                total += np.bincount(np.concatenate(held) & (COUNTS - 1), minlength=COUNTS)
+        yield table_rows(total)
+
+    out = table_of(docs.mapInPandas(count, "chunk int, blob binary"), COUNTS, "<i8", "add")
     return np.minimum(out, COUNT_MOST).astype(np.int32)
 
 
@@ -183,9 +199,9 @@ def hot_words(docs: DataFrame, counts) -> dict[int, int]:
     def sample(batches):
         import pandas as pd
 
-        hashes, own = Hashes(), table.value
-        for rows in batches:
-            _, _, size, flat = token_arrays(rows["lid"], rows["text"], hashes)
+        own = table.value
+        for rows in (batch.iloc[a : a + AT_ONCE] for batch in batches for a in range(0, len(batch), AT_ONCE)):
+            _, _, size, flat = token_arrays(rows["lid"], rows["text"])
             if len(size):
                 _, _, word = prefixes(size, *ordered(size, flat, own))
                 word, n = np.unique(word[own[word & (COUNTS - 1)] > HOT], return_counts=True)
@@ -197,7 +213,7 @@ def hot_words(docs: DataFrame, counts) -> dict[int, int]:
 
 
 def candidates(docs: DataFrame, counts, hot: dict[int, int], probes=None) -> DataFrame:
-    """(x_doc, x_place, y_doc, y_place, more): y null where x is a later member of a class.
+    """(x_doc, x_place, y_doc, y_place, apart, more): y_place -1 where x is a later member of a class.
 
     probes: (docs, places) of lines to look up; then all of their candidates are given."""
     parts = max(2, shuffle_parts(docs.sparkSession))
@@ -206,7 +222,7 @@ def candidates(docs: DataFrame, counts, hot: dict[int, int], probes=None) -> Dat
     def lines(batches):
         import pandas as pd
 
-        hashes, table = Hashes(), counts.value
+        table, seen = counts.value, set()
 
         def sent(held):
             doc, place, size, k1, k2, sketch, flat = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -223,40 +239,37 @@ def candidates(docs: DataFrame, counts, hot: dict[int, int], probes=None) -> Dat
                 x = own[bucket == b]
                 line = np.repeat(x, p[x])
                 position = np.arange(len(line)) - np.repeat(np.cumsum(p[x]) - p[x], p[x])
-                rows.append((int(b), 0, dumps([doc[x], place[x], size[x], k1[x], k2[x], sketch[x]]) + dumps([flat[starts[line] + position]])))
+                rows.append((int(b), 0, dumps([doc[x], place[x], size[x], k1[x], k2[x], sketch[x], flat[starts[line] + position]])))
             return pd.DataFrame(rows, columns=["b", "kind", "blob"])
 
         held, n = [], 0
-        for rows in batches:
-            if len(hashes) > CACHED_WORDS:
-                hashes.clear()
-            doc, place, size, flat = token_arrays(rows["lid"], rows["text"], hashes)
-            if not len(size):
-                continue
-            flat, starts = ordered(size, flat, table)
-            with np.errstate(over="ignore"):
-                k1, k2 = np.add.reduceat(mixed(flat, 1), starts), np.add.reduceat(mixed(flat, 2), starts)
-            sketch = np.bitwise_xor.reduceat(np.uint64(1) << (mixed(flat, 3) & np.uint64(63)), starts)
-            held.append((doc, place, size, k1, k2, sketch, prefixes(size, flat, starts)[2]))
-            n += len(size)
-            if n >= FLUSH_LINES:
-                yield sent(held)
-                held, n = [], 0
+        for batch in batches:
+            for a in range(0, len(batch), AT_ONCE):
+                rows = batch.iloc[a : a + AT_ONCE]
+                doc, place, size, flat, again_doc, again_place = token_arrays(rows["lid"], rows["text"], seen)
+                if len(again_doc):
+                    yield pd.DataFrame({"b": [int(again_doc[0]) % parts], "kind": [1], "blob": [dumps([again_doc, again_place])]})
+                if not len(size):
+                    continue
+                flat, starts = ordered(size, flat, table)
+                with np.errstate(over="ignore"):
+                    k1, k2 = np.add.reduceat(mixed(flat, 1), starts), np.add.reduceat(mixed(flat, 2), starts)
+                sketch = np.bitwise_xor.reduceat(np.uint64(1) << (mixed(flat, 3) & np.uint64(63)), starts)
+                held.append((doc, place, size, k1, k2, sketch, prefixes(size, flat, starts)[2]))
+                n += len(size)
+                if n >= FLUSH_LINES:
+                    yield sent(held)
+                    held, n = [], 0
         if held:
             yield sent(held)
 
     def classes(key, rows):
-        import io
-
         import pandas as pd
 
         out = [(key[0], 1, b) for b in rows["blob"][rows["kind"] == 1]]
-        parts_in = []
-        for blob in rows["blob"][rows["kind"] == 0]:
-            at = io.BytesIO(blob)
-            parts_in.append([np.lib.format.read_array(at, allow_pickle=False) for _ in range(7)])
-        if parts_in:
-            doc, place, size, k1, k2, sketch, flat = (np.concatenate(x) for x in zip(*parts_in, strict=True))
+        arrays = loads(rows["blob"][rows["kind"] == 0], 7)
+        if arrays:
+            doc, place, size, k1, k2, sketch, flat = arrays
             p = prefix_length(size)
             starts = np.cumsum(p) - p
             order = np.lexsort((place, doc, k2, k1))
@@ -297,36 +310,39 @@ def candidates(docs: DataFrame, counts, hot: dict[int, int], probes=None) -> Dat
     def pairs(key, rows):
         import pandas as pd
 
-        frames = []
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool))
+        found = [none]
         gone = loads(rows["blob"][rows["kind"] == 1], 2)
         if gone:
-            frames.append(pd.DataFrame({"x_doc": gone[0], "x_place": gone[1], "y_doc": pd.array([None] * len(gone[0]), "Int64"), "y_place": pd.array([None] * len(gone[0]), "Int32"), "more": False}))
+            n = len(gone[0])
+            found.append((gone[0], gone[1], np.zeros(n, np.int64), np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n, bool)))
         entries = loads(rows["blob"][rows["kind"] == 0], 6)
         if entries:
             word, doc, place, size, position, sketch = entries
-            x, y = meet(word, doc, place, size.astype(np.int64), position.astype(np.int64), sketch)
+            x, y, apart = meet(word, doc, place, size.astype(np.int64), position.astype(np.int64), sketch)
             if probes is not None and len(x):
                 wanted = np.isin(doc[x], probes[0])
-                x, y = x[wanted], y[wanted]
+                x, y, apart = x[wanted], y[wanted], apart[wanted]
             if len(x):
-                order = np.lexsort((place[y], doc[y], place[x], doc[x]))
-                x, y = x[order], y[order]
+                order = np.lexsort((place[y], doc[y], apart, place[x], doc[x]))
+                x, y, apart = x[order], y[order], apart[order]
                 again = np.zeros(len(x), bool)
                 again[1:] = (doc[x][1:] == doc[x][:-1]) & (place[x][1:] == place[x][:-1])
                 twice = again.copy()
                 twice[1:] &= (doc[y][1:] == doc[y][:-1]) & (place[y][1:] == place[y][:-1])
-                x, y, again = x[~twice], y[~twice], again[~twice]
-                number = np.arange(len(x)) - np.maximum.accumulate(np.where(again, 0, np.arange(len(x))))
+                x, y, apart, again = x[~twice], y[~twice], apart[~twice], again[~twice]
+                first = np.maximum.accumulate(np.where(again, 0, np.arange(len(x))))
                 more = np.zeros(len(x), bool)
                 if probes is None:
-                    more[:-1] = (number[1:] >= EARLIEST) & again[1:]
-                    keep = number < EARLIEST
-                    x, y, more = x[keep], y[keep], more[keep]
-                frames.append(pd.DataFrame({"x_doc": doc[x], "x_place": place[x], "y_doc": pd.array(doc[y], "Int64"), "y_place": pd.array(place[y], "Int32"), "more": more}))
-        return pd.concat(frames) if frames else pd.DataFrame({c: [] for c in ("x_doc", "x_place", "y_doc", "y_place", "more")})
+                    # a line's nearest; some more where even that one is far off
+                    keep = np.arange(len(x)) - first < np.where(apart[first] > 33, NEAREST, 1)
+                    more = (np.bincount(first, weights=~keep, minlength=len(x)) > 0)[first]
+                    x, y, apart, more = x[keep], y[keep], apart[keep], more[keep]
+                found.append((doc[x], place[x], doc[y], place[y], apart.astype(np.int32), more))
+        return pd.DataFrame(dict(zip(("x_doc", "x_place", "y_doc", "y_place", "apart", "more"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     flow = "b int, kind int, blob binary"
-    found = docs.mapInPandas(lines, flow).groupBy("b").applyInPandas(classes, flow).groupBy("b").applyInPandas(pairs, "x_doc long, x_place int, y_doc long, y_place int, more boolean")
+    found = docs.mapInPandas(lines, flow).groupBy("b").applyInPandas(classes, flow).groupBy("b").applyInPandas(pairs, "x_doc long, x_place int, y_doc long, y_place int, apart int, more boolean")
     return written(found, "line-pairs")
 
 
@@ -342,10 +358,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     wanted = pairs.select(F.col("x_doc").alias("d"), F.col("x_place").alias("p")).union(pairs.select("y_doc", "y_place"))
     # a bitmap of fixed size lets a task send only the lines that some pair wants
-    at = wanted.select(spot(F.col("d"), F.col("p")).alias("s")).select(F.shiftright("s", 5).alias("w"), F.expr("shiftleft(1L, cast(s & 31 as int))").alias("bit"))
-    words = at.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bitmap = np.zeros(BITMAP >> 5, np.uint32)
-    bitmap[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    bitmap = bitmap_of(wanted.select(spot(F.col("d"), F.col("p")).alias("s")), BITMAP)
     shared = spark.sparkContext.broadcast(bitmap)
 
     def texts(batches):
@@ -361,7 +374,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                         d.append(key)
                         p.append(int(i))
                         t.append(own[i])
-            yield pd.DataFrame({"d": d, "p": p, "t": t}).astype({"d": "int64", "p": "int32"})
+            yield pd.DataFrame({"d": np.asarray(d, np.int64), "p": np.asarray(p, np.int32), "t": pd.Series(t, dtype=object)})
 
     def compare(batches):
         for rows in batches:
@@ -383,9 +396,15 @@ def removals(docs: DataFrame) -> DataFrame:
     counts = spark.sparkContext.broadcast(counted(docs))
     hot = hot_words(docs, counts)
     found = candidates(docs, counts, hot)
-    seen = written(verified(docs, found.where("y_doc is not null").distinct()).groupBy("x_doc", "x_place").agg(F.max("ok").alias("ok"), F.max("more").alias("more")), "verified")
-    gone = found.where("y_doc is null").select("x_doc", "x_place").union(seen.where("ok").select("x_doc", "x_place"))
-    open_lines = seen.where("more and not ok").select("x_doc", "x_place").orderBy("x_doc", "x_place")
+    # the nearest candidate of each line first; its others only where that one fails
+    line, own = ["x_doc", "x_place"], found.where("y_place >= 0")
+    nearest = own.groupBy(*line).agg(F.min(F.struct("apart", "y_doc", "y_place")).alias("y"), (F.max("more") | (F.min(F.struct("y_doc", "y_place")) < F.max(F.struct("y_doc", "y_place")))).alias("more"))
+    first = written(verified(docs, written(nearest.select(*line, "y.y_doc", "y.y_place", "more"), "nearest")), "verified")
+    gone = found.where("y_place < 0").select(*line).union(first.where("ok").select(*line))
+    others = written(own.join(first.where("more and not ok").select(*line), line).select(*line, "y_doc", "y_place", "more").distinct(), "others")
+    second = written(verified(docs, others).groupBy(*line).agg(F.max("ok").alias("ok"), F.max("more").alias("more")), "verified")
+    gone = gone.union(second.where("ok").select(*line))
+    open_lines = second.where("more and not ok").select(*line).orderBy(*line)
     last = None
     while True:
         # at most AGAIN lines at a time, however many there are
@@ -395,7 +414,7 @@ def removals(docs: DataFrame) -> DataFrame:
             break
         last = (int(probes["x_doc"].iloc[-1]), int(probes["x_place"].iloc[-1]))
         own = F.broadcast(spark.createDataFrame(probes))
-        pairs = candidates(docs, counts, hot, (probes["x_doc"].to_numpy(), probes["x_place"].to_numpy())).where("y_doc is not null").join(own, ["x_doc", "x_place"]).distinct()
+        pairs = candidates(docs, counts, hot, (probes["x_doc"].to_numpy(), probes["x_place"].to_numpy())).where("y_place >= 0").join(own, ["x_doc", "x_place"]).distinct()
         gone = gone.union(written(verified(docs, pairs).where("ok").select("x_doc", "x_place"), "again"))
     return gone.select(F.col("x_doc").alias("lid"), F.col("x_place").alias("place")).distinct()
 

@@ -120,7 +120,7 @@ def test_line_dedup_equals_brute_force(spark, seed):
 
 def test_line_dedup_looks_again_and_splits_hot_words(spark, monkeypatch):
     # few candidates at first and small groups: the exact ways for the rest must give the same
-    monkeypatch.setattr(line_dedup, "EARLIEST", 1)
+    monkeypatch.setattr(line_dedup, "NEAREST", 1)
     monkeypatch.setattr(line_dedup, "HOT", 3)
     monkeypatch.setattr(line_dedup, "SAMPLED", 1)
     rng = random.Random(8)
