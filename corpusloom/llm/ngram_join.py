@@ -11,10 +11,11 @@ documents). Two documents link when 100 * both >= 85 * either.
 3. In PIVOT_ROUNDS rounds each class is compared with the most shared pivot, one
    class per shingle and length band, drawn anew in each round. Large groups of
    near copies melt to few components at a row a member.
-4. All pairs of classes that share a shingle and are not in one component yet
-   are counted by shared shingles; c shared ones among the prefixes bound the
-   overlap by c + max(n - prefix), and the pairs above that bound are verified.
-   Pairs within a component need no look: they add no component.
+4. All pairs of classes that share a prefix shingle and are not in one component
+   yet meet, with their lengths and parity sketches, whose differing bits bound
+   the symmetric difference from below; what both bounds leave is verified.
+   Pairs within a component need no look: they add no component. A shingle with
+   more than HOT classes is cut in chunks, each pair of chunks a group of its own.
 
 Verification builds a prefix tree of a document's partners: their sets, sorted,
 share paths from the most frequent shingle down. It is walked in preorder, a
@@ -35,21 +36,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import importable, numbered, shuffle_parts, written
+from corpusloom.llm.common import bitmap_of, importable, numbered, shuffle_parts, table_of, table_rows, written
 from corpusloom.llm.graph import components
-from corpusloom.llm.line_dedup import BITMAP, dumps, mixed
+from corpusloom.llm.line_dedup import BITMAP, dumps, loads, mixed
 
 N, SHARE = 4, 85
-COUNTS, CACHED_WORDS, FLUSH_SHINGLES, PIVOT_ROUNDS = 1 << 20, 300_000, 2_000_000, 3
-
-
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import hashlib
-
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        self[word] = h
-        return h
+COUNTS, FLUSH_SHINGLES, PIVOT_ROUNDS = 1 << 20, 2_000_000, 4
+#: bits of a set's parity sketch; entries of one shingle that meet in one group at most
+SKETCH, HOT = 1024, 20_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -57,12 +51,14 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def shingles(text: str | None, hashes: Hashes, n: int = N) -> np.ndarray:
+def shingles(text: str | None, n: int = N) -> np.ndarray:
     """The distinct shingles of a whole text as ascending 63-bit hashes."""
     own = words(text)
     if not own:
         return np.zeros(0, np.int64)
-    w = np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own))
+    import xxhash
+
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
     k = min(n, len(w))
     m = len(w) - k + 1
     with np.errstate(over="ignore"):
@@ -76,6 +72,11 @@ def in_order(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return own[np.lexsort((own, counts[own & (COUNTS - 1)]))]
 
 
+def sketch_of(own: np.ndarray) -> np.ndarray:
+    """Parity of the set's shingles in each of SKETCH cells, packed in bytes."""
+    return np.packbits((np.bincount((mixed(own, 3) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8))
+
+
 def prefix_length(n, share: int = SHARE):
     return n - (share * n + 99) // 100 + 1
 
@@ -124,39 +125,31 @@ def counted(docs: DataFrame) -> np.ndarray:
     """How many sets hold a shingle of each bucket: a table of fixed size."""
 
     def count(batches):
-        import pandas as pd
-
-        total, hashes = np.zeros(COUNTS, np.int64), Hashes()
+        total = np.zeros(COUNTS, np.int64)
         for rows in batches:
-            if len(hashes) > CACHED_WORDS:
-                hashes.clear()
             held, n = [], 0
             for t in rows["text"]:
-                held.append(shingles(t, hashes) & (COUNTS - 1))
+                held.append(shingles(t) & (COUNTS - 1))
                 n += len(held[-1])
                 if n > 500_000:
                     total += np.bincount(np.concatenate(held), minlength=COUNTS)
                     held, n = [], 0
             if held:
                 total += np.bincount(np.concatenate(held), minlength=COUNTS)
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pd.DataFrame({"bucket": at, "n": total[at]})
+        yield table_rows(total)
 
-    rows = docs.mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(COUNTS, np.int64)
-    out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    out = table_of(docs.mapInPandas(count, "chunk int, blob binary"), COUNTS, "<i8", "add")
     return np.minimum(out, 2**31 - 1).astype(np.int32)
 
 
-def entries(docs: DataFrame, counts) -> tuple[DataFrame, DataFrame]:
-    """((lid, cid, n) of every document, (word, cid, n) of every prefix shingle that several classes hold)."""
+def entries(docs: DataFrame, counts) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lid, cid, n) of every document, (word, cid, n) of every prefix shingle that several classes hold, (cid, sketch) of every class."""
     parts = max(2, shuffle_parts(docs.sparkSession))
 
     def sets(batches):
         import pandas as pd
 
-        hashes, table = Hashes(), counts.value
+        table = counts.value
 
         def sent(held):
             doc = np.asarray([x[0] for x in held], np.int64)
@@ -171,20 +164,18 @@ def entries(docs: DataFrame, counts) -> tuple[DataFrame, DataFrame]:
                 inside = bucket[order] == b
                 own = order[inside]
                 # the prefix goes along once per class
-                rows.append((int(b), 0, dumps([doc[own], size[own], k1[own], k2[own], first[inside], np.concatenate([held[i][4] for i in order[inside & first]])])))
+                rows.append((int(b), 0, dumps([doc[own], size[own], k1[own], k2[own], first[inside], np.concatenate([held[i][4] for i in order[inside & first]]), np.stack([held[i][5] for i in own])])))
             return pd.DataFrame(rows, columns=["b", "kind", "blob"])
 
         held, n = [], 0
         for rows in batches:
-            if len(hashes) > CACHED_WORDS:
-                hashes.clear()
             for d, t in zip(rows["lid"], rows["text"], strict=True):
-                own = shingles(t, hashes)
+                own = shingles(t)
                 if len(own):
                     with np.errstate(over="ignore"):
                         k1, k2 = mixed(own, 1).sum(dtype=np.uint64), mixed(own, 2).sum(dtype=np.uint64)
                     # a copy, so that the whole set can go
-                    held.append((d, len(own), k1, k2, in_order(own, table)[: prefix_length(len(own))].copy()))
+                    held.append((d, len(own), k1, k2, in_order(own, table)[: prefix_length(len(own))].copy(), sketch_of(own)))
                     n += len(held[-1][4]) + 8
                     if n > FLUSH_SHINGLES:
                         yield sent(held)
@@ -193,22 +184,16 @@ def entries(docs: DataFrame, counts) -> tuple[DataFrame, DataFrame]:
             yield sent(held)
 
     def classes(key, rows):
-        import io
-
         import pandas as pd
 
-        parts_in = []
-        for blob in rows["blob"]:
-            at = io.BytesIO(blob)
-            parts_in.append([np.lib.format.read_array(at, allow_pickle=False) for _ in range(6)])
-        doc, size, k1, k2, has, flat = (np.concatenate(x) for x in zip(*parts_in, strict=True))
+        doc, size, k1, k2, has, flat, sketch = loads(rows["blob"], 7)
         p = np.where(has, prefix_length(size.astype(np.int64)), 0)
         starts = np.cumsum(p) - p
         order = np.lexsort((doc, k2, k1))
         first = np.ones(len(order), bool)
         first[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
         cid = doc[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-        out = [(key[0], 1, dumps([doc[order], cid, size[order]]))]
+        out = [(key[0], 1, dumps([doc[order], cid, size[order], sketch[order]]))]
         # some member of each class has the prefix with it: the first of each task does
         group = np.cumsum(first) - 1
         holder = np.full(group[-1] + 1, -1)
@@ -228,52 +213,46 @@ def entries(docs: DataFrame, counts) -> tuple[DataFrame, DataFrame]:
         return pd.DataFrame(out, columns=["b", "kind", "blob"])
 
     def shared(key, rows):
-        import io
-
         import pandas as pd
 
         frames = []
         for kind in (0, 1):
-            parts_in = []
-            for blob in rows["blob"][rows["kind"] == kind]:
-                at = io.BytesIO(blob)
-                parts_in.append([np.lib.format.read_array(at, allow_pickle=False) for _ in range(3)])
-            if not parts_in:
+            arrays = loads(rows["blob"][rows["kind"] == kind], 3 + kind)
+            if not arrays:
                 continue
-            x, y, n = (np.concatenate(a) for a in zip(*parts_in, strict=True))
+            x, y, n, *rest = arrays
+            sketch = pd.Series([s.tobytes() if a == b else None for s, a, b in zip(rest[0], x, y, strict=True)] if kind else [None] * 0, dtype=object)
             if kind == 0:
                 _, inverse, number = np.unique(x, return_inverse=True, return_counts=True)
                 keep = number[inverse] > 1
                 x, y, n = x[keep], y[keep], n[keep]
-            frames.append(pd.DataFrame({"kind": kind, "x": x, "cid": y, "n": n}))
-        return pd.concat(frames) if frames else pd.DataFrame({"kind": [], "x": [], "cid": [], "n": []})
+                sketch = pd.Series([None] * len(x), dtype=object)
+            frames.append(pd.DataFrame({"kind": np.full(len(x), kind), "x": x, "cid": y, "n": n, "sketch": sketch}))
+        return pd.concat(frames) if frames else pd.DataFrame({"kind": [], "x": [], "cid": [], "n": [], "sketch": []})
 
     flow = "b int, kind int, blob binary"
-    found = docs.mapInPandas(sets, flow).groupBy("b").applyInPandas(classes, flow).groupBy("b").applyInPandas(shared, "kind int, x long, cid long, n int")
+    found = docs.mapInPandas(sets, flow).groupBy("b").applyInPandas(classes, flow).groupBy("b").applyInPandas(shared, "kind int, x long, cid long, n int, sketch binary")
     found = written(found, "shingles")
-    return found.where("kind = 1").select(F.col("x").alias("lid"), "cid", "n"), found.where("kind = 0").select(F.col("x").alias("word"), "cid", "n")
+    members, sketches = found.where("kind = 1").select(F.col("x").alias("lid"), "cid", "n"), found.where("kind = 1 and x = cid").select("cid", "sketch")
+    return members, found.where("kind = 0").select(F.col("x").alias("word"), "cid", "n"), sketches
 
 
 def links(docs: DataFrame, counts, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, verified on whole sets; a's partners share its prefix tree."""
     wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).select(F.pmod("c", F.lit(BITMAP)).alias("s"))
-    bits = wanted.select(F.shiftright("s", 5).alias("w"), F.expr("shiftleft(1L, cast(s & 31 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bitmap = np.zeros(BITMAP >> 5, np.uint32)  # of fixed size: a task sends only sets that some pair may want
-    bitmap[bits["w"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64).astype(np.uint32)
+    bitmap = bitmap_of(wanted, BITMAP)  # of fixed size: a task sends only sets that some pair may want
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def sets(batches):
         import pandas as pd
 
-        hashes, table = Hashes(), counts.value
+        table = counts.value
         for rows in batches:
-            if len(hashes) > CACHED_WORDS:
-                hashes.clear()
             s = rows["lid"].to_numpy(np.int64) % BITMAP
             rows = rows[((shared.value[s >> 5] >> (s & 31).astype(np.uint32)) & np.uint32(1)).astype(bool)]
             for a in range(0, len(rows), 500):
                 part = rows.iloc[a : a + 500]
-                yield pd.DataFrame({"c": part["lid"], "own": [in_order(shingles(t, hashes), table)[::-1].tobytes() for t in part["text"]]})
+                yield pd.DataFrame({"c": part["lid"], "own": [in_order(shingles(t), table)[::-1].tobytes() for t in part["text"]]})
 
     def compare(batches):
         import pandas as pd
@@ -318,17 +297,47 @@ def pivots(own: DataFrame, number: int) -> DataFrame:
     return likely.groupBy("cid").agg(F.max(F.struct("count", "a")).alias("best")).select(F.col("best.a").alias("a"), F.col("cid").alias("b"))
 
 
-def remaining(own: DataFrame) -> DataFrame:
-    """All pairs (a, b) of classes in different components whose shared prefix shingles reach the bound."""
-    labels = own.select("word", "label").distinct()
-    two = labels.groupBy("word").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("word")
-    several = written(own.join(two, "word"), "several")
-    labels = several.select("word", "label").distinct()
-    cross = labels.select("word", F.col("label").alias("la")).join(labels.select("word", F.col("label").alias("lb")), "word").where("la < lb")
-    left = several.select("word", F.col("label").alias("la"), F.col("cid").alias("a"), F.col("n").alias("na"))
-    right = several.select("word", F.col("label").alias("lb"), F.col("cid").alias("b"), F.col("n").alias("nb"))
-    both = cross.join(left, ["word", "la"]).join(right, ["word", "lb"]).where(_near(F.col("na"), F.col("nb")))
-    return both.groupBy("a", "b", "na", "nb").count().where(F.col("count") >= _bound(F.col("na"), F.col("nb"))).select("a", "b")
+def meetings(rows) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of the rows (group, cid, n, label, sketch) of one group, different labels and no bound against them."""
+    rows = rows.sort_values(["group", "label"], kind="stable")
+    group, label, cid, n = (rows[c].to_numpy() for c in ("group", "label", "cid", "n"))
+    n = n.astype(np.int64)
+    sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
+    # each row meets the rows of its group that have a later label
+    new_group = np.flatnonzero(np.diff(group)) + 1
+    new_label = np.flatnonzero((np.diff(group) != 0) | (np.diff(label) != 0)) + 1
+    end = lambda cuts: np.repeat([*cuts, len(rows)], np.diff([0, *cuts, len(rows)]))
+    last, other = end(new_group), end(new_label)
+    i = np.flatnonzero(other < last)
+    j, found = other[i], []
+    while len(i):
+        fits = 100 * np.minimum(n[i], n[j]) >= SHARE * np.maximum(n[i], n[j])
+        x, y = i[fits], j[fits]
+        apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
+        near = apart <= n[x] + n[y] - 2 * needed(n[x], n[y])
+        found.append(np.stack([cid[x[near]], cid[y[near]]]))
+        j = j + 1
+        inside = j < last[i]
+        i, j = i[inside], j[inside]
+    pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1) if found else np.zeros((2, 0), np.int64)
+    return pairs[0], pairs[1]
+
+
+def remaining(own: DataFrame, sketches: DataFrame) -> DataFrame:
+    """All pairs (a, b) of classes in different components that share a prefix shingle and that no bound excludes."""
+    parts = 4 * max(2, shuffle_parts(own.sparkSession))
+    several = own.groupBy("word").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi").select("word", F.ceil(F.col("k") / HOT).cast("int").alias("chunks"))
+    rows = own.join(several, "word").withColumn("c", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
+    cells = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("group", F.xxhash64("word", F.least("c", "j"), F.greatest("c", "j")))
+    cells = cells.select("group", "cid", "n", "label").join(sketches, "cid").withColumn("bucket", F.pmod(F.col("group"), F.lit(parts)))
+
+    def run(key, rows):
+        import pandas as pd
+
+        a, b = meetings(rows)
+        return pd.DataFrame({"a": a, "b": b})
+
+    return cells.groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
 
 
 def grouped(own: DataFrame, unique: bool, text: str) -> DataFrame:
@@ -337,11 +346,11 @@ def grouped(own: DataFrame, unique: bool, text: str) -> DataFrame:
     rows = own.select("lid", F.col(text).alias("text"))
     rows = rows if unique else rows.dropDuplicates(["lid"])
     counts = spark.sparkContext.broadcast(counted(rows))
-    members, words_of = entries(rows, counts)
+    members, words_of, sketches = entries(rows, counts)
     edges, labels = None, None
     labelled = words_of.withColumn("label", F.col("cid"))
     for number in range(PIVOT_ROUNDS + 1):
-        pairs = written(pivots(labelled, number) if number < PIVOT_ROUNDS else remaining(labelled), "candidates")
+        pairs = written(pivots(labelled, number) if number < PIVOT_ROUNDS else remaining(labelled, sketches), "candidates")
         if pairs.isEmpty():
             continue
         found = links(rows, counts, pairs)
