@@ -13,11 +13,11 @@ column of a Parquet table in the shared folder, so that any file system that
 Spark writes can hold them; the dictionary lies beside them in a table of its
 own, and a reader refuses files whose dictionary hash differs.
 
-The dictionary is trained on at most SAMPLE_DOCS documents (smallest hash of
-their id) and at most SAMPLE_CHARS of each; it changes sizes, never contents.
+The dictionary is trained on at most SAMPLE_DOCS documents, the first that Spark
+reads, and at most SAMPLE_CHARS of each; it changes sizes, never contents.
 
 Defined results: null text counts as empty; a null doc_id stands last; rows of
-one doc_id follow each other in order of their ids; an empty table gives no
+one doc_id follow each other in order of a hash of their frame; an empty table gives no
 file and an empty result; further columns are not read.
 """
 
@@ -35,7 +35,7 @@ from corpusloom.llm.common import importable, shared_dir, written
 
 MAGIC, HEAD, ENTRY = b"CLTF1\0", struct.Struct("<6sB32sI"), struct.Struct("<qBQ")
 ENTRY_BYTES = ENTRY.size
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL, FILE_BYTES = 1_000, 4_000, 65_536, 3, 2_000_000
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL, FILE_BYTES = 1_000, 4_000, 65_536, 1, 2_000_000
 
 
 def serialize(ids: bytes, width: int) -> bytes:
@@ -92,7 +92,7 @@ def trained_on(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[bytes, int
 
     tool = encoder(tokenizer, "word")
     width = 2 if tool.tokenizer.get_vocab_size(with_added_tokens=True) <= 65_536 and end_id < 65_536 else 4
-    some = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("t"), F.xxhash64("doc_id").alias("h")).orderBy("h", "t").limit(SAMPLE_DOCS)
+    some = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("t")).limit(SAMPLE_DOCS)
     texts = [r["t"] for r in some.collect()]
     return train([serialize(x, width) for x in tool.encode(texts) if x]), width
 
@@ -138,7 +138,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, doc_id: str =
             yield blob()
 
     encoded = written(docs.mapInArrow(frames, "doc_id long, frame binary"), "frames")
-    order = [F.col("doc_id").asc_nulls_last(), F.col("frame").asc()]
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("frame").asc()]  # a short key: its samples go to the driver
     made = encoded.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(files, "n long, blob binary")
     # a file's place in the order: the partition, then its number there
     made.select(F.spark_partition_id().alias("part"), "n", "blob").write.parquet(f"{folder}/files")
