@@ -2,14 +2,15 @@
 
 A line is the set of its words (lower-cased, cut at white space). A line is
 removed when an earlier line (by doc_id, then place) has a Jaccard similarity of
-at least 4/5 with it, whether or not that earlier line stays itself. Lines of
-fewer than MIN_WORDS different words take no part and stay.
+at least 4/5 with it, whether or not that earlier line stays itself. Lines
+without words take no part and stay.
 
 1. All words are counted in a table of fixed size, hashed by word; the
    counts give one global order of words, rarest first.
 2. Lines with equal sets are one class, found first within a task, so that a
-   frequent line costs each task one row. Later members are removed.
-3. Each class sends its prefix, its n - ceil(4n/5) + 1 rarest words, to the
+   frequent line costs each task one row. Later members are removed. Sets of
+   fewer than JOINED words match only equal sets, so this step decides them.
+3. Each larger class sends its prefix, its n - ceil(4n/5) + 1 rarest words, to the
    tasks of these words. Lines meet there only with lines of their word, and the
    length filter, the positional filter and a 64-bit parity sketch, which bounds
    the symmetric difference from below, leave the candidates.
@@ -37,7 +38,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import bitmap_of, importable, numbered, shuffle_parts, table_of, table_rows, written
 
-MIN_WORDS = 5
+#: the smallest set that matches a set unlike it: four words and five
+JOINED = 4
 COUNTS, HASH_BITS, COUNT_MOST = 1 << 20, 44, (1 << 19) - 1
 #: entries of one word that one group may hold; docs of which one is sampled to find such words
 HOT, SAMPLED = 20_000, 16
@@ -71,9 +73,11 @@ def prefix_length(n):
     return n - (4 * n + 4) // 5 + 1
 
 
-def token_arrays(ids, texts, seen: set | None = None):
-    """Of all lines that take part: their ids, places, numbers of words and words, flat; then ids and places of lines that seen holds already."""
-    doc, place, size, flat, again_doc, again_place = [], [], [], [], [], []
+def token_arrays(ids, texts, seen: set | None = None, least: int = 1):
+    """Of all lines of least words or more: their ids, places, numbers of words, words, flat, and a hash of the whole set (0 from JOINED words on); then ids and places of lines that seen holds already."""
+    import xxhash
+
+    doc, place, size, flat, few, again_doc, again_place = [], [], [], [], [], [], []
     for d, t in zip(ids, texts, strict=True):
         if t:
             words: list[str] = []
@@ -83,15 +87,16 @@ def token_arrays(ids, texts, seen: set | None = None):
                     again_place.append(i)
                     continue
                 own = set(line.split())
-                if len(own) >= MIN_WORDS:
+                if len(own) >= least:
                     doc.append(d)
                     place.append(i)
                     size.append(len(own))
                     words.extend(own)
+                    few.append(xxhash.xxh3_64_intdigest(" ".join(sorted(own))) if len(own) < JOINED else 0)
                     if seen is not None and len(seen) < SEEN_LINES:
                         seen.add(line)
             flat.append(word_hashes(words))
-    own = np.asarray(doc, np.int64), np.asarray(place, np.int32), np.asarray(size, np.int32), np.concatenate([*flat, np.zeros(0, np.int64)])
+    own = np.asarray(doc, np.int64), np.asarray(place, np.int32), np.asarray(size, np.int32), np.concatenate([*flat, np.zeros(0, np.int64)]), np.asarray(few, np.uint64)
     return own if seen is None else (*own, np.asarray(again_doc, np.int64), np.asarray(again_place, np.int32))
 
 
@@ -201,7 +206,7 @@ def hot_words(docs: DataFrame, counts) -> dict[int, int]:
 
         own = table.value
         for rows in (batch.iloc[a : a + AT_ONCE] for batch in batches for a in range(0, len(batch), AT_ONCE)):
-            _, _, size, flat = token_arrays(rows["lid"], rows["text"])
+            _, _, size, flat, _ = token_arrays(rows["lid"], rows["text"], least=JOINED)
             if len(size):
                 _, _, word = prefixes(size, *ordered(size, flat, own))
                 word, n = np.unique(word[own[word & (COUNTS - 1)] > HOT], return_counts=True)
@@ -246,7 +251,7 @@ def candidates(docs: DataFrame, counts, hot: dict[int, int], probes=None) -> Dat
         for batch in batches:
             for a in range(0, len(batch), AT_ONCE):
                 rows = batch.iloc[a : a + AT_ONCE]
-                doc, place, size, flat, again_doc, again_place = token_arrays(rows["lid"], rows["text"], seen)
+                doc, place, size, flat, few, again_doc, again_place = token_arrays(rows["lid"], rows["text"], seen)
                 if len(again_doc):
                     yield pd.DataFrame({"b": [int(again_doc[0]) % parts], "kind": [1], "blob": [dumps([again_doc, again_place])]})
                 if not len(size):
@@ -254,6 +259,8 @@ def candidates(docs: DataFrame, counts, hot: dict[int, int], probes=None) -> Dat
                 flat, starts = ordered(size, flat, table)
                 with np.errstate(over="ignore"):
                     k1, k2 = np.add.reduceat(mixed(flat, 1), starts), np.add.reduceat(mixed(flat, 2), starts)
+                # one to three hashes of HASH_BITS are too few bits for a class that nothing verifies
+                k2 = np.where(size < JOINED, few, k2)
                 sketch = np.bitwise_xor.reduceat(np.uint64(1) << (mixed(flat, 3) & np.uint64(63)), starts)
                 held.append((doc, place, size, k1, k2, sketch, prefixes(size, flat, starts)[2]))
                 n += len(size)
@@ -278,6 +285,7 @@ def candidates(docs: DataFrame, counts, hot: dict[int, int], probes=None) -> Dat
             later, own = order[~first], order[first]
             if len(later):
                 out.append((key[0], 1, dumps([doc[later], place[later]])))
+            own = own[size[own] >= JOINED]
             line = np.repeat(own, p[own])
             position = (np.arange(len(line)) - np.repeat(np.cumsum(p[own]) - p[own], p[own])).astype(np.int16)
             word = flat[starts[line] + position]
