@@ -73,8 +73,8 @@ def prefix_length(n):
     return n - (4 * n + 4) // 5 + 1
 
 
-def token_arrays(ids, texts, seen: set | None = None, least: int = 1):
-    """Of all lines of least words or more: their ids, places, numbers of words, words, flat, and a hash of the whole set (0 from JOINED words on); then ids and places of lines that seen holds already."""
+def token_arrays(ids, texts, seen: dict | None = None, least: int = 1):
+    """Of all lines of least words or more: their ids, places, numbers of words, words, flat, and a hash of the whole set (0 from JOINED words on); then ids and places of lines that seen, the first (id, place) of each line so far, holds with an earlier one."""
     import xxhash
 
     doc, place, size, flat, few, again_doc, again_place = [], [], [], [], [], [], []
@@ -82,7 +82,7 @@ def token_arrays(ids, texts, seen: set | None = None, least: int = 1):
         if t:
             words: list[str] = []
             for i, line in enumerate(t.lower().split("\n")):
-                if seen is not None and line in seen:
+                if seen is not None and line in seen and seen[line] < (d, i):
                     again_doc.append(d)
                     again_place.append(i)
                     continue
@@ -93,8 +93,9 @@ def token_arrays(ids, texts, seen: set | None = None, least: int = 1):
                     size.append(len(own))
                     words.extend(own)
                     few.append(xxhash.xxh3_64_intdigest(" ".join(sorted(own))) if len(own) < JOINED else 0)
-                    if seen is not None and len(seen) < SEEN_LINES:
-                        seen.add(line)
+                    # rows come in any order; where an earlier one comes later, the class step removes the one sent before
+                    if seen is not None and (line in seen or len(seen) < SEEN_LINES):
+                        seen[line] = (d, i)
             flat.append(word_hashes(words))
     own = np.asarray(doc, np.int64), np.asarray(place, np.int32), np.asarray(size, np.int32), np.concatenate([*flat, np.zeros(0, np.int64)]), np.asarray(few, np.uint64)
     return own if seen is None else (*own, np.asarray(again_doc, np.int64), np.asarray(again_place, np.int32))
@@ -227,7 +228,7 @@ def candidates(docs: DataFrame, counts, hot: dict[int, int], probes=None) -> Dat
     def lines(batches):
         import pandas as pd
 
-        table, seen = counts.value, set()
+        table, seen = counts.value, {}
 
         def sent(held):
             doc, place, size, k1, k2, sketch, flat = (np.concatenate(x) for x in zip(*held, strict=True))

@@ -36,3 +36,11 @@ def test_line_dedup_takes_short_lines(spark):
     assert [r.text for r in done] == want
     assert want == ["a b c d e\nAll rights  reserved.\nx\n\n", "y z\n", "p q r s\nx y z\n ", "y z x w\np q r"]
     assert [r.ln_removed for r in done] == [0, 3, 3, 2]
+
+
+def test_line_dedup_keeps_the_earliest_of_rows_in_any_order(spark):
+    line = "one two three four five six"
+    docs = [(100, f"{line}\nshort"), (5, f"x y\n{line}\n{line}"), (50, f"short\n{line}"), (7, f"{line} seven")]
+    # one partition, so that a task reads document 100 before document 5
+    done = line_dedup.dedup(spark.createDataFrame(docs, DOCS).coalesce(1)).orderBy("doc_id").collect()
+    assert [r.text for r in done] == all_kept_lines(sorted(docs)) == [f"x y\n{line}", "", "short", ""]
