@@ -4,7 +4,8 @@ Documents longer than a sequence are cut; every piece then goes to a bin. Bins
 are first filled best fit, longest first, then swap-based local search moves
 documents between underfull bins (a move, one for one, two for one), each step
 raising the sum of squared fills, until no step helps or no bin can go: at
-ceil(tokens / length) bins nothing is left to gain.
+ceil(tokens / length) bins nothing is left to gain. All underfull bins are in
+reach of a step, by an index on the sizes they hold.
 
 Pieces are dealt by hash to groups of about GROUP_PIECES, packed each on its
 own, so a group fits a task at any input size and costs at most a fraction of a
@@ -26,8 +27,6 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import importable, written
 
 LENGTH, END_ID, GROUP_PIECES = 1024, 2, 40_000
-#: tries of the local search per donor bin, so that one group's time is bounded; a packing stays whole without them
-DONOR_TRIES = 400
 
 
 def fill(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -80,28 +79,81 @@ def _exchange(big: list[int], small: list[int], gap: int, size) -> tuple[list[in
     return best
 
 
+class _Underfull:
+    """The underfull bins by the sizes of their pieces, so that a donor's fullest target is found among all of them without trying each."""
+
+    def __init__(self, capacity: int) -> None:
+        self.capacity = capacity
+        self.holding: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # (gap, bin) ascending, by a size held; 0: any bin
+        self.widest = np.zeros(capacity + 1, "i8")  # the widest gap of each list
+
+    def add(self, b: int, sizes: list[int]) -> None:
+        gap = self.capacity - sum(sizes)
+        if sizes and gap:
+            for n in {0, *sizes}:
+                bisect.insort(self.holding[n], (gap, b))
+                self.widest[n] = self.holding[n][-1][0]
+
+    def drop(self, b: int, sizes: list[int]) -> None:
+        gap = self.capacity - sum(sizes)
+        if sizes and gap:
+            for n in {0, *sizes}:
+                own = self.holding[n]
+                own.pop(bisect.bisect_left(own, (gap, b)))
+                self.widest[n] = own[-1][0] if own else 0
+
+    def target(self, sizes: list[int]) -> int | None:
+        """The fullest bin, at least as full as a donor of these sizes, that can take one or two of them for one of its own or none and be fuller."""
+        one = np.asarray(sizes, "i8")
+        a, b = np.triu_indices(len(one), 1)
+        into = np.unique(np.concatenate([one, one[a] + one[b]]))
+        room = self.capacity - sum(sizes)
+        out = np.arange(self.capacity + 1)
+        at = np.searchsorted(into, out, side="right")
+        # the gap that a bin needs to swap a piece of each size for the next larger of the donor's
+        need = np.append(into, 2 * self.capacity + 1)[at] - out
+        best = (room + 1, 0)
+        for n in np.flatnonzero(need <= np.minimum(self.widest, room)).tolist():
+            own = self.holding[n]
+            gap = own[bisect.bisect_left(own, (int(need[n]), -1))][0]
+            if gap <= best[0]:
+                best = min(best, (gap, -own[bisect.bisect_left(own, (gap + 1, -1)) - 1][1]))  # of equal bins the last
+        return -best[1] if best[0] <= room else None
+
+
 def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Swap-based local search between underfull bins; every step moves fill from an emptier to a fuller bin."""
     size = lengths.__getitem__
     least = -(-sum(lengths) // capacity)
     fills = [sum(map(size, b)) for b in bins]
     count = len(bins)
+    if count <= least:
+        return bins
+    index = _Underfull(capacity)
+    sizes_of = lambda b: [lengths[i] for i in bins[b]]
+    for b in range(len(bins)):
+        index.add(b, sizes_of(b))
     while count > least:
         under = sorted((b for b in range(len(bins)) if 0 < fills[b] < capacity), key=lambda b: (fills[b], b))
         changed = False
-        for donor in under[: max(1, 4 * (count - least))]:
-            for target in [b for b in reversed(under) if b != donor][:DONOR_TRIES]:
-                gap = capacity - fills[target]
-                if not gap or not bins[donor] or fills[target] < fills[donor]:
-                    continue
-                if found := _exchange(bins[target], bins[donor], gap, size):
-                    out, into = found
-                    gained = sum(map(size, into)) - sum(map(size, out))
-                    bins[target] = [i for i in bins[target] if i not in out] + into
-                    bins[donor] = [i for i in bins[donor] if i not in into] + out
-                    fills[target] += gained
-                    fills[donor] -= gained
-                    changed = True
+        first = max(1, 4 * (count - least))
+        for nth, donor in enumerate(under):
+            if nth == first and changed:  # the fuller bins give only where none of the emptiest can
+                break
+            if not 0 < fills[donor] < capacity:
+                continue
+            index.drop(donor, sizes_of(donor))
+            while bins[donor] and (target := index.target(sizes_of(donor))) is not None:
+                index.drop(target, sizes_of(target))
+                out, into = _exchange(bins[target], bins[donor], capacity - fills[target], size)
+                gained = sum(map(size, into)) - sum(map(size, out))
+                bins[target] = [i for i in bins[target] if i not in out] + into
+                bins[donor] = [i for i in bins[donor] if i not in into] + out
+                fills[target] += gained
+                fills[donor] -= gained
+                changed = True
+                index.add(target, sizes_of(target))
+            index.add(donor, sizes_of(donor))
             if not bins[donor]:
                 count -= 1
                 if count == least:

@@ -1,6 +1,8 @@
 """Cases in which an operator once did less than its whole job."""
 
-from corpusloom.llm import line_dedup
+import random
+
+from corpusloom.llm import line_dedup, packing
 
 DOCS = "doc_id long, text string"
 
@@ -44,3 +46,23 @@ def test_line_dedup_keeps_the_earliest_of_rows_in_any_order(spark):
     # one partition, so that a task reads document 100 before document 5
     done = line_dedup.dedup(spark.createDataFrame(docs, DOCS).coalesce(1)).orderBy("doc_id").collect()
     assert [r.text for r in done] == all_kept_lines(sorted(docs)) == [f"x y\n{line}", "", "short", ""]
+
+
+# ---- op6
+
+
+def test_packing_reaches_bins_beyond_a_group_of_copies():
+    rng = random.Random(1)
+    # three copies leave a gap of 1 that nothing fits, in more bins than a donor once tried
+    lengths = [341] * 1500 + [n for n in (rng.randint(260, 600) for _ in range(1500)) if n != 342]
+    bins = packing.packed(lengths)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    fills = [sum(lengths[i] for i in b) for b in bins]
+    assert max(fills) <= packing.LENGTH and len(bins) < len(packing.fill(lengths, packing.LENGTH)) - 10
+    assert len(bins) > -(-sum(lengths) // packing.LENGTH)  # so it ended because no step helps
+    under = [b for b, n in enumerate(fills) if n < packing.LENGTH]
+    kinds = {tuple(sorted(lengths[i] for i in bins[b])): b for b in under}.values()
+    for a in kinds:
+        for b in kinds:
+            if fills[b] >= fills[a] and a != b:
+                assert packing._exchange(bins[b], bins[a], packing.LENGTH - fills[b], lengths.__getitem__) is None
