@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bitmap_of, importable, numbered, shuffle_parts, table_of, table_rows, written
+from corpusloom.llm.common import WORD, bitmap_of, importable, numbered, shuffle_parts, table_of, table_rows, written
 from corpusloom.llm.graph import components
 from corpusloom.llm.line_dedup import BITMAP, dumps, loads, mixed
 
@@ -378,4 +378,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     known = grouped(own.select("lid", text), unique, text)
     gone = known.join(known.groupBy("label").agg(F.min("lid").alias("first")), "label").where("lid <> first").select("lid")
     kept = own.join(gone, "lid", "left_anti")
-    return (kept if unique else kept.dropDuplicates(["lid"])).select(*docs.columns)
+    if not unique:
+        # equal rows share a lid, but those without words are in no component and stay, each by a number of its own
+        alone = F.when(F.col(text).rlike(WORD), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+        kept = kept.withColumn("ng_alone", alone).dropDuplicates(["lid", "ng_alone"])
+    return kept.select(*docs.columns)

@@ -2,7 +2,7 @@
 
 import random
 
-from corpusloom.llm import line_dedup, packing
+from corpusloom.llm import line_dedup, ngram_join, packing
 
 DOCS = "doc_id long, text string"
 
@@ -66,3 +66,16 @@ def test_packing_reaches_bins_beyond_a_group_of_copies():
         for b in kinds:
             if fills[b] >= fills[a] and a != b:
                 assert packing._exchange(bins[b], bins[a], packing.LENGTH - fills[b], lengths.__getitem__) is None
+
+
+# ---- the n-gram join of the pipeline
+
+
+def test_one_of_each_keeps_every_row_without_words(spark):
+    blank = [(1, None, "a"), (1, None, "b"), (None, "", "a"), (None, "", "b"), (2, " \t\n", "a"), (2, " \t\n", "a")]
+    rows = [*blank, (3, "one two", "a"), (3, "one two", "b"), (None, "ONE two", "a"), (4, "three", "a")]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert kept.columns == ["doc_id", "text", "source"]
+    got = [tuple(r) for r in kept.collect()]
+    assert sorted(map(str, (r for r in got if not (r[1] or "").split()))) == sorted(map(str, blank))
+    assert sorted(r[:2] for r in got if (r[1] or "").split()) == [(3, "one two"), (4, "three")]
