@@ -13,8 +13,9 @@ column of a Parquet table in the shared folder, so that any file system that
 Spark writes can hold them; the dictionary lies beside them in a table of its
 own, and a reader refuses files whose dictionary hash differs.
 
-The dictionary is trained on at most SAMPLE_DOCS documents, the first that Spark
-reads, and at most SAMPLE_CHARS of each; it changes sizes, never contents.
+The dictionary is trained on about SAMPLE_DOCS documents, chosen by hash among
+all, and of each the SAMPLE_CHARS from a hashed offset on, or the whole text if
+it is no longer; it changes sizes, never contents.
 
 Defined results: null text counts as empty; a null doc_id stands last; rows of
 one doc_id follow each other in order of a hash of their frame; an empty table gives no
@@ -92,8 +93,12 @@ def trained_on(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[bytes, int
 
     tool = encoder(tokenizer, "word")
     width = 2 if tool.tokenizer.get_vocab_size(with_added_tokens=True) <= 65_536 and end_id < 65_536 else 4
-    some = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("t")).limit(SAMPLE_DOCS)
-    texts = [r["t"] for r in some.collect()]
+    every = max(1, docs.count() // SAMPLE_DOCS)
+    # equal rows have one hash and count once, so the sample is small however often a row stands there
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).distinct()
+    start = F.pmod(F.xxhash64("text", F.lit("start")), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1)))
+    some = chosen.select(F.substring("text", start.cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("t"))
+    texts = sorted(r["t"] or "" for r in some.collect())
     return train([serialize(x, width) for x in tool.encode(texts) if x]), width
 
 

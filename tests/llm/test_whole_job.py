@@ -2,7 +2,8 @@
 
 import random
 
-from corpusloom.llm import line_dedup, ngram_join, packing
+from corpusloom.llm import line_dedup, ngram_join, packing, token_files
+from corpusloom.llm.tokens import vocabulary
 
 DOCS = "doc_id long, text string"
 
@@ -79,3 +80,21 @@ def test_one_of_each_keeps_every_row_without_words(spark):
     got = [tuple(r) for r in kept.collect()]
     assert sorted(map(str, (r for r in got if not (r[1] or "").split()))) == sorted(map(str, blank))
     assert sorted(r[:2] for r in got if (r[1] or "").split()) == [(3, "one two"), (4, "three")]
+
+
+# ---- op7
+
+
+def test_dictionary_is_trained_on_all_parts_of_the_table_and_of_texts(spark, monkeypatch):
+    samples = []
+    train = token_files.train
+    monkeypatch.setattr(token_files, "train", lambda own: train(samples.extend(own) or own))
+    rng = random.Random(2)
+    path = vocabulary("word_bpe_49k.json")
+    empty_first = [(i, "") for i in range(1200)] + [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(50))) for i in range(1200, 2600)]
+    token_files.trained_on(spark.createDataFrame(empty_first, DOCS).coalesce(1), path, 2)
+    assert 400 < len(samples) < 900  # one of two, and those without words leave nothing
+    samples.clear()
+    long_texts = [(i, "alpha " * 1000 + "omega " * 9000) for i in range(40)]
+    token_files.trained_on(spark.createDataFrame([(i, f"{t}{i}") for i, t in long_texts], DOCS), path, 2)
+    assert len(samples) == 40 and len({own[:200] for own in samples}) > 1  # not all of them the beginning
