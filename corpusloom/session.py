@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local session without one gets a folder of its own (tests), a cluster must name one."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    held = sc._jsc.sc().getCheckpointDir()
+    if not root and held.isDefined():
+        return held.get()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="corpusloom-")
+    if not held.isDefined():
+        sc.setCheckpointDir(root)
+    return root
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers find this package where it lies on the same path.
 
