@@ -34,8 +34,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import importable, shuffle_parts, written
-from corpusloom.llm.line_dedup import mixed
+from corpusloom.llm.common import importable, pack, shuffle_parts, unpack, written
+from corpusloom.llm.hashing import mixed
 
 K, BLOCK_TOKENS, SPREAD = 5, 1_500_000, 2_000_000
 END, START = b" end", b" start"  # no words: words hold no blank
@@ -57,35 +57,6 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays byte plane by byte plane, compressed: small numbers take few bytes."""
-    import struct
-
-    import zstandard
-
-    out = []
-    for a in arrays:
-        a = np.ascontiguousarray(a)
-        out.append(struct.pack("<4sQ", a.dtype.str.encode(), a.size) + a.reshape(-1).view(np.uint8).reshape(a.size, a.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
-
-
-def unpack(blob: bytes, n: int) -> list[np.ndarray]:
-    import struct
-
-    import zstandard
-
-    data, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
-    for _ in range(n):
-        kind, size = struct.unpack_from("<4sQ", data, at)
-        kind = np.dtype(kind.rstrip(b"\0").decode())
-        at += 12
-        planes = np.frombuffer(data, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
-        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
-        at += size * kind.itemsize
-    return out
-
-
 def deltas(ascending: np.ndarray) -> np.ndarray:
     return np.diff(ascending, prepend=ascending.dtype.type(0))
 
@@ -389,8 +360,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per document."""
     spark = docs.sparkSession
     importable(spark)
-    parts = max(4, 3 * shuffle_parts(spark) // 2)
     own = written(blocks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), "blocks")
+    parts = max(4, 3 * shuffle_parts(spark) // 2, own.count())  # about a block's tokens each, however many there are
     totals = own.mapInPandas(asked(parts), FLOW).groupBy("key").applyInPandas(word_totals(word_hash(START), parts), FLOW)
     pairs = totals.union(own).groupBy("key").applyInPandas(block_pairs(parts), FLOW)
     counts = written(pairs.groupBy("key").applyInPandas(pair_totals(parts), FLOW), "counts")

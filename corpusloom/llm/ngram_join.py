@@ -1,80 +1,60 @@
-"""N-gram Jaccard join by prefix filter and prefix tree.
+"""N-gram Jaccard join by prefix trees.
 
-A document is the set of its distinct four-word shingles. Sets are stored in one
-global order of shingles, rare ones first (counts by hash bucket, over all
-documents). Two documents link when 100 * both >= 85 * either.
+A document is the set of its distinct four-word shingles. Two documents link
+when 100 * both >= 85 * either. Sets are kept in one global order of shingles by
+their counts over all documents (in hash buckets).
 
 1. Documents of equal sets are one class, found first within a task.
-2. Linked sets share one of their n - ceil(0.85 n) + 1 first shingles, so each
-   class sends these to the tasks of the shingles; what no other class holds is
-   dropped there.
-3. In PIVOT_ROUNDS rounds each class is compared with the most shared pivot, one
-   class per shingle and length band, drawn anew in each round. Large groups of
-   near copies melt to few components at a row a member.
-4. All pairs of classes that share a prefix shingle and are not in one component
-   yet meet, with their lengths and parity sketches, whose differing bits bound
-   the symmetric difference from below; what both bounds leave is verified.
-   Pairs within a component need no look: they add no component. A shingle with
-   more than HOT classes is cut in chunks, each pair of chunks a group of its own.
-
-Verification builds a prefix tree of a document's partners: their sets, sorted,
-share paths from the most frequent shingle down. It is walked in preorder, a
-path's overlap is counted once for all sets below it, and a subtree is left as
-soon as its overlap and remaining length can't reach the bound.
-
-Shingles are known by 63-bit hashes, classes by 128 bits.
+2. Linked sets share one of their n - ceil(0.85 n) + 1 rarest shingles, so each
+   class sends these to the tasks of the shingles, each with its place in the
+   order and a parity sketch of the set. A class stays in a group only if another
+   one there is near in length, can have the overlap by both places, and differs
+   in no more cells than the bound allows. The whole sets of these classes are
+   stored once.
+3. What is left falls into groups that no shared prefix shingle connects. A
+   group's sets are put in a prefix tree, most frequent shingles first, so that
+   near copies share their paths. One preorder traversal carries the overlap with
+   all members along: a shared path is counted once for all sets below it, and a
+   member leaves a subtree when its overlap and the remaining lengths can't reach
+   the bound, or when all that is below belongs to its component already.
+4. A group of more than GROUP_SETS sets or GROUP_SHINGLES shingles goes in rounds
+   of smaller ones, the classes that share one prefix shingle: every class that
+   still has a shingle with members of several components names its largest ones
+   (1, then 4, then 16, ...), and their trees are traversed in full. Components are
+   contracted after each round. It ends when no shingle holds two components, so
+   all pairs that share one are in one component or were compared. A shingle with
+   too many members for a tree is cut in chunks: first each chunk by itself; where
+   several components are left, those outside the largest meet all chunks.
+
+Shingles are known by 56-bit hashes, classes by 128 bits made of them.
 
 Defined results: null, empty and blank texts have the empty set and link with
 nothing; a text of fewer than four words is one shingle; rows of equal id and
 text share a result; an empty table gives an empty result; further columns are
-not read. component_id is the smallest doc_id of the component.
+not read by ``linked`` and pass through ``one_of_each``, whatever their names.
+component_id is the smallest doc_id of the component.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, bitmap_of, importable, numbered, shuffle_parts, table_of, table_rows, written
+from corpusloom.llm.common import WORD, bitmap_of, fresh, importable, numbered, pack, parts_for, ranks_of, table_rows, unpacked, written
 from corpusloom.llm.graph import components
-from corpusloom.llm.line_dedup import BITMAP, dumps, loads, mixed
+from corpusloom.llm.hashing import LOWER, Tally, buffers, hashed_words, mixed, runs
+from corpusloom.llm.parity import Shape, Sketches, partners
 
 N, SHARE = 4, 85
-COUNTS, FLUSH_SHINGLES, PIVOT_ROUNDS = 1 << 20, 2_000_000, 4
-#: bits of a set's parity sketch; entries of one shingle that meet in one group at most
-SKETCH, HOT = 1024, 20_000
-
-
-def words(text: str | None) -> list[bytes]:
-    """A-Z lower-cased, cut at the six ASCII blanks: what bytes do."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-def shingles(text: str | None, n: int = N) -> np.ndarray:
-    """The distinct shingles of a whole text as ascending 63-bit hashes."""
-    own = words(text)
-    if not own:
-        return np.zeros(0, np.int64)
-    import xxhash
-
-    w = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
-    k = min(n, len(w))
-    m = len(w) - k + 1
-    with np.errstate(over="ignore"):
-        h = np.full(m, k, np.uint64)
-        for i in range(k):
-            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + m], i + 1)
-    return np.unique((h >> np.uint64(1)).astype(np.int64))
-
-
-def in_order(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    return own[np.lexsort((own, counts[own & (COUNTS - 1)]))]
-
-
-def sketch_of(own: np.ndarray) -> np.ndarray:
-    """Parity of the set's shingles in each of SKETCH cells, packed in bytes."""
-    return np.packbits((np.bincount((mixed(own, 3) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8))
+#: bits of a shingle; texts in one buffer (what is left of 64 bits); buckets of the counts
+BITS, TEXTS, COUNTS = 56, 256, 1 << 24
+#: sets and shingles of one prefix tree at most; shingles a group of tasks; shingles held by a task before it sends them
+GROUP_SETS, GROUP_SHINGLES, TASK_SHINGLES, FLUSH_SHINGLES = 4_096, 2_000_000, 4_000_000, 2_000_000
+BITMAP = 1 << 25
+#: a cell for every two shingles; neighbours by length that all look at; pairs at once
+SKETCH, NEIGHBOURS, PAIRS_AT_ONCE = Shape(128, 8), 32, 1_000_000
+STEPS = [mixed(np.array([i + 1], np.uint64))[0] | np.uint64(1) for i in range(N)]
 
 
 def prefix_length(n, share: int = SHARE):
@@ -86,258 +66,298 @@ def needed(a, b, share: int = SHARE):
     return (share * (a + b) + 99 + share) // (100 + share)
 
 
-def walk(probe: np.ndarray, sets: list[np.ndarray], share: int = SHARE) -> list[bool]:
-    """Whether each set links with the probe: a preorder walk of the prefix tree of the sets.
-
-    Sets come most frequent first. Neighbours in lexicographic order share the
-    path up to their common prefix, so its overlap is taken over, not counted anew."""
-    known = np.sort(probe)
-    order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
-    out = [False] * len(sets)
-    path, overlap, left_at = np.zeros(0, np.int64), np.zeros(1, np.int64), -1  # overlap[d]: of the first d on the path
-    for i in order:
-        own = sets[i]
-        need = int(needed(len(probe), len(own), share))
-        m = min(len(path), len(own))
-        differ = np.flatnonzero(path[:m] != own[:m])
-        shared = int(differ[0]) if len(differ) else m
-        overlap = overlap[: shared + 1]
-        if left_at >= 0:
-            shared = min(shared, len(overlap) - 1)
-        path = own
-        depth, step = len(overlap) - 1, 64
-        while depth < len(own):
-            if overlap[depth] + min(len(own) - depth, len(probe) - overlap[depth]) < need:
-                break  # nothing below this node can reach the bound
-            part = own[depth : depth + step]
-            at = np.searchsorted(known, part)
-            at[at == len(known)] = 0
-            overlap = np.concatenate([overlap, overlap[depth] + np.cumsum(known[at] == part)])
-            depth += len(part)
-            step *= 2
-        left_at = depth if depth < len(own) else -1
-        out[i] = depth >= len(own) and bool(overlap[depth] >= need)
-        path = path[:depth]
-    return out
-
-
-def counted(docs: DataFrame) -> np.ndarray:
-    """How many sets hold a shingle of each bucket: a table of fixed size."""
+def shingle_sets(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(size of each text's set, the sets one after the other, ascending)."""
+    first, w = hashed_words(LOWER[buf])
+    n = np.diff(np.searchsorted(first, ends), prepend=0)
+    text = np.repeat(np.arange(len(ends)), n)
+    with np.errstate(over="ignore"):
+        m = max(len(w) - N + 1, 0)
+        g = np.zeros(m, np.uint64)
+        for i, step in enumerate(STEPS):
+            g += w[i : i + m] * step
+        whole = text[:m] == text[N - 1 :]
+        g, of = mixed(g[whole]), text[:m][whole]
+        few = np.flatnonzero((n > 0) & (n < N))
+        if len(few):
+            starts = np.cumsum(n) - n
+            short = [sum((w[starts[t] + i] * STEPS[i] for i in range(n[t])), np.uint64(n[t])) for t in few]
+            g, of = np.concatenate([g, mixed(np.asarray(short, np.uint64), 17)]), np.concatenate([of, few])
+    key = np.sort((of.astype(np.uint64) << np.uint64(BITS)) | (g >> np.uint64(64 - BITS)))
+    key = key[np.diff(key, prepend=~key[:1]) != 0]
+    return np.bincount((key >> np.uint64(BITS)).astype(np.int64), minlength=len(ends)), key & np.uint64((1 << BITS) - 1)
+
+
+def rarity(flat: np.ndarray, order: np.ndarray) -> np.ndarray:
+    return order[(flat & np.uint64(COUNTS - 1)).astype(np.int64)]
+
+
+def rarest_first(size: np.ndarray, flat: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The sets in the global order."""
+    text, rare = np.repeat(np.arange(len(size), dtype=np.uint64), size), rarity(flat, order).astype(np.uint64)
+    key = (text << np.uint64(BITS)) | (rare << np.uint64(BITS - 8)) | (flat >> np.uint64(8))
+    by = np.argsort(key)
+    if (key[by][1:] == key[by][:-1]).any():
+        by = np.lexsort((flat, key))
+    return flat[by]
+
+
+def parsed(batches, at_most: int = TEXTS):
+    """(ids, sizes, sets) of the texts of Arrow batches."""
+    for ids, buf, ends in buffers(batches, bytes, at_most):
+        yield np.asarray(ids, np.int64), *shingle_sets(buf, ends)
+
+
+class Tree:
+    """A prefix tree of sequences of small numbers: nodes in preorder, each with the leaves below it and the run of numbers on its edge.
+
+    Leaves are the sequences in lexicographic order; order gives their positions in the input."""
+
+    def __init__(self, sequences: list[np.ndarray]) -> None:
+        coded = [s.astype(">u4").tobytes() for s in sequences]
+        self.order = sorted(range(len(sequences)), key=coded.__getitem__)
+        self.leaves = [sequences[i] for i in self.order]
+        self.length = np.array([len(s) for s in self.leaves])
+        # nodes: (first leaf, leaf after the last, depth above the edge, depth below it)
+        nodes, open_ = [], []
+        for i, own in enumerate(self.leaves):
+            shared = 0
+            if i:
+                before = self.leaves[i - 1]
+                m = min(len(own), len(before))
+                differ = np.flatnonzero(own[:m] != before[:m])
+                shared = int(differ[0]) if len(differ) else m
+            last = None
+            while open_ and nodes[open_[-1]][3] > shared:
+                last = open_.pop()
+                nodes[last][1] = i
+            if last is not None and nodes[last][2] < shared:
+                # an edge is cut where this leaf leaves it
+                a, _, above, below = nodes[last]
+                nodes[last][2] = shared
+                nodes.append([a, None, above, shared])
+                open_.append(len(nodes) - 1)
+            nodes.append([i, None, shared, len(own)])
+            open_.append(len(nodes) - 1)
+        for k in open_:
+            nodes[k][1] = len(self.leaves)
+        self.nodes = sorted((a, -b, above, below) for a, b, above, below in nodes)
+        self.steps = sum(below - above for _, _, above, below in self.nodes)
+
+    def walk(self, labels: np.ndarray, share: int = SHARE) -> list[tuple[int, int]]:
+        """Links (leaf, leaf) between sequences of different labels that join all linked ones; labels are brought up to date."""
+        n, length, links = len(self.leaves), self.length, []
+        flat = np.concatenate(self.leaves) if n else np.zeros(0, np.int64)
+        # the members that hold each number
+        holder = np.repeat(np.arange(n), length)
+        by = np.argsort(flat, kind="stable")
+        holder, starts = holder[by], np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=1))])
+        path: list[tuple[int, np.ndarray, np.ndarray]] = [(0, np.zeros(n, np.int64), np.ones(n, bool))]
+        skip_until = 0
+        for a, b, above, below in self.nodes:
+            b = -b
+            if a < skip_until:
+                continue
+            while path[-1][0] > above:
+                path.pop()
+            _, overlap, active = path[-1]
+            own = labels[a:b]
+            if (own == own[0]).all():
+                active = active & (labels != own[0])
+                if not active.any():
+                    skip_until = b
+                    continue
+            run = self.leaves[a][above:below]
+            if len(run):
+                held = runs(holder, starts[run], starts[run + 1] - starts[run])
+                overlap = overlap + np.bincount(held, minlength=n)
+            longest, shortest = int(length[a:b].max()), int(length[a:b].min())
+            room = np.minimum(longest - below, length - overlap)
+            active = active & (overlap + room >= needed(length, shortest, share))
+            if not active.any():
+                skip_until = b
+                continue
+            if below == shortest:
+                # sequences that end here
+                for j in range(a, b):
+                    if length[j] != below:
+                        break
+                    linked = np.flatnonzero(active & (labels != labels[j]) & (overlap >= needed(length, below, share)))
+                    for old in np.unique(labels[linked]):
+                        links.append((int(linked[labels[linked] == old][0]), j))
+                        labels[labels == old] = labels[j]
+                        linked = linked[labels[linked] != labels[j]]
+            path.append((below, overlap, active))
+        return links
+
+
+def tree_links(cid: np.ndarray, label: np.ndarray, sets: list[np.ndarray], order: np.ndarray) -> list[tuple[int, int]]:
+    """Links (cid, cid) that join what is linked within one group."""
+    flat = np.concatenate(sets)
+    known, number = np.unique(flat, return_inverse=True)
+    place = np.empty(len(known), np.int64)
+    place[np.lexsort((known, 255 - rarity(known, order).astype(np.int64)))] = np.arange(len(known))
+    size = np.array([len(s) for s in sets])
+    key = np.sort((np.repeat(np.arange(len(sets)), size) << 32) | place[number]) & 0xFFFFFFFF
+    tree = Tree(np.split(key, np.cumsum(size)[:-1]))
+    _, labels = np.unique(label, return_inverse=True)
+    return [(int(cid[tree.order[i]]), int(cid[tree.order[j]])) for i, j in tree.walk(labels[tree.order])]
+
+
+def met(word: np.ndarray, size: np.ndarray, position: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Which entries, in order of (word, size), have another of their word that no bound excludes."""
+    known, has, size = Sketches(SKETCH, size, sketch), np.zeros(len(word), bool), size.astype(np.int64)
+
+    def look(i, j):
+        a, b = size[i], size[j]
+        need = needed(a, b)
+        room = np.minimum(position[i], position[j]) + 1 + np.minimum(a - 1 - position[i], b - 1 - position[j])
+        fits = (room >= need) & (100 * a >= SHARE * b)
+        i, j = i[fits], j[fits]
+        at, _ = known.near(i, j, (a + b - 2 * need)[fits])
+        found = np.concatenate([i[at], j[at]])
+        has[found] = True
+        return found
+
+    partners(word, size, lambda n: ((SHARE * n + 99) // 100, 100 * n // SHARE), look, NEIGHBOURS, PAIRS_AT_ONCE)
+    return has
+
+
+def counted(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """A rank of rarity by how many sets hold a shingle of each bucket (8 steps a doubling), from a table of fixed size; and the number of all."""
 
     def count(batches):
-        total = np.zeros(COUNTS, np.int64)
-        for rows in batches:
-            held, n = [], 0
-            for t in rows["text"]:
-                held.append(shingles(t) & (COUNTS - 1))
-                n += len(held[-1])
-                if n > 500_000:
-                    total += np.bincount(np.concatenate(held), minlength=COUNTS)
-                    held, n = [], 0
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=COUNTS)
-        yield table_rows(total)
-
-    out = table_of(docs.mapInPandas(count, "chunk int, blob binary"), COUNTS, "<i8", "add")
-    return np.minimum(out, 2**31 - 1).astype(np.int32)
-
-
-def entries(docs: DataFrame, counts) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lid, cid, n) of every document, (word, cid, n) of every prefix shingle that several classes hold, (cid, sketch) of every class."""
-    parts = max(2, shuffle_parts(docs.sparkSession))
+        total = Tally(COUNTS)
+        for _, _, flat in parsed(batches):
+            total.add((flat & np.uint64(COUNTS - 1)).astype(np.int64))
+        yield table_rows(total.counts())
+
+    return ranks_of(docs.mapInArrow(count, "chunk int, blob binary"), COUNTS)
 
-    def sets(batches):
-        import pandas as pd
 
-        table = counts.value
+def entries(docs: DataFrame, order, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(lid, cid, n) of every document with words, (word, cid, n) of every prefix shingle that the class shares with one that may link."""
+    schema = "b int, kind int, blob binary"
+
+    def sets(batches):
+        import pyarrow as pa
 
         def sent(held):
-            doc = np.asarray([x[0] for x in held], np.int64)
-            size = np.asarray([x[1] for x in held], np.int32)
-            k1, k2 = np.asarray([x[2] for x in held], np.uint64), np.asarray([x[3] for x in held], np.uint64)
+            doc, size, k1, k2, prefix, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
+            p, wide = prefix_length(size), SKETCH.lengths(size)
+            starts, s_starts = np.cumsum(p) - p, np.cumsum(wide) - wide
             bucket = (k1 % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((doc, k2, k1, bucket))
-            first = np.ones(len(order), bool)
-            first[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
+            by = np.lexsort((doc, k2, k1, bucket))
+            first = np.ones(len(by), bool)
+            first[1:] = (k1[by][1:] != k1[by][:-1]) | (k2[by][1:] != k2[by][:-1])
             rows = []
-            for b in np.unique(bucket):
-                inside = bucket[order] == b
-                own = order[inside]
-                # the prefix goes along once per class
-                rows.append((int(b), 0, dumps([doc[own], size[own], k1[own], k2[own], first[inside], np.concatenate([held[i][4] for i in order[inside & first]]), np.stack([held[i][5] for i in own])])))
-            return pd.DataFrame(rows, columns=["b", "kind", "blob"])
+            for x in np.split(np.arange(len(by)), np.flatnonzero(np.diff(bucket[by])) + 1):
+                own = by[x]
+                some = own[first[x]]  # prefix and sketch go along once per class
+                rows.append((int(bucket[own[0]]), pack(doc[own], size[own], k1[own], k2[own], first[x].astype(np.uint8), runs(prefix, starts[some], p[some]), runs(sketch, s_starts[some], wide[some]))))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["b", "kind", "blob"])
 
         held, n = [], 0
-        for rows in batches:
-            for d, t in zip(rows["lid"], rows["text"], strict=True):
-                own = shingles(t)
-                if len(own):
-                    with np.errstate(over="ignore"):
-                        k1, k2 = mixed(own, 1).sum(dtype=np.uint64), mixed(own, 2).sum(dtype=np.uint64)
-                    # a copy, so that the whole set can go
-                    held.append((d, len(own), k1, k2, in_order(own, table)[: prefix_length(len(own))].copy(), sketch_of(own)))
-                    n += len(held[-1][4]) + 8
-                    if n > FLUSH_SHINGLES:
-                        yield sent(held)
-                        held, n = [], 0
+        for ids, size, flat in parsed(batches):
+            has = size > 0
+            if not has.any():
+                continue
+            ids, size = ids[has], size[has]
+            starts = np.cumsum(size) - size
+            with np.errstate(over="ignore"):
+                k1, k2 = np.add.reduceat(mixed(flat, 1), starts), np.add.reduceat(mixed(flat, 2), starts)
+            held.append((ids, size, k1, k2, runs(rarest_first(size, flat, order.value), starts, prefix_length(size)), SKETCH.made(size, flat)))
+            n += len(held[-1][4]) + 8 * len(ids)
+            if n > FLUSH_SHINGLES:
+                yield sent(held)
+                held, n = [], 0
         if held:
             yield sent(held)
 
     def classes(key, rows):
         import pandas as pd
 
-        doc, size, k1, k2, has, flat, sketch = loads(rows["blob"], 7)
-        p = np.where(has, prefix_length(size.astype(np.int64)), 0)
-        starts = np.cumsum(p) - p
-        order = np.lexsort((doc, k2, k1))
-        first = np.ones(len(order), bool)
-        first[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
-        cid = doc[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-        out = [(key[0], 1, dumps([doc[order], cid, size[order], sketch[order]]))]
+        doc, size, k1, k2, has, prefix, sketch = unpacked(rows["blob"], 7)
+        p, wide = np.where(has > 0, prefix_length(size), 0), np.where(has > 0, SKETCH.lengths(size), 0)
+        starts, s_starts = np.cumsum(p) - p, np.cumsum(wide) - wide
+        by = np.lexsort((doc, k2, k1))
+        first = np.ones(len(by), bool)
+        first[1:] = (k1[by][1:] != k1[by][:-1]) | (k2[by][1:] != k2[by][:-1])
+        cid = doc[by][np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
+        out = [(key[0], 1, pack(doc[by], cid, size[by]))]
         # some member of each class has the prefix with it: the first of each task does
-        group = np.cumsum(first) - 1
-        holder = np.full(group[-1] + 1, -1)
-        at = np.flatnonzero(has[order])[::-1]
-        holder[group[at]] = order[at]
-        classes_cid, length = cid[first], p[holder]
-        line = np.repeat(np.arange(len(holder)), length)
-        position = np.arange(len(line)) - np.repeat(np.cumsum(length) - length, length)
-        word = flat[starts[holder][line] + position]
-        bucket = (mixed(word, 9) % np.uint64(parts)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[by])) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(by)], strict=True):
-            if b > a:
-                x = line[by[a:b]]
-                out.append((int(bucket[by[a]]), 0, dumps([word[by[a:b]], classes_cid[x], size[holder[x]].astype(np.int32)])))
+        group, at = np.cumsum(first) - 1, np.flatnonzero(has[by])[::-1]
+        holder = np.empty(group[-1] + 1, np.int64)
+        holder[group[at]] = by[at]
+        word, line = runs(prefix, starts[holder], p[holder]).view(np.int64), np.repeat(np.arange(len(holder)), p[holder])
+        position = (np.arange(len(line)) - np.repeat(np.cumsum(p[holder]) - p[holder], p[holder])).astype(np.int32)
+        bucket = (mixed(word.view(np.uint64), 9) % np.uint64(parts)).astype(np.int64)
+        by = np.lexsort((word, bucket))
+        for x in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
+            own = holder[line[x]]
+            out.append((int(bucket[x[0]]), 0, pack(word[x], cid[first][line[x]], size[own], position[x], runs(sketch, s_starts[own], wide[own]))))
         return pd.DataFrame(out, columns=["b", "kind", "blob"])
 
     def shared(key, rows):
         import pandas as pd
 
-        frames = []
+        frames = [pd.DataFrame({"kind": [], "x": [], "cid": [], "n": []}).astype("i8")]
         for kind in (0, 1):
-            arrays = loads(rows["blob"][rows["kind"] == kind], 3 + kind)
-            if not arrays:
-                continue
-            x, y, n, *rest = arrays
-            sketch = pd.Series([s.tobytes() if a == b else None for s, a, b in zip(rest[0], x, y, strict=True)] if kind else [None] * 0, dtype=object)
-            if kind == 0:
-                _, inverse, number = np.unique(x, return_inverse=True, return_counts=True)
-                keep = number[inverse] > 1
-                x, y, n = x[keep], y[keep], n[keep]
-                sketch = pd.Series([None] * len(x), dtype=object)
-            frames.append(pd.DataFrame({"kind": np.full(len(x), kind), "x": x, "cid": y, "n": n, "sketch": sketch}))
-        return pd.concat(frames) if frames else pd.DataFrame({"kind": [], "x": [], "cid": [], "n": [], "sketch": []})
-
-    flow = "b int, kind int, blob binary"
-    found = docs.mapInPandas(sets, flow).groupBy("b").applyInPandas(classes, flow).groupBy("b").applyInPandas(shared, "kind int, x long, cid long, n int, sketch binary")
+            own = rows["blob"][rows["kind"] == kind]
+            if len(own):
+                x, cid, n, *rest = unpacked(own, 3 if kind else 5)
+                if kind == 0:
+                    _, inverse, number = np.unique(x, return_inverse=True, return_counts=True)
+                    wide = SKETCH.lengths(n)
+                    starts = np.cumsum(wide) - wide
+                    by = np.lexsort((n, x))
+                    by = by[number[inverse[by]] > 1]
+                    by = by[met(x[by], n[by], rest[0][by].astype(np.int64), runs(rest[1], starts[by], wide[by]))]
+                    x, cid, n = x[by], cid[by], n[by]
+                frames.append(pd.DataFrame({"kind": np.full(len(x), kind), "x": x, "cid": cid, "n": n}))
+        return pd.concat(frames)
+
+    found = docs.mapInArrow(sets, schema).groupBy("b").applyInPandas(classes, schema).groupBy("b").applyInPandas(shared, "kind int, x long, cid long, n long")
     found = written(found, "shingles")
-    members, sketches = found.where("kind = 1").select(F.col("x").alias("lid"), "cid", "n"), found.where("kind = 1 and x = cid").select("cid", "sketch")
-    return members, found.where("kind = 0").select(F.col("x").alias("word"), "cid", "n"), sketches
+    return found.where("kind = 1").select(F.col("x").alias("lid"), "cid", "n"), found.where("kind = 0").select(F.col("x").alias("word"), "cid", "n")
 
 
-def links(docs: DataFrame, counts, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, verified on whole sets; a's partners share its prefix tree."""
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).select(F.pmod("c", F.lit(BITMAP)).alias("s"))
-    bitmap = bitmap_of(wanted, BITMAP)  # of fixed size: a task sends only sets that some pair may want
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def stored(docs: DataFrame, cids: DataFrame) -> DataFrame:
+    """(cid, own): the whole sets of these classes, and of some others, as ascending 64-bit numbers."""
+    bitmap = bitmap_of(cids.select(F.pmod("cid", F.lit(BITMAP)).alias("s")), BITMAP)  # of fixed size: a task sends only sets that some group may want
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def sets(batches):
-        import pandas as pd
-
-        table = counts.value
-        for rows in batches:
-            s = rows["lid"].to_numpy(np.int64) % BITMAP
-            rows = rows[((shared.value[s >> 5] >> (s & 31).astype(np.uint32)) & np.uint32(1)).astype(bool)]
-            for a in range(0, len(rows), 500):
-                part = rows.iloc[a : a + 500]
-                yield pd.DataFrame({"c": part["lid"], "own": [in_order(shingles(t), table)[::-1].tobytes() for t in part["text"]]})
-
-    def compare(batches):
-        import pandas as pd
-
-        for rows in batches:
-            a, b, ok = rows["a"].to_numpy(), rows["b"].to_numpy(), np.zeros(len(rows), bool)
-            cuts = [0, *(np.flatnonzero(np.diff(a)) + 1), len(a)] if len(a) else []
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                probe = np.frombuffer(rows["a_own"].iloc[i], np.int64)
-                ok[i:j] = walk(probe, [np.frombuffer(x, np.int64) for x in rows["b_own"].iloc[i:j]])
-            yield pd.DataFrame({"a": a[ok], "b": b[ok]})
-
-    held = written(docs.mapInPandas(sets, "c long, own binary"), "sets")
-    to = pairs.join(held.select(F.col("c").alias("b"), F.col("own").alias("b_own")), "b")
-    both = to.join(held.select(F.col("c").alias("a"), F.col("own").alias("a_own")), "a").select("a", "b", "a_own", "b_own")
-    return written(both.mapInPandas(compare, "a long, b long"), "links")
-
-
-def _prefix(n):
-    return n - F.floor((SHARE * n + 99) / 100) + 1
-
-
-def _near(n, m):
-    """Sizes that can link."""
-    return (100 * F.least(n, m)) >= (SHARE * F.greatest(n, m))
-
-
-def _bound(n, m):
-    """The least number of shared prefix shingles of linked sets."""
-    return F.ceil(SHARE * (n + m) / (100 + SHARE)) - F.greatest(n - _prefix(n), m - _prefix(m))
-
-
-def pivots(own: DataFrame, number: int) -> DataFrame:
-    """(a, b): each class b with the pivot a of another component that it shares most prefix shingles with."""
-    banded = own.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / SHARE))))
-    place = F.struct(F.xxhash64("cid", F.lit(number)).alias("h"), "cid", "n", "label")
-    chosen = banded.groupBy("word", "band").agg(F.min(place).alias("p")).select("word", "band", F.col("p.cid").alias("a"), F.col("p.n").alias("m"), F.col("p.label").alias("a_label"))
-    both = banded.join(chosen, ["word", "band"]).union(banded.join(chosen.withColumn("band", F.col("band") + 1), ["word", "band"]))
-    shared = both.where((F.col("label") != F.col("a_label")) & _near(F.col("n"), F.col("m"))).groupBy("cid", "a", "n", "m").count()
-    # a guess only: what is left out here is looked at in the last step
-    likely = shared.where(2 * F.col("count") >= _bound(F.col("n"), F.col("m")))
-    return likely.groupBy("cid").agg(F.max(F.struct("count", "a")).alias("best")).select(F.col("best.a").alias("a"), F.col("cid").alias("b"))
-
-
-def meetings(rows) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b) of the rows (group, cid, n, label, sketch) of one group, different labels and no bound against them."""
-    rows = rows.sort_values(["group", "label"], kind="stable")
-    group, label, cid, n = (rows[c].to_numpy() for c in ("group", "label", "cid", "n"))
-    n = n.astype(np.int64)
-    sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
-    # each row meets the rows of its group that have a later label
-    new_group = np.flatnonzero(np.diff(group)) + 1
-    new_label = np.flatnonzero((np.diff(group) != 0) | (np.diff(label) != 0)) + 1
-    end = lambda cuts: np.repeat([*cuts, len(rows)], np.diff([0, *cuts, len(rows)]))
-    last, other = end(new_group), end(new_label)
-    i = np.flatnonzero(other < last)
-    j, found = other[i], []
-    while len(i):
-        fits = 100 * np.minimum(n[i], n[j]) >= SHARE * np.maximum(n[i], n[j])
-        x, y = i[fits], j[fits]
-        apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
-        near = apart <= n[x] + n[y] - 2 * needed(n[x], n[y])
-        found.append(np.stack([cid[x[near]], cid[y[near]]]))
-        j = j + 1
-        inside = j < last[i]
-        i, j = i[inside], j[inside]
-    pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1) if found else np.zeros((2, 0), np.int64)
-    return pairs[0], pairs[1]
-
-
-def remaining(own: DataFrame, sketches: DataFrame) -> DataFrame:
-    """All pairs (a, b) of classes in different components that share a prefix shingle and that no bound excludes."""
-    parts = 4 * max(2, shuffle_parts(own.sparkSession))
-    several = own.groupBy("word").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi").select("word", F.ceil(F.col("k") / HOT).cast("int").alias("chunks"))
-    rows = own.join(several, "word").withColumn("c", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
-    cells = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("group", F.xxhash64("word", F.least("c", "j"), F.greatest("c", "j")))
-    cells = cells.select("group", "cid", "n", "label").join(sketches, "cid").withColumn("bucket", F.pmod(F.col("group"), F.lit(parts)))
-
-    def run(key, rows):
-        import pandas as pd
-
-        a, b = meetings(rows)
-        return pd.DataFrame({"a": a, "b": b})
-
-    return cells.groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
+        import pyarrow as pa
+
+        def some():
+            for batch in batches:
+                s = batch.column(0).to_numpy(zero_copy_only=False) % BITMAP
+                yield batch.filter(pa.array(((wanted.value[s >> 5] >> (s & 31).astype(np.uint32)) & np.uint32(1)).astype(bool)))
+
+        for ids, size, flat in parsed(some()):
+            own = [x.tobytes() for x in np.split(flat, np.cumsum(size)[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(own, pa.binary())], names=["cid", "own"])
+
+    return written(docs.mapInArrow(sets, "cid long, own binary").join(cids, "cid", "left_semi"), "sets")
+
+
+def _cells(live: DataFrame) -> DataFrame:
+    """(cell, cid, label) of the groups to traverse, from (word, cid, n, label, k, shingles, chunked): one cell, or those of a large group's chunks."""
+    chunks = lambda k, shingles: F.greatest(F.ceil(k / GROUP_SETS), F.ceil(shingles / GROUP_SHINGLES), F.lit(1)).cast("long")
+    dealt = lambda n: F.pmod(F.xxhash64("cid", "word"), n)
+    first = live.where("not chunked").withColumn("cell", F.xxhash64("word", dealt(chunks(F.col("k"), F.col("shingles"))))).select("cell", "cid", "label")
+    # a large group after its first round: the largest component in chunks, every other member with each of them and with all others
+    again = live.where("chunked")
+    main = again.groupBy("word", "label").agg(F.count(F.lit(1)).alias("own"), F.sum("n").alias("own_n")).groupBy("word").agg(F.max(F.struct("own", "label", "own_n")).alias("m"))
+    again = again.join(main, "word").withColumn("a", chunks(F.col("m.own"), F.col("m.own_n"))).withColumn("b", chunks(F.col("k") - F.col("m.own"), F.col("shingles") - F.col("m.own_n")))
+    is_main = F.col("label") == F.col("m.label")
+    mine = F.when(is_main, dealt(F.col("a"))).otherwise(dealt(F.col("b")))
+    again = again.withColumn("mine", mine).withColumn("to", F.explode(F.when(is_main, F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("a") + F.col("b") - 1))))
+    between = F.when(is_main, F.xxhash64("word", F.lit("m"), "mine", "to")).when(F.col("to") < F.col("a"), F.xxhash64("word", F.lit("m"), "to", "mine"))
+    rest = F.col("to") - F.col("a")
+    cell = between.otherwise(F.xxhash64("word", F.lit("r"), F.least("mine", rest), F.greatest("mine", rest)))
+    return first.union(again.withColumn("cell", cell).select("cell", "cid", "label"))
 
 
 def grouped(own: DataFrame, unique: bool, text: str) -> DataFrame:
@@ -345,28 +365,57 @@ def grouped(own: DataFrame, unique: bool, text: str) -> DataFrame:
     spark = own.sparkSession
     rows = own.select("lid", F.col(text).alias("text"))
     rows = rows if unique else rows.dropDuplicates(["lid"])
-    counts = spark.sparkContext.broadcast(counted(rows))
-    members, words_of, sketches = entries(rows, counts)
-    edges, labels = None, None
-    labelled = words_of.withColumn("label", F.col("cid"))
-    for number in range(PIVOT_ROUNDS + 1):
-        pairs = written(pivots(labelled, number) if number < PIVOT_ROUNDS else remaining(labelled, sketches), "candidates")
-        if pairs.isEmpty():
-            continue
-        found = links(rows, counts, pairs)
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges).withColumnRenamed("node", "cid")
-        labelled = written(words_of.join(labels, "cid", "left").select("word", "cid", "n", F.coalesce("label", "cid").alias("label")), "labelled")
-    if labels is None:
+    table, total = counted(rows)
+    order, parts = spark.sparkContext.broadcast(table), parts_for(spark, total, TASK_SHINGLES)
+    members, todo = entries(rows, order, parts)
+
+    def links(key, cells):
+        import pandas as pd
+
+        out = []
+        for _, x in cells.groupby("cell", sort=False):
+            out += tree_links(x["cid"].to_numpy(), x["label"].to_numpy(), [np.frombuffer(b, np.uint64) for b in x["own"]], order.value)
+        return pd.DataFrame(out, columns=["a", "b"]).astype("i8")
+
+    def traversed(cells: DataFrame) -> DataFrame:
+        in_tasks = cells.withColumn("bucket", F.pmod("cell", F.lit(4 * parts))).join(sets, "cid")
+        return written(in_tasks.groupBy("bucket").applyInPandas(links, "a long, b long"), "links")
+
+    if todo.isEmpty():
         return members.select("lid", "n", F.col("cid").alias("label"))
+    first = todo.groupBy("word").agg(F.min("cid").alias("a"))
+    groups = components(todo.join(first, "word").select("a", F.col("cid").alias("b"))).select(F.col("node").alias("cid"), F.col("label").alias("group"))
+    sets = stored(rows, groups.select("cid"))
+    sized = todo.groupBy("cid").agg(F.max("n").alias("n")).join(groups, "cid").groupBy("group").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles"))
+    large = (F.col("k") > GROUP_SETS) | (F.col("shingles") > GROUP_SHINGLES)
+    sized = groups.join(sized.select("group", large.alias("large")), "group")
+    edges = traversed(sized.where("not large").select(F.xxhash64("group").alias("cell"), "cid", F.col("cid").alias("label")))
+    todo = written(todo.join(sized.where("large").select("cid"), "cid").withColumn("chunked", F.lit(False)), "groups")
+    labels, most = None, 1
+    while True:
+        live = todo.withColumn("label", F.col("cid")) if labels is None else todo.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        several = live.groupBy("word").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles")).where("lo < hi").select("word", "k", "shingles")
+        live = live.join(several, "word")
+        # each class names its largest groups; four times as many in each round, so the rounds are few however many groups it has
+        nth = Window.partitionBy("cid").orderBy(F.desc("k"), F.xxhash64("word"))
+        named = live.withColumn("named", F.row_number().over(nth) <= most)
+        now = named.where("named").select("word").distinct().withColumn("now", F.lit(True))
+        live = written(named.drop("named").join(now, "word", "left").withColumn("now", F.coalesce("now", F.lit(False))), "groups")
+        if live.isEmpty():
+            break
+        edges = edges.union(traversed(_cells(live.where("now"))))
+        labels = components(edges).withColumnRenamed("node", "cid")
+        todo = live.where(~F.col("now") | (~F.col("chunked") & large)).select("word", "cid", "n", (F.col("chunked") | F.col("now")).alias("chunked"))
+        most *= 4
+    labels = labels if labels is not None else components(edges).withColumnRenamed("node", "cid")
     return members.join(labels, "cid", "left").select("lid", "n", F.coalesce("label", "cid").alias("label"))
 
 
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per row of docs."""
     importable(docs.sparkSession)
-    own, unique = numbered(docs.select(doc_id, text), doc_id, text)
-    known = own.select("lid", F.col(doc_id).alias("doc_id")).join(grouped(own, unique, text), "lid", "left")
+    own, unique = numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
+    known = own.select("lid", "doc_id").join(grouped(own, unique, "text"), "lid", "left")
     smallest = known.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return known.join(smallest, "label", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").cast("long").alias("component_id"))
 
@@ -374,12 +423,13 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The first document of every component, and every document without words; columns as they are."""
     importable(docs.sparkSession)
-    own, unique = numbered(docs, doc_id, text)
-    known = grouped(own.select("lid", text), unique, text)
-    gone = known.join(known.groupBy("label").agg(F.min("lid").alias("first")), "label").where("lid <> first").select("lid")
-    kept = own.join(gone, "lid", "left_anti")
+    lid, alone = fresh(docs, "ng_lid"), fresh(docs, "ng_alone")
+    own, unique = numbered(docs, doc_id, text, lid)
+    known = grouped(own.select(F.col(lid).alias("lid"), F.col(text).alias("text")), unique, "text")
+    gone = known.join(known.groupBy("label").agg(F.min("lid").alias("first")), "label").where("lid <> first").select(F.col("lid").alias(lid))
+    kept = own.join(gone, lid, "left_anti")
     if not unique:
-        # equal rows share a lid, but those without words are in no component and stay, each by a number of its own
-        alone = F.when(F.col(text).rlike(WORD), F.lit(-1)).otherwise(F.monotonically_increasing_id())
-        kept = kept.withColumn("ng_alone", alone).dropDuplicates(["lid", "ng_alone"])
+        # equal rows share a number, but those without words are in no component and stay, each by a number of its own
+        own_number = F.when(F.col(text).rlike(WORD), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+        kept = kept.withColumn(alone, own_number).dropDuplicates([lid, alone])
     return kept.select(*docs.columns)

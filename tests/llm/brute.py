@@ -17,7 +17,7 @@ def kept_lines(docs):
         keep = []
         for line in text.split("\n"):
             own = set(line.lower().split())
-            if len(own) >= 5:
+            if own:
                 gone = any(5 * len(own & s) >= 4 * len(own | s) for s in seen)
                 seen.append(own)
                 if gone:
