@@ -53,7 +53,7 @@ COUNTS, KEY_BITS = 1 << 22, 36
 #: entries of one word that one group may hold; docs of which one is sampled to find such words, and how many get chunks (the others are one group each)
 HOT, SAMPLED, MOST_HOT = 20_000, 16, 10_000
 #: neighbours by length that all lines look at; pairs at once
-NEIGHBOURS, PAIRS_AT_ONCE = 32, 2_000_000
+NEIGHBOURS, PAIRS_AT_ONCE = 32, 500_000
 #: lines and prefix words that a task holds before it sends them; words a group; bits of the tables of wanted lines and words
 FLUSH_LINES, FLUSH_WORDS, GROUP_WORDS, BITMAP = 100_000, 1_500_000, 2_500_000, 1 << 25
 #: about a cell a word

@@ -53,7 +53,7 @@ BITS, TEXTS, COUNTS = 56, 256, 1 << 24
 GROUP_SETS, GROUP_SHINGLES, TASK_SHINGLES, FLUSH_SHINGLES = 4_096, 2_000_000, 4_000_000, 2_000_000
 BITMAP = 1 << 25
 #: a cell for every two shingles; neighbours by length that all look at; pairs at once
-SKETCH, NEIGHBOURS, PAIRS_AT_ONCE = Shape(128, 8), 32, 1_000_000
+SKETCH, NEIGHBOURS, PAIRS_AT_ONCE = Shape(128, 8), 32, 500_000
 STEPS = [mixed(np.array([i + 1], np.uint64))[0] | np.uint64(1) for i in range(N)]
 
 
