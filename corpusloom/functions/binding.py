@@ -11,3 +11,8 @@ from pyspark.sql import functions as F
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once per row, not once per mention: a lambda's body would compute it anew for each element."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def once(value: Column) -> Column:
+    """value for a select, behind a generator: neither projections nor filters above it are merged with its expression, so it's computed once per row."""
+    return F.explode(F.array(value))

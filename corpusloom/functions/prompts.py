@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # fixed values: reasoning templates
 TEMPLATES = {
-    "case_agreement": "Rule 'case_agreement' matched: {nominative} (nominative) agrees with {verb} ({verb_number}). Parse {rejected_index} would leave {issue}.",
+    "case_agreement": "Rule 'case_agreement' matched: {nominative} ({nom_case}) agrees with verb {verb}. {alternative} has {wrong_case} which cannot be the subject.",
     "verb_agreement": "Rule 'verb_agreement' matched: {verb} is {person}-person {number}, requiring {expected_subject}. {parse_issue}.",
     "sandhi_preference": "Rule 'sandhi_preference' matched: {preferred_split} follows standard {sandhi_type} sandhi rules. {alternative_split} would require irregular sandhi.",
     "semantic_coherence": "Rule 'semantic_coherence' matched: {selected_meaning} is contextually appropriate given {context}. {alternative_meaning} is semantically unlikely here.",
@@ -29,6 +29,31 @@ def filled(template: str, **values: Column) -> Column:
     return F.concat(*parts)
 
 
+def case_reasoning(nominative: Column, verb: Column, alternative: Column, wrong_case: Column) -> Column:
+    return filled("case_agreement", nominative=nominative, nom_case=F.lit("nominative"), verb=verb, alternative=alternative, wrong_case=wrong_case)
+
+
+def verb_reasoning(verb: Column, person: Column, number: Column, expected_subject: Column, parse_issue: Column) -> Column:
+    return filled("verb_agreement", verb=verb, person=person, number=number, expected_subject=expected_subject, parse_issue=parse_issue)
+
+
+def sandhi_reasoning(preferred_split: Column, sandhi_type: Column, alternative_split: Column) -> Column:
+    return filled("sandhi_preference", preferred_split=preferred_split, sandhi_type=sandhi_type, alternative_split=alternative_split)
+
+
+def meaning_reasoning(selected_meaning: Column, context: Column, alternative_meaning: Column) -> Column:
+    return filled("semantic_coherence", selected_meaning=selected_meaning, context=context, alternative_meaning=alternative_meaning)
+
+
+def choice_reasoning(n: Column, selected: Column) -> Column:
+    """Why the selected one of n parses was taken: by meaning, against the other one of the first two."""
+    # fixed values: what stands for a meaning where only places are known
+    alone = meaning_reasoning(F.lit("the only available interpretation"), F.lit("single parse available"), F.lit("no alternative"))
+    other = F.when(selected < 2, 1 - selected).otherwise(0)
+    name = lambda i: F.concat(F.lit("Parse "), i.cast("string"))
+    return F.when(n < 2, alone).otherwise(meaning_reasoning(name(selected), F.lit("grammatical analysis"), name(other)))
+
+
 def two_places(x: Column) -> Column:
     return F.format_string("%.2f", x)
 

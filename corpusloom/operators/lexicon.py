@@ -97,3 +97,57 @@ def sutra_search(sutras: DataFrame, query: str, columns=("text", "meaning", "tra
     """sutras (adhyaya, pada, number, text, meaning, transliteration) that hold the query, with their reference a.p.n."""
     found = sutras.where(reduce(lambda a, b: a | b, [holds(F.col(c), query) for c in columns]))
     return found.withColumn("reference", F.concat_ws(".", "adhyaya", "pada", "number"))
+
+
+def sutra_section(sutras: DataFrame, adhyaya: int, pada: int) -> DataFrame:
+    """The rules of one section in order; an empty table where there is none."""
+    return sutras.where((F.col("adhyaya") == adhyaya) & (F.col("pada") == pada)).orderBy("number")
+
+
+def sutra_overview(sutras: DataFrame) -> DataFrame:
+    """One row: chapters, sections and rules that the table holds."""
+    return sutras.agg(F.count_distinct("adhyaya").alias("adhyayas"), F.count_distinct("adhyaya", "pada").alias("padas"), F.count(F.lit(1)).alias("total_sutras"))
+
+
+def category(sections: DataFrame, name: str) -> DataFrame:
+    """(n, entry fields) of one category of a grammar table, in order."""
+    return flattened(sections.where(F.col("category") == name)).drop("category").orderBy("n")
+
+
+def named_overview(rows: DataFrame, column: str) -> DataFrame:
+    """(class, name, n) of all ten classes, and with class null the total of those listed."""
+    from corpusloom.functions.morphology import gana_name
+
+    counts = class_overview(rows, column)
+    total = counts.agg(F.lit(None).cast("int").alias("class"), F.lit("total").alias("name"), F.sum("n").alias("n"))
+    return counts.select("class", gana_name(F.col("class")).alias("name"), "n").unionByName(total)
+
+
+def bounded(limit: int, most: int) -> int:
+    """A request's limit, from 1 to most."""
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit must be from 1 to {most}: {limit}")
+    return limit
+
+
+def routed(uri: Column) -> Column:
+    """struct of kind and argument of a resource's address; kind 'unknown' where there is none, 'invalid' where its number is no number."""
+    rest = F.regexp_extract(uri, "^[a-z]+://(.*)$", 1)
+    gana, section = F.regexp_extract(uri, "^dhatu://gana/(.*)$", 1), F.regexp_extract(uri, "^grammar://sutras/([^/]*/[^/]*)$", 1)
+    kind = (
+        F.when(uri == "dhatu://overview", "root_overview")
+        .when(uri.startswith("dhatu://gana/"), F.when(gana.rlike("^[+-]?[0-9]+$"), "class").otherwise("invalid"))
+        .when(uri.startswith("dhatu://") & uri.contains("/conjugations"), "conjugations")
+        .when(uri.startswith("dhatu://"), "root")
+        .when(uri == "grammar://sutras", "sutra_overview")
+        .when(section != "", F.when(section.rlike("^[0-9]+/[0-9]+$"), "sutra_section").otherwise("invalid"))
+        .when(uri.startswith("grammar://sutras/search"), "sutra_search")
+        .when(uri.rlike("^grammar://(sandhi-rules|pratyayas)$"), "index")
+        .when(uri.rlike("^grammar://(sandhi-rules/(vowel|consonant|visarga)|pratyayas/(krt|taddhita|tin|sup))$"), "category")
+        .otherwise("unknown")
+    )
+    argument = (
+        F.when(kind == "class", gana).when(kind == "conjugations", F.replace(rest, F.lit("/conjugations"), F.lit(""))).when(kind == "sutra_section", section)
+        .when(kind == "sutra_search", F.regexp_extract(uri, "\\?q=(.*)$", 1)).when(kind == "category", F.substring_index(rest, "/", -1)).when(kind.isin("root", "index"), rest)
+    )
+    return F.struct(kind.alias("kind"), argument.alias("argument"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def batch_statistics(rows: DataFrame, words: Column, ok: Column) -> DataFrame:
-    """texts, successes, failures, words, distinct words and mean words: two aggregations, the distinct one on exploded words."""
+    """texts, successes, failures, words and distinct words: two aggregations, the distinct one on exploded words."""
     per_text = rows.select(ok.alias("ok"), words.alias("words"))
     totals = per_text.agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("successful"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.sum(F.size("words")), F.lit(0)).cast("long").alias("words"))
     unique = per_text.select(F.explode("words").alias("w")).agg(F.count_distinct("w").alias("unique_words"))
@@ -41,3 +41,25 @@ def edges(verses: DataFrame, key: Column, words: Column) -> DataFrame:
 def nominative_names(words: DataFrame, case: Column, pos: Column) -> DataFrame:
     """Character names: nominative nouns."""
     return words.where((case == "nominative") & pos.isin("noun", "proper_noun"))
+
+
+def extracted_words(parses: DataFrame, key: str, groups: str) -> DataFrame:
+    """(key, place, lemma, surface, pos, root) of all words of the first parse, in reading order; groups as in tree.FULL."""
+    words = parses.select(key, F.posexplode(F.flatten(F.transform(groups, lambda g: g["base_words"]))).alias("place", "w"))
+    return words.select(key, "place", F.col("w.lemma").alias("lemma"), F.col("w.surface_form").alias("surface"), F.col("w.morphology.pos").alias("pos"), F.col("w.dhatu.dhatu_iast").alias("root"))
+
+
+def confidence_summary(rows: DataFrame, confidence: str, error: str) -> DataFrame:
+    """total_texts, successful_analyses, failed_analyses and average_confidence; a text with an error failed."""
+    ok = F.col(error).isNull()
+    return rows.agg(
+        F.count(F.lit(1)).alias("total_texts"), F.count_if(ok).alias("successful_analyses"), F.count_if(~ok).alias("failed_analyses"),
+        F.round(F.coalesce(F.avg(F.when(ok, F.col(confidence))), F.lit(0.0)), 6).alias("average_confidence"),
+    )
+
+
+def located(verses: DataFrame, book: str, chapter: str, order: list[str]) -> DataFrame:
+    """verses with verse_number, from 1 within each chapter, and location book.chapter.verse."""
+    nth = F.row_number().over(Window.partitionBy(book, chapter).orderBy(*order))
+    own = verses.withColumn("verse_number", nth)
+    return own.withColumn("location", F.concat_ws(".", F.col(book).cast("string"), F.col(chapter).cast("string"), F.col("verse_number").cast("string")))

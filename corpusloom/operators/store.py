@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 TTL_SECONDS = 604_800
 CAPACITY = 1_000
@@ -86,7 +87,7 @@ def lru(accesses: DataFrame, shard: str, key: str, order: str, capacity: int = C
     from corpusloom.session import importable
 
     importable(accesses.sparkSession)
-    schema = accesses.schema.add("hit", "boolean")
+    schema = StructType([*accesses.schema.fields, StructField("hit", BooleanType())])
 
     def replay(batches):
         from collections import OrderedDict
@@ -119,6 +120,56 @@ def tier(in_memory: Column, in_second: Column, in_third: Column) -> Column:
     return F.when(in_memory, "memory").when(in_second, "redis").when(in_third, "sqlite").otherwise("none")
 
 
+TIERS = ("memory", "redis", "sqlite")
+
+
+def tier_counters(resolved: DataFrame, tier: str = "tier") -> DataFrame:
+    """A row per tier of requests and the tier that answered each: hits, misses (requests that came past it), promotions (answers from slower tiers), hit_rate.
+
+    One aggregation to three counts, so a request costs no shuffle."""
+    counts = resolved.agg(F.count(F.lit(1)).alias("all"), *[F.count_if(F.col(tier) == t).alias(t) for t in TIERS])
+    rows, reached = [], F.col("all")
+    for i, t in enumerate(TIERS):
+        slower = sum((F.col(x) for x in TIERS[i + 1 :]), F.lit(0).cast("long"))
+        rows.append(F.struct(F.lit(t).alias("tier"), F.col(t).alias("hits"), (reached - F.col(t)).alias("misses"), slower.alias("promotions"), F.round(hit_rate(F.col(t), reached), 6).alias("hit_rate")))
+        reached = reached - F.col(t)
+    return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def promoted(held: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """(key, memory, redis, sqlite): which tiers hold each key after the requests; a found key moves up to all faster tiers."""
+    asked = requests.select(key).distinct().withColumn("st_asked", F.lit(True))
+    own = held.join(asked, key, "left")
+    found = F.coalesce(F.col("st_asked"), F.lit(False))
+    in_memory = F.col("memory") | (found & (F.col("redis") | F.col("sqlite")))
+    in_second = F.col("redis") | (found & ~F.col("memory") & F.col("sqlite"))
+    return own.select(key, in_memory.alias("memory"), in_second.alias("redis"), "sqlite")
+
+
+def stored_through(held: DataFrame, entries: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, memory, redis, sqlite): a set writes all tiers; other keys stay as they are."""
+    new = entries.groupBy(key).agg(F.max(value).alias(value)).withColumns({t: F.lit(True) for t in TIERS})
+    return without(held, new, key).select(key, value, *TIERS).unionByName(new)
+
+
+def exists(keys: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """(key, found): whether any tier holds it."""
+    own = held.where(" OR ".join(TIERS)).select(key).distinct().withColumn("st_held", F.lit(True))
+    return keys.select(key).join(own, key, "left").select(key, F.col("st_held").isNotNull().alias("found"))
+
+
+def clear_prefix(rows: DataFrame, key: str, prefix: str, of_store: str = "sanskrit:") -> DataFrame:
+    """Rows without those whose key begins with the store's prefix and this one."""
+    return rows.where(~F.coalesce(F.col(key).startswith(of_store + prefix), F.lit(False)))
+
+
+def remaining_ttl(entries: DataFrame, key: str, written: str, now: Column, ttl: int = TTL_SECONDS) -> DataFrame:
+    """(key, ttl): whole seconds that each key has left since it was last written; null where its time is over."""
+    last = entries.groupBy(key).agg(F.max(written).alias("st_at"))
+    left = F.lit(ttl) - (F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("st_at").cast("timestamp")))
+    return last.select(key, F.when(left > 0, left).cast("long").alias("ttl"))
+
+
 def hit_rate(hits: Column, requests: Column) -> Column:
     return F.coalesce(F.try_divide(hits.cast("double"), requests.cast("double")), F.lit(0.0))
 

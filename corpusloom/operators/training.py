@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.prompts import choice_reasoning
+
 FIELDS = ("pos", "case", "number", "gender", "person", "tense", "voice")
 MIN_CONFIDENCE, MAX_ERRORS = 0.85, 20
 
@@ -21,8 +23,16 @@ def grammar_format(groups: Column, confidence: Column) -> Column:
     return F.to_json(F.struct(F.transform(groups, lambda g: F.struct(g["surface"].alias("surface_form"), F.transform(g["words"], word).alias("base_words"))).alias("sandhi_groups"), confidence.alias("confidence")))
 
 
-def example(text: Column, output: Column) -> Column:
-    return F.to_json(F.struct(F.concat(F.lit("Parse: "), text).alias("input"), output.alias("output")))
+def example(text: Column, output: Column, metadata: Column | None = None) -> Column:
+    """A grammar example as JSON; metadata: struct of corpus, chapter, verse and confidence."""
+    own = [F.concat(F.lit("Parse: "), text).alias("input"), output.alias("output")]
+    return F.to_json(F.struct(*own, *([] if metadata is None else [metadata.alias("metadata")])), {"ignoreNullFields": "false"})
+
+
+def confidence_of(value: Column) -> Column:
+    """A confidence in JSON as a double: a number, or an object with overall; anything else is 0."""
+    own = F.coalesce(F.get_json_object(value, "$.overall"), value)
+    return F.coalesce(own.try_cast("double"), F.lit(0.0))
 
 
 def confident(rows: DataFrame, confidence: str, least: float = MIN_CONFIDENCE) -> DataFrame:
@@ -65,10 +75,30 @@ def validation_summary(rows: DataFrame, errors: Column) -> DataFrame:
     return marked.agg(F.count_if(F.size("e") == 0).alias("valid"), F.count_if(F.size("e") > 0).alias("invalid"))
 
 
+def first_errors(rows: DataFrame, line: str, errors: Column, n: int = MAX_ERRORS) -> DataFrame:
+    """(line, place, message): the first n errors in order of the lines, a partial top-n a task."""
+    listed = rows.select(line, F.posexplode(errors).alias("place", "error"))
+    return listed.select(line, "place", F.concat(F.lit("Line "), F.col(line).cast("string"), F.lit(": "), F.col("error")).alias("message")).orderBy(line, "place").limit(n)
+
+
 def training_stats(rows: DataFrame, confidence: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"), F.round(F.avg(confidence), 3).alias("average_confidence"))
 
 
+def morphology_types(words: DataFrame, morphology: str, n: int = 10) -> DataFrame:
+    """(pos, n): the n most frequent parts of speech, which are a morphology's part before the first '-'; ties in order of the name."""
+    return words.select(F.substring_index(F.coalesce(F.col(morphology), F.lit("unknown")), "-", 1).alias("pos")).groupBy("pos").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "pos").limit(n)
+
+
+def disambiguation_json(text: Column, parses: Column, selected: Column, context: Column) -> Column:
+    """A disambiguation example as JSON; parses: array<struct<interpretation, confidence>>."""
+    shown = F.transform(parses, lambda p, i: F.struct(F.coalesce(p["interpretation"], F.concat(F.lit("Parse "), i.cast("string"))).alias("interpretation"), F.coalesce(p["confidence"], F.lit(0.5)).alias("confidence")))
+    given = F.struct(text.alias("text"), shown.alias("parses"), F.coalesce(context, F.lit("")).alias("context"))
+    chosen = F.coalesce(F.get(parses, selected)["confidence"], F.lit(0.5))
+    out = F.struct(selected.alias("selected"), choice_reasoning(F.size(parses), selected).alias("reasoning"), chosen.alias("confidence"))
+    return F.to_json(F.struct(given.alias("input"), out.alias("output")))
+
+
 def disambiguation_examples(parses: DataFrame, n: int | None = None) -> DataFrame:
     """(sentence_id, text, parses array<struct<confidence>>): sentences of two parses or more, with the selected one (the first of the highest confidence; the first where none is above 0)."""
     confidences = F.transform("parses", lambda p: p["confidence"])

@@ -48,6 +48,63 @@ def selected_by_hand(n: Column, index: Column) -> Column:
     return F.when((index >= 0) & (index < n), F.lit("human"))
 
 
+#: a parse with everything a word has
+SCRIPTS = "struct<devanagari:string,iast:string,slp1:string>"
+WORD = f"struct<lemma:string,surface_form:string,scripts:{SCRIPTS},morphology:struct<pos:string,gender:string,number:string,case:string>,meanings:array<string>,dhatu:struct<dhatu_iast:string,gana:int,pada:string,meaning_english:string>,upasarga:array<string>,confidence:double>"
+FULL = f"struct<parse_id:string,confidence:double,engine_votes:map<string,double>,word_count:int,sandhi_groups:array<struct<surface_form:string,sandhi_type:string,is_compound:boolean,compound_type:string,base_words:array<{WORD}>>>>"
+
+
+def all_roots(groups: Column) -> Column:
+    """The roots of all words that have one, of groups as in FULL."""
+    words = F.flatten(F.transform(groups, lambda g: g["base_words"]))
+    return F.filter(F.transform(words, lambda w: w["dhatu"]), lambda d: d.isNotNull())
+
+
+def full_json(parse: Column) -> Column:
+    """A parse as in FULL as JSON; what is missing is written as null."""
+    return F.to_json(parse, {"ignoreNullFields": "false"})
+
+
+def from_full_json(text: Column) -> Column:
+    return F.from_json(text, FULL)
+
+
+def word_card(w: Column, verbosity: str) -> Column:
+    """The fields of a word as in WORD at a verbosity: struct."""
+    if verbosity == "minimal":
+        return F.struct(w["lemma"].alias("lemma"), w["morphology"]["pos"].alias("pos"))
+    if verbosity == "detailed":
+        return w
+    root = F.when(w["dhatu"].isNotNull(), F.struct(w["dhatu"]["dhatu_iast"].alias("root"), w["dhatu"]["meaning_english"].alias("meaning")))
+    return F.struct(w["lemma"].alias("lemma"), w["surface_form"].alias("surface_form"), w["morphology"].alias("morphology"), F.slice(w["meanings"], 1, 3).alias("meanings"), w["confidence"].alias("confidence"), root.alias("dhatu"))
+
+
+def parse_card(p: Column, verbosity: str) -> Column:
+    """A parse at a verbosity, its words too, as JSON without nulls."""
+    own = [p["parse_id"].alias("parse_id"), p["confidence"].alias("confidence")]
+    if verbosity == "detailed":
+        return F.to_json(p)
+    if verbosity == "standard":
+        own.append(F.transform(p["sandhi_groups"], lambda g: F.struct(g["surface_form"].alias("surface_form"), F.transform(g["base_words"], lambda w: word_card(w, verbosity)).alias("words"))).alias("sandhi_groups"))
+    return F.to_json(F.struct(*own))
+
+
+#: fields of a root at each verbosity; detailed has all columns
+ROOT_FIELDS = {"minimal": ("dhatu_iast", "gana", "meaning_english"), "standard": ("id", "dhatu_devanagari", "dhatu_iast", "meaning_english", "gana", "pada")}
+
+
+def root_card(roots: DataFrame, verbosity: str) -> Column:
+    """A row of roots at a verbosity as JSON; unknown names count as standard."""
+    name = verbosity.lower()
+    names = roots.columns if name == "detailed" else ROOT_FIELDS.get(name, ROOT_FIELDS["standard"])
+    return F.to_json(F.struct(*names))
+
+
+def shown_parse(p: Column) -> Column:
+    """A REST parse for a list on screen: label, percent, and the best group first in reading order."""
+    return F.struct(F.concat(F.lit("Parse "), (p["index"] + 1).cast("string")).alias("label"), F.floor(p["confidence"] * 100).cast("int").alias("percent"), confidence_bucket(p["confidence"]).alias("bucket"))
+
+
 def to_json(parse: Column) -> Column:
     return F.to_json(parse)
 
@@ -86,4 +143,4 @@ def flagged(votes: Column) -> Column:
     return F.transform_values(votes, lambda _, v: v > 0.5)
 
 
-__all__ = ["all_words", "best_parse", "built", "compound_type", "confidence_bucket", "flagged", "from_json", "line_groups", "parsed", "preview", "projected", "response_ids", "selected_by_hand", "to_json", "verbosity_of", "word_count"]
+__all__ = ["all_roots", "all_words", "best_parse", "built", "compound_type", "confidence_bucket", "flagged", "from_json", "line_groups", "parsed", "preview", "projected", "response_ids", "selected_by_hand", "to_json", "verbosity_of", "word_count"]

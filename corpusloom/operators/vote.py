@@ -17,14 +17,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.binding import let
+from corpusloom.functions.binding import let, once
 from corpusloom.operators.producers import DEFAULT, Producer, tokens
 
 HIGH, MEDIUM = 95, 70
+#: agreement is counted in these parts: whole numbers for up to twelve engines
+PARTS = 27_720
 
 
 def merged(words: Column, producers: tuple[Producer, ...] = DEFAULT) -> Column:
-    """array of struct(pos, surface, lemma, conf7 (confidence x 1e7), agree6 (agreement x 6))."""
+    """array of struct(pos, surface, lemma, conf7 (confidence x 1e7), agree (agreement x PARTS))."""
 
     def engines(w: Column) -> Column:
         return F.array(*[F.struct(F.lit(p.weight).alias("wt"), F.lit(p.confidence).alias("cf"), p.lemmas(w).alias("l")) for p in producers])
@@ -52,37 +54,41 @@ def merged(words: Column, producers: tuple[Producer, ...] = DEFAULT) -> Column:
                 p["pos"].alias("pos"), p["surface"].alias("surface"),
                 F.when(n > 0, F.get(p["ls"], F.array_position(counts, F.array_max(counts)).cast("int") - 1)).otherwise(p["surface"]).alias("lemma"),
                 F.round(p["num"] * F.lit(1e5) / p["den"]).cast("long").alias("conf7"),
-                F.when(n == 0, F.lit(0)).otherwise((6 * F.array_max(counts) / n).cast("int")).cast("long").alias("agree6"),
+                F.when(n == 0, F.lit(0)).otherwise(F.floor(F.lit(PARTS) * F.array_max(counts) / n)).cast("long").alias("agree"),
             ),
         )
 
     voted = let(words, lambda w: let(engines(w), lambda e: let(primary(e), lambda p: F.transform(F.transform(p, gathered(e)), decided))))
-    return F.coalesce(voted, F.array().cast("array<struct<pos:int,surface:string,lemma:string,conf7:bigint,agree6:bigint>>"))
+    return F.coalesce(voted, F.array().cast("array<struct<pos:int,surface:string,lemma:string,conf7:bigint,agree:bigint>>"))
 
 
-def level(agree6: Column, n: Column) -> Column:
+def level(agree: Column, n: Column) -> Column:
     """high, medium or low by the mean agreement; nothing to agree on is low."""
-    return F.when(n == 0, "low").when(agree6 * 100 >= HIGH * 6 * n, "high").when(agree6 * 100 >= MEDIUM * 6 * n, "medium").otherwise("low")
+    return F.when(n == 0, "low").when(agree * 100 >= HIGH * PARTS * n, "high").when(agree * 100 >= MEDIUM * PARTS * n, "medium").otherwise("low")
 
 
-def sentences(docs: DataFrame, producers: tuple[Producer, ...] = DEFAULT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, segments: the merged segments of every text."""
-    return docs.select(key, merged(tokens(F.coalesce(F.col(text), F.lit(""))), producers).alias("segments"))
+def sentences(docs: DataFrame, producers: tuple[Producer, ...] = DEFAULT, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns to keep, segments: the merged segments of every text, computed once whatever reads them."""
+    return docs.select(key, *keep, once(merged(tokens(F.coalesce(F.col(text), F.lit(""))), producers)).alias("segments"))
 
 
-def summary(voted: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, n_segments, engine_agreement, agreement_level, overall_confidence."""
-    n = F.size("segments").cast("long")
+def overall(agree: Column, conf7: Column, n: Column) -> Column:
+    """The mean confidence, at most 0.95 on high and 0.85 on medium agreement."""
+    mean = F.when(n > 0, conf7 / n / F.lit(1e7)).otherwise(F.lit(0.0))
+    lev = level(agree, n)
+    return F.when(lev == "high", F.least(F.lit(0.95), mean)).when(lev == "medium", F.least(F.lit(0.85), mean)).otherwise(mean)
+
+
+def summary(voted: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns to keep, n_segments, engine_agreement, agreement_level, overall_confidence."""
     sums = voted.select(
-        key, n.alias("n"),
-        F.aggregate("segments", F.lit(0).cast("long"), lambda a, s: a + s["agree6"]).alias("a6"),
+        key, *keep, F.size("segments").cast("long").alias("n"),
+        F.aggregate("segments", F.lit(0).cast("long"), lambda a, s: a + s["agree"]).alias("a"),
         F.aggregate("segments", F.lit(0).cast("long"), lambda a, s: a + s["conf7"]).alias("c7"),
     )
-    lev = level(F.col("a6"), F.col("n"))
-    mean = F.when(F.col("n") > 0, F.col("c7") / F.col("n") / F.lit(1e7)).otherwise(F.lit(0.0))
-    overall = F.when(lev == "high", F.least(F.lit(0.95), mean)).when(lev == "medium", F.least(F.lit(0.85), mean)).otherwise(mean)
-    agreement = F.when(F.col("n") > 0, F.col("a6") / (F.lit(6.0) * F.col("n"))).otherwise(F.lit(0.0))
-    return sums.select(key, F.col("n").alias("n_segments"), F.round(agreement, 6).alias("engine_agreement"), lev.alias("agreement_level"), F.round(overall, 6).alias("overall_confidence"))
+    n, a = F.col("n"), F.col("a")
+    agreement = F.when(n > 0, a / (F.lit(float(PARTS)) * n)).otherwise(F.lit(0.0))
+    return sums.select(key, *keep, n.alias("n_segments"), F.round(agreement, 6).alias("engine_agreement"), level(a, n).alias("agreement_level"), F.round(overall(a, F.col("c7"), n), 6).alias("overall_confidence"))
 
 
 def engine_votes(docs: DataFrame, producers: tuple[Producer, ...] = DEFAULT, key: str = "doc_id", text: str = "text") -> DataFrame:

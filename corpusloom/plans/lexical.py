@@ -110,6 +110,17 @@ def morph_to_string(spark, sf_dir):
     return _tags(spark).select("id", morphology.tag_string(F.col("m")).alias("tag"))
 
 
+@query(
+    r"""WITH w AS (SELECT p_partkey, lower(p_name) AS t, split_part(lower(p_type), ' ', 1) AS k FROM part)
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'noun' WHEN 1 THEN 'verb' END AS pos, CASE WHEN p_partkey % 3 < 2 THEN CASE WHEN contains(t, 'mas') THEN 'masculine' WHEN contains(t, 'm.') THEN 'masculine' WHEN contains(t, 'feminine') OR contains(t, 'fem') OR contains(t, 'f.') THEN 'feminine' WHEN contains(t, 'neu') OR contains(t, 'n.') THEN 'neuter' END END AS gender,
+ CASE WHEN p_partkey % 3 < 2 THEN CASE WHEN contains(t, 'sing') OR contains(t, 'sg') THEN 'singular' WHEN contains(t, 'du') THEN 'dual' WHEN contains(t, 'pl') THEN 'plural' END END AS number FROM w"""
+)
+def morphology_scan(spark, sf_dir):
+    kind = F.when(F.col("p_partkey") % 3 == 0, "Noun").when(F.col("p_partkey") % 3 == 1, "VERB").otherwise("other")
+    rows = table(spark, sf_dir, "part").select("p_partkey", morphology.parsed(F.col("p_name"), kind).alias("m"))
+    return rows.select("p_partkey", "m.pos", "m.gender", "m.number")
+
+
 KV = [("Tense=Present, Mood=Indicative, Person=3, Number=Sing", "verb", "verb.pres.ind.p3.si"), ("Case=Nominative,Gender=Masc", "noun", "noun.nom.mas"), ("Degree=Cmp", "adjective", "adjective"), ("junk", None, ""), ("case=a=b, Case = Loc", "noun", "noun.loc")]
 
 
@@ -213,10 +224,10 @@ def sutra_search(spark, sf_dir):
     return lexicon.sutra_search(rows, "Guṇa").select("reference", "transliteration")
 
 
-@query("SELECT 2::BIGINT AS categories, 5::BIGINT AS total")
+@query("SELECT count(DISTINCT p_brand) AS categories, count(*) AS total FROM part")
 def grammar_index(spark, sf_dir):
-    rows = spark.createDataFrame([("vowel", [("a", "b"), ("c", "d"), ("e", "f")]), ("visarga", [("g", "h"), ("i", "j")])], "category string, entries array<struct<name:string,rule:string>>")
-    return lexicon.grammar_index(rows)
+    entry = F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("rule"))
+    return lexicon.grammar_index(table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("category")).agg(F.collect_list(entry).alias("entries")))
 
 
 # ---- training data
@@ -225,8 +236,8 @@ def grammar_index(spark, sf_dir):
 @query(VOTE + " SELECT doc_id, 'Parse: ' || text AS input, overall_confidence FROM s JOIN documents USING (doc_id) WHERE overall_confidence >= 0.85")
 def training_filter(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    kept = training.confident(vote.summary(vote.sentences(docs)), "overall_confidence", 0.85)
-    return kept.join(docs, "doc_id").select("doc_id", F.concat(F.lit("Parse: "), F.col("text")).alias("input"), "overall_confidence")
+    kept = training.confident(vote.summary(vote.sentences(docs, keep=("text",)), keep=("text",)), "overall_confidence", 0.85)
+    return kept.select("doc_id", F.concat(F.lit("Parse: "), F.col("text")).alias("input"), "overall_confidence")
 
 
 @query(
@@ -258,9 +269,12 @@ def format_validate(spark, sf_dir):
     return _outputs(spark).select("id", F.array_join(training.validation_errors(F.col("output")), "|").alias("errors"))
 
 
-@query("SELECT 2::BIGINT AS valid, 5::BIGINT AS invalid")
+@query("SELECT count(*) FILTER (event_id % 3 > 0) AS valid, count(*) FILTER (event_id % 3 = 0) AS invalid FROM events")
 def validation_summary(spark, sf_dir):
-    return training.validation_summary(_outputs(spark), training.validation_errors(F.col("output")))
+    """Every third output has a word without its morphology."""
+    word = F.when(F.col("event_id") % 3 == 0, F.lit("{}")).otherwise(F.lit('{"morphology": "noun"}'))
+    output = F.concat(F.lit('{"sandhi_groups": [{"surface_form": "x", "base_words": [{"lemma": "a", "morphology": "verb"}, {"lemma": "b", "n": 1, "m": '), word, F.lit(", "), F.when(F.col("event_id") % 3 == 0, '"o": 1').otherwise('"morphology": "noun"'), F.lit("}]}]}"))
+    return training.validation_summary(table(spark, sf_dir, "events").select(output.alias("output")), training.validation_errors(F.col("output")))
 
 
 @query(VOTE + " SELECT count(*) AS total, round(avg(overall_confidence), 3)::DOUBLE AS average_confidence FROM s")

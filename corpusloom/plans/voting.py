@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import prompts
+from corpusloom.functions.binding import once
 from corpusloom.operators import diff, producers, rules, tree, vote
-from corpusloom.session import spread, table
+from corpusloom.session import shared_dir, spread, table
 from corpusloom.streaming import corpus_stream
 
 QUERIES: dict = {}
@@ -35,21 +36,23 @@ w AS (SELECT doc_id, CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = ''
 e AS (SELECT doc_id, list_transform(ws, lambda x: lower(x)) AS s, list_transform(ws, lambda x: regexp_replace(lower(x), '(ing|ed|s|tion)$', '')) AS st, list_transform(list_filter(ws, lambda x: length(x) >= 3), lambda x: lower(x)) AS lx FROM w)"""
 
 
-def _vote_sql(third: bool) -> str:
+def _vote_sql(third: bool, fourth: bool = False) -> str:
     # whether the third engine votes here is known by its having an entry at this place
     c = "unnest(lx)" if third else "NULL::VARCHAR"
+    d = "unnest(s)" if fourth else "NULL::VARCHAR"
     return rf"""
 WITH {_ENGINES},
-p AS (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS a, unnest(st) AS b, {c} AS c FROM e),
-q AS (SELECT doc_id, pos, a, list_filter([a, b, c], lambda x: x IS NOT NULL AND x <> '') AS ls, 6830 + CASE WHEN c IS NOT NULL THEN 1750 ELSE 0 END AS num, 75 + CASE WHEN c IS NOT NULL THEN 25 ELSE 0 END AS den FROM p WHERE pos IS NOT NULL),
+p AS (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS a, unnest(st) AS b, {c} AS c, {d} AS d FROM e),
+q AS (SELECT doc_id, pos, a, list_filter([a, b, c, left(d, 5)], lambda x: x IS NOT NULL AND x <> '') AS ls, 6830 + CASE WHEN c IS NOT NULL THEN 1750 ELSE 0 END + CASE WHEN d IS NOT NULL THEN 1980 ELSE 0 END AS num,
+  75 + CASE WHEN c IS NOT NULL THEN 25 ELSE 0 END + CASE WHEN d IS NOT NULL THEN 33 ELSE 0 END AS den FROM p WHERE pos IS NOT NULL),
 k AS (SELECT *, list_transform(ls, lambda x: len(list_filter(ls, lambda y: y = x))) AS counts FROM q),
-v AS (SELECT doc_id, pos, a AS surface, ls[list_position(counts, list_max(counts))] AS lemma, CAST(round(num * 1e5 / den) AS BIGINT) AS conf7, CAST((6 * list_max(counts)) // len(ls) AS BIGINT) AS agree6 FROM k)"""
+v AS (SELECT doc_id, pos, a AS surface, ls[list_position(counts, list_max(counts))] AS lemma, CAST(round(num * 1e5 / den) AS BIGINT) AS conf7, CAST(27720 * list_max(counts) // len(ls) AS BIGINT) AS agree FROM k)"""
 
 
 _SUMMARY = """,
-t AS (SELECT d.doc_id, count(v.doc_id) AS n, coalesce(sum(agree6), 0)::BIGINT AS a6, coalesce(sum(conf7), 0)::BIGINT AS c7 FROM documents d LEFT JOIN v ON d.doc_id = v.doc_id GROUP BY d.doc_id),
-l AS (SELECT *, CASE WHEN n = 0 THEN 'low' WHEN a6 * 100 >= 570 * n THEN 'high' WHEN a6 * 100 >= 420 * n THEN 'medium' ELSE 'low' END AS agreement_level, CASE WHEN n > 0 THEN c7 / n / 1e7 ELSE 0.0 END::DOUBLE AS mean FROM t),
-s AS (SELECT doc_id, n AS n_segments, round(CASE WHEN n > 0 THEN a6 / (6.0::DOUBLE * n) ELSE 0 END, 6)::DOUBLE AS engine_agreement, agreement_level,
+t AS (SELECT d.doc_id, count(v.doc_id) AS n, coalesce(sum(agree), 0)::BIGINT AS a, coalesce(sum(conf7), 0)::BIGINT AS c7 FROM documents d LEFT JOIN v ON d.doc_id = v.doc_id GROUP BY d.doc_id),
+l AS (SELECT *, CASE WHEN n = 0 THEN 'low' WHEN a * 100 >= 95 * 27720 * n THEN 'high' WHEN a * 100 >= 70 * 27720 * n THEN 'medium' ELSE 'low' END AS agreement_level, CASE WHEN n > 0 THEN c7 / n / 1e7 ELSE 0.0 END::DOUBLE AS mean FROM t),
+s AS (SELECT doc_id, n AS n_segments, round(CASE WHEN n > 0 THEN a / (27720.0::DOUBLE * n) ELSE 0 END, 6)::DOUBLE AS engine_agreement, agreement_level,
   round(CASE agreement_level WHEN 'high' THEN least(0.95::DOUBLE, mean) WHEN 'medium' THEN least(0.85::DOUBLE, mean) ELSE mean END, 6)::DOUBLE AS overall_confidence FROM l)"""
 VOTE = _vote_sql(True) + _SUMMARY
 
@@ -59,10 +62,10 @@ def ensemble_vote(spark, sf_dir):
     return vote.summary(vote.sentences(documents(spark, sf_dir)))
 
 
-@query(_vote_sql(True) + " SELECT doc_id, pos::BIGINT AS pos, surface, lemma, round(conf7 / 1e7, 6)::DOUBLE AS confidence, round(agree6 / 6.0::DOUBLE, 6)::DOUBLE AS agreement FROM v")
+@query(_vote_sql(True) + " SELECT doc_id, pos::BIGINT AS pos, surface, lemma, round(conf7 / 1e7, 6)::DOUBLE AS confidence, round(agree / 27720.0::DOUBLE, 6)::DOUBLE AS agreement FROM v")
 def vote_segments(spark, sf_dir):
     voted = vote.sentences(documents(spark, sf_dir)).select("doc_id", F.explode("segments").alias("s"))
-    return voted.select("doc_id", F.col("s.pos").cast("long").alias("pos"), "s.surface", "s.lemma", F.round(F.col("s.conf7") / F.lit(1e7), 6).alias("confidence"), F.round(F.col("s.agree6") / F.lit(6.0), 6).alias("agreement"))
+    return voted.select("doc_id", F.col("s.pos").cast("long").alias("pos"), "s.surface", "s.lemma", F.round(F.col("s.conf7") / F.lit(1e7), 6).alias("confidence"), F.round(F.col("s.agree") / F.lit(float(vote.PARTS)), 6).alias("agreement"))
 
 
 @query(VOTE + " SELECT agreement_level, count(*) AS n, round(avg(overall_confidence), 6)::DOUBLE AS mean_confidence FROM s GROUP BY 1")
@@ -82,10 +85,16 @@ def engine_subset_vote(spark, sf_dir):
     return vote.summary(vote.sentences(documents(spark, sf_dir), own))
 
 
+@query(_vote_sql(True, True) + _SUMMARY + " SELECT * FROM s")
+def four_engine_vote(spark, sf_dir):
+    own = producers.Registry()
+    own.add(producers.Producer("prefix", producers.UNKNOWN_WEIGHT, 60, lambda words: F.transform(words, lambda w: F.left(F.lower(w), F.lit(5)))))
+    return vote.summary(vote.sentences(documents(spark, sf_dir), own.chosen()))
+
+
 @query(VOTE + " SELECT * FROM s")
 def streaming_corpus(spark, sf_dir):
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/corpusloom-stream"
-    own = f"{root}/stream-{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     return corpus_stream.vote_stream(corpus_stream.read(spark, sf_dir), f"{own}/out", f"{own}/state")
 
 
@@ -224,12 +233,13 @@ def tree_flatten_counts(spark, sf_dir):
     return groups.select("doc_id", F.size("g").cast("long").alias("groups"), F.size(tree.all_words(F.col("g"))).cast("long").alias("words"))
 
 
-@query(f"WITH {_ENGINES} SELECT doc_id, len(s) AS groups, true AS same FROM e")
+@query(_vote_sql(True) + " SELECT d.doc_id, count(v.doc_id) AS groups, coalesce(string_agg(lemma, ' ' ORDER BY pos), '') AS lemmas FROM documents d LEFT JOIN v ON d.doc_id = v.doc_id GROUP BY d.doc_id")
 def tree_json_roundtrip(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    parses = docs.select("doc_id", tree.built(vote.merged(producers.tokens(F.col("text"))), F.col("text")).alias("p"))
-    back = parses.withColumn("q", tree.from_json(tree.to_json(F.col("p"))))
-    return back.select("doc_id", F.size("q.groups").cast("long").alias("groups"), (tree.to_json(F.col("q")) == tree.to_json(F.col("p"))).alias("same"))
+    voted = vote.sentences(documents(spark, sf_dir), keep=("text",))
+    written = voted.select("doc_id", once(tree.to_json(tree.built(F.col("segments"), F.col("text")))).alias("j"))
+    back = written.select("doc_id", once(tree.from_json(F.col("j"))).alias("q"))
+    lemmas = F.flatten(F.transform("q.groups", lambda g: F.transform(g["words"], lambda w: w["lemma"])))
+    return back.select("doc_id", F.size("q.groups").cast("long").alias("groups"), F.array_join(lemmas, " ").alias("lemmas"))
 
 
 @query(
@@ -257,8 +267,11 @@ def verbosity_projection(spark, sf_dir):
     return words.select("doc_id", tree.projected(F.get("ws", F.lit(0)), F.col("lang"), F.col("ws"), F.get("ws", F.lit(1)), tree.verbosity_of(asked)).alias("card"))
 
 
-@query(f"WITH {_GROUPS}, n AS (SELECT doc_id, line, words, row_number() OVER (PARTITION BY doc_id) AS k FROM h) SELECT doc_id, count(*) AS groups, sum(len(words))::BIGINT AS words, 'w0_0_0' AS first_word FROM n GROUP BY doc_id")
+@query(
+    r"""WITH g AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: len(list_filter(string_split_regex(x, '\s+'), lambda w: w <> ''))) AS ns FROM documents)
+SELECT doc_id, len(ns) AS groups, list_sum(ns)::BIGINT AS words, 'w0_' || (len(ns) - 1) || '_' || (ns[len(ns)] - 1) AS last_word FROM g WHERE len(ns) > 0"""
+)
 def response_ids(spark, sf_dir):
     groups = documents(spark, sf_dir).select("doc_id", tree.response_ids(tree.line_groups(F.col("text")), F.lit(0)).alias("g")).where(F.size("g") > 0)
     words = F.flatten(F.transform("g", lambda g: F.transform(g["words"], lambda w: w["id"])))
-    return groups.select("doc_id", F.size("g").cast("long").alias("groups"), F.size(F.array_distinct(words)).cast("long").alias("words"), F.get(words, F.lit(0)).alias("first_word"))
+    return groups.select("doc_id", F.size("g").cast("long").alias("groups"), F.size(F.array_distinct(words)).cast("long").alias("words"), F.element_at(words, -1).alias("last_word"))

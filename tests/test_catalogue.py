@@ -54,3 +54,10 @@ def test_entry_has_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 200
+
+
+def test_the_vote_is_evaluated_once(spark):
+    """Filters and projections above the vote are not merged with it."""
+    votes = lambda name: catalogue.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("array_position")
+    once = votes("ensemble_vote")
+    assert 0 < once <= 2 and all(votes(name) == once for name in ("training_filter", "vote_segments", "tree_json_roundtrip"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import Options
 from corpusloom.functions import morphology, prompts, text, translit
-from corpusloom.operators import diff, lexicon, producers, rules, store, training, tree, vote
+from corpusloom.operators import analysis, diff, lexicon, producers, rules, store, training, tree, vote
 from corpusloom.sources import corpus
 from corpusloom.streaming import corpus_stream
 
@@ -39,7 +39,7 @@ def test_vote_partial_weighted_and_ties(spark):
 
 
 def test_level_boundary_is_medium(spark):
-    assert value(spark, vote.level(F.lit(42), F.lit(10))) == "medium"
+    assert value(spark, vote.level(F.lit(7 * vote.PARTS), F.lit(10))) == "medium"
     assert value(spark, vote.level(F.lit(0), F.lit(0))) == "low"
 
 
@@ -199,3 +199,68 @@ def test_vote_is_the_same_for_any_partitioning(spark, parts):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     base = vote.summary(vote.sentences(docs)).orderBy("doc_id").collect()
     assert vote.summary(vote.sentences(docs.repartition(parts))).orderBy("doc_id").collect() == base
+
+
+# ---- the composed analysis, tiers, facades and files
+
+
+def test_agreement_of_four_engines(spark):
+    own = producers.Registry()
+    own.add(producers.Producer("other", 33, 60, lambda words: F.transform(words, lambda w: F.concat(w, F.lit("x")))))
+    rows = vote.summary(vote.sentences(spark.createDataFrame([(1, "long tree")], "doc_id long, text string"), own.chosen()))
+    assert one(rows).engine_agreement == 0.75 and one(rows).agreement_level == "medium" and one(rows).overall_confidence <= 0.85
+
+
+def test_analysis_takes_stored_results_and_modes(spark):
+    docs = spark.createDataFrame([(1, " राम "), (2, "rāma"), (3, None), (4, "gam gam")], "doc_id long, text string")
+    done = {r.doc_id: r for r in analysis.analysed(docs).collect()}
+    assert done[1].normalized == done[2].normalized == "rAma" and done[1].cache_key == done[2].cache_key and done[3].n_segments == 0
+    held = analysis.to_store(analysis.analysed(docs.where("doc_id = 1"))).withColumn("n_segments", F.lit(99).cast("long"))
+    again = {r.doc_id: r for r in analysis.analysed(docs, held).collect()}
+    assert [(again[i].cached_at, again[i].n_segments) for i in (1, 2, 4)] == [("sqlite", 99), ("sqlite", 99), ("none", 2)]
+    assert {r.cached_at for r in analysis.analysed(docs, held, bypass=True).collect()} == {"none"}
+    assert analysis.analysed(docs, options=Options(mode="academic")).where("doc_id = 1").first().cache_key != done[1].cache_key
+    assert one(analysis.health(docs, {"a": True, "b": False})).status == "degraded"
+    with pytest.raises(ValueError, match="mode"):
+        analysis.normalised(docs, "other")
+
+
+def test_options_from_files(tmp_path):
+    path = str(tmp_path / "options.yaml")
+    assert Options.load(path, {}) == Options()
+    Options(cache_size=7, mode="academic", engine_weights={"a": 0.5}).save(path)
+    assert Options.load(path, {}).weights() == {"a": 0.5} and Options.load(path, {"CORPUSLOOM_CACHE_SIZE": "9"}).cache_size == 9
+
+
+def test_tiers_of_nothing_and_prefixes(spark):
+    rows = {r.tier: r for r in store.tier_counters(spark.createDataFrame([], "tier string")).collect()}
+    assert all((r.hits, r.misses, r.promotions, r.hit_rate) == (0, 0, 0, 0.0) for r in rows.values()) and set(rows) == set(store.TIERS)
+    keys = spark.createDataFrame([("sanskrit:a:1",), ("sanskrit:b:1",), ("other:a",), (None,)], "key string")
+    assert [r.key for r in store.clear_prefix(keys, "key", "a").collect()] == ["sanskrit:b:1", "other:a", None]
+    assert [r.key for r in store.clear_prefix(keys, "key", "").collect()] == ["other:a", None]
+
+
+def test_facades(spark):
+    assert lexicon.bounded(100, 100) == 100
+    for limit in (0, 101):
+        with pytest.raises(ValueError, match="limit"):
+            lexicon.bounded(limit, 100)
+    sections = spark.createDataFrame([("vowel", [("a", "b"), ("c", "d")]), ("visarga", [])], "category string, entries array<struct<name:string,rule:string>>")
+    assert [(r.n, r.name) for r in lexicon.category(sections, "vowel").collect()] == [(0, "a"), (1, "c")] and lexicon.category(sections, "none").count() == 0
+    roots = spark.createDataFrame([(1, "गम्", "gam", "to go", 1, "p", "x")], "id int, dhatu_devanagari string, dhatu_iast string, meaning_english string, gana int, pada string, notes string")
+    cards = one(roots.select(*[tree.root_card(roots, v).alias(v) for v in ("minimal", "standard", "DETAILED")]))
+    assert cards.minimal == '{"dhatu_iast":"gam","gana":1,"meaning_english":"to go"}' and "notes" not in cards.standard and '"notes":"x"' in cards.DETAILED
+
+
+def test_reasons_and_confidences(spark):
+    own = value(spark, prompts.choice_reasoning(F.lit(1), F.lit(0)))
+    assert own.startswith("Rule 'semantic_coherence' matched: the only available interpretation")
+    assert value(spark, prompts.choice_reasoning(F.lit(4), F.lit(3))).endswith("Parse 0 is semantically unlikely here.")
+    assert [value(spark, training.confidence_of(F.lit(x))) for x in ("0.5", '{"overall": 0.25}', "null", "", None, "x")] == [0.5, 0.25, 0.0, 0.0, 0.0, 0.0]
+
+
+def test_yaml_of_nothing(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("")
+    (tmp_path / "b.yaml").write_text("categories: {vowel: [one, {name: x}]}\n")
+    rows = corpus.read_sections(spark, str(tmp_path)).collect()
+    assert [(r.category, [(e.name, e.rule) for e in r.entries]) for r in rows] == [("vowel", [("", "one"), ("x", "")])]
