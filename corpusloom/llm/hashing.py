@@ -64,6 +64,11 @@ def words_in(buf: np.ndarray, blanks: np.ndarray = BLANKS, wide: bool = False) -
 def hashed_words(buf: np.ndarray, blanks: np.ndarray = BLANKS, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(place of its first byte, hash) of every word of a buffer of bytes."""
     first, last = words_in(buf, blanks, wide)
+    return first, hashes(buf, first, last)
+
+
+def hashes(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The hash of each run of bytes from first to before last."""
     eights = np.zeros(len(buf) // 8 + 2, np.uint64)
     eights.view(np.uint8)[: len(buf)] = buf
 
@@ -85,7 +90,7 @@ def hashed_words(buf: np.ndarray, blanks: np.ndarray = BLANKS, wide: bool = Fals
         import xxhash
 
         h[open_] = [xxhash.xxh3_64_intdigest(buf[first[i] : last[i]].tobytes()) for i in open_]
-    return first, h
+    return h
 
 
 def lowered(text: bytes) -> bytes:

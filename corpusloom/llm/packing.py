@@ -23,8 +23,9 @@ import bisect
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from corpusloom.llm.common import importable, written
+from corpusloom.llm.common import fresh, importable, written
 
 LENGTH, END_ID, GROUP_PIECES = 1024, 2, 40_000
 
@@ -179,32 +180,34 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, end_id: int
 
         from corpusloom.llm.tokens import encoder
 
-        tool, last = encoder(tokenizer, "byte"), np.asarray([end_id], "<u4").tobytes()
+        tool, last = encoder(tokenizer, "byte"), np.asarray([end_id], "<u4")
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
         for batch in batches:
             rows = []
-            for key, ids in zip(batch.column(0).to_pylist(), tool.encode(x.as_py() for x in batch.column(1)), strict=True):
-                ids += last
-                n = len(ids) // 4
+            for key, own in zip(batch.column(0).to_pylist(), tool.arrays(batch.column(1).cast(pa.binary()).to_pylist()), strict=True):
+                ids = np.concatenate([own, last])
+                n = len(ids)
                 first = n % capacity or capacity
                 ends = [min(first, n), *range(first + capacity, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
-                    part = ids[4 * a : 4 * b]
-                    rows.append((key, k, a, b - a, zlib.crc32(part)) + ((part,) if with_ids else ()))
+                    part = ids[a:b]
+                    rows.append((key, k, a, b - a, zlib.crc32(part)) + ((part.tobytes(),) if with_ids else ()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=names)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
 
 
 def pack(items: DataFrame, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), capacity: int = LENGTH, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """items with sequence_id and offset. length must be from 1 to capacity."""
+    """items, in which no column has these names, with sequence_id and offset. length must be from 1 to capacity."""
     importable(items.sparkSession)
+    if clash := {"sequence_id", "offset"} & {c.lower() for c in items.columns}:
+        raise ValueError(f"columns that pack adds: {', '.join(sorted(clash))}")
     groups = max(1, -(-items.count() // group_pieces))
-    schema = items.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*items.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def one(key, rows):
-        rows = rows.sort_values([*order, *[c for c in rows.columns if c not in (*order, "pk_group")]], kind="stable", na_position="last").reset_index(drop=True)
+        rows = rows.sort_values([*order, *[c for c in rows.columns if c not in (*order, group)]], kind="stable", na_position="last").reset_index(drop=True)
         sizes = rows[length].tolist()
         sequence, offset = np.zeros(len(sizes), "i8"), np.zeros(len(sizes), "i8")
         for b, own in enumerate(packed(sizes, capacity)):
@@ -212,10 +215,21 @@ def pack(items: DataFrame, length: str = "length", order: tuple[str, ...] = ("do
             for i in own:
                 sequence[i], offset[i] = (key[0] << 32) + b, at
                 at += sizes[i]
-        return rows.drop(columns="pk_group").assign(sequence_id=sequence, offset=offset)
+        return rows.drop(columns=group).assign(sequence_id=sequence, offset=offset)
 
-    dealt = items.withColumn("pk_group", F.pmod(F.xxhash64(*order, length), F.lit(groups)).cast("long"))
-    return dealt.groupBy("pk_group").applyInPandas(one, schema)
+    group = fresh(items, "pk_group")
+    return dealt(items, order, groups, group).groupBy(group).applyInPandas(one, schema)
+
+
+def dealt(items: DataFrame, order: tuple[str, ...], groups: int, group: str) -> DataFrame:
+    """items with a group each, about equally many in each group, however often a row stands there: equal rows are counted before they are shuffled, and their copies dealt round the groups from their hash on."""
+    alike = F.xxhash64(*items.columns)
+    if groups == 1:
+        return items.withColumn(group, F.lit(0).cast("long"))
+    copies = items.groupBy(*items.columns).agg(F.count(F.lit(1)).alias(group))
+    # a row per different row: its copies are dealt in turn, from its hash on
+    spread = copies.withColumn(group, F.explode(F.sequence(F.lit(0).cast("long"), F.col(group) - 1)))
+    return spread.withColumn(group, F.pmod(alike + F.col(group), F.lit(groups)))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, **names) -> DataFrame:

@@ -18,7 +18,7 @@ all, and of each the SAMPLE_CHARS from a hashed offset on, or the whole text if
 it is no longer; it changes sizes, never contents.
 
 Defined results: null text counts as empty; a null doc_id stands last; rows of
-one doc_id follow each other in order of a hash of their frame; an empty table gives no
+one doc_id follow each other in order of a hash of their text; an empty table gives no
 file and an empty result; further columns are not read.
 """
 
@@ -36,7 +36,7 @@ from corpusloom.llm.common import importable, shared_dir, written
 
 MAGIC, HEAD, ENTRY = b"CLTF1\0", struct.Struct("<6sB32sI"), struct.Struct("<qBQ")
 ENTRY_BYTES = ENTRY.size
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL, FILE_BYTES = 1_000, 4_000, 65_536, 1, 2_000_000
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL, FILE_BYTES = 1_000, 4_000, 65_536, 3, 2_000_000
 
 
 def serialize(ids: bytes, width: int) -> bytes:
@@ -108,7 +108,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, doc_id: str =
 
     spark = docs.sparkSession
     importable(spark)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     dictionary, width = trained_on(docs, tokenizer, end_id)
     digest = hashlib.sha256(dictionary).digest()
     folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
@@ -118,11 +118,11 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, doc_id: str =
 
         from corpusloom.llm.tokens import encoder
 
-        tool, last = encoder(tokenizer, "word"), np.asarray([end_id], "<u4").tobytes()
+        tool, last = encoder(tokenizer, "word"), serialize(np.asarray([end_id], "<u4").tobytes(), width)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True)
         for batch in batches:
-            out = [press.compress(serialize(ids + last, width)) for ids in tool.encode(x.as_py() for x in batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "frame"])
+            out = [press.compress(ids.astype(f"<u{width}").tobytes() + last) for ids in tool.arrays(batch.column(1).cast(pa.binary()).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["doc_id", "h", "frame"])
 
     def files(batches):
         import pyarrow as pa
@@ -133,7 +133,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, doc_id: str =
             return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([join_file(rows, width, digest)], pa.binary())], names=["n", "blob"])
 
         for batch in batches:
-            for d, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for d, f in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 rows.append((d, f))
                 held += len(f) + ENTRY_BYTES
                 if held >= FILE_BYTES:
@@ -142,8 +142,8 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, doc_id: str =
         if rows:
             yield blob()
 
-    encoded = written(docs.mapInArrow(frames, "doc_id long, frame binary"), "frames")
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("frame").asc()]  # a short key: its samples go to the driver
+    encoded = written(docs.mapInArrow(frames, "doc_id long, h long, frame binary"), "frames")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("h").asc()]  # a short key: its samples go to the driver
     made = encoded.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(files, "n long, blob binary")
     # a file's place in the order: the partition, then its number there
     made.select(F.spark_partition_id().alias("part"), "n", "blob").write.parquet(f"{folder}/files")
@@ -176,7 +176,10 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "n", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     docs = written(spark.read.parquet(f"{folder}/files").select("part", "n", "blob").mapInArrow(decode, "part int, n long, doc_id long, at long, n_tokens long, ids_crc32 long"), "decoded")
-    # a row per file of FILE_BYTES: its ids, and the ids of all files before it
-    before = Window.orderBy("part", "n").rowsBetween(Window.unboundedPreceding, -1)
-    files = docs.groupBy("part", "n").agg(F.sum("n_tokens").alias("ids")).withColumn("before", F.coalesce(F.sum("ids").over(before), F.lit(0)))
-    return docs.join(files.select("part", "n", "before"), ["part", "n"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    # sums per task's files, then running sums of these, then running sums within a task: the only window over all rows has a row per task
+    files = docs.groupBy("part", "n").agg(F.sum("n_tokens").alias("ids"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    before = files.select("part", "n", F.coalesce(F.sum("ids").over(inside), F.lit(0)).alias("before")).join(parts, "part").select("part", "n", (F.col("base") + F.col("before")).alias("before"))
+    return docs.join(before, ["part", "n"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

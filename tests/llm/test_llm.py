@@ -119,8 +119,8 @@ def test_line_dedup_equals_brute_force(spark, seed):
 
 
 def test_line_dedup_looks_again_and_splits_hot_words(spark, monkeypatch):
-    # few candidates at first and small groups: the exact ways for the rest must give the same
-    monkeypatch.setattr(line_dedup, "NEAREST", 1)
+    # small groups: the exact ways for the rest must give the same
+    monkeypatch.setattr(line_dedup, "NEIGHBOURS", 2)
     monkeypatch.setattr(line_dedup, "HOT", 3)
     monkeypatch.setattr(line_dedup, "SAMPLED", 1)
     rng = random.Random(8)
@@ -167,7 +167,7 @@ def test_nearest_of_few_or_no_vectors(spark):
 
 
 def test_nearest_recall_with_narrow_windows(spark, monkeypatch):
-    monkeypatch.setattr(hilbert_ann, "BLOCK", 128)
+    monkeypatch.setattr(hilbert_ann, "LEAST_BLOCK", 128)
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((60, 16)) * 3
     x = centres[rng.integers(0, 60, 4000)] + rng.standard_normal((4000, 16)) * 0.3
@@ -397,8 +397,10 @@ def test_ngram_join_equals_brute_force(spark, seed):
     assert kept == sorted({ids[f] for f in first})
 
 
-def test_ngram_join_without_pivots_is_the_same(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", 0)
+@pytest.mark.parametrize(("sets", "shingles"), [(4096, 2_000_000), (7, 2_000_000), (4096, 200)])
+def test_ngram_join_of_large_groups_in_chunks_is_the_same(spark, monkeypatch, sets, shingles):
+    monkeypatch.setattr(ngram_join, "GROUP_SETS", sets)
+    monkeypatch.setattr(ngram_join, "GROUP_SHINGLES", shingles)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(40)]
     texts = []
@@ -418,12 +420,31 @@ def test_ngram_join_edges(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in ngram_join.one_of_each(frame(spark, ["a b", "A B", None, "", "a b"], [5, 5, 7, 8, None])).collect()) in ([(5, "A B"), (7, ""), (8, "")], [(5, "a b"), (7, ""), (8, "")])
 
 
-@given(st.lists(st.integers(0, 30), min_size=1, max_size=30, unique=True), st.lists(st.lists(st.integers(0, 30), min_size=1, max_size=30, unique=True), min_size=1, max_size=12))
-@settings(max_examples=150, deadline=None)
-def test_prefix_tree_walk_is_exact(probe, sets):
-    arrays = [np.array(sorted(s, reverse=True), np.int64) for s in sets]
-    got = ngram_join.walk(np.array(probe, np.int64), arrays)
-    assert got == [100 * len(set(probe) & set(s)) >= 85 * len(set(probe) | set(s)) for s in sets]
+@given(st.lists(st.lists(st.integers(0, 30), min_size=1, max_size=30, unique=True), min_size=1, max_size=12), st.lists(st.integers(0, 3), min_size=12, max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_prefix_tree_joins_what_is_linked(sets, given_labels):
+    tree = ngram_join.Tree([np.array(sorted(s), np.int64) for s in sets])
+    own = [set(s.tolist()) for s in tree.leaves]
+    assert [set(sets[i]) for i in tree.order] == own
+    labels = np.array(given_labels[: len(sets)])
+    near = lambda i, j: 100 * len(own[i] & own[j]) >= 85 * len(own[i] | own[j])
+    want = list(labels)
+    for i in range(len(own)):
+        for j in range(i):
+            if near(i, j):
+                want = [want[i] if x == want[j] else x for x in want]
+    links = tree.walk(labels)
+    assert all(near(i, j) for i, j in links)
+    assert [[a == b for b in labels] for a in labels] == [[a == b for b in want] for a in want]
+
+
+def test_prefix_tree_shares_the_paths_of_near_copies():
+    base = list(range(200))
+    sets = [np.array(base[: 150 + k] + [1000 + k], np.int64) for k in range(50)]
+    tree = ngram_join.Tree(sets)
+    # a node for each number of the shared path and an own end for each set, where plain lists have 175 numbers each
+    assert tree.steps == 199 + 50 and sum(map(len, sets)) > 8000
+    assert sum(b - a for _, _, a, b in ngram_join.Tree([np.arange(5), np.arange(5), np.arange(3)]).nodes) == 5
 
 
 def test_components_of_a_chain_and_a_star(spark):
