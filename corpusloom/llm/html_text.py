@@ -6,22 +6,28 @@ after it, whether it is a heading, and what kind of container it stands in; a
 decision tree (CART, Gini) grown here on the small labelled table LABELLED
 decides which blocks are article text.
 
+The scanner is linear in the page: a tag ends at the next '<' outside quotes at
+the latest, and is text then.
+
 Defined results: null html is empty; a page without article blocks gives an
 empty text; equal pages give equal texts; broken markup (unclosed or stray tags,
-unended comments) is read as far as it goes; further columns pass through
-``extract`` untouched; an empty table gives an empty result.
+unended comments) is read as far as it goes; ``extract`` leaves the html column
+out and puts the text in the column named for it, in the place of an old one of
+that name; all other columns pass through untouched; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import importable
+from corpusloom.llm.common import fresh, importable
 
 # fixed values: HTML element names by their role
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video title textarea select option button datalist".split())
@@ -34,7 +40,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|menu|nav\w*|breadcrumbs?|sidebar|side|widget|footer|header|masthead"
     r"|social|share|sharing|related|recommend\w*|comments?|disqus|replies|reply|respond|pagination|pager|search|toolbar|copyright|legal|disclaimer|complementary|contentinfo|navigation)(?:$|[\s_-]|\d)", re.I)
-PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+ENDLESS = re.compile(r"<!--|<!\[CDATA\[")
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
@@ -46,6 +53,7 @@ def blocks(page: str | None) -> list[tuple[str, int, float, bool, bool, bool]]:
     page = page or ""
     out: list[tuple[str, int, float, bool, bool, bool]] = []
     stack: list[tuple[str, bool]] = []  # open containers; whether each holds boilerplate
+    named: Counter[str] = Counter()  # and how many of each name
     state = {"link": 0, "heading": False, "bad": 0, "article": 0}
     parts: list[str] = []
     linked: list[str] = []
@@ -66,12 +74,15 @@ def blocks(page: str | None) -> list[tuple[str, int, float, bool, bool, bool]]:
             if state["link"]:
                 linked.append(page[a:b])
 
-    at = 0
-    while m := PIECE.search(page, at):
+    # behind the last '>' there is no tag, and a comment without end has the rest
+    at, last = 0, page.rfind(">") + 1
+    while m := PIECE.search(page, at, last):
         text(at, m.start())
         at = m.end()
         name = m[2]
         if name is None:
+            if at == last and ENDLESS.match(m[0]) and not m[0].endswith(("-->", "]]>")):
+                at = len(page)
             continue
         name = name.lower()
         if name in SKIPPED and not m[1]:
@@ -97,9 +108,10 @@ def blocks(page: str | None) -> list[tuple[str, int, float, bool, bool, bool]]:
             if not m[3]:
                 continue
         if m[1]:
-            if any(k == name for k, _ in stack):
+            if named[name]:
                 while stack:
                     k, bad = stack.pop()
+                    named[k] -= 1
                     state["bad"] -= bad
                     state["article"] -= k in ARTICLE
                     if k == name:
@@ -111,9 +123,11 @@ def blocks(page: str | None) -> list[tuple[str, int, float, bool, bool, bool]]:
         if name == "p" and not bad:
             continue
         stack.append((name, bad))
+        named[name] += 1
         state["bad"] += bad
         state["article"] += name in ARTICLE
-    text(at, len(page))
+    rest = ENDLESS.search(page, at)
+    text(at, rest.start() if rest else len(page))
     end()
     return out
 
@@ -208,4 +222,5 @@ def extract(pages: DataFrame, html: str = "html", to: str = "text") -> DataFrame
 
         return pd.Series([main_text(x) for x in column], dtype=object)
 
-    return pages.withColumn("ht_text", text(F.coalesce(F.col(html), F.lit("")))).drop(html, to).withColumnRenamed("ht_text", to)
+    made = fresh(pages, "ht_text")
+    return pages.withColumn(made, text(F.coalesce(F.col(html), F.lit("")))).drop(html, to).withColumnRenamed(made, to)
