@@ -14,10 +14,13 @@ indexed. The window's width isn't guessed: at most CALIBRATED queries are
 answered by brute force over all rows, and the window is the one that holds the
 share TARGET of their true neighbours. Where vectors have no structure at all,
 such as uniform directions in 64 dimensions, this honestly gives wide windows.
+The share that the window held is returned with the answers.
 
 Equal vectors are one group that keeps its TOP + 1 smallest ids, as no answer
-can need more. A window is cut in blocks of BLOCK rows and queries in chunks, so
-no task holds more than a block and a chunk.
+can need more. An order is cut in blocks about as long as the window reaches,
+between LEAST_BLOCK and BLOCK rows, and queries in chunks, so no task holds more
+than a block and a chunk; within them a query is compared with the rows of its
+window only.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do those of another length than the most frequent
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import importable, shuffle_parts, written
 
 TOP, CURVES, DIMENSIONS, BITS = 20, 4, 6, 10
-SAMPLE, CALIBRATED, TARGET, BLOCK, CHUNK = 4_000, 128, 0.95, 16_384, 4_096
+SAMPLE, CALIBRATED, TARGET, LEAST_BLOCK, BLOCK, CHUNK, AT_ONCE = 4_000, 128, 0.95, 1_024, 65_536, 4_096, 128
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -173,57 +176,67 @@ def truth(vectors: DataFrame, queries, n: int):
     return found.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= n).select("q", "gid").toPandas()
 
 
-def window(vectors: DataFrame, placed: DataFrame, target: float) -> int:
-    """Rows on either side of a query that hold the target share of true neighbours in at least one order."""
+def window(vectors: DataFrame, placed: DataFrame, target: float) -> tuple[int, float]:
+    """Rows on either side of a query that hold the target share of true neighbours in at least one order, and the share that they do hold."""
     spark = vectors.sparkSession
     queries = vectors.where("asked").orderBy(F.xxhash64("gid")).limit(CALIBRATED).select("gid", "v").toPandas()
     if not len(queries):
-        return 0
+        return 0, 1.0
     true = truth(vectors, queries, TOP)
     if not len(true):
-        return 0
+        return 0, 1.0
     pairs = F.broadcast(spark.createDataFrame(true[["q", "gid"]].drop_duplicates()))  # CALIBRATED x TOP rows
     asked = placed.where("asked").select(F.col("gid").alias("q"), "curve", F.col("place").alias("q_place"))
     near = placed.where("not asked").select("gid", "curve", "place").join(pairs, "gid").join(F.broadcast(asked.join(F.broadcast(spark.createDataFrame(queries[["gid"]].rename(columns={"gid": "q"}))), "q")), ["q", "curve"])
     gap = near.groupBy("q", "gid").agg(F.min(F.abs(F.col("place") - F.col("q_place"))).alias("gap")).toPandas()["gap"].to_numpy()
-    return int(np.quantile(gap, target, method="higher"))
+    reach = int(np.quantile(gap, target, method="higher"))
+    return reach, float((gap <= reach).mean())
 
 
 def nearest(embeddings: DataFrame, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", target: float = TARGET) -> DataFrame:
-    """(query_id, rank, vec_id, score) for every row whose id is divisible by ``every``."""
+    """(query_id, rank, vec_id, score, recall_measured) for every row whose id is divisible by ``every``."""
     spark = embeddings.sparkSession
     importable(spark)
     vectors = groups(embeddings, every, vec_id, embedding)
     sample = vectors.orderBy(F.xxhash64("gid")).limit(SAMPLE).select("v").toPandas()["v"]
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, recall_measured double"
     if not len(sample):
         return spark.createDataFrame([], schema)
     longest = vectors.select(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     placed = places(vectors, Curves(np.stack(sample), float(longest)))
-    reach = window(vectors, placed, target)
+    reach, held = window(vectors, placed, target)
+    block = min(max(reach, LEAST_BLOCK), BLOCK)
     queries = vectors.where("asked").count()
     per_curve = vectors.count() + queries
-    chunks = max(1, -(-queries * min(per_curve, 2 * reach + BLOCK) // per_curve // CHUNK))
+    chunks = max(1, -(-queries * min(per_curve, 2 * reach + block) // per_curve // CHUNK))
     start = F.col("curve").cast("long") * per_curve
     rank = F.col("place") - start
-    rows = placed.where("not asked").withColumn("block", F.floor(rank / BLOCK)).join(vectors.select("gid", "v", "least"), "gid")
-    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select("curve", "block", "chunk", "gid", "least", "v")
-    first, last = F.floor(F.greatest(rank - reach, F.lit(0)) / BLOCK), F.floor(F.least(rank + reach, F.lit(per_curve - 1)) / BLOCK)
-    asked = placed.where("asked").withColumn("block", F.explode(F.sequence(first, last))).withColumn("chunk", F.pmod(F.xxhash64("gid"), F.lit(chunks)).cast("int"))
-    asked = asked.join(vectors.select("gid", "v"), "gid").select(F.col("curve").alias("q_curve"), F.col("block").alias("q_block"), F.col("chunk").alias("q_chunk"), F.col("gid").alias("q"), F.col("v").alias("q_v"))
+    rows = placed.where("not asked").withColumn("block", F.floor(rank / block)).withColumn("at", rank).join(vectors.select("gid", "v", "least"), "gid")
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select("curve", "block", "chunk", "at", "gid", "least", "v")
+    first, last = F.floor(F.greatest(rank - reach, F.lit(0)) / block), F.floor(F.least(rank + reach, F.lit(per_curve - 1)) / block)
+    asked = placed.where("asked").withColumn("at", rank).withColumn("block", F.explode(F.sequence(first, last))).withColumn("chunk", F.pmod(F.xxhash64("gid"), F.lit(chunks)).cast("int"))
+    asked = asked.join(vectors.select("gid", "v"), "gid").select(F.col("curve").alias("q_curve"), F.col("block").alias("q_block"), F.col("chunk").alias("q_chunk"), F.col("at").alias("q_at"), F.col("gid").alias("q"), F.col("v").alias("q_v"))
 
     def near(left, right):
         import pandas as pd
 
         out = []
         if len(left) and len(right):
-            x, gid, least = np.stack(left["v"]), left["gid"].to_numpy(), left["least"].to_numpy()
-            q, own = np.stack(right["q_v"]), right["q"].to_numpy()
-            for a in range(0, len(q), 512):
-                s = q[a : a + 512] @ x.T
-                b = best(s, least, TOP + 1)
-                i, j = np.nonzero(b >= 0)
-                out.append(pd.DataFrame({"q": own[a + i], "gid": gid[b[i, j]], "least": least[b[i, j]], "score": s[i, b[i, j]]}))
+            left, right = left.sort_values("at"), right.sort_values("q_at")
+            x, gid, least, at = np.stack(left["v"]), left["gid"].to_numpy(), left["least"].to_numpy(), left["at"].to_numpy()
+            q, own, q_at = np.stack(right["q_v"]), right["q"].to_numpy(), right["q_at"].to_numpy()
+            for a in range(0, len(q), AT_ONCE):
+                mine = q_at[a : a + AT_ONCE]
+                # neighbouring queries look at one run of rows, each at its own window of it
+                low, high = np.searchsorted(at, mine[0] - reach), np.searchsorted(at, mine[-1] + reach, side="right")
+                if low == high:
+                    continue
+                s = q[a : a + AT_ONCE] @ x[low:high].T
+                s[np.abs(at[None, low:high] - mine[:, None]) > reach] = -np.inf
+                b = best(s, least[low:high], TOP + 1)
+                i, j = np.nonzero((b >= 0) & (np.take_along_axis(s, b, 1) > -np.inf))
+                found = b[i, j]
+                out.append(pd.DataFrame({"q": own[a + i], "gid": gid[low + found], "least": least[low + found], "score": s[i, found]}))
         return pd.concat(out) if out else pd.DataFrame({"q": np.zeros(0, "i8"), "gid": np.zeros(0, "i8"), "least": np.zeros(0, "i8"), "score": np.zeros(0)})
 
     found = rows.groupBy("curve", "block", "chunk").cogroup(asked.groupBy("q_curve", "q_block", "q_chunk")).applyInPandas(near, "q long, gid long, least long, score double")
@@ -237,4 +250,4 @@ def nearest(embeddings: DataFrame, every: int = 20, vec_id: str = "vec_id", embe
     members = embeddings.select(F.col(vec_id).cast("long").alias("query_id"), F.col(embedding).cast("array<double>").alias("v")).where(F.col("query_id") % every == 0).distinct()
     answers = members.join(vectors.where("asked").select("v", F.col("gid").alias("q")), "v").join(lists, "q")
     own = F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("query_id")), 1, TOP)
-    return answers.select("query_id", F.posexplode(own).alias("i", "x")).select("query_id", (F.col("i") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    return answers.select("query_id", F.posexplode(own).alias("i", "x")).select("query_id", (F.col("i") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"), F.lit(held).alias("recall_measured"))
