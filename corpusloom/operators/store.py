@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 TTL_SECONDS = 604_800
 CAPACITY = 1_000
@@ -78,34 +78,73 @@ def search_index(index: DataFrame, query: list[str], key: str) -> DataFrame:
     return index.where(F.col("term").isin(*wanted)).groupBy(key).agg(F.count_distinct("term").alias("n")).where(F.col("n") == len(wanted)).select(key)
 
 
-def lru(accesses: DataFrame, shard: str, key: str, order: str, capacity: int = CAPACITY) -> DataFrame:
+def lru(accesses: DataFrame, shard: str, key: str, order: str, capacity: int = CAPACITY, parts: int | None = None) -> DataFrame:
     """accesses with hit: an LRU cache per shard, replayed in order.
 
-    A replay is sequential within one cache by nature; shards run in parallel.
-    Rows stream through a sorted partition and the state is one ordered dict of
-    at most ``capacity`` keys, so a shard needs no memory for its rows."""
-    from corpusloom.session import importable
-
-    importable(accesses.sparkSession)
+    Accesses are cut in parts by ranges of (shard, order), so a frequent shard has
+    many. What a cache holds when a part begins is the capacity's last different
+    keys before it, and these follow from the last keys of each part: aggregates
+    and a row per part and kept key. So all parts are replayed at once, each from
+    its state, by streaming a sorted partition. Rows with a null shard are a shard."""
+    from corpusloom.session import importable, written
+
+    spark = accesses.sparkSession
+    importable(spark)
+    parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = accesses.repartitionByRange(parts, shard, order).sortWithinPartitions(shard, order)
+    own = written(own.withColumn("st_part", F.spark_partition_id()), "accesses")
+    # the last different keys of the shard that a part ends with, the latest first
+    after = F.lead("st_part").over(Window.orderBy("st_part"))  # a row per part
+    ends = own.groupBy("st_part").agg(F.max(F.struct(shard)).alias("st_end")).select("st_part", F.col(f"st_end.{shard}").alias("st_shard"), after.alias("st_next")).where("st_next IS NOT NULL")
+    last = own.groupBy("st_part", F.col(shard).alias("st_shard"), F.col(key).alias("st_key")).agg(F.max(order).alias("st_at"))
+    last = last.join(ends, (last["st_part"] == ends["st_part"]) & last["st_shard"].eqNullSafe(ends["st_shard"])).select(last["st_part"], last["st_shard"], "st_next", "st_key", "st_at")
+    nth = F.row_number().over(Window.partitionBy("st_part").orderBy(F.desc("st_at")))
+    last = last.withColumn("st_nth", nth).where(F.col("st_nth") <= capacity)
+    state = StructType([StructField("st_part", IntegerType()), StructField("st_seq", LongType()), StructField(key, accesses.schema[key].dataType)])
+
+    def states(_, rows):
+        """What the parts after these begin with: the keys of a shard's parts so far, the latest last."""
+        import pandas as pd
+
+        held, out = {}, []
+        for part, new in rows.sort_values(["st_part", "st_nth"], ascending=[True, False]).groupby("st_next", sort=False):
+            for k in new["st_key"]:
+                held.pop(k, None)
+                held[k] = True
+            for k in list(held)[: max(0, len(held) - capacity)]:
+                del held[k]
+            out += [(part, i, k) for i, k in enumerate(held)]
+        return pd.DataFrame(out, columns=["st_part", "st_seq", key])
+
+    begins = own.groupBy("st_part").agg(F.min(F.struct(shard)).alias("b")).select(F.col("st_part").alias("st_begin"), F.col(f"b.{shard}").alias("st_first"))
+    # a part takes over only what the part before it left of the same shard
+    known = last.groupBy("st_shard").applyInPandas(lambda k, rows: states(k, rows).assign(st_shard=k[0]), StructType([*state.fields, StructField("st_shard", accesses.schema[shard].dataType)]))
+    known = known.join(begins, (known["st_part"] == begins["st_begin"]) & known["st_shard"].eqNullSafe(begins["st_first"])).select("st_part", "st_seq", key, F.col("st_shard").alias(shard))
+    flow = own.withColumn("st_seq", F.lit(None).cast("long")).unionByName(known, allowMissingColumns=True)
     schema = StructType([*accesses.schema.fields, StructField("hit", BooleanType())])
 
+    columns = [*accesses.columns, "hit"]
+
     def replay(batches):
         from collections import OrderedDict
 
-        cache, now = OrderedDict(), object()
+        cache, now = OrderedDict(), None
         for rows in batches:
             hits = []
-            for s, k in zip(rows[shard], rows[key], strict=True):
-                if s != now:
-                    cache, now = OrderedDict(), s
+            for part, s, k in zip(rows["st_part"], rows[shard], rows[key], strict=True):
+                place = (part, None if s != s else s)
+                if place != now:
+                    cache, now = OrderedDict(), place
                 hits.append(k in cache)
                 cache[k] = True
                 cache.move_to_end(k)
                 if len(cache) > capacity:
                     cache.popitem(last=False)
-            yield rows.assign(hit=hits)
+            rows = rows.assign(hit=hits)
+            yield rows[rows["st_seq"].isna()][columns]
 
-    return accesses.repartition(shard).sortWithinPartitions(shard, order).mapInPandas(replay, schema)
+    in_order = flow.repartition(parts, "st_part").sortWithinPartitions("st_part", F.col(shard), F.col("st_seq").asc_nulls_last(), order)
+    return in_order.mapInPandas(replay, schema)
 
 
 def ttl_hits(accesses: DataFrame, key: str, ts: str, tie: str, ttl: int = TTL_SECONDS) -> DataFrame:

@@ -264,3 +264,24 @@ def test_yaml_of_nothing(spark, tmp_path):
     (tmp_path / "b.yaml").write_text("categories: {vowel: [one, {name: x}]}\n")
     rows = corpus.read_sections(spark, str(tmp_path)).collect()
     assert [(r.category, [(e.name, e.rule) for e in r.entries]) for r in rows] == [("vowel", [("", "one"), ("x", "")])]
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 50])
+def test_lru_of_a_frequent_shard_in_many_parts(spark, capacity):
+    import random
+    from collections import OrderedDict
+
+    rng = random.Random(capacity)
+    rows = [(i, rng.choice(["a"] * 8 + ["b", None]), min(rng.randrange(40), rng.randrange(40))) for i in range(900)]
+    rng.shuffle(rows)
+    own = spark.createDataFrame(rows, "id long, shard string, k int")
+    got = {r.id: r.hit for r in store.lru(own, "shard", "k", "id", capacity, parts=7).collect()}
+    caches, want = {}, {}
+    for i, s, k in sorted(rows):
+        cache = caches.setdefault(s, OrderedDict())
+        want[i] = k in cache
+        cache[k] = True
+        cache.move_to_end(k)
+        if len(cache) > capacity:
+            cache.popitem(last=False)
+    assert got == want
