@@ -3,7 +3,17 @@ mixing sources to target weights and best-fit packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all documents that its
 predecessor kept; run() writes each stage's result as Parquet in the shared
-folder and rereads it. All stages but the last return the columns of documents.
+folder and rereads it. All stages but the last return the columns of documents,
+whatever their names, and rows of these alone.
+
+Defined results: an empty table of documents gives an empty result; without two
+different grades among the labels the classifier keeps all. A null text is an
+empty one to every stage and stays null until it is packed; it is classified as
+such, links with nothing, is mixed as 0 words and packed as its end id. A null
+doc_id comes after all others, a null source is a source of its own. Repeated
+rows are classified and cut alike; of those with words, the n-gram join keeps
+one. Copies that the mix repeats are rows of their own to the packing, told apart
+by their sequence and offset only.
 """
 
 from __future__ import annotations
