@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import importable, shared_dir, table  # noqa: F401
+from corpusloom.session import importable, shared_dir, table, written  # noqa: F401
 
 #: a word, wherever an operator's contract says words
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df cut from its lineage: written as Parquet in the shared folder and read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def whole(c: Column) -> Column:
     """A null text counts as empty."""
     return F.coalesce(c, F.lit(""))

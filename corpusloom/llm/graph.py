@@ -9,7 +9,7 @@ from corpusloom.llm.common import written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of edges (a, b), equal within a component.
+    """(node, label) of every node of edges (a, b), equal within a component; edges with a null end and from a node to itself are left out, repeated ones count once.
 
     Each round every node joins the first of itself and its neighbours in an
     order that is drawn anew, edges are contracted, and what is left shrinks by a

@@ -8,7 +8,8 @@ Targets are a capped proportional split of ``share`` x all tokens. A source that
 would exceed ``cap`` x its own size stops there and its excess is dealt again by
 weight; the fixed point has a closed form over the sources sorted by cap/weight,
 so no loop and no driver state is needed. Only the table of sources, one row
-each, goes through a single sorted window.
+each, goes through a single sorted window, in one task: some millions of sources
+are fine, a source per document is not what this is for.
 
 Defined results: null or empty text has size 0 and is taken 0 words; a null
 source is a source of its own, sorted last; repeated rows are decided alike
