@@ -69,13 +69,19 @@ def prefix_length(n):
     return n - (4 * n + 4) // 5 + 1
 
 
-def lines_of(ids, buf: np.ndarray, ends: np.ndarray, order: np.ndarray):
-    """(doc, place, size, words, starts) of all lines with words; the distinct words of a line are together, rarest first by the table order."""
+def lines_of(ids, buf: np.ndarray, ends: np.ndarray, order: np.ndarray, only: np.ndarray | None = None):
+    """(doc, place, size, words, starts) of all lines with words; the distinct words of a line are together, rarest first by the table order.
+
+    only: a bitmap of words; lines without any of them are left out."""
     first, h = hashed_words(buf, WHITE, wide=True)
     line_ends = np.flatnonzero(buf == 10)
     doc_lines = np.diff(np.searchsorted(line_ends, ends - 1, side="right"), prepend=0)
     of_line = np.diff(np.searchsorted(first, line_ends), prepend=0)
     line = np.repeat(np.arange(len(line_ends)), of_line)
+    if only is not None:
+        some = np.zeros(len(line_ends), bool)
+        some[line[marked_in(only, (h % np.uint64(BITMAP)).astype(np.int64))]] = True
+        h, line = h[some[line]], line[some[line]]
     rarity = order[(h & np.uint64(COUNTS - 1)).astype(np.int64)].astype(np.uint64)
     key = (rarity << np.uint64(KEY_BITS)) | (h >> np.uint64(64 - KEY_BITS))
     if len(line_ends) < 1 << (56 - KEY_BITS):
@@ -413,7 +419,7 @@ def looked_up(docs: DataFrame, order, hot: dict[int, int], parts: int, asked: Da
 
         held, n = [], 0
         for ids, buf, ends in buffers(batches, lowered):
-            doc, place, size, words, starts = lines_of(ids, buf, ends, order.value)
+            doc, place, size, words, starts = lines_of(ids, buf, ends, order.value, rare.value)
             p = np.where(size >= JOINED, prefix_length(size), 0)
             word, line = runs(words, starts, p), np.repeat(np.arange(len(size)), p)
             own = np.flatnonzero(marked_in(rare.value, (word % np.uint64(BITMAP)).astype(np.int64)))
