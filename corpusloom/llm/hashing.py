@@ -11,8 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: bytes of texts that are put in one buffer; words beyond LONG bytes are hashed one by one
-BUFFER, LONG = 1 << 20, 1 << 10
+#: bytes of texts that are put in one buffer; words beyond LONG bytes are hashed one by one; rows that are Python objects at a time
+BUFFER, LONG, AT_ONCE = 1 << 20, 1 << 10, 500
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 #: bytes that end a word: the six ASCII blanks, and what str.split takes besides in ASCII
 BLANKS = np.zeros(256, bool)
@@ -100,45 +100,46 @@ def lowered(text: bytes) -> bytes:
 
 def buffers(batches, fold, at_most: int = 1 << 30) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(ids, buffer, ends) of Arrow batches (id, text): about BUFFER bytes of folded texts, each followed by a line end, at most at_most texts in one; ends are the places after these. Nulls count as empty."""
-    import pyarrow as pa
-
     ids, held, size = [], [], 0
 
     def made():
         data = np.frombuffer(b"\n".join([*held, b""]), np.uint8)
         return ids, data, np.cumsum(np.fromiter(map(len, held), np.int64, len(held)) + 1)
 
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            ids.append(key)
-            held.append(fold(text) if text else b"")
-            size += len(held[-1]) + 1
-            if size >= BUFFER or len(held) >= at_most:
-                yield made()
-                ids, held, size = [], [], 0
+    for key, text in pairs_of(batches):
+        ids.append(key)
+        held.append(fold(text) if text else b"")
+        size += len(held[-1]) + 1
+        if size >= BUFFER or len(held) >= at_most:
+            yield made()
+            ids, held, size = [], [], 0
     if held:
         yield made()
 
 
+def pairs_of(batches) -> Iterator[tuple]:
+    """(id, text in UTF-8 or None) of Arrow batches, a few rows of a batch at a time as Python objects."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            part = batch.slice(at, AT_ONCE)
+            yield from zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True)
+
+
 def runs(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """values[start : start + length] of all, joined."""
     return values[np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
 
 
 class Tally:
-    """Counts of small numbers in a table of fixed size; numbers are gathered first, as a pass over the table costs more than they do."""
+    """Counts of small numbers in a table of fixed size."""
 
     def __init__(self, size: int) -> None:
-        self.total, self.held, self.n = np.zeros(size, np.int32), [], 0
+        self.total = np.zeros(size, np.int32)
 
     def add(self, numbers: np.ndarray) -> None:
-        self.held.append(numbers)
-        self.n += len(numbers)
-        if self.n > max(1 << 20, len(self.total) // 2):
-            self.counts()
+        np.add.at(self.total, numbers, np.int32(1))
 
     def counts(self) -> np.ndarray:
-        if self.held:
-            self.total += np.bincount(np.concatenate(self.held), minlength=len(self.total)).astype(np.int32)
-            self.held, self.n = [], 0
         return self.total

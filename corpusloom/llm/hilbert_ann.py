@@ -12,7 +12,7 @@ to the longest one's length; queries are lifted to 0 there.
 The rotation's scale is fitted on at most SAMPLE vectors. Every vector is
 indexed. The window's width isn't guessed: at most CALIBRATED queries are
 answered by brute force over all rows, and the window is the one that holds the
-share TARGET of their true neighbours. Where vectors have no structure at all,
+share TARGET of their true neighbours, LEAST_REACH rows at least. Where vectors have no structure at all,
 such as uniform directions in 64 dimensions, this honestly gives wide windows.
 The share that the window held is returned with the answers.
 
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import importable, shuffle_parts, written
 
 TOP, CURVES, DIMENSIONS, BITS = 20, 4, 6, 10
-SAMPLE, CALIBRATED, TARGET, LEAST_BLOCK, BLOCK, CHUNK, AT_ONCE = 4_000, 128, 0.95, 1_024, 65_536, 4_096, 128
+SAMPLE, CALIBRATED, TARGET, LEAST_REACH, LEAST_BLOCK, BLOCK, CHUNK, AT_ONCE = 4_000, 128, 0.95, 512, 1_024, 65_536, 4_096, 128
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -189,7 +189,7 @@ def window(vectors: DataFrame, placed: DataFrame, target: float) -> tuple[int, f
     asked = placed.where("asked").select(F.col("gid").alias("q"), "curve", F.col("place").alias("q_place"))
     near = placed.where("not asked").select("gid", "curve", "place").join(pairs, "gid").join(F.broadcast(asked.join(F.broadcast(spark.createDataFrame(queries[["gid"]].rename(columns={"gid": "q"}))), "q")), ["q", "curve"])
     gap = near.groupBy("q", "gid").agg(F.min(F.abs(F.col("place") - F.col("q_place"))).alias("gap")).toPandas()["gap"].to_numpy()
-    reach = int(np.quantile(gap, target, method="higher"))
+    reach = max(LEAST_REACH, int(np.quantile(gap, target, method="higher")))
     return reach, float((gap <= reach).mean())
 
 

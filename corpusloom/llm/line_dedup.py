@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import bitmap_of, fresh, importable, numbered, pack, parts_for, ranks_of, table_rows, unpacked, written
-from corpusloom.llm.hashing import STEP, WHITE, Tally, buffers, hashed_words, lowered, mixed, runs
+from corpusloom.llm.hashing import AT_ONCE, STEP, WHITE, Tally, buffers, hashed_words, lowered, mixed, runs
 from corpusloom.llm.parity import Shape, Sketches, partners
 
 #: the smallest set that matches a set unlike it: four words and five
@@ -314,7 +314,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def texts(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
             own = batch.column(1).cast(pa.binary()).to_pylist()
             n = np.fromiter((x.count(b"\n") + 1 if x else 0 for x in own), np.int64, len(own))
             row = np.repeat(np.arange(len(own)), n)

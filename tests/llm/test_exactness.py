@@ -181,6 +181,7 @@ def test_line_dedup_of_long_lines_and_clashing_names(spark):
 
 def test_nearest_compares_windows_and_tells_its_recall(spark, monkeypatch):
     monkeypatch.setattr(hilbert_ann, "LEAST_BLOCK", 16)
+    monkeypatch.setattr(hilbert_ann, "LEAST_REACH", 1)
     rng = np.random.default_rng(3)
     x = (rng.standard_normal((40, 8)) * 4)[rng.integers(0, 40, 2500)] + rng.standard_normal((2500, 8)) * 0.1
     rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]

@@ -168,6 +168,7 @@ def test_nearest_of_few_or_no_vectors(spark):
 
 def test_nearest_recall_with_narrow_windows(spark, monkeypatch):
     monkeypatch.setattr(hilbert_ann, "LEAST_BLOCK", 128)
+    monkeypatch.setattr(hilbert_ann, "LEAST_REACH", 1)
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((60, 16)) * 3
     x = centres[rng.integers(0, 60, 4000)] + rng.standard_normal((4000, 16)) * 0.3
