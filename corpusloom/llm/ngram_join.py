@@ -7,10 +7,10 @@ their counts over all documents (in hash buckets).
 1. Documents of equal sets are one class, found first within a task.
 2. Linked sets share one of their n - ceil(0.85 n) + 1 rarest shingles, so each
    class sends these to the tasks of the shingles, each with its place in the
-   order and a parity sketch of the set. A class stays in a group only if another
-   one there is near in length, can have the overlap by both places, and differs
-   in no more cells than the bound allows. The whole sets of these classes are
-   stored once.
+   order. Where another class of near length comes too, a parity sketch of the set
+   follows. A class stays in a group only if another one there can have the
+   overlap by both places, and differs in no more cells than the bound allows.
+   The whole sets of these classes are stored once.
 3. What is left falls into groups that no shared prefix shingle connects. A
    group's sets are put in a prefix tree, most frequent shingles first, so that
    near copies share their paths. One preorder traversal carries the overlap with
@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, bitmap_of, fresh, importable, numbered, pack, parts_for, ranks_of, table_rows, unpacked, written
+from corpusloom.llm.common import WORD, bitmap_of, fresh, importable, numbered, pack, parts_for, ranks_of, table_rows, unpack, unpacked, written
 from corpusloom.llm.graph import components
 from corpusloom.llm.hashing import LOWER, Tally, buffers, hashed_words, mixed, runs
 from corpusloom.llm.parity import Shape, Sketches, partners
@@ -50,7 +50,7 @@ N, SHARE = 4, 85
 #: bits of a shingle; texts in one buffer (what is left of 64 bits); buckets of the counts
 BITS, TEXTS, COUNTS = 56, 256, 1 << 24
 #: sets and shingles of one prefix tree at most; shingles a group of tasks; shingles held by a task before it sends them
-GROUP_SETS, GROUP_SHINGLES, TASK_SHINGLES, FLUSH_SHINGLES = 4_096, 2_000_000, 4_000_000, 2_000_000
+GROUP_SETS, GROUP_SHINGLES, TASK_SHINGLES, FLUSH_SHINGLES = 4_096, 2_000_000, 2_000_000, 1_500_000
 BITMAP = 1 << 25
 #: a cell for every two shingles; neighbours by length that all look at; pairs at once
 SKETCH, NEIGHBOURS, PAIRS_AT_ONCE = Shape(128, 8), 32, 500_000
@@ -284,42 +284,51 @@ def entries(docs: DataFrame, order, parts: int) -> tuple[DataFrame, DataFrame]:
         first = np.ones(len(by), bool)
         first[1:] = (k1[by][1:] != k1[by][:-1]) | (k2[by][1:] != k2[by][:-1])
         cid = doc[by][np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
-        out = [(key[0], 1, pack(doc[by], cid, size[by]))]
         # some member of each class has the prefix with it: the first of each task does
         group, at = np.cumsum(first) - 1, np.flatnonzero(has[by])[::-1]
         holder = np.empty(group[-1] + 1, np.int64)
         holder[group[at]] = by[at]
+        out = [(key[0], 1, pack(doc[by], cid, size[by], runs(sketch, s_starts[holder], wide[holder])))]
         word, line = runs(prefix, starts[holder], p[holder]).view(np.int64), np.repeat(np.arange(len(holder)), p[holder])
         position = (np.arange(len(line)) - np.repeat(np.cumsum(p[holder]) - p[holder], p[holder])).astype(np.int32)
         bucket = (mixed(word.view(np.uint64), 9) % np.uint64(parts)).astype(np.int64)
         by = np.lexsort((word, bucket))
         for x in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
-            own = holder[line[x]]
-            out.append((int(bucket[x[0]]), 0, pack(word[x], cid[first][line[x]], size[own], position[x], runs(sketch, s_starts[own], wide[own]))))
+            out.append((int(bucket[x[0]]), 0, pack(word[x], cid[first][line[x]], size[holder[line[x]]], position[x])))
         return pd.DataFrame(out, columns=["b", "kind", "blob"])
 
     def shared(key, rows):
         import pandas as pd
 
-        frames = [pd.DataFrame({"kind": [], "x": [], "cid": [], "n": []}).astype("i8")]
-        for kind in (0, 1):
-            own = rows["blob"][rows["kind"] == kind]
-            if len(own):
-                x, cid, n, *rest = unpacked(own, 3 if kind else 5)
-                if kind == 0:
-                    _, inverse, number = np.unique(x, return_inverse=True, return_counts=True)
-                    wide = SKETCH.lengths(n)
-                    starts = np.cumsum(wide) - wide
-                    by = np.lexsort((n, x))
-                    by = by[number[inverse[by]] > 1]
-                    by = by[met(x[by], n[by], rest[0][by].astype(np.int64), runs(rest[1], starts[by], wide[by]))]
-                    x, cid, n = x[by], cid[by], n[by]
-                frames.append(pd.DataFrame({"kind": np.full(len(x), kind), "x": x, "cid": cid, "n": n}))
+        frames = [pd.DataFrame({"kind": [], "x": [], "cid": [], "n": [], "position": []}).astype("i8").assign(sketch=pd.Series([], dtype=object))]
+        own = rows["blob"][rows["kind"] == 0]
+        if len(own):
+            word, cid, n, position = unpacked(own, 4)
+            by = np.lexsort((n, word))
+            word, cid, n, position = word[by], cid[by], n[by].astype(np.int64), position[by]
+            # sizes ascend within a word, so a neighbour is the nearest in length
+            near = (word[1:] == word[:-1]) & (100 * n[:-1] >= SHARE * n[1:])
+            keep = np.append(near, False) | np.insert(near, 0, False)
+            frames.append(pd.DataFrame({"kind": 0, "x": word[keep], "cid": cid[keep], "n": n[keep], "position": position[keep].astype(np.int64), "sketch": None}))
+        for blob in rows["blob"][rows["kind"] == 1]:
+            doc, cid, n, sketch = unpack(blob, 4)
+            ends = np.cumsum(SKETCH.lengths(n[doc == cid]))
+            made = np.full(len(doc), None, object)
+            made[doc == cid] = [x.tobytes() for x in np.split(sketch, ends[:-1])]
+            frames.append(pd.DataFrame({"kind": 1, "x": doc, "cid": cid, "n": n, "position": 0, "sketch": made}))
         return pd.concat(frames)
 
-    found = docs.mapInArrow(sets, schema).groupBy("b").applyInPandas(classes, schema).groupBy("b").applyInPandas(shared, "kind int, x long, cid long, n long")
+    def differing(key, rows):
+        rows = rows.sort_values(["word", "n"])
+        keep = met(rows["word"].to_numpy(), rows["n"].to_numpy(), rows["position"].to_numpy(), np.frombuffer(b"".join(rows["sketch"]), np.uint64))
+        return rows.loc[keep, ["word", "cid", "n"]]
+
+    found = docs.mapInArrow(sets, schema).groupBy("b").applyInPandas(classes, schema).groupBy("b").applyInPandas(shared, "kind int, x long, cid long, n long, position long, sketch binary")
     found = written(found, "shingles")
-    return found.where("kind = 1").select(F.col("x").alias("lid"), "cid", "n"), found.where("kind = 0").select(F.col("x").alias("word"), "cid", "n")
+    sketches = found.where("kind = 1 and x = cid").select("cid", "sketch")
+    together = found.where("kind = 0").select(F.col("x").alias("word"), "cid", "n", "position").join(sketches, "cid").withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(parts)))
+    left = written(together.groupBy("bucket").applyInPandas(differing, "word long, cid long, n long"), "prefixes")
+    return found.where("kind = 1").select(F.col("x").alias("lid"), "cid", "n"), left
 
 
 def stored(docs: DataFrame, cids: DataFrame) -> DataFrame:
