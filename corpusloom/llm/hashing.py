@@ -93,6 +93,17 @@ def hashes(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return h
 
 
+def give_back() -> None:
+    """Memory that is free goes back to the system: a worker process lives on, beside others, for tasks of other kinds."""
+    import ctypes
+    import sys
+
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+    if pa := sys.modules.get("pyarrow"):
+        pa.default_memory_pool().release_unused()
+
+
 def lowered(text: bytes) -> bytes:
     """UTF-8 text in lower case by Python's rules; bytes that are no UTF-8 stay."""
     return text.lower() if text.isascii() else text.decode("utf-8", "surrogateescape").lower().encode("utf-8", "surrogateescape")
@@ -115,6 +126,8 @@ def buffers(batches, fold, at_most: int = 1 << 30) -> Iterator[tuple[list, np.nd
             ids, held, size = [], [], 0
     if held:
         yield made()
+    del ids, held
+    give_back()
 
 
 def pairs_of(batches) -> Iterator[tuple]:

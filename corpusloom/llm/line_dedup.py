@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import bitmap_of, fresh, importable, numbered, pack, parts_for, ranks_of, table_rows, unpacked, written
-from corpusloom.llm.hashing import AT_ONCE, STEP, WHITE, Tally, buffers, hashed_words, lowered, mixed, runs
+from corpusloom.llm.hashing import AT_ONCE, STEP, WHITE, Tally, give_back, buffers, hashed_words, lowered, mixed, runs
 from corpusloom.llm.parity import Shape, Sketches, partners
 
 #: the smallest set that matches a set unlike it: four words and five
@@ -262,6 +262,7 @@ def candidates(docs: DataFrame, order, hot: dict[int, int], parts: int) -> DataF
                 if len(x):
                     own = line[x]
                     out.append((int(bucket[x[0]]), 0, pack(word[x], doc[own], place[own], size[own], position[x].astype(np.int32), runs(sketch, s_starts[own], wide[own]))))
+        give_back()
         return pd.DataFrame(out, columns=["b", "kind", "blob"])
 
     def pairs(key, rows):
@@ -284,6 +285,7 @@ def candidates(docs: DataFrame, order, hot: dict[int, int], parts: int) -> DataF
                 more = np.maximum.reduceat(stopped[x] | (doc[y] != doc[np.repeat(y[first], np.diff(first, append=len(x)))]) | (place[y] != place[np.repeat(y[first], np.diff(first, append=len(x)))]), first)
                 x, y, apart = x[first], y[first], apart[first]
                 found.append((doc[x], place[x], doc[y], place[y], apart.astype(np.int32), more))
+        give_back()
         return pd.DataFrame(dict(zip(("x_doc", "x_place", "y_doc", "y_place", "apart", "more"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     own = docs.select("lid", "text").mapInArrow(lines, schema).groupBy("b").applyInPandas(classes, schema)
@@ -460,6 +462,7 @@ def looked_up(docs: DataFrame, order, hot: dict[int, int], parts: int, asked: Da
                 has[mine] = False
                 if (earlier(doc[own[a:b]], place[own[a:b]], doc[r], place[r]) & (5 * both >= 4 * (n[i] + n[a:b] - both))).any():
                     out.add((int(doc[r]), int(place[r])))
+        give_back()
         return pd.DataFrame({"x_doc": pd.Series([d for d, _ in out], dtype="i8"), "x_place": pd.Series([p for _, p in out], dtype="i4")})
 
     return docs.select("lid", "text").mapInArrow(entries, "b int, blob binary").groupBy("b").applyInPandas(overlaps, "x_doc long, x_place int")

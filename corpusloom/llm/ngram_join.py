@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import WORD, bitmap_of, fresh, importable, numbered, pack, parts_for, ranks_of, table_rows, unpack, unpacked, written
 from corpusloom.llm.graph import components
-from corpusloom.llm.hashing import LOWER, Tally, buffers, hashed_words, mixed, runs
+from corpusloom.llm.hashing import LOWER, Tally, buffers, give_back, hashed_words, mixed, runs
 from corpusloom.llm.parity import Shape, Sketches, partners
 
 N, SHARE = 4, 85
@@ -295,6 +295,7 @@ def entries(docs: DataFrame, order, parts: int) -> tuple[DataFrame, DataFrame]:
         by = np.lexsort((word, bucket))
         for x in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
             out.append((int(bucket[x[0]]), 0, pack(word[x], cid[first][line[x]], size[holder[line[x]]], position[x])))
+        give_back()
         return pd.DataFrame(out, columns=["b", "kind", "blob"])
 
     def shared(key, rows):
@@ -316,11 +317,13 @@ def entries(docs: DataFrame, order, parts: int) -> tuple[DataFrame, DataFrame]:
             made = np.full(len(doc), None, object)
             made[doc == cid] = [x.tobytes() for x in np.split(sketch, ends[:-1])]
             frames.append(pd.DataFrame({"kind": 1, "x": doc, "cid": cid, "n": n, "position": 0, "sketch": made}))
+        give_back()
         return pd.concat(frames)
 
     def differing(key, rows):
         rows = rows.sort_values(["word", "n"])
         keep = met(rows["word"].to_numpy(), rows["n"].to_numpy(), rows["position"].to_numpy(), np.frombuffer(b"".join(rows["sketch"]), np.uint64))
+        give_back()
         return rows.loc[keep, ["word", "cid", "n"]]
 
     found = docs.mapInArrow(sets, schema).groupBy("b").applyInPandas(classes, schema).groupBy("b").applyInPandas(shared, "kind int, x long, cid long, n long, position long, sketch binary")

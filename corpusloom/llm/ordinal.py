@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import importable, written
+from corpusloom.llm.hashing import give_back
 
 BUCKETS, MAX_LABELLED, CUT = 1 << 18, 12_000, 0.6
 SCREEN, MIN_DF, RIDGE, STEPS = 3.0, 5, 1e-4, 400
 #: words whose buckets a worker keeps; when full the table starts anew
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 EDGE = re.compile(r"^\W*(.*?)(\W*)$", re.S)
 
 
@@ -160,6 +161,7 @@ def learnt(docs: DataFrame, grades: DataFrame, max_labelled: int = MAX_LABELLED)
         for batch in batches:
             sets = [sorted(tool.of(x.as_py())) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.list_(pa.int32()))], names=["doc_id", "grade", "features"])
+        give_back()
 
     some = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # a bounded table, so it may be broadcast
     rated = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "grade")
@@ -196,6 +198,8 @@ def classified(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
 
         own, tool = Model(weights, thresholds), Buckets(frozenset(weights))
         out = [own.tails(tool.of(t)) for t in texts]
+        del tool
+        give_back()
         return pd.DataFrame({"expected": [sum(t) for t in out], "tail": [t[-1] if t else 1.0 for t in out]}, dtype="float64")
 
     scored = docs.withColumn("ql_score", scores("text"))

@@ -13,10 +13,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-from corpusloom.llm.hashing import BUFFER, LOWER, WHITE, hashes, mixed, runs, wide_white, words_in
+from corpusloom.llm.hashing import BUFFER, LOWER, WHITE, give_back, hashes, mixed, runs, wide_white, words_in
 
 #: words kept per worker process, and parts of words that the library is asked for: all go when there are so many
-KEPT_WORDS, KEPT_PARTS = 500_000, 100_000
+KEPT_WORDS, KEPT_PARTS = 200_000, 50_000
 #: signs that end a word; no apostrophe, which may begin a pre-token, and nothing of a special token's name
 TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
@@ -206,6 +206,8 @@ class Encoder:
                 held, size = [], 0
         if held:
             yield from self._block(held)
+        del held
+        give_back()
 
     def one(self, text: str) -> bytes:
         return next(self.arrays([text.encode("utf-8", "surrogatepass")])).tobytes()
