@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import importable, pack, shuffle_parts, unpack, written
-from corpusloom.llm.hashing import mixed
+from corpusloom.llm.hashing import give_back, mixed
 
 K, BLOCK_TOKENS, SPREAD = 5, 1_500_000, 2_000_000
 END, START = b" end", b" start"  # no words: words hold no blank
@@ -179,6 +179,8 @@ def blocks(docs: DataFrame) -> DataFrame:
                     index, ids, null, held, sizes, flat, tokens = Index(), [], [], [], [], [], 0
         if sizes:
             yield made()
+        del index, flat
+        give_back()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("missing"), "text")
     return rows.mapInPandas(read, FLOW)
@@ -187,6 +189,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 def table(rows):
     import pandas as pd
 
+    give_back()
     return pd.DataFrame(rows, columns=["key", "kind", "block", "blob"])
 
 
