@@ -364,7 +364,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     spark = docs.sparkSession
     importable(spark)
     own = written(blocks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), "blocks")
-    parts = max(4, 3 * shuffle_parts(spark) // 2, own.count())  # about a block's tokens each, however many there are
+    parts = max(4, 3 * shuffle_parts(spark) // 2, own.count() // 2)  # two blocks of tokens each at most, however many there are
     totals = own.mapInPandas(asked(parts), FLOW).groupBy("key").applyInPandas(word_totals(word_hash(START), parts), FLOW)
     pairs = totals.union(own).groupBy("key").applyInPandas(block_pairs(parts), FLOW)
     counts = written(pairs.groupBy("key").applyInPandas(pair_totals(parts), FLOW), "counts")
