@@ -147,6 +147,18 @@ def lru(accesses: DataFrame, shard: str, key: str, order: str, capacity: int = C
     return in_order.mapInPandas(replay, schema)
 
 
+def lru_contents(accesses: DataFrame, shard: str, key: str, order: str, capacity: int = CAPACITY) -> DataFrame:
+    """(shard, key, place): what each cache holds after all accesses, the latest first: its last different keys."""
+    last = accesses.groupBy(shard, key).agg(F.max(order).alias("st_at"))
+    place = F.row_number().over(Window.partitionBy(shard).orderBy(F.desc("st_at")))
+    return last.withColumn("place", place).where(F.col("place") <= capacity).select(shard, key, "place")
+
+
+def scan_prefix(rows: DataFrame, key: str, prefix: str, of_store: str = "sanskrit:") -> DataFrame:
+    """Rows whose key begins with the store's prefix and this one; the prefix is pushed to the scan."""
+    return rows.where(F.col(key).startswith(of_store + prefix))
+
+
 def ttl_hits(accesses: DataFrame, key: str, ts: str, tie: str, ttl: int = TTL_SECONDS) -> DataFrame:
     """hit: the key's previous access is at most ttl seconds ago."""
     before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts, tie))

@@ -100,9 +100,20 @@ def root_card(roots: DataFrame, verbosity: str) -> Column:
     return F.to_json(F.struct(*names))
 
 
-def shown_parse(p: Column) -> Column:
-    """A REST parse for a list on screen: label, percent, and the best group first in reading order."""
-    return F.struct(F.concat(F.lit("Parse "), (p["index"] + 1).cast("string")).alias("label"), F.floor(p["confidence"] * 100).cast("int").alias("percent"), confidence_bucket(p["confidence"]).alias("bucket"))
+def screen(p: Column, index: Column, text: Column, overall: Column, mode: Column) -> Column:
+    """What a screen shows of a text's parse as in FULL, as JSON: ids for groups and words, roots as root, meaning and class."""
+    at = lambda kind, *ns: F.concat(F.lit(kind), F.concat_ws("_", *[n.cast("string") for n in ns]))
+
+    def word(i: Column):
+        def shown(w: Column, j: Column) -> Column:
+            root = F.when(w["dhatu"].isNotNull(), F.struct(w["dhatu"]["dhatu_iast"].alias("root"), w["dhatu"]["meaning_english"].alias("meaning"), w["dhatu"]["gana"].alias("gana")))
+            return F.struct(at("w", index, i, j).alias("word_id"), *[w[c].alias(c) for c in ("lemma", "surface_form", "scripts", "morphology", "meanings")], root.alias("dhatu"), w["confidence"].alias("confidence"))
+
+        return shown
+
+    groups = F.transform(p["sandhi_groups"], lambda g, i: F.struct(at("g", index, i).alias("group_id"), g["surface_form"].alias("surface_form"), F.transform(g["base_words"], word(i)).alias("base_words")))
+    parses = F.array(F.struct(p["parse_id"].alias("parse_id"), p["confidence"].alias("confidence"), groups.alias("sandhi_groups")))
+    return F.to_json(F.struct(F.struct(text.alias("original")).alias("sentence"), parses.alias("parses"), overall.alias("confidence"), mode.alias("mode")), {"ignoreNullFields": "false"})
 
 
 def to_json(parse: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import prompts
 from corpusloom.functions.binding import once
-from corpusloom.operators import analysis, lexicon, stats, store, training, tree, vote
+from corpusloom.operators import analysis, diff, lexicon, stats, store, training, tree, vote
 from corpusloom.plans.lexical import OUTPUTS, SUTRAS, values
 from corpusloom.plans.voting import documents
 from corpusloom.session import shared_dir, table
@@ -176,6 +176,17 @@ def verbosity_nested(spark, sf_dir):
     return _full_parses(spark, sf_dir).select("doc_id", tree.parse_card(F.col("p"), "minimal").alias("minimal"), F.md5(tree.parse_card(F.col("p"), "standard").cast("binary")).alias("standard"))
 
 
+@query(
+    f"""WITH {_FULL_SQL} SELECT doc_id, md5(to_json({{'sentence': {{'original': doc_id::VARCHAR}}, 'parses': [{{'parse_id': p.parse_id, 'confidence': p.confidence,
+ 'sandhi_groups': list_transform(p.sandhi_groups, lambda g, i: {{'group_id': 'g0_' || (i - 1), 'surface_form': g.surface_form, 'base_words': list_transform(g.base_words, lambda w, j: {{'word_id': 'w0_' || (i - 1) || '_' || (j - 1),
+  'lemma': w.lemma, 'surface_form': w.surface_form, 'scripts': w.scripts, 'morphology': w.morphology, 'meanings': w.meanings,
+  'dhatu': CASE WHEN w.dhatu IS NOT NULL THEN {{'root': w.dhatu.dhatu_iast, 'meaning': w.dhatu.meaning_english, 'gana': w.dhatu.gana}} END, 'confidence': w.confidence}})}})}}], 'confidence': 0.8::DOUBLE, 'mode': 'production'}})::VARCHAR) AS screen FROM f"""
+)
+def ui_transform(spark, sf_dir):
+    shown = tree.screen(F.col("p"), F.lit(0), F.col("doc_id").cast("string"), F.lit(0.8), F.lit("production"))
+    return _full_parses(spark, sf_dir).select("doc_id", F.md5(shown.cast("binary")).alias("screen"))
+
+
 @query(
     """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN to_json({'dhatu_iast': p_name, 'gana': p_size, 'meaning_english': p_type}) ELSE to_json({'id': p_partkey, 'dhatu_devanagari': p_brand, 'dhatu_iast': p_name, 'meaning_english': p_type, 'gana': p_size, 'pada': p_mfgr}) END::VARCHAR AS card FROM (SELECT *, p_brand AS p_mfgr FROM part)"""
 )
@@ -229,6 +240,16 @@ def prefix_delete(spark, sf_dir):
     return store.clear_prefix(keys, "key", "p")
 
 
+@query("SELECT 'sanskrit:' || event_type || ':' || event_id AS key FROM events WHERE starts_with(event_type, 'p')")
+def prefix_scan(spark, sf_dir):
+    return store.scan_prefix(table(spark, sf_dir, "events").select(store_key().alias("key")), "key", "p")
+
+
+@query("WITH l AS (SELECT event_type, user_id, max(event_id) AS m FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY m DESC) AS place FROM l) SELECT event_type, user_id, place::INT AS place FROM r WHERE place <= 20")
+def lru_contents(spark, sf_dir):
+    return store.lru_contents(table(spark, sf_dir, "events"), "event_type", "user_id", "event_id", 20)
+
+
 def store_key():
     from corpusloom.functions.text import store_key as prefixed
 
@@ -327,6 +348,15 @@ def verse_locations(spark, sf_dir):
     return stats.located(joined, "c_nationkey", "o_custkey", ["o_orderkey"]).select("o_orderkey", "verse_number", "location")
 
 
+@query(
+    """WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS l, string_split(p_type, ' ') AS r FROM part)
+SELECT p_partkey, len(l)::INT AS "left", len(r)::INT AS "right", len(list_filter(range(1, greatest(len(l), len(r)) + 1), lambda i: l[i] IS DISTINCT FROM r[i]))::INT AS different FROM w"""
+)
+def parse_diff_counts(spark, sf_dir):
+    counts = diff.counts(F.split("p_name", " "), F.split("p_type", " "))
+    return table(spark, sf_dir, "part").select("p_partkey", counts.alias("c")).select("p_partkey", "c.*")
+
+
 # ---- look-up facades
 
 
@@ -368,3 +398,14 @@ def yaml_scan(spark, sf_dir):
     path = f"{shared_dir(spark)}/rules-{uuid.uuid4().hex}"
     spark.createDataFrame([(text,)], "value string").write.text(path)
     return lexicon.flattened(corpus.read_sections(spark, path)).select("category", "n", "name", "rule")
+
+
+@query(values([("engine_surface", True), ("engine_stem", True), ("engine_lexicon", False), ("disambiguation_rules", True), ("disambiguation_llm", False), ("cache_memory", True), ("cache_redis", False), ("cache_sqlite", True)], "component, healthy"))
+def health_rollup(spark, sf_dir):
+    return analysis.health(spark, {"surface": True, "stem": True, "lexicon": None}, {"rules": True, "llm": False}, {"memory": True, "redis": False, "sqlite": True})
+
+
+@query("SELECT count(*) AS entries, count(DISTINCT doc_id) AS files FROM (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '#'))) FROM documents)")
+def corpus_length(spark, sf_dir):
+    """How many entries a corpus has, and in how many files."""
+    return corpus.kept_lines(documents(spark, sf_dir), "doc_id", "text").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("doc_id").alias("files"))

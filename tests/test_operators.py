@@ -220,7 +220,8 @@ def test_analysis_takes_stored_results_and_modes(spark):
     assert [(again[i].cached_at, again[i].n_segments) for i in (1, 2, 4)] == [("sqlite", 99), ("sqlite", 99), ("none", 2)]
     assert {r.cached_at for r in analysis.analysed(docs, held, bypass=True).collect()} == {"none"}
     assert analysis.analysed(docs, options=Options(mode="academic")).where("doc_id = 1").first().cache_key != done[1].cache_key
-    assert one(analysis.health(docs, {"a": True, "b": False})).status == "degraded"
+    up = {r.component: r.healthy for r in analysis.health(spark, {"a": True, "b": None}, {"rules": True}, {"memory": False}).collect()}
+    assert up == {"engine_a": True, "engine_b": False, "disambiguation_rules": True, "cache_memory": False}
     with pytest.raises(ValueError, match="mode"):
         analysis.normalised(docs, "other")
 
