@@ -47,6 +47,25 @@ def numbered(docs: DataFrame, doc_id: str, text: str, lid: str = "lid") -> tuple
     return joined.select(*docs.columns, lid), False
 
 
+#: a key with over one row in so many is hot; so no more than so many keys are
+HOT = 4_096
+
+
+def least_of(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """rows with name, the smallest value among the rows of the same keys; null where these have none. rows should be a written table: it is read several times.
+
+    Smallest values are aggregated before the shuffle, and keys of a single row take no part in any join. The fewer than HOT keys that
+    hold over a HOT-th of all rows are broadcast, so no task gets more of one key."""
+    n = rows.count()
+    sums = rows.groupBy(*keys).agg(F.min(value).alias(name), F.count(F.lit(1)).alias("lo_rows"))
+    several = written(sums.where("lo_rows > 1"), "least")
+    is_hot = F.col("lo_rows") * HOT > n
+    found = rows.join(F.broadcast(several.where(is_hot)), keys, "left")
+    rest = found.where("lo_rows IS NULL").select(*rows.columns).join(several.where(~is_hot), keys, "left")
+    alone = F.coalesce(F.col(name), F.when(F.col("lo_rows").isNull(), F.col(value)))
+    return found.where("lo_rows IS NOT NULL").select(*rows.columns, name).unionByName(rest.select(*rows.columns, alone.alias(name)))
+
+
 def pack(*arrays) -> bytes:
     """Arrays byte plane by byte plane, compressed: small numbers take few bytes."""
     import struct

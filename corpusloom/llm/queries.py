@@ -92,9 +92,56 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import filter_audit
+
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(ws) < 200)::INT AS a, (100 * len(list_distinct(ws)) < 50 * len(ws))::INT AS b,
+ (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT AS c, regexp_matches(t, '[#$%&*|]')::INT AS d, coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), min(w.doc_id) OVER (PARTITION BY t) IS NOT NULL)::INT AS e FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+g AS (SELECT part, good, toxic, a + 2 * b + 4 * c + 8 * d + 16 * e AS fails, count(*) AS k FROM f GROUP BY ALL),
+x AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(n, bit)),
+o AS (SELECT o1.n || o2.n || o3.n || o4.n || o5.n AS filter_order, [o1.bit, o2.bit, o3.bit, o4.bit, o5.bit] AS bits FROM x o1, x o2, x o3, x o4, x o5 WHERE o1.bit + o2.bit + o3.bit + o4.bit + o5.bit = 31 AND o1.bit | o2.bit | o3.bit | o4.bit | o5.bit = 31),
+s AS (SELECT filter_order, step, bits[step]::INT AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM o, range(1, 6) r(step)),
+r AS (SELECT part, filter_order, step, bit, sum(k) FILTER (fails & (before | bit) = 0) AS kept, sum(k) FILTER (fails & bit > 0 AND fails & before = 0) AS removed, sum(k) FILTER (fails & bit > 0 AND fails & before > 0) AS redundant,
+ sum(k) FILTER (fails = bit) AS unique_fails, sum(k) FILTER (fails & bit > 0 AND fails & before = 0 AND good = 1) AS good_lost, sum(k) FILTER (fails & bit > 0 AND fails & before = 0 AND toxic = 1) AS toxic_lost FROM g, s GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+ coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM r
+"""
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import minhash
+
+    return minhash.linked(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import fill_middle
+
+    rows, name = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    c = {k: F.col(v) for k, v in name.items()}
+    back = fill_middle.restored(c["form"], c["output"])
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    return rows.select("doc_id", c["n"].alias("n"), c["form"].alias("form"), c["prefix_chars"].alias("prefix_chars"), c["middle_chars"].alias("middle_chars"), digest(c["output"]).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS x FROM documents),
+d AS (SELECT *, ('0x' || x[1:8])::BIGINT % (n + 1) AS a, ('0x' || x[9:16])::BIGINT % (n + 1) AS b, ('0x' || x[17:24])::BIGINT % 100 AS plain, ('0x' || x[25:32])::BIGINT % 100 AS spm FROM h),
+f AS (SELECT *, least(a, b) AS p, abs(a - b) AS m, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR plain >= 90 THEN 'plain' WHEN spm < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || t[1:p] || '<S>' || t[p + m + 1:] || '<M>' || t[p + 1:p + m] ELSE '<S>' || t[p + m + 1:] || '<P>' || t[1:p] || '<M>' || t[p + 1:p + m] END AS output FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN p END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN m END::BIGINT AS middle_chars, sha256(output) AS output_sha256, sha256(t) AS restored_sha256 FROM o
+"""
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": OP8_SQL}
+    return {"op8_mix_sources": OP8_SQL, "op11_filter_audit": OP11_SQL, "op13_fill_middle": OP13_SQL}
