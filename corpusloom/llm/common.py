@@ -51,19 +51,20 @@ def numbered(docs: DataFrame, doc_id: str, text: str, lid: str = "lid") -> tuple
 HOT = 4_096
 
 
-def least_of(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """rows with name, the smallest value among the rows of the same keys; null where these have none. rows should be a written table: it is read several times.
+def least_of(rows: DataFrame, keys: list[str], value: str, name: str, alone: bool = True) -> DataFrame:
+    """rows with name, the smallest value among the rows of the same keys, null where these have none; alone: also rows whose keys no other row has. rows should be a written table: it is read several times.
 
-    Smallest values are aggregated before the shuffle, and keys of a single row take no part in any join. The fewer than HOT keys that
-    hold over a HOT-th of all rows are broadcast, so no task gets more of one key."""
+    Smallest values are aggregated before the shuffle. The fewer than HOT keys that hold over a HOT-th of all rows are
+    broadcast, so no task of the join gets more rows of one key."""
     n = rows.count()
     sums = rows.groupBy(*keys).agg(F.min(value).alias(name), F.count(F.lit(1)).alias("lo_rows"))
     several = written(sums.where("lo_rows > 1"), "least")
     is_hot = F.col("lo_rows") * HOT > n
     found = rows.join(F.broadcast(several.where(is_hot)), keys, "left")
-    rest = found.where("lo_rows IS NULL").select(*rows.columns).join(several.where(~is_hot), keys, "left")
-    alone = F.coalesce(F.col(name), F.when(F.col("lo_rows").isNull(), F.col(value)))
-    return found.where("lo_rows IS NOT NULL").select(*rows.columns, name).unionByName(rest.select(*rows.columns, alone.alias(name)))
+    rest = found.where("lo_rows IS NULL").select(*rows.columns).join(several.where(~is_hot), keys, "left" if alone else "inner")
+    own = F.when(F.col("lo_rows").isNull(), F.col(value)).otherwise(F.col(name))
+    return found.where("lo_rows IS NOT NULL").select(*rows.columns, name).unionByName(rest.select(*rows.columns, own.alias(name)))
+
 
 
 def pack(*arrays) -> bytes:
@@ -148,6 +149,11 @@ def _merged(rows: DataFrame, size: int, kind: str, combine: str, finish):
     return out, amount
 
 
+def bits_for(n: int) -> int:
+    """Bits of a bitmap of n members: about sixteen for each, from 128 KB to 128 MB."""
+    return 1 << min(30, max(20, (16 * n).bit_length()))
+
+
 def bitmap_of(spots: DataFrame, bits: int):
     """Bits set at the numbers of the column s, as an array of u32 of fixed size."""
     import numpy as np

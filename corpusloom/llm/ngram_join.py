@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, bitmap_of, fresh, importable, numbered, pack, parts_for, ranks_of, table_rows, unpack, unpacked, written
+from corpusloom.llm.common import WORD, bitmap_of, bits_for, fresh, importable, numbered, pack, parts_for, ranks_of, table_rows, unpack, unpacked, written
 from corpusloom.llm.graph import components
 from corpusloom.llm.hashing import LOWER, Tally, buffers, give_back, hashed_words, mixed, runs
 from corpusloom.llm.parity import Shape, Sketches, partners
@@ -51,7 +51,6 @@ N, SHARE = 4, 85
 BITS, TEXTS, COUNTS = 56, 256, 1 << 24
 #: sets and shingles of one prefix tree at most; shingles a group of tasks; shingles held by a task before it sends them
 GROUP_SETS, GROUP_SHINGLES, TASK_SHINGLES, FLUSH_SHINGLES = 4_096, 2_000_000, 2_000_000, 1_500_000
-BITMAP = 1 << 25
 #: a cell for every two shingles; neighbours by length that all look at; pairs at once
 SKETCH, NEIGHBOURS, PAIRS_AT_ONCE = Shape(128, 8), 32, 500_000
 STEPS = [mixed(np.array([i + 1], np.uint64))[0] | np.uint64(1) for i in range(N)]
@@ -66,19 +65,19 @@ def needed(a, b, share: int = SHARE):
     return (share * (a + b) + 99 + share) // (100 + share)
 
 
-def shingle_sets(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(size of each text's set, the sets one after the other, ascending)."""
+def shingle_sets(buf: np.ndarray, ends: np.ndarray, words: int = N) -> tuple[np.ndarray, np.ndarray]:
+    """(size of each text's set of shingles of so many words, at most N; the sets one after the other, ascending)."""
     first, w = hashed_words(LOWER[buf])
     n = np.diff(np.searchsorted(first, ends), prepend=0)
     text = np.repeat(np.arange(len(ends)), n)
     with np.errstate(over="ignore"):
-        m = max(len(w) - N + 1, 0)
+        m = max(len(w) - words + 1, 0)
         g = np.zeros(m, np.uint64)
-        for i, step in enumerate(STEPS):
+        for i, step in enumerate(STEPS[:words]):
             g += w[i : i + m] * step
-        whole = text[:m] == text[N - 1 :]
+        whole = text[:m] == text[words - 1 :]
         g, of = mixed(g[whole]), text[:m][whole]
-        few = np.flatnonzero((n > 0) & (n < N))
+        few = np.flatnonzero((n > 0) & (n < words))
         if len(few):
             starts = np.cumsum(n) - n
             short = [sum((w[starts[t] + i] * STEPS[i] for i in range(n[t])), np.uint64(n[t])) for t in few]
@@ -102,10 +101,10 @@ def rarest_first(size: np.ndarray, flat: np.ndarray, order: np.ndarray) -> np.nd
     return flat[by]
 
 
-def parsed(batches, at_most: int = TEXTS):
+def parsed(batches, at_most: int = TEXTS, words: int = N):
     """(ids, sizes, sets) of the texts of Arrow batches."""
     for ids, buf, ends in buffers(batches, bytes, at_most):
-        yield np.asarray(ids, np.int64), *shingle_sets(buf, ends)
+        yield np.asarray(ids, np.int64), *shingle_sets(buf, ends, words)
 
 
 class Tree:
@@ -191,17 +190,18 @@ class Tree:
         return links
 
 
-def tree_links(cid: np.ndarray, label: np.ndarray, sets: list[np.ndarray], order: np.ndarray) -> list[tuple[int, int]]:
-    """Links (cid, cid) that join what is linked within one group."""
+def tree_links(cid: np.ndarray, label: np.ndarray, sets: list[np.ndarray], order: np.ndarray | None, share: int = SHARE) -> list[tuple[int, int]]:
+    """Links (cid, cid) that join what is linked within one group; without an order of all shingles, their counts within the group decide what is frequent."""
     flat = np.concatenate(sets)
     known, number = np.unique(flat, return_inverse=True)
     place = np.empty(len(known), np.int64)
-    place[np.lexsort((known, 255 - rarity(known, order).astype(np.int64)))] = np.arange(len(known))
+    rare = -np.bincount(number) if order is None else 255 - rarity(known, order).astype(np.int64)
+    place[np.lexsort((known, rare))] = np.arange(len(known))
     size = np.array([len(s) for s in sets])
     key = np.sort((np.repeat(np.arange(len(sets)), size) << 32) | place[number]) & 0xFFFFFFFF
     tree = Tree(np.split(key, np.cumsum(size)[:-1]))
     _, labels = np.unique(label, return_inverse=True)
-    return [(int(cid[tree.order[i]]), int(cid[tree.order[j]])) for i, j in tree.walk(labels[tree.order])]
+    return [(int(cid[tree.order[i]]), int(cid[tree.order[j]])) for i, j in tree.walk(labels[tree.order], share)]
 
 
 def met(word: np.ndarray, size: np.ndarray, position: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -334,9 +334,10 @@ def entries(docs: DataFrame, order, parts: int) -> tuple[DataFrame, DataFrame]:
     return found.where("kind = 1").select(F.col("x").alias("lid"), "cid", "n"), left
 
 
-def stored(docs: DataFrame, cids: DataFrame) -> DataFrame:
+def stored(docs: DataFrame, cids: DataFrame, words: int = N) -> DataFrame:
     """(cid, own): the whole sets of these classes, and of some others, as ascending 64-bit numbers."""
-    bitmap = bitmap_of(cids.select(F.pmod("cid", F.lit(BITMAP)).alias("s")), BITMAP)  # of fixed size: a task sends only sets that some group may want
+    bits = bits_for(cids.count())  # a task sends only sets that some group may want
+    bitmap = bitmap_of(cids.select(F.pmod("cid", F.lit(bits)).alias("s")), bits)
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def sets(batches):
@@ -344,10 +345,10 @@ def stored(docs: DataFrame, cids: DataFrame) -> DataFrame:
 
         def some():
             for batch in batches:
-                s = batch.column(0).to_numpy(zero_copy_only=False) % BITMAP
+                s = batch.column(0).to_numpy(zero_copy_only=False) % bits
                 yield batch.filter(pa.array(((wanted.value[s >> 5] >> (s & 31).astype(np.uint32)) & np.uint32(1)).astype(bool)))
 
-        for ids, size, flat in parsed(some()):
+        for ids, size, flat in parsed(some(), words=words):
             own = [x.tobytes() for x in np.split(flat, np.cumsum(size)[:-1])]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(own, pa.binary())], names=["cid", "own"])
 
@@ -380,13 +381,18 @@ def grouped(own: DataFrame, unique: bool, text: str) -> DataFrame:
     table, total = counted(rows)
     order, parts = spark.sparkContext.broadcast(table), parts_for(spark, total, TASK_SHINGLES)
     members, todo = entries(rows, order, parts)
+    return joined(rows, members, todo, parts, order)
+
+
+def joined(rows: DataFrame, members: DataFrame, todo: DataFrame, parts: int, order=None, words: int = N, share: int = SHARE) -> DataFrame:
+    """(lid, n, label) of members (lid, cid, n): classes that share a word of todo (word, cid, n) are compared on their whole sets, made from rows (lid, text), as far as they aren't in one component already."""
 
     def links(key, cells):
         import pandas as pd
 
         out = []
         for _, x in cells.groupby("cell", sort=False):
-            out += tree_links(x["cid"].to_numpy(), x["label"].to_numpy(), [np.frombuffer(b, np.uint64) for b in x["own"]], order.value)
+            out += tree_links(x["cid"].to_numpy(), x["label"].to_numpy(), [np.frombuffer(b, np.uint64) for b in x["own"]], order.value if order else None, share)
         return pd.DataFrame(out, columns=["a", "b"]).astype("i8")
 
     def traversed(cells: DataFrame) -> DataFrame:
@@ -397,7 +403,7 @@ def grouped(own: DataFrame, unique: bool, text: str) -> DataFrame:
         return members.select("lid", "n", F.col("cid").alias("label"))
     first = todo.groupBy("word").agg(F.min("cid").alias("a"))
     groups = components(todo.join(first, "word").select("a", F.col("cid").alias("b"))).select(F.col("node").alias("cid"), F.col("label").alias("group"))
-    sets = stored(rows, groups.select("cid"))
+    sets = stored(rows, groups.select("cid"), words)
     sized = todo.groupBy("cid").agg(F.max("n").alias("n")).join(groups, "cid").groupBy("group").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles"))
     large = (F.col("k") > GROUP_SETS) | (F.col("shingles") > GROUP_SHINGLES)
     sized = groups.join(sized.select("group", large.alias("large")), "group")
@@ -423,21 +429,21 @@ def grouped(own: DataFrame, unique: bool, text: str) -> DataFrame:
     return members.join(labels, "cid", "left").select("lid", "n", F.coalesce("label", "cid").alias("label"))
 
 
-def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by=grouped) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per row of docs."""
     importable(docs.sparkSession)
     own, unique = numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
-    known = own.select("lid", "doc_id").join(grouped(own, unique, "text"), "lid", "left")
+    known = own.select("lid", "doc_id").join(by(own, unique, "text"), "lid", "left")
     smallest = known.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return known.join(smallest, "label", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").cast("long").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by=grouped) -> DataFrame:
     """The first document of every component, and every document without words; columns as they are."""
     importable(docs.sparkSession)
     lid, alone = fresh(docs, "ng_lid"), fresh(docs, "ng_alone")
     own, unique = numbered(docs, doc_id, text, lid)
-    known = grouped(own.select(F.col(lid).alias("lid"), F.col(text).alias("text")), unique, "text")
+    known = by(own.select(F.col(lid).alias("lid"), F.col(text).alias("text")), unique, "text")
     gone = known.join(known.groupBy("label").agg(F.min("lid").alias("first")), "label").where("lid <> first").select(F.col("lid").alias(lid))
     kept = own.join(gone, lid, "left_anti")
     if not unique:
