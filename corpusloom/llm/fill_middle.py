@@ -25,6 +25,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from corpusloom.llm.common import fresh, importable
 from corpusloom.llm.hashing import give_back
@@ -93,11 +94,9 @@ def transform(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit:
     """docs with COLUMNS, and what these are called there. Rows stay where they are: nothing is shuffled."""
     classes(np.zeros(0, np.uint32), unit)  # an unknown unit fails here
     importable(docs.sparkSession)
-    names: dict[str, str] = {}
-    for c in COLUMNS:
-        names[c] = fresh(docs, f"fm_{c}")
+    names = {c: fresh(docs, f"fm_{c}") for c in COLUMNS}
     key, own = fresh(docs, "fm_key"), fresh(docs, "fm_text")
-    kept = [c for c in docs.columns]
+    kept = docs.columns
 
     def rows(batches):
         import pyarrow as pa
@@ -121,9 +120,7 @@ def transform(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit:
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, at - first).columns[2:], *made], names=[*kept, *names.values()])
         give_back()
 
-    schema = docs.schema
-    for c, kind in zip(COLUMNS, ("long", "string", "long", "long", "string"), strict=True):
-        schema = schema.add(names[c], kind)
+    schema = StructType([*docs.schema.fields, *[StructField(names[c], StringType() if c in ("form", "output") else LongType()) for c in COLUMNS]])
     asked = docs.select(F.col(doc_id).cast("string").alias(key), F.col(text).alias(own), *[F.col(f"`{c}`") for c in kept])
     return asked.mapInArrow(rows, schema), names
 
