@@ -54,6 +54,49 @@ WORD = f"struct<lemma:string,surface_form:string,scripts:{SCRIPTS},morphology:st
 FULL = f"struct<parse_id:string,confidence:double,engine_votes:map<string,double>,word_count:int,sandhi_groups:array<struct<surface_form:string,sandhi_type:string,is_compound:boolean,compound_type:string,base_words:array<{WORD}>>>>"
 
 
+def rooted(lemma: Column, verb: Column, roots: list[tuple]) -> Column:
+    """The root of a verb's lemma as in WORD, from a short list of (root in SLP1, class, voice, meanings); null where it isn't there."""
+    entry = lambda r: F.struct(F.lit(r[0]).alias("dhatu_iast"), F.lit(r[1]).alias("gana"), F.lit(r[2]).alias("pada"), F.lit(r[3][0]).alias("meaning_english"))
+    table = F.create_map(*[x for r in roots for x in (F.lit(r[0]), entry(r))])
+    return F.when(F.coalesce(verb, F.lit(False)), table[lemma])
+
+
+def full_parse(parse: Column, confidence: Column, votes: Column, words: Column, scripts: Column | None = None, roots: list[tuple] | None = None) -> Column:
+    """A parse as in FULL of words (surface, lemma, pos, gender, number, case, sandhi_type, confidence), each a group of its own; scripts: array of SCRIPTS, a word each."""
+    from corpusloom.operators.lexicon import COMMON_ROOTS
+
+    missing = F.lit(None).cast("string")
+    table = COMMON_ROOTS if roots is None else roots
+
+    def group(w: Column, i: Column) -> Column:
+        spelled = F.struct(missing.alias("devanagari"), missing.alias("iast"), w["surface"].alias("slp1")) if scripts is None else F.get(scripts, i)
+        marks = F.struct(*[w[c].alias(c) for c in ("pos", "gender", "number", "case")])
+        root = rooted(w["lemma"], w["pos"] == "verb", table)
+        meanings = F.when(root.isNotNull(), F.array(root["meaning_english"])).otherwise(F.array().cast("array<string>"))
+        word = F.struct(
+            w["lemma"].alias("lemma"), w["surface"].alias("surface_form"), spelled.alias("scripts"), F.when(w["pos"].isNotNull(), marks).alias("morphology"), meanings.alias("meanings"),
+            root.alias("dhatu"), F.array().cast("array<string>").alias("upasarga"), w["confidence"].alias("confidence"),
+        )
+        return F.struct(w["surface"].alias("surface_form"), w["sandhi_type"].alias("sandhi_type"), F.lit(False).alias("is_compound"), missing.alias("compound_type"), F.array(word).alias("base_words"))
+
+    return F.struct(parse.alias("parse_id"), confidence.alias("confidence"), votes.alias("engine_votes"), F.size(words).alias("word_count"), F.transform(words, group).alias("sandhi_groups")).cast(FULL)
+
+
+def spellings(words: Column) -> Column:
+    """array of SCRIPTS of words in SLP1: the words are joined, spelled at once and cut again."""
+    from corpusloom.functions.translit import slp1_to_devanagari, slp1_to_latin
+
+    whole = F.array_join(F.transform(words, lambda w: F.replace(w, F.lit("\n"), F.lit(" "))), "\n")
+    of = lambda text: F.split(text, "\n")
+    return F.when(F.size(words) == 0, F.array().cast(f"array<{SCRIPTS}>")).otherwise(F.arrays_zip(of(slp1_to_devanagari(whole)).alias("devanagari"), of(slp1_to_latin(whole, "iast")).alias("iast"), words.alias("slp1")).cast(f"array<{SCRIPTS}>"))
+
+
+def best_of(parses: Column, selected: Column) -> Column:
+    """The selected one of an array of parses where it is there, else the most confident, the first on ties; null where there is none."""
+    top = F.array_position(F.transform(parses, lambda p: p["confidence"]), F.array_max(F.transform(parses, lambda p: p["confidence"]))).cast("int") - 1
+    return F.when(F.size(parses) == 0, None).otherwise(F.get(parses, F.when((selected >= 0) & (selected < F.size(parses)), selected).otherwise(F.greatest(top, F.lit(0)))))
+
+
 def all_roots(groups: Column) -> Column:
     """The roots of all words that have one, of groups as in FULL."""
     words = F.flatten(F.transform(groups, lambda g: g["base_words"]))

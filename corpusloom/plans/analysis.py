@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from corpusloom.functions import prompts
 from corpusloom.functions.binding import once
-from corpusloom.operators import analysis, diff, lexicon, stats, store, training, tree, vote
+from corpusloom.operators import analysis, diff, lexicon, rules, stats, store, training, tree, vote
 from corpusloom.plans.lexical import OUTPUTS, SUTRAS, values
 from corpusloom.plans.voting import documents
 from corpusloom.session import shared_dir, table
@@ -68,6 +69,73 @@ def analyze_corpus(spark, sf_dir):
     return analysis.analysed(docs, held).select("doc_id", "cache_key", "cached_at", "script", "n_segments", "agreement_level", "overall_confidence")
 
 
+# ---- the same with the engines' own parses as alternatives, rules, answers to the open ones and the person's flag
+
+
+def _length_tags(lemma):
+    """Marks by a lemma's length, in place of an outside tagger."""
+    n = F.length(lemma)
+    pos = F.when(n % 4 == 0, "verb").when(n % 4 == 1, "adjective").otherwise("noun")
+    nothing = F.lit(None).cast("string")
+    marks = {"pos": pos, "gender": F.when(n % 3 == 0, "masculine").when(n % 3 == 1, "feminine"), "number": nothing, "case": nothing, "person": nothing, "tense": nothing, "sandhi_type": F.when(n % 5 == 0, "vowel").when(n % 5 == 1, "exotic")}
+    return F.struct(*[v.alias(k) for k, v in marks.items()])
+
+
+_FOREST = f"""
+WITH {_NORMALISED},
+u AS (SELECT q.doc_id, list(ls[list_position(list_transform(ls, lambda x: len(list_filter(ls, lambda y: y = x))), list_max(list_transform(ls, lambda x: len(list_filter(ls, lambda y: y = x)))))] ORDER BY pos) AS m FROM q GROUP BY 1),
+t AS (SELECT k.doc_id, cache_key, k.text AS normalized, count(v.doc_id) AS n, coalesce(sum(agree), 0)::BIGINT AS a, coalesce(sum(conf7), 0)::BIGINT AS c7 FROM k LEFT JOIN v ON k.doc_id = v.doc_id GROUP BY ALL),
+l AS (SELECT *, CASE WHEN n = 0 THEN 'low' WHEN a * 100 >= 95 * 27720 * n THEN 'high' WHEN a * 100 >= 70 * 27720 * n THEN 'medium' ELSE 'low' END AS lev, CASE WHEN n > 0 THEN c7 / n / 1e7 ELSE 0.0 END::DOUBLE AS mean FROM t),
+o AS (SELECT doc_id, normalized, round(CASE lev WHEN 'high' THEN least(0.95::DOUBLE, mean) WHEN 'medium' THEN least(0.85::DOUBLE, mean) ELSE mean END, 6)::DOUBLE AS overall FROM l),
+f0 AS (SELECT o.doc_id, overall, normalized, list_filter([{{'c': overall, 'l': coalesce(m, [])}}, {{'c': 0.9::DOUBLE, 'l': s}}, {{'c': 0.92::DOUBLE, 'l': st}}, {{'c': 0.7::DOUBLE, 'l': lx}}], lambda x: len(x.l) > 0) AS ps FROM o JOIN e USING (doc_id) LEFT JOIN u USING (doc_id)),
+f1 AS (SELECT doc_id, overall, normalized, list_filter(ps, lambda x, i: list_position(list_transform(ps, lambda y: y.l), x.l) = i) AS ps FROM f0),
+c AS (SELECT doc_id, overall, len(ps) AS k, unnest(range(len(ps))) AS idx, unnest(ps) AS p FROM f1),
+c0 AS (SELECT doc_id, overall, k, idx, p.c AS conf, p.l AS l, list_transform(p.l, lambda x: length(x)) AS ns FROM c WHERE k > 1 AND overall < 0.95),
+c1 AS (SELECT *, len(list_filter(range(1, len(ns)), lambda i: ((ns[i] % 4 = 1 AND ns[i + 1] % 4 IN (2, 3)) OR (ns[i] % 4 IN (2, 3) AND ns[i + 1] % 4 = 1)) AND ns[i] % 3 < 2 AND ns[i + 1] % 3 < 2 AND ns[i] % 3 <> ns[i + 1] % 3)) = 0 AS ok FROM c0),
+c2 AS (SELECT * FROM (SELECT *, bool_or(ok) OVER (PARTITION BY doc_id) AS any_ok FROM c1) WHERE ok OR NOT any_ok),
+c3 AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS left1, list_sum(list_transform(l, lambda x: CASE WHEN x IN ({', '.join(f"'{x}'" for x in rules.COMMON_ROOTS)}) THEN 8 WHEN x IN ({', '.join(f"'{x}'" for x in rules.COMMON_LEMMAS)}) THEN 7 ELSE 3 END)) / 10.0::DOUBLE / len(l) AS score FROM c2),
+c4 AS (SELECT *, CASE WHEN left1 > 1 THEN round(least(1.0::DOUBLE, conf + score / max(score) OVER (PARTITION BY doc_id) * 0.05::DOUBLE), 9) ELSE conf END AS conf1, len(list_filter(ns, lambda x: x % 5 = 0)) AS good, len(list_filter(ns, lambda x: x % 5 = 1)) AS odd FROM c3),
+c5 AS (SELECT doc_id, idx, l, CASE WHEN left1 > 1 THEN round(least(1.0::DOUBLE, conf1 + (good * 0.03::DOUBLE - odd * 0.015::DOUBLE) / greatest(good + odd, 1)), 9) ELSE conf1 END AS conf FROM c4),
+c6 AS (SELECT doc_id, list({{'i': idx, 'c': conf, 'l': l}} ORDER BY conf DESC, idx) AS cs FROM c5 WHERE conf >= 0.3 GROUP BY 1),
+s1 AS (SELECT f1.doc_id, overall, normalized, ps, coalesce(cs, []) AS cs, CASE WHEN coalesce(len(cs), 0) = 1 OR cs[1].c >= 0.95 THEN 'rules' ELSE 'none' END AS stage1 FROM f1 LEFT JOIN c6 USING (doc_id)),
+s2 AS (SELECT *, CASE WHEN stage1 = 'none' AND len(cs) > 1 AND doc_id % 2 = 0 THEN 'llm' ELSE stage1 END AS stage FROM s1),
+s3 AS (SELECT *, CASE WHEN stage = 'llm' THEN list_concat([cs[2], cs[1]], cs[3:]) ELSE cs END AS fin FROM s2),
+s4 AS (SELECT *, coalesce(list_max(list_transform(fin, lambda x: x.c)), 0)::DOUBLE AS top FROM s3),
+s5 AS (SELECT *, CASE WHEN len(fin) > 1 AND top < 0.5 THEN 'Low confidence after all disambiguation stages' WHEN stage = 'llm' AND fin[1].c < 0.8 THEN 'LLM disambiguation with moderate confidence' END AS reason,
+ CASE WHEN stage <> 'none' THEN list_transform(fin, lambda x: {{'c': ps[x.i + 1].c, 'l': ps[x.i + 1].l}}) ELSE ps END AS kept FROM s4)"""
+
+
+@query(
+    _FOREST
+    + """ SELECT doc_id, stage, reason IS NOT NULL AS review, reason, round(CASE WHEN stage <> 'none' THEN top ELSE overall END, 6)::DOUBLE AS overall_confidence, CASE WHEN stage <> 'none' THEN 0 END::INT AS selected,
+ len(kept)::INT AS n_parses, array_to_string(list_transform(kept, lambda x: x.c), ',') AS confidences, md5(array_to_string(kept[1].l, ' ')) AS first_lemmas FROM s5"""
+)
+def disambiguated_forest(spark, sf_dir):
+    """The engines' own parses beside the merged one; every second document's open parses are answered with the first two exchanged."""
+    options, chain = analysis.Options(mode="academic"), analysis.chain_of(analysis.Options())
+    chain = replace(chain, human_enabled=True)
+    docs = documents(spark, sf_dir)
+    answers = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", F.array(F.lit(1), F.lit(0)).alias("ranking"))
+    done = analysis.analysed(docs, options=options, chain=chain, rankings=answers, tagger=_length_tags, alternatives=True)
+    lemmas = F.transform(F.get("parses", F.lit(0))["sandhi_groups"], lambda g: F.get(g["base_words"], F.lit(0))["lemma"])
+    return done.select("doc_id", "stage", "review", "reason", "overall_confidence", F.col("selected").cast("int").alias("selected"), F.size("parses").alias("n_parses"), F.array_join(F.transform("parses", lambda p: p["confidence"].cast("string")), ",").alias("confidences"), F.md5(F.array_join(lemmas, " ").cast("binary")).alias("first_lemmas"))
+
+
+@query(
+    _FOREST
+    + """, w1 AS (SELECT doc_id, CASE WHEN list_max(list_transform(ps, lambda x: x.c)) > 0 THEN ps[list_position(list_transform(ps, lambda x: x.c), list_max(list_transform(ps, lambda x: x.c)))] ELSE ps[1] END AS b, fin, ps, stage FROM s5),
+w2 AS (SELECT doc_id, CASE WHEN stage <> 'none' THEN ps[fin[1].i + 1] ELSE b END AS b FROM w1)
+SELECT doc_id, round(b.c, 6)::DOUBLE AS confidence, len(b.l)::INT AS words, md5(array_to_string(b.l, ' ')) AS lemmas FROM w2 WHERE b IS NOT NULL"""
+)
+def best_parse_by_mode(spark, sf_dir):
+    """The production mode keeps one parse of each text: the resolved first one, else the most confident."""
+    answers = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", F.array(F.lit(1), F.lit(0)).alias("ranking"))
+    done = analysis.analysed(documents(spark, sf_dir), rankings=answers, tagger=_length_tags, alternatives=True)
+    best = done.where(F.size("parses") > 0).select("doc_id", once(tree.best_of(F.col("parses"), F.col("selected"))).alias("p"))
+    lemmas = F.transform(F.col("p.sandhi_groups"), lambda g: F.get(g["base_words"], F.lit(0))["lemma"])
+    return best.select("doc_id", F.round("p.confidence", 6).alias("confidence"), F.col("p.word_count").alias("words"), F.md5(F.array_join(lemmas, " ").cast("binary")).alias("lemmas"))
+
+
 # ---- the vote over a table of segments: order lines stand for the segments of three engines, one of them unknown
 
 _LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"

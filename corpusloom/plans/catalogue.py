@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import analysis, lexical, store, voting
+from corpusloom.plans import analysis, lexical, store, stored, voting
 
 
 def queries() -> dict:
-    return voting.QUERIES | store.QUERIES | lexical.QUERIES | analysis.QUERIES
+    return voting.QUERIES | store.QUERIES | lexical.QUERIES | analysis.QUERIES | stored.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return voting.SQL | store.SQL | lexical.SQL | analysis.SQL
+    return voting.SQL | store.SQL | lexical.SQL | analysis.SQL | stored.SQL
