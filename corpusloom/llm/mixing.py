@@ -14,8 +14,8 @@ are fine, a source per document is not what this is for.
 Defined results: null or empty text has size 0 and is taken 0 words; a null
 source is a source of its own, sorted last; repeated rows are decided alike
 (equal id, equal decision); an empty table gives an empty result; further
-columns pass through ``mix`` untouched, and its own column names start with
-``mix_`` so that they don't clash.
+columns pass through ``mix`` untouched, whatever their names: its own begin with
+``mix_`` and get an underscore more where the input has them (``names``).
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD
+from corpusloom.llm.common import WORD, fresh
 
 #: The table of sources may be broadcast up to this many rows (well under 1 MB).
 MAX_BROADCAST_SOURCES = 10_000
@@ -63,22 +63,29 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float, cap: floa
     return ranked.select("mix_source", "mix_source_size", target.alias("mix_target"))
 
 
+def names(docs: DataFrame) -> dict[str, str]:
+    """What the columns that mix adds are called beside those of docs."""
+    return {c: fresh(docs, f"mix_{c}") for c in ("size", "source_size", "target", "rate", "copies")}
+
+
 def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with mix_size, mix_source_size, mix_target, mix_rate and mix_copies."""
-    sized = docs.withColumn("mix_size", n_words(F.col(text))).withColumn("mix_source", F.col(source))
-    sizes = sized.groupBy("mix_source").agg(F.sum("mix_size").alias("mix_source_size"))
-    targets = source_targets(sizes, list(weights), share, cap)
+    own = names(docs)
+    size, whole, target, rate = (F.col(own[c]) for c in ("size", "source_size", "target", "rate"))
+    sized = docs.withColumn(own["size"], n_words(F.col(text)))
+    sizes = sized.groupBy(F.col(source).alias("mix_source")).agg(F.sum(size).alias("mix_source_size"))
+    key = fresh(docs, "mix_key")
+    targets = source_targets(sizes, list(weights), share, cap).select(F.col("mix_source").alias(key), F.col("mix_source_size").alias(own["source_size"]), F.col("mix_target").alias(own["target"]))
     # one small row per source: counted, so that only a small table is broadcast
     few = docs.select(source).groupBy(source).agg(F.lit(1)).limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
-    targets = targets.withColumnRenamed("mix_source", "mix_key")
-    joined = sized.join(F.broadcast(targets) if few else targets, F.col("mix_source").eqNullSafe(F.col("mix_key")))
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
+    joined = sized.join(F.broadcast(targets) if few else targets, F.col(source).eqNullSafe(F.col(key)))
+    share_of = F.when(whole > 0, target / whole).otherwise(F.lit(0.0))
     # a rate within rounding of its cap is its cap
-    rate = F.when(F.abs(rate - cap) < 1e-9, F.lit(cap)).otherwise(rate)
-    extra = (draw(F.col(doc_id), seed) < F.col("mix_rate") - F.floor("mix_rate")).cast("long")
-    return joined.withColumn("mix_rate", rate).withColumn("mix_copies", F.floor("mix_rate") + extra).drop("mix_key", "mix_source")
+    share_of = F.when(F.abs(share_of - cap) < 1e-9, F.lit(cap)).otherwise(share_of)
+    extra = (draw(F.col(doc_id), seed) < rate - F.floor(rate)).cast("long")
+    return joined.withColumn(own["rate"], share_of).withColumn(own["copies"], F.floor(rate) + extra).drop(key)
 
 
-def repeated(mixed: DataFrame) -> DataFrame:
+def repeated(mixed: DataFrame, copies: str = "mix_copies") -> DataFrame:
     """Every document as often as the mix takes it."""
-    return mixed.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.expr("sequence(1L, mix_copies)")))
+    return mixed.where(F.col(copies) > 0).withColumn(fresh(mixed, "mix_copy"), F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))

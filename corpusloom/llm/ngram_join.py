@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, bitmap_of, bits_for, fresh, importable, numbered, pack, parts_for, ranks_of, table_rows, unpack, unpacked, written
+from corpusloom.llm.common import WORD, bitmap_of, bits_for, fresh, importable, least_of, numbered, pack, parts_for, ranks_of, table_rows, unpack, unpacked, written
 from corpusloom.llm.graph import components
 from corpusloom.llm.hashing import LOWER, Tally, buffers, give_back, hashed_words, mixed, runs
 from corpusloom.llm.parity import Shape, Sketches, partners
@@ -433,9 +433,8 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by=group
     """(doc_id, n_shingles, component_id), a row per row of docs."""
     importable(docs.sparkSession)
     own, unique = numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
-    known = own.select("lid", "doc_id").join(by(own, unique, "text"), "lid", "left")
-    smallest = known.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return known.join(smallest, "label", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").cast("long").alias("component_id"))
+    known = written(own.select("lid", "doc_id").join(by(own, unique, "text"), "lid", "left"), "members")
+    return least_of(known, ["label"], "doc_id", "component_id").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").cast("long").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by=grouped) -> DataFrame:
@@ -443,8 +442,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by=
     importable(docs.sparkSession)
     lid, alone = fresh(docs, "ng_lid"), fresh(docs, "ng_alone")
     own, unique = numbered(docs, doc_id, text, lid)
-    known = by(own.select(F.col(lid).alias("lid"), F.col(text).alias("text")), unique, "text")
-    gone = known.join(known.groupBy("label").agg(F.min("lid").alias("first")), "label").where("lid <> first").select(F.col("lid").alias(lid))
+    known = written(by(own.select(F.col(lid).alias("lid"), F.col(text).alias("text")), unique, "text"), "members")
+    gone = least_of(known, ["label"], "lid", "first", alone=False).where("lid <> first").select(F.col("lid").alias(lid))
     kept = own.join(gone, lid, "left_anti")
     if not unique:
         # equal rows share a number, but those without words are in no component and stay, each by a number of its own

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import importable, written
+from corpusloom.llm.common import fresh, importable, written
 from corpusloom.llm.hashing import give_back
 
 BUCKETS, MAX_LABELLED, CUT = 1 << 18, 12_000, 0.6
@@ -165,7 +165,7 @@ def learnt(docs: DataFrame, grades: DataFrame, max_labelled: int = MAX_LABELLED)
 
     some = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # a bounded table, so it may be broadcast
     rated = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "grade")
-    rows = written(rated.mapInArrow(features, "doc_id long, grade int, features array<int>").dropDuplicates(["doc_id"]), "rated")
+    rows = written(rated.mapInArrow(features, "doc_id long, grade int, features array<int>").groupBy("doc_id").agg(F.min(F.struct("grade", "features")).alias("r")).select("doc_id", "r.*"), "rated")  # of rows of one id the first by its features
     levels = rows.groupBy("grade").count().toPandas()
     if len(levels) < 2:
         return Model({}, [])
@@ -185,6 +185,11 @@ def learnt(docs: DataFrame, grades: DataFrame, max_labelled: int = MAX_LABELLED)
     return fit([np.asarray(x, "i4") for x in sample["features"]], sample["grade"].to_numpy(), chosen)
 
 
+def names(docs: DataFrame) -> dict[str, str]:
+    """What the columns that classify adds are called beside those of docs: ql_ and their name, with an underscore more where docs has it."""
+    return {c: fresh(docs, f"ql_{c}") for c in ("expected", "tail", "keep")}
+
+
 def classified(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     """docs with ql_expected (expected grade), ql_tail (of the top grade) and ql_keep."""
     importable(docs.sparkSession)
@@ -202,8 +207,10 @@ def classified(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
         give_back()
         return pd.DataFrame({"expected": [sum(t) for t in out], "tail": [t[-1] if t else 1.0 for t in out]}, dtype="float64")
 
-    scored = docs.withColumn("ql_score", scores("text"))
-    return scored.withColumn("ql_expected", F.col("ql_score.expected")).withColumn("ql_tail", F.col("ql_score.tail")).withColumn("ql_keep", F.col("ql_tail") >= cut).drop("ql_score")
+    own, score = names(docs), fresh(docs, "ql_score")
+    scored = docs.withColumn(score, scores("text"))
+    expected, tail = F.col(score)["expected"], F.col(score)["tail"]
+    return scored.withColumns({own["expected"]: expected, own["tail"]: tail, own["keep"]: tail >= cut}).drop(score)
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT, max_labelled: int = MAX_LABELLED) -> DataFrame:

@@ -296,3 +296,28 @@ def test_equal_coordinates_are_concentrated_about_the_similarity():
         assert abs(np.mean(shares) - similarity) < 0.02
         # no wider than independent draws (three of them in a thousand fall out of 3.3 deviations; 60 trials)
         assert np.abs(np.array(shares) - similarity).max() < 4.5 * (similarity * (1 - similarity) / minhash.COORDINATES) ** 0.5
+
+
+# ---- clashing names in the pipeline
+
+
+def test_no_stage_overwrites_a_column_of_the_input(spark, tmp_path):
+    """Every name that an operator gives to a column of its own, as a column of the input."""
+    import re
+    from pathlib import Path
+
+    import corpus_pipeline
+
+    text = "".join(p.read_text() for p in Path(corpus_pipeline.__file__).parent.glob("corpusloom/llm/*.py"))
+    taken = {"doc_id", "text", "lang", "source", "n_chars"}
+    names = sorted({n.lower() for n in re.findall(r'(?:withColumn|alias|fresh|withColumnRenamed)\((?:docs, )?f?"([a-z]\w*)"', text)} - taken | {f"mix_{c}" for c in ("size", "copies", "copy", "target")} | {f"ql_{c}" for c in ("keep", "tail", "expected")})
+    assert len(names) > 60
+    rows = [(1, "a b c d e f g\nx y z w", "en", "s1", 15, *names), (2, "A b c d e f g\nnew words are here", "en", "s2", 32, *names), (3, "quite another text", None, None, 18, *names)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = written(stage(spark, docs, str(tmp_path)), "stage")
+        assert out.columns == docs.columns
+        assert {tuple(r[5:]) for r in out.collect()} == {tuple(names)}
+        docs = out
