@@ -22,21 +22,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import line_dedup, mixing, ngram_join, ordinal, packing
-from corpusloom.llm.common import table, written
+from corpusloom.llm.common import fresh, table, written
 from corpusloom.llm.tokens import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels, keeps."""
-    return ordinal.classify(docs, table(spark, sf_dir, "labels")).where("ql_keep").select(*docs.columns)
+    keep = ordinal.names(docs)["keep"]
+    return ordinal.classify(docs, table(spark, sf_dir, "labels")).where(F.col(keep)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that come again; n_chars follows the text."""
-    done = line_dedup.dedup(docs)
+    done, removed = line_dedup.dedup(docs), fresh(docs, "ln_removed")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        done = done.withColumn("n_chars", F.when(F.col("ln_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        done = done.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)
 
 
@@ -47,7 +48,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's target takes it."""
-    return mixing.repeated(mixing.mix(docs)).select(*docs.columns)
+    return mixing.repeated(mixing.mix(docs), mixing.names(docs)["copies"]).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
