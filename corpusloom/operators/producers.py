@@ -72,3 +72,89 @@ class Registry:
         if not own:
             raise ValueError("No engines configured")
         return own
+
+
+# ---- outside engines: Python functions from texts to segments, which may fail
+
+#: what an engine gives for a text: a list of dicts with these keys, missing ones null
+SEGMENT = "struct<pos:int,surface:string,lemma:string,morphology:string,pos_tag:string,confidence:double,meanings:array<string>>"
+ENGINE_ROW = f"engine string, engine_rank int, success boolean, error string, segments array<{SEGMENT}>"
+
+
+@dataclass(frozen=True)
+class Outside:
+    """analyze: a list of texts to a list of lists of segments; it is called on batches. ready: called once a task; an engine that isn't ready gives an error row per text."""
+
+    name: str
+    analyze: Callable[[list[str]], list[list[dict]]]
+    ready: Callable[[], bool] = lambda: True
+
+
+def answered(analyze: Callable, texts: list[str]) -> list[tuple[list[dict], str | None]]:
+    """(segments, error) of each text. A batch that fails is halved, so that a text that an engine can't take costs its own result and no other; an engine's answer of another length is a failure."""
+    if not texts:
+        return []
+    try:
+        found = analyze(texts)
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} results for {len(texts)} texts")
+        return [(list(f or []), None) for f in found]
+    except Exception as e:  # an outside function may raise anything
+        if len(texts) == 1:
+            return [([], f"{type(e).__name__}: {e}")]
+        half = len(texts) // 2
+        return answered(analyze, texts[:half]) + answered(analyze, texts[half:])
+
+
+def run_outside(docs, engines: tuple[Outside, ...], key: str = "doc_id", text: str = "text", batch: int = 256):
+    """(key, engine, engine_rank, success, error, segments): a row for each text and engine, whatever fails.
+
+    Texts stay where they are; a null text counts as empty and has no segments."""
+    from pyspark.sql.types import StructType
+
+    from corpusloom.session import importable
+
+    if not engines:
+        raise ValueError("No engines configured")
+    importable(docs.sparkSession)
+    own = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("pr_text"))
+    schema = StructType([own.schema[0], *StructType.fromDDL(ENGINE_ROW).fields])
+    fields = [f.name for f in schema["segments"].dataType.elementType.fields]
+
+    def rows(batches):
+        import pyarrow as pa
+
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        ready: dict[str, bool] = {}
+        for frame in batches:
+            for at in range(0, frame.num_rows, batch):
+                part = frame.slice(at, batch)
+                keys, texts = part.column(0), part.column(1).to_pylist()
+                for rank, engine in enumerate(engines):
+                    if engine.name not in ready:
+                        ready[engine.name] = bool(engine.ready())
+                    some = [i for i, t in enumerate(texts) if t.strip()]
+                    found = answered(engine.analyze, [texts[i] for i in some]) if ready[engine.name] else [([], "engine not available")] * len(some)
+                    out: list[tuple[list[dict], str | None]] = [([], None)] * len(texts)
+                    for i, f in zip(some, found, strict=True):
+                        out[i] = f
+                    listed = [[{"pos": n} | {k: s.get(k) for k in fields if k != "pos"} for n, s in enumerate(segments)] for segments, _ in out]
+                    kinds = to_arrow_schema(schema)
+                    columns = [keys, pa.array([engine.name] * len(out)), pa.array([rank] * len(out), pa.int32()), pa.array([e is None for _, e in out]), pa.array([e for _, e in out], pa.string()), pa.array(listed, kinds.field("segments").type)]
+                    yield pa.RecordBatch.from_arrays([c if i == 0 else c.cast(kinds.field(i).type) for i, c in enumerate(columns)], names=kinds.names)
+
+    return own.mapInArrow(rows, schema)
+
+
+def segments_of(rows, key: str = "doc_id"):
+    """The table of segments that vote.merge_segments takes, from the rows of run_outside; engines that failed on a text take no part in its vote."""
+    listed = rows.where("success").select(F.col(key).alias("sentence_id"), "engine", "engine_rank", F.explode("segments").alias("s"))
+    return listed.select("sentence_id", "engine", "engine_rank", F.col("s.pos").alias("pos"), "s.surface", "s.lemma", "s.morphology", "s.pos_tag", F.coalesce("s.confidence", F.lit(0.0)).alias("confidence"), "s.meanings")
+
+
+def errors_of(rows, key: str = "doc_id"):
+    """(key, errors): engine to error of each text; all engines failing is an error of its own. A text without errors has an empty map."""
+    failed = F.map_from_entries(F.sort_array(F.collect_list(F.when(~F.col("success"), F.struct("engine", "error")))))
+    none = F.when(F.count_if("success") == 0, "No available engines")
+    return rows.groupBy(key).agg(failed.alias("errors"), none.alias("failure"))

@@ -159,6 +159,57 @@ def screen(p: Column, index: Column, text: Column, overall: Column, mode: Column
     return F.to_json(F.struct(F.struct(text.alias("original")).alias("sentence"), parses.alias("parses"), overall.alias("confidence"), mode.alias("mode")), {"ignoreNullFields": "false"})
 
 
+#: what a walk of parses finds, with its place: kind is parse, group, compound, word or suffix
+FINDING = "struct<kind:string,parse:int,group:int,word:int,form:string,lemma:string,value:string,confidence:double>"
+#: the analysis tools as conditions on findings; the best parse is the first one
+TOOLS = {
+    "explain_parse": "kind IN ('parse', 'word')", "split_sandhi": "kind = 'group' AND parse = 0", "get_morphology": "kind = 'word' AND parse = 0",
+    "identify_compound": "kind = 'compound' AND parse = 0", "get_pratyaya": "kind = 'suffix' AND parse = 0", "resolve_ambiguity": "kind = 'parse' OR kind = 'word' AND parse = 0",
+}
+
+
+def findings(parses: Column, suffixes=lambda w: w["upasarga"]) -> Column:
+    """All findings of an array of parses as in FULL, from the whole to its parts; suffixes: an array of strings of a word.
+
+    A parse's form is its id; a group's value is its type of sandhi and its lemma all its words' lemmas; a compound's value is its type; a word's value is its morphology as JSON."""
+    none = F.lit(None)
+
+    def found(kind: str, i: Column, g=none, w=none, form=none, lemma=none, value=none, confidence=none) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), *[c.cast(t).alias(n) for n, c, t in (("parse", i, "int"), ("group", g, "int"), ("word", w, "int"), ("form", form, "string"), ("lemma", lemma, "string"), ("value", value, "string"), ("confidence", confidence, "double"))])
+
+    def of_word(i: Column, g: Column):
+        def inner(w: Column, j: Column) -> Column:
+            own = found("word", i, g, j, w["surface_form"], w["lemma"], F.to_json(w["morphology"]), w["confidence"])
+            ends = F.transform(F.coalesce(suffixes(w), F.array().cast("array<string>")), lambda x: found("suffix", i, g, j, w["surface_form"], w["lemma"], x))
+            return F.concat(F.array(own), ends)
+
+        return inner
+
+    def of_group(i: Column):
+        def inner(g: Column, k: Column) -> Column:
+            lemmas = F.array_join(F.transform(g["base_words"], lambda w: w["lemma"]), " + ")
+            own = F.array(found("group", i, k, form=g["surface_form"], lemma=lemmas, value=g["sandhi_type"]))
+            compound = F.when(g["is_compound"], F.array(found("compound", i, k, form=g["surface_form"], lemma=lemmas, value=F.coalesce(g["compound_type"], F.lit("unknown"))))).otherwise(F.array().cast(f"array<{FINDING}>"))
+            return F.concat(own, compound, F.flatten(F.transform(g["base_words"], of_word(i, k))))
+
+        return inner
+
+    one = lambda p, i: F.concat(F.array(found("parse", i, form=p["parse_id"], confidence=p["confidence"])), F.flatten(F.transform(p["sandhi_groups"], of_group(i))))
+    return F.flatten(F.transform(parses, one))
+
+
+def walked(rows: DataFrame, key: str, parses: str = "parses", suffixes=lambda w: w["upasarga"]) -> DataFrame:
+    """(key, at, FINDING): a row per finding, in order of at."""
+    return rows.select(key, F.posexplode(findings(F.col(parses), suffixes)).alias("at", "f")).select(key, "at", "f.*")
+
+
+def tool(found: DataFrame, name: str) -> DataFrame:
+    """The findings that a tool shows."""
+    if name not in TOOLS:
+        raise ValueError(f"Unknown tool: {name}")
+    return found.where(TOOLS[name])
+
+
 def to_json(parse: Column) -> Column:
     return F.to_json(parse)
 

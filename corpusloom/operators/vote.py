@@ -22,11 +22,13 @@ from corpusloom.operators.producers import DEFAULT, Producer, tokens
 
 HIGH, MEDIUM = 95, 70
 #: agreement is counted in these parts: whole numbers for up to twelve engines
-PARTS = 27_720
+PARTS, MOST_ENGINES = 27_720, 12
 
 
 def merged(words: Column, producers: tuple[Producer, ...] = DEFAULT) -> Column:
     """array of struct(pos, surface, lemma, conf7 (confidence x 1e7), agree (agreement x PARTS))."""
+    if len(producers) > MOST_ENGINES:
+        raise ValueError(f"agreement is exact for up to {MOST_ENGINES} engines")
 
     def engines(w: Column) -> Column:
         return F.array(*[F.struct(F.lit(p.weight).alias("wt"), F.lit(p.confidence).alias("cf"), p.lemmas(w).alias("l")) for p in producers])
@@ -101,11 +103,11 @@ def engine_votes(docs: DataFrame, producers: tuple[Producer, ...] = DEFAULT, key
 def merge_segments(segments: DataFrame, weights: dict[str, float] | None = None, unknown: float = 0.33) -> DataFrame:
     """The vote over a table (sentence_id, engine, engine_rank, pos, surface, lemma, morphology, pos_tag, confidence, meanings).
 
-    One shuffle by sentence; a sentence's segments meet in its group. Empty strings count as missing."""
+    Rows are dealt by sentence once, and what follows groups by more than that. Empty strings count as missing."""
     known = weights or {"vidyut": 0.35, "dharmamitra": 0.40, "heritage": 0.25}
     weight = F.coalesce(F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[F.col("engine")], F.lit(unknown))
     blank = lambda c: F.when(F.col(c) != "", F.col(c))
-    rows = segments.withColumn("wt", weight).withColumn("lemma", blank("lemma")).withColumn("morphology", blank("morphology")).withColumn("pos_tag", blank("pos_tag"))
+    rows = segments.repartition("sentence_id").withColumn("wt", weight).withColumn("lemma", blank("lemma")).withColumn("morphology", blank("morphology")).withColumn("pos_tag", blank("pos_tag"))
     sized = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sentence_id", "engine")))
     first = Window.partitionBy("sentence_id").orderBy(F.desc("n"), "engine_rank", "pos")
     primary = F.first("engine").over(first)

@@ -12,7 +12,7 @@ from corpusloom.functions.binding import once
 from corpusloom.operators import analysis, diff, lexicon, rules, stats, store, training, tree, vote
 from corpusloom.plans.lexical import OUTPUTS, SUTRAS, values
 from corpusloom.plans.voting import documents
-from corpusloom.session import shared_dir, table
+from corpusloom.session import shared_dir, table, written
 from corpusloom.sources import corpus
 
 QUERIES: dict = {}
@@ -65,7 +65,7 @@ SELECT doc_id, cache_key, CASE WHEN cache_key IN (SELECT cache_key FROM k WHERE
 )
 def analyze_corpus(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    held = analysis.to_store(analysis.analysed(store.many(docs, table(spark, sf_dir, "labels"), "doc_id")))
+    held = written(analysis.to_store(analysis.analysed(store.many(docs, table(spark, sf_dir, "labels"), "doc_id")).select("cache_key", *analysis.RESULT)), "analyses")
     return analysis.analysed(docs, held).select("doc_id", "cache_key", "cached_at", "script", "n_segments", "agreement_level", "overall_confidence")
 
 
