@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import prompts
 from corpusloom.functions.binding import once
 from corpusloom.operators import analysis, diff, lexicon, rules, stats, store, training, tree, vote
-from corpusloom.plans.lexical import OUTPUTS, SUTRAS, values
+
 from corpusloom.plans.voting import documents
 from corpusloom.session import shared_dir, table, written
 from corpusloom.sources import corpus
@@ -375,12 +375,6 @@ def training_morphology_types(spark, sf_dir):
     return training.morphology_types(words, "m")
 
 
-@query(values([(i, j, f"Line {i}: {m}") for i, o in enumerate(OUTPUTS) for j, m in enumerate(o[1].split("|")) if m], "line, place, message"))
-def validation_first_errors(spark, sf_dir):
-    rows = spark.createDataFrame([(i, o[0]) for i, o in enumerate(OUTPUTS)], "line int, output string")
-    return training.first_errors(rows, "line", training.validation_errors(F.col("output")))
-
-
 @query("SELECT doc_id, to_json({'input': 'Parse: ' || text, 'output': {'n': length(text)}, 'metadata': {'corpus': source, 'chapter': NULL::VARCHAR, 'verse': doc_id, 'confidence': 0.75::DOUBLE}})::VARCHAR AS line FROM documents WHERE doc_id % 2 = 0 AND source IS NOT NULL")
 def grammar_examples_written(spark, sf_dir):
     """Examples with metadata, written as JSON lines and read back."""
@@ -433,46 +427,6 @@ def root_overview(spark, sf_dir):
     return lexicon.named_overview(table(spark, sf_dir, "part"), "p_size")
 
 
-def _sutras(spark):
-    return spark.createDataFrame(SUTRAS, "adhyaya int, pada int, number int, text string, meaning string, transliteration string")
-
-
-@query(values([s[2:6] for s in SUTRAS if s[:2] == (1, 1)], "number, text, meaning, transliteration"))
-def sutra_section(spark, sf_dir):
-    return lexicon.sutra_section(_sutras(spark), 1, 1).select("number", "text", "meaning", "transliteration")
-
-
-@query("SELECT 2::BIGINT AS adhyayas, 2::BIGINT AS padas, 4::BIGINT AS total_sutras")
-def sutra_overview(spark, sf_dir):
-    return lexicon.sutra_overview(_sutras(spark))
-
-
-URIS = [
-    ("dhatu://overview", "root_overview", None), ("dhatu://gana/7", "class", "7"), ("dhatu://gana/x", "invalid", None), ("dhatu://gam", "root", "gam"), ("dhatu://gam/conjugations", "conjugations", "gam"),
-    ("grammar://sandhi-rules", "index", "sandhi-rules"), ("grammar://sandhi-rules/vowel", "category", "vowel"), ("grammar://pratyayas/krt", "category", "krt"), ("grammar://sutras", "sutra_overview", None),
-    ("grammar://sutras/1/2", "sutra_section", "1/2"), ("grammar://sutras/a/2", "invalid", None), ("grammar://sutras/search?q=guna", "sutra_search", "guna"), ("grammar://other", "unknown", None),
-]
-
-
-@query(values(URIS, "uri, kind, argument"))
-def uri_routing(spark, sf_dir):
-    rows = spark.createDataFrame([(u[0],) for u in URIS], "uri string")
-    return rows.select("uri", lexicon.routed(F.col("uri")).alias("r")).select("uri", "r.*")
-
-
-@query(values([("vowel", 0, "guna", "a + i"), ("vowel", 1, "vrddhi", "a + e"), ("visarga", 0, "", "as")], "category, n, name, rule"))
-def yaml_scan(spark, sf_dir):
-    text = "description: rules\ncategories:\n  vowel:\n    - {name: guna, rule: a + i}\n    - {name: vrddhi, rule: a + e}\n  visarga:\n    - as\n"
-    path = f"{shared_dir(spark)}/rules-{uuid.uuid4().hex}"
-    spark.createDataFrame([(text,)], "value string").write.text(path)
-    return lexicon.flattened(corpus.read_sections(spark, path)).select("category", "n", "name", "rule")
-
-
-@query(values([("engine_surface", True), ("engine_stem", True), ("engine_lexicon", False), ("disambiguation_rules", True), ("disambiguation_llm", False), ("cache_memory", True), ("cache_redis", False), ("cache_sqlite", True)], "component, healthy"))
-def health_rollup(spark, sf_dir):
-    return analysis.health(spark, {"surface": True, "stem": True, "lexicon": None}, {"rules": True, "llm": False}, {"memory": True, "redis": False, "sqlite": True})
-
-
 @query("SELECT count(*) AS entries, count(DISTINCT doc_id) AS files FROM (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '#'))) FROM documents)")
 def corpus_length(spark, sf_dir):
     """How many entries a corpus has, and in how many files."""

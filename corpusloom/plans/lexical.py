@@ -60,55 +60,8 @@ def slp1_to_iast(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", translit.transliterate(F.col("text"), "slp1", "iast").alias("text"))
 
 
-VECTORS = [
-    ("राम", "devanagari", "iast", "rāma"), ("राम", "devanagari", "slp1", "rAma"), ("rāma", "iast", "devanagari", "राम"), ("rāma", "iast", "slp1", "rAma"), ("rAma", "slp1", "devanagari", "राम"), ("rAma", "slp1", "iast", "rāma"),
-    ("राम", "devanagari", "devanagari", "राम"), ("", "devanagari", "iast", ""), ("   ", "devanagari", "iast", "   "), ("योगश्चित्तवृत्तिनिरोधः", "devanagari", "iast", "yogaścittavṛttinirodhaḥ"),
-    ("योगश्चित्तवृत्तिनिरोधः", "devanagari", "slp1", "yogaScittavfttiniroDaH"), ("yogaScittavfttiniroDaH", "slp1", "devanagari", "योगश्चित्तवृत्तिनिरोधः"), ("rAmaH gacchati", "hk", "slp1", "rAmaH gacCati"), ("raamaH", "itrans", "iast", "rāmaḥ"), ("raama.h", "velthuis", "slp1", "rAmaH"),
-]
-
-
-def _literal(v) -> str:
-    return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
-
-
-def values(rows, names: str) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows) + f") AS t({names})"
-
-
-@query(values([(i, v[3]) for i, v in enumerate(VECTORS)], "id, result"))
-def transliterate_vectors(spark, sf_dir):
-    rows = spark.createDataFrame([(i, *v[:3]) for i, v in enumerate(VECTORS)], "id int, text string, source string, target string")
-    result = F.coalesce(*[F.when((F.col("source") == a) & (F.col("target") == b), translit.transliterate(F.col("text"), a, b)) for a, b in sorted({v[1:3] for v in VECTORS})])
-    return rows.select("id", result.alias("result"))
-
-
 # ---- morphology
 
-TAGS = [
-    ("noun.masculine.singular.nominative", "noun", "noun", "masculine", "singular", "nominative", None, None, None, "noun.mas.si.nom"),
-    ("verb.third.singular.present.active", "verb", "verb", None, "singular", None, "third", "present", "active", "verb.si.tp.pres.act"),
-    ("noun.si.nom.fem", "noun", "noun", "masculine", None, "nominative", None, None, None, "noun.mas.nom"),
-    ("noun.si.acc.neu", "noun", "noun", "neuter", None, "accusative", None, None, None, "noun.neu.acc"),
-    ("noun.pl.gen.mas", "noun", "noun", "masculine", "plural", "genitive", None, None, None, "noun.mas.pl.gen"),
-    ("verb.1.dual.imperfect.atmanepada", "Verb", "verb", None, "dual", None, "first", "imperfect", "middle", "verb.du.fp.impe.mid"),
-    (None, "adv", "adverb", None, None, None, None, None, None, "adverb"),
-    ("subanta.mas", "subanta", None, None, None, None, None, None, None, ""),
-]
-
-
-def _tags(spark):
-    return spark.createDataFrame([(i, *t[:2]) for i, t in enumerate(TAGS)], "id int, tag string, pos string").withColumn("m", morphology.parsed(F.col("tag"), F.col("pos")))
-
-
-@query(values([(i, *t[2:9]) for i, t in enumerate(TAGS)], 'id, pos, gender, number, "case", person, tense, voice'))
-def morphology_parse(spark, sf_dir):
-    return _tags(spark).select("id", *[F.col("m")[c].alias(c) for c in ("pos", "gender", "number", "case", "person", "tense", "voice")])
-
-
-@query(values([(i, t[9]) for i, t in enumerate(TAGS)], "id, tag"))
-def morph_to_string(spark, sf_dir):
-    return _tags(spark).select("id", morphology.tag_string(F.col("m")).alias("tag"))
-
 
 @query(
     r"""WITH w AS (SELECT p_partkey, lower(p_name) AS t, split_part(lower(p_type), ' ', 1) AS k FROM part)
@@ -121,24 +74,6 @@ def morphology_scan(spark, sf_dir):
     return rows.select("p_partkey", "m.pos", "m.gender", "m.number")
 
 
-KV = [("Tense=Present, Mood=Indicative, Person=3, Number=Sing", "verb", "verb.pres.ind.p3.si"), ("Case=Nominative,Gender=Masc", "noun", "noun.nom.mas"), ("Degree=Cmp", "adjective", "adjective"), ("junk", None, ""), ("case=a=b, Case = Loc", "noun", "noun.loc")]
-
-
-@query(values([(i, *t[1:]) for i, t in enumerate(KV)], "id, pos, tag"))
-def tag_decode_kv(spark, sf_dir):
-    tags = morphology.key_values(F.col("tag"))
-    return spark.createDataFrame([(i, t[0]) for i, t in enumerate(KV)], "id int, tag string").select("id", morphology.kv_pos(tags).alias("pos"), morphology.kv_tag(tags).alias("tag"))
-
-
-NATIVE = [("Subanta(Linga.Pum, Vibhakti.Prathama, Vacana.Eka)", "subanta.mas.pra.si", None), ("Tinanta(Lakara.Lat, Purusha.Prathama, Vacana.Bahu, Gana.Bhvadi)", "tinanta.pl.thi.lat", "bhvādi"), ("Avyaya", "", None), ("Tinanta(Gana.Curadi, Purusha.Uttama)", "tinanta.fir", "curādi")]
-
-
-@query(values([(i, *t[1:]) for i, t in enumerate(NATIVE)], "id, tag, gana"))
-def tag_decode_native(spark, sf_dir):
-    rows = spark.createDataFrame([(i, t[0]) for i, t in enumerate(NATIVE)], "id int, data string").withColumn("d", morphology.decoded(F.col("data")))
-    return rows.select("id", morphology.decoded_tag(F.col("d")).alias("tag"), F.when(F.col("d.gana").isNotNull(), morphology.gana_name(F.col("d.gana"))).alias("gana"))
-
-
 @query("SELECT p_partkey, CASE WHEN p_size <= 10 THEN ['bhvādi', 'adādi', 'juhotyādi', 'divādi', 'svādi', 'tudādi', 'rudhādi', 'tanādi', 'kryādi', 'curādi'][p_size] ELSE 'gaṇa-' || p_size END AS gana FROM part")
 def gana_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", morphology.gana_name(F.col("p_size")).alias("gana"))
@@ -214,16 +149,6 @@ def root_broadcast_lookup(spark, sf_dir):
     return lexicon.with_root(words, lexicon.common_roots(spark), "lemma", F.col("verb")).select("p_partkey", "lemma", F.coalesce("gana", F.lit(0)).alias("gana"), F.get("meanings", F.lit(0)).alias("meaning"))
 
 
-# fixed values: opening rules of the grammar
-SUTRAS = [(1, 1, 1, "वृद्धिरादैच्", "ā ai au are called vṛddhi", "vṛddhirādaic"), (1, 1, 2, "अदेङ्गुणः", "a e o are called guṇa", "adeṅguṇaḥ"), (1, 1, 3, "इको गुणवृद्धी", "guṇa and vṛddhi replace i u ṛ ḷ", "iko guṇavṛddhī"), (6, 1, 77, "इको यणचि", "semivowels replace i u ṛ ḷ before vowels", "iko yaṇaci")]
-
-
-@query(values([("1.1.2", "adeṅguṇaḥ"), ("1.1.3", "iko guṇavṛddhī")], "reference, transliteration"))
-def sutra_search(spark, sf_dir):
-    rows = spark.createDataFrame(SUTRAS, "adhyaya int, pada int, number int, text string, meaning string, transliteration string")
-    return lexicon.sutra_search(rows, "Guṇa").select("reference", "transliteration")
-
-
 @query("SELECT count(DISTINCT p_brand) AS categories, count(*) AS total FROM part")
 def grammar_index(spark, sf_dir):
     entry = F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("rule"))
@@ -253,22 +178,6 @@ def grammar_format(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", training.grammar_format(shaped, F.lit(0.5)).alias("output"))
 
 
-OUTPUTS = [
-    ('{"sandhi_groups": [{"surface_form": "a", "base_words": [{"lemma": "a", "morphology": "noun"}]}]}', ""), ("{}", "Missing required field: sandhi_groups"), ('{"sandhi_groups": "x"}', "sandhi_groups must be an array"),
-    ('{"sandhi_groups": [{"base_words": [{"lemma": "a"}, {"morphology": "b"}]}, {"surface_form": "x"}]}', "Group 0: missing surface_form|Group 0, word 0: missing morphology|Group 0, word 1: missing lemma|Group 1: missing base_words"),
-    ('{"sandhi_groups": [{"surface_form": "a", "base_words": 3}]}', "Group 0: base_words must be an array"), ('{"sandhi_groups": []}', ""), ("not json", "Invalid JSON"),
-]
-
-
-def _outputs(spark):
-    return spark.createDataFrame([(i, o[0]) for i, o in enumerate(OUTPUTS)], "id int, output string")
-
-
-@query(values([(i, o[1]) for i, o in enumerate(OUTPUTS)], "id, errors"))
-def format_validate(spark, sf_dir):
-    return _outputs(spark).select("id", F.array_join(training.validation_errors(F.col("output")), "|").alias("errors"))
-
-
 @query("SELECT count(*) FILTER (event_id % 3 > 0) AS valid, count(*) FILTER (event_id % 3 = 0) AS invalid FROM events")
 def validation_summary(spark, sf_dir):
     """Every third output has a word without its morphology."""

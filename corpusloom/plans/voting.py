@@ -189,22 +189,6 @@ def prompt_build(spark, sf_dir):
     return grouped.select("sentence_id", prompts.prompt(F.transform("b", lambda s: s["block"]), topic=F.lit("orders")).alias("prompt"))
 
 
-RESPONSES = [
-    ('I think {"ranking": [1, 0], "explanation": "x"} is best', 2), ("no braces at all", 2), ('{"ranking": [5, 10], "explanation": "test"}', 2), ('{"ranking": [0, 99, 1], "explanation": "test"}', 2),
-    ('{"ranking": "first"}', 2), ('{"ranking": [0, }', 2), ('{"explanation": "none"}', 3), ('text {"ranking": ["a", 2.0, 1]} more', 3),
-]
-
-
-@query(
-    """SELECT * FROM (VALUES (0, true, NULL, '1,0'), (1, false, 'No JSON found in response', NULL), (2, false, 'No valid indices in ranking', NULL), (3, true, NULL, '0,1'), (4, false, 'Ranking is not a list', NULL),
-(5, false, 'JSON parse error', NULL), (6, false, 'No valid indices in ranking', NULL), (7, true, NULL, '2,1')) AS t(id, success, error, ranking)"""
-)
-def llm_response_parse(spark, sf_dir):
-    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(RESPONSES)], "id int, response string, n int")
-    p = prompts.parsed_response(F.col("response"), F.col("n"))
-    return rows.select("id", p.alias("p")).select("id", "p.success", "p.error", F.array_join("p.ranking", ",").alias("ranking"))
-
-
 # ---- trees
 
 _LINES = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1"
