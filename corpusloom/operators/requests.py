@@ -24,7 +24,7 @@ from corpusloom.operators.lexicon import CLASSES, MAX_LISTED, routed
 LISTED = 100
 GANA_RANGE, GANA_BAD, NOT_FOUND, UNKNOWN = "Gana must be between 1 and 10", "Invalid gana number: ", "Dhatu not found: ", "Unknown resource: "
 #: fixed values: the columns that an entry shows
-ENTRY = ("id", "dhatu_devanagari", "dhatu_iast", "meaning_english", "gana", "pada", "panini_reference", "examples")
+ENTRY = ("id", "dhatu_devanagari", "dhatu_iast", "meaning_english", "meaning_hindi", "gana", "pada", "panini_reference")
 FORMS = ("purusha", "vacana", "pada", "form_devanagari", "form_iast")
 
 

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 
 def batch_statistics(rows: DataFrame, words: Column, ok: Column) -> DataFrame:
-    """texts, successes, failures, words and distinct words: two aggregations, the distinct one on exploded words."""
-    per_text = rows.select(ok.alias("ok"), words.alias("words"))
-    totals = per_text.agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("successful"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.sum(F.size("words")), F.lit(0)).cast("long").alias("words"))
-    unique = per_text.select(F.explode("words").alias("w")).agg(F.count_distinct("w").alias("unique_words"))
-    return totals.crossJoin(unique)  # one row and one row
+    """total, successful and failed texts, words and unique words: one scan, each text split once. A text's first word, or its lack of words, stands for the text."""
+    each = rows.select(F.coalesce(ok, F.lit(False)).alias("ok"), F.posexplode_outer(words).alias("at", "w"))
+    text = F.coalesce(F.col("at"), F.lit(0)) == 0
+    return each.agg(F.count_if(text).alias("total"), F.count_if(text & F.col("ok")).alias("successful"), F.count_if(text & ~F.col("ok")).alias("failed"), F.count("w").alias("words"), F.count_distinct("w").alias("unique_words"))
 
 
 def top(rows: DataFrame, value: Column, n: int, name: str = "word") -> DataFrame:

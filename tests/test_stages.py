@@ -404,3 +404,53 @@ def test_a_walk_finds_all_parts_of_a_parse(spark):
     with pytest.raises(ValueError, match="Unknown tool"):
         tree.tool(found, "other")
     assert tree.walked(rows.withColumn("parses", F.lit(None).cast(rows.schema["parses"].dataType)), "id").collect() == []
+
+
+# ---- differences of parses, batches
+
+
+def full(*groups):
+    """A parse as JSON: groups of (lemma, pos) words."""
+    import json
+
+    return json.dumps({"parse_id": "p", "confidence": 0.5, "sandhi_groups": [{"surface_form": "s", "base_words": [{"lemma": w, "surface_form": w, "morphology": {"pos": p} if p else None, "dhatu": {"dhatu_iast": w, "gana": 1} if p == "verb" else None} for w, p in g]} for g in groups]})
+
+
+def test_changes_of_two_parses(spark):
+    a = full([("gam", "verb"), ("rama", "noun")])
+    cases = [
+        (a, a, []), (a, full([("gam", "verb")], [("rama", "noun")]), ["Sandhi groups differ: 1 vs 2"]), (a, full([("gam", "verb")]), ["Word count differs: 2 vs 1", "Word 2: ? (only in left)"]),
+        (full([("gam", "verb")]), a, ["Word count differs: 1 vs 2", "Word 2: ? (only in right)"]), (a, full([("gam", "noun"), ("sita", "noun")]), ["Word 1 (gam): Different analysis - verb vs noun", "Word 2: Different lemma - rama vs sita"]),
+        (full([("x", None)]), full([("x", "noun")]), ["Word 1 (x): Different analysis - ? vs noun"]), (full(), full(), []),
+    ]
+    from corpusloom.operators import diff
+
+    rows = spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(cases)], "id int, a string, b string").select("id", tree.from_full_json(F.col("a")).alias("a"), tree.from_full_json(F.col("b")).alias("b"))
+    assert [r.c for r in rows.select("id", diff.changes(F.col("a"), F.col("b")).alias("c")).orderBy("id").collect()] == [c[2] for c in cases]
+
+
+def test_batches_count_what_was_analysed(spark, tmp_path):
+    from corpusloom.operators import batch
+
+    texts = [(1, "a", [full([("gam", "verb"), ("b", "noun")])], 0.5, None), (2, "b", [full([("b", "noun"), ("c", None), ("gam", "verb")])], 0.25, None), (3, "c", [full([("lost", "noun")])], 0.9, "broken"), (4, "d", [], 0.0, None), (5, None, None, None, None)]
+    rows = spark.createDataFrame(texts, "id int, text string, js array<string>, overall_confidence double, error string")
+    rows = rows.select("id", "text", F.transform("js", tree.from_full_json).alias("parses"), "overall_confidence", "error")
+    own = batch.summarised(rows, "id")
+    counts = batch.frequencies(own, "id")
+    done = batch.statistics(own, counts).first()
+    assert (done.total_texts, done.successful_analyses, done.failed_analyses, done.total_words, done.unique_words, done.average_confidence, done.unique_dhatus) == (5, 4, 1, 5, 3, 0.25, 1)
+    # of equal counts the word that was seen first
+    assert [tuple(x) for x in done.top_words] == [("gam", 2), ("b", 2), ("c", 1)] and {tuple(x) for x in done.pos_distribution} == {("noun", 2), ("verb", 2)} and [tuple(x) for x in done.top_dhatus] == [("gam", 2)]
+    assert [tuple(x)[:2] for x in batch.most_common(counts, 1).where("kind = 'word'").collect()] == [("word", "gam")]
+    batch.export(own, batch.statistics(own, counts), str(tmp_path / "out"))
+    import json
+
+    back = {x["id"]: x for x in (json.loads(r.value) for r in spark.read.text(str(tmp_path / "out/results")).collect())}
+    assert back[3] == {"id": 3, "text": "c", "error": "broken"} and [w["lemma"] for w in back[2]["words"]] == ["b", "c", "gam"] and "morphology" not in back[2]["words"][1] and back[5]["words"] == []
+    stats_line = json.loads(spark.read.text(str(tmp_path / "out/statistics")).first().value)
+    assert stats_line["total_texts"] == 5
+    empty = batch.summarised(rows.limit(0), "id")
+    assert batch.statistics(empty, batch.frequencies(empty, "id")).first().total_words == 0
+    verses = batch.verse_entities(rows.where("id in (1, 4, 5)").withColumn("location", F.concat(F.lit("1.2."), F.col("id").cast("string"))))
+    got = {r.id: r for r in verses.collect()}
+    assert [d.verse_location for d in got[1].dhatus] == ["1.2.1"] and [w.devanagari for w in got[1].words] == ["gam", "b"] and got[4].words == [] and got[5].dhatus == []
