@@ -106,3 +106,20 @@ def test_best_of_an_array_of_parses(spark):
     parses = F.transform("cs", lambda c, i: F.struct(i.alias("at"), c.alias("confidence")))
     got = rows.select("id", tree.best_of(parses, F.col("selected")).alias("b")).orderBy("id").collect()
     assert [r.b and r.b["at"] for r in got] == [1, 0, 1, None, 0]
+
+
+def test_replacements_read_as_look_ups_do(spark):
+    """Names replaced one after the other against a longest-first reading, on random runs of all signs."""
+    import random
+
+    rng = random.Random(6)
+    for scheme, table in translit.TO_SLP1.items():
+        back = {}
+        for latin, slp1 in table.items():
+            back.setdefault(slp1, latin)
+        for pairs in (table, back):
+            signs = [*pairs, *{c for k in pairs for c in k}, " ", "\n", "ā", "X", "1"]
+            rows = spark.createDataFrame([("".join(rng.choice(signs) for _ in range(rng.randrange(30))),) for _ in range(300)], "t string")
+            got = rows.select("t", translit._read(F.col("t"), pairs).alias("a"), translit._mapped(F.col("t"), translit._longest(pairs), pairs).alias("b")).collect()
+            assert all(r.a == r.b for r in got), scheme
+    assert translit._apart(translit.TO_SLP1["iast"]) and not translit._apart({"ab": "x", "bc": "y"}) and not translit._apart({"a": "b", "b": "c"}) and not translit._apart({"aa": "x"})
