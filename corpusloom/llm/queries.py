@@ -139,9 +139,31 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN p END::BIGIN
 """
 
 
+def _linked_sql(words: int, share: int, more: str) -> str:
+    """Sets of shingles, candidates by a prefix filter, links on whole sets, the smallest id that each document reaches."""
+    shingle = " || ' ' || ".join(f"ws[i + {k}]" for k in range(words))
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(ws) < {words} THEN array_to_string(ws, ' ') ELSE {shingle} END AS h FROM d, LATERAL (SELECT unnest(range(1, greatest(len(ws) - {words} + 2, 2))) AS i) WHERE len(ws) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+f AS (SELECT h, count(*) AS df FROM s GROUP BY 1 HAVING count(*) > 1),
+o AS MATERIALIZED (SELECT s.doc_id, s.h, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY coalesce(df, 1), s.h) AS k FROM s JOIN n USING (doc_id) LEFT JOIN f USING (h)),
+p AS MATERIALIZED (SELECT doc_id, h, n FROM o WHERE k <= n - ({share} * n + 99) // 100 + 1),
+c AS MATERIALIZED (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny FROM p a JOIN p b ON a.h = b.h AND a.doc_id < b.doc_id WHERE 100 * least(a.n, b.n) >= {share} * greatest(a.n, b.n)),
+l AS MATERIALIZED (SELECT x, y FROM c JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y AND b.h = a.h GROUP BY x, y, nx, ny HAVING 100 * count(*) >= {share} * (nx + ny - count(*))),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT e.y, r.root FROM r JOIN e ON r.doc_id = e.x WHERE r.root < e.y)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(root) AS component_id{more} FROM d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n
+"""
+
+
+OP9_SQL = _linked_sql(4, 85, "")
+OP12_SQL = _linked_sql(2, 80, ", d.doc_id = min(root) AS kept")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": OP8_SQL, "op11_filter_audit": OP11_SQL, "op13_fill_middle": OP13_SQL}
+    return {"op8_mix_sources": OP8_SQL, "op9_ngram_join": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_minhash": OP12_SQL, "op13_fill_middle": OP13_SQL}

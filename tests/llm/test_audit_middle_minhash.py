@@ -321,3 +321,22 @@ def test_no_stage_overwrites_a_column_of_the_input(spark, tmp_path):
         assert out.columns == docs.columns
         assert {tuple(r[5:]) for r in out.collect()} == {tuple(names)}
         docs = out
+
+
+# ---- queries against their SQL
+
+
+@pytest.mark.parametrize("name", ["op9_ngram_join", "op11_filter_audit", "op12_minhash", "op13_fill_middle"])
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    from corpusloom.llm import queries
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    df = queries.queries()[name](spark, sf)
+    found = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(repr, map(tuple, df.select(*names).collect()))) == sorted(map(repr, found.fetchall()))
