@@ -454,3 +454,28 @@ def test_batches_count_what_was_analysed(spark, tmp_path):
     verses = batch.verse_entities(rows.where("id in (1, 4, 5)").withColumn("location", F.concat(F.lit("1.2."), F.col("id").cast("string"))))
     got = {r.id: r for r in verses.collect()}
     assert [d.verse_location for d in got[1].dhatus] == ["1.2.1"] and [w.devanagari for w in got[1].words] == ["gam", "b"] and got[4].words == [] and got[5].dhatus == []
+
+
+# ---- the service's calls
+
+
+def test_calls_answer_every_request(spark):
+    from corpusloom.operators import service
+
+    asked = spark.createDataFrame([(1, "rāma gam", None), (2, "", "production"), (3, None, "production"), (4, "x" * 10_001, "academic"), (5, "word", "Academic"), (6, "word", "other"), (7, " \n", "educational")], "request_id long, text string, mode string")
+    got = {r.request_id: r for r in service.analyses(asked).collect()}
+    assert {k: r.status for k, r in got.items()} == {1: 200, 2: 422, 3: 422, 4: 422, 5: 200, 6: 400, 7: 200}
+    assert got[6].detail == "Invalid mode: other. Must be one of: production, academic, educational" and got[2].detail == service.BAD_LENGTH
+    assert (got[1].mode, got[5].mode, got[1].n_segments, got[7].parses) == ("production", "academic", 2, []) and got[1].parses[0].sandhi_groups[1].base_words[0].lemma == "gam"
+    docs = spark.createDataFrame([(1, "running to trees"), (2, "abc")], "doc_id long, text string")
+    stored = analysis.to_store(analysis.analysed(docs, options=Options(mode="academic"), alternatives=True))
+    ids = {r.doc_id: (r.sentence_id, len(r.parses)) for r in analysis.analysed(docs, options=Options(mode="academic"), alternatives=True).collect()}
+    looked = spark.createDataFrame([(1, ids[1][0]), (2, "sent_none"), (3, None), (4, ids[1][0])], "request_id long, sentence_id string")
+    answers = {r.request_id: r for r in service.found(looked, stored).collect()}
+    assert [answers[i].status for i in (1, 2, 3, 4)] == [200, 404, 404, 200] and answers[2].detail == "Analysis not found: sent_none" and answers[1].parses == answers[4].parses and len(answers[1].parses) == ids[1][1]
+    many = ids[1][1]
+    choices = spark.createDataFrame([(1, ids[1][0], 0), (2, ids[1][0], many - 1), (3, ids[1][0], many), (4, ids[2][0], -1), (5, "sent_none", 0), (6, ids[2][0], None)], "request_id long, sentence_id string, selected_parse int")
+    done, updated = service.chosen(choices, stored, "request_id")
+    assert {r.request_id: r.status for r in done.collect()} == {1: 200, 2: 200, 3: 400, 4: 400, 5: 404, 6: 400}
+    rows = {r.sentence_id: r for r in updated.collect()}
+    assert updated.columns == stored.columns and (rows[ids[1][0]].selected, rows[ids[1][0]].stage) == (many - 1, "human") and rows[ids[2][0]].stage == "none"
