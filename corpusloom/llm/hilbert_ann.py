@@ -23,7 +23,7 @@ than a block and a chunk; within them a query is compared with the rows of its
 window only.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
-components take no part, nor do those of another length than the most frequent
+components take no part, nor do rows without vec_id or of another length than the most frequent
 one; repeated rows count once; ties go to the smaller id; fewer candidates give
 fewer rows; an empty table gives an empty result; further columns aren't read.
 """
