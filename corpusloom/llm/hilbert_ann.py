@@ -12,9 +12,11 @@ to the longest one's length; queries are lifted to 0 there.
 The rotation's scale is fitted on at most SAMPLE vectors. Every vector is
 indexed. The window's width isn't guessed: at most CALIBRATED queries are
 answered by brute force over all rows, and the window is the one that holds the
-share TARGET of their true neighbours, LEAST_REACH rows at least. Where vectors have no structure at all,
+share TARGET of their true neighbours, and TOP + 1 rows at least, so that no query
+finds fewer than TOP. Where vectors have no structure at all,
 such as uniform directions in 64 dimensions, this honestly gives wide windows.
-The share that the window held is returned with the answers.
+The share that the window holds is measured on at most CALIBRATED other queries
+(on all queries, where there are no others) and returned with the answers.
 
 Equal vectors are one group that keeps its TOP + 1 smallest ids, as no answer
 can need more. An order is cut in blocks about as long as the window reaches,
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import importable, shuffle_parts, written
 
 TOP, CURVES, DIMENSIONS, BITS = 20, 4, 6, 10
-SAMPLE, CALIBRATED, TARGET, LEAST_REACH, LEAST_BLOCK, BLOCK, CHUNK, AT_ONCE = 4_000, 128, 0.95, 512, 1_024, 65_536, 4_096, 128
+SAMPLE, CALIBRATED, TARGET, LEAST_BLOCK, BLOCK, CHUNK, AT_ONCE = 4_000, 128, 0.95, 1_024, 65_536, 4_096, 128
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -124,7 +126,7 @@ def groups(embeddings: DataFrame, every: int, vec_id: str, embedding: str) -> Da
 
 
 def places(vectors: DataFrame, curves: Curves) -> DataFrame:
-    """(curve, place, gid, asked): the place of every vector and query in every order, counted over all curves."""
+    """(curve, place, gid, asked): the vectors that stand before each vector and query in its order and in the curves before."""
 
     def keyed(batches):
         import pandas as pd
@@ -140,16 +142,17 @@ def places(vectors: DataFrame, curves: Curves) -> DataFrame:
     def numbered(batches):
         at = 0
         for rows in batches:
-            yield rows[["curve", "gid", "asked"]].assign(at=np.arange(at, at + len(rows)))
-            at += len(rows)
+            own = (~rows["asked"].to_numpy(bool)).cumsum()
+            yield rows[["curve", "gid", "asked"]].assign(at=at + own - ~rows["asked"].to_numpy(bool))
+            at += int(own[-1]) if len(own) else 0
 
     order = ["curve", "key", "gid", "asked"]
     keys = vectors.select("gid", "v", "asked").mapInPandas(keyed, "curve int, key long, gid long, asked boolean")
     held = keys.repartitionByRange(max(2, shuffle_parts(vectors.sparkSession)), *order).sortWithinPartitions(*order).mapInPandas(numbered, "curve int, gid long, asked boolean, at long")
     held = written(held.withColumn("part", F.spark_partition_id()), "places")
-    counts = {r["part"]: r["count"] for r in held.groupBy("part").count().collect()}  # a row per partition
+    counts = {r["part"]: r["count"] for r in held.where("not asked").groupBy("part").count().collect()}  # a row per partition
     before, total = [], 0
-    for p in range(max(counts, default=0) + 1):
+    for p in range(held.agg(F.max("part")).first()[0] + 1):
         before.append(total)
         total += counts.get(p, 0)
     return held.select("curve", (F.col("at") + F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("part") + 1)).alias("place"), "gid", "asked")
@@ -177,20 +180,23 @@ def truth(vectors: DataFrame, queries, n: int):
 
 
 def window(vectors: DataFrame, placed: DataFrame, target: float) -> tuple[int, float]:
-    """Rows on either side of a query that hold the target share of true neighbours in at least one order, and the share that they do hold."""
+    """Rows on either side of a query that hold the target share of some queries' true neighbours in at least one order, and the share that they hold of other queries'."""
     spark = vectors.sparkSession
-    queries = vectors.where("asked").orderBy(F.xxhash64("gid")).limit(CALIBRATED).select("gid", "v").toPandas()
+    queries = vectors.where("asked").orderBy(F.xxhash64("gid")).limit(2 * CALIBRATED).select("gid", "v").toPandas()
     if not len(queries):
         return 0, 1.0
     true = truth(vectors, queries, TOP)
     if not len(true):
         return 0, 1.0
-    pairs = F.broadcast(spark.createDataFrame(true[["q", "gid"]].drop_duplicates()))  # CALIBRATED x TOP rows
+    pairs = F.broadcast(spark.createDataFrame(true[["q", "gid"]].drop_duplicates()))  # 2 x CALIBRATED x TOP rows
     asked = placed.where("asked").select(F.col("gid").alias("q"), "curve", F.col("place").alias("q_place"))
     near = placed.where("not asked").select("gid", "curve", "place").join(pairs, "gid").join(F.broadcast(asked.join(F.broadcast(spark.createDataFrame(queries[["gid"]].rename(columns={"gid": "q"}))), "q")), ["q", "curve"])
-    gap = near.groupBy("q", "gid").agg(F.min(F.abs(F.col("place") - F.col("q_place"))).alias("gap")).toPandas()["gap"].to_numpy()
-    reach = max(LEAST_REACH, int(np.quantile(gap, target, method="higher")))
-    return reach, float((gap <= reach).mean())
+    gap = near.groupBy("q", "gid").agg(F.min(F.abs(F.col("place") - F.col("q_place"))).alias("gap")).toPandas()
+    fitted = gap["q"].isin(queries["gid"][:CALIBRATED]).to_numpy()
+    gap = gap["gap"].to_numpy()
+    reach = max(TOP + 1, int(np.quantile(gap[fitted], target, method="higher")))
+    other = gap if fitted.all() else gap[~fitted]
+    return reach, float((other <= reach).mean())
 
 
 def nearest(embeddings: DataFrame, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", target: float = TARGET) -> DataFrame:
@@ -207,7 +213,7 @@ def nearest(embeddings: DataFrame, every: int = 20, vec_id: str = "vec_id", embe
     reach, held = window(vectors, placed, target)
     block = min(max(reach, LEAST_BLOCK), BLOCK)
     queries = vectors.where("asked").count()
-    per_curve = vectors.count() + queries
+    per_curve = vectors.count()
     chunks = max(1, -(-queries * min(per_curve, 2 * reach + block) // per_curve // CHUNK))
     start = F.col("curve").cast("long") * per_curve
     rank = F.col("place") - start

@@ -181,7 +181,6 @@ def test_line_dedup_of_long_lines_and_clashing_names(spark):
 
 def test_nearest_compares_windows_and_tells_its_recall(spark, monkeypatch):
     monkeypatch.setattr(hilbert_ann, "LEAST_BLOCK", 16)
-    monkeypatch.setattr(hilbert_ann, "LEAST_REACH", 1)
     rng = np.random.default_rng(3)
     x = (rng.standard_normal((40, 8)) * 4)[rng.integers(0, 40, 2500)] + rng.standard_normal((2500, 8)) * 0.1
     rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
@@ -193,6 +192,17 @@ def test_nearest_compares_windows_and_tells_its_recall(spark, monkeypatch):
         s[q] = -np.inf
         hit += len(set(own.vec_id) & set(np.argsort(-s)[:20].tolist()))
     assert hit >= 0.9 * 20 * got.query_id.nunique()
+    assert (got.groupby("query_id").size() == 20).all()
+
+
+def test_nearest_finds_twenty_even_where_queries_stand_together(spark):
+    # the window counts rows only, so queries that lie side by side don't take each other's room
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((900, 6))
+    rows = [(i * 20 if i < 300 else i * 20 + 1, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = hilbert_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), target=0.0).toPandas()
+    assert got.query_id.nunique() == 300 and (got.groupby("query_id").size() == 20).all()
+    assert not (got.query_id == got.vec_id).any() and not got.duplicated(["query_id", "vec_id"]).any()
 
 
 # ---- op4

@@ -149,7 +149,7 @@ def test_nearest_equals_brute_force_on_small_tables(spark):
     x = rng.standard_normal((300, 8)).astype("f4") * rng.random((300, 1)).astype("f4")
     rows = [(i, [float(v) for v in x[i]], 0) for i in range(300)]
     rows += [(i, rows[40][1], 0) for i in range(300, 360)] + [rows[7], (901, None, 0), (920, [0.0] * 8, 0), (940, [float("nan")] * 8, 0), (960, [1.0, None] + [0.0] * 6, 0), (980, [1.0], 0)]
-    got = pd.DataFrame([r.asDict() for r in hilbert_ann.nearest(vectors(spark, rows)).collect()])
+    got = pd.DataFrame([r.asDict() for r in hilbert_ann.nearest(vectors(spark, rows), target=1.0).collect()])
     sound = {i: np.array(v, "f8") for i, v, _ in rows if v is not None and len(v) == 8 and all(c is not None and np.isfinite(c) for c in v) and any(v)}
     assert sorted(set(got.query_id)) == [i for i in sorted(sound) if i % 20 == 0]
     for q, own in got.groupby("query_id"):
@@ -168,7 +168,6 @@ def test_nearest_of_few_or_no_vectors(spark):
 
 def test_nearest_recall_with_narrow_windows(spark, monkeypatch):
     monkeypatch.setattr(hilbert_ann, "LEAST_BLOCK", 128)
-    monkeypatch.setattr(hilbert_ann, "LEAST_REACH", 1)
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((60, 16)) * 3
     x = centres[rng.integers(0, 60, 4000)] + rng.standard_normal((4000, 16)) * 0.3
