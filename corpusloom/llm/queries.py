@@ -11,7 +11,7 @@ from corpusloom.llm.common import table
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import simhash
 
-    return simhash.edited(table(spark, sf_dir, "documents"))
+    return simhash.classes(simhash.edited(table(spark, sf_dir, "documents")))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

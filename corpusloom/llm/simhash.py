@@ -7,8 +7,11 @@ are added in packed lanes: one long holds the counters of two bits, so a text
 needs 64 sums and no array per term; a lane holds 2**31 terms.
 
 ``near_pairs`` finds all fingerprints within a Hamming radius r by permuted
-block tables: the 128 bits are cut into r + 1 blocks, two fingerprints within r
-agree on a whole block, and each table is an equi-join on its block.
+block tables: the 128 bits are cut into r + 2 blocks, two fingerprints within r
+agree on two whole blocks, and each pair of blocks is a table keyed by both. A
+bucket of more than BUCKET fingerprints isn't joined: the bits that it hasn't
+fixed yet are cut in the same way, so no join meets a larger one. ``classes``
+gives every document the smallest doc_id that such links reach.
 
 Defined results: null text counts as empty; a text without words has the zero
 fingerprint; equal texts have equal fingerprints; rows of one doc_id follow each
@@ -18,14 +21,19 @@ columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import shuffle_parts, whole
+from corpusloom.llm import graph
+from corpusloom.llm.common import HOT, shuffle_parts, whole, written
 
 BITS, SHINGLE = 128, 5
 #: rows in a block of neighbours, and the most blocks; beyond, blocks grow and their window spills
 BLOCK_ROWS, MAX_BLOCKS = 1_000, 65_536
+#: fingerprints that one key of a block table may hold before it is cut further
+BUCKET = 256
 
 
 def words(text: Column) -> Column:
@@ -79,19 +87,68 @@ def likeness(hamming: Column) -> Column:
     return F.when(hamming == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), cosine))
 
 
-def near_pairs(fps: DataFrame, radius: int = 3) -> DataFrame:
+def _tables(rows: DataFrame, radius: int) -> DataFrame:
+    """(fp_hi, fp_lo, key, rest): the rows under the key of every pair of blocks of their rest, and the bits of the other blocks."""
+    n, size = radius + 2, F.length("rest")
+    at = [F.floor(size * i / n).cast("int") for i in range(n + 1)]
+    block = [F.substring(F.col("rest"), at[i] + 1, at[i + 1] - at[i]) for i in range(n)]
+    pairs = itertools.combinations(range(n), 2)
+    made = [
+        F.struct(F.xxhash64("key", F.lit(i * n + j), block[i], block[j]).alias("key"), F.concat(*[block[k] for k in range(n) if k not in (i, j)]).alias("rest"))
+        for i, j in pairs
+    ]
+    return rows.select("fp_hi", "fp_lo", F.explode(F.array(*made)).alias("t")).select("fp_hi", "fp_lo", "t.*")
+
+
+def near_pairs(fps: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
     """All pairs of distinct fingerprints (fp_hi, fp_lo, fp_hi2, fp_lo2, hamming) within radius, the smaller one first.
 
     Documents of equal fingerprint are one class and aren't expanded; join the
-    pairs back on the fingerprint for its members."""
-    cuts = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
+    pairs back on the fingerprint for its members. bucket must be so large that
+    radius + 2 bits can tell as many apart."""
+    if bucket < 1 << (radius + 2):
+        raise ValueError(f"bucket must be at least {1 << (radius + 2)}")
     bits = F.concat(F.lpad(F.bin("fp_hi"), 64, "0"), F.lpad(F.bin("fp_lo"), 64, "0"))
-    keys = F.array(*[F.concat(F.lit(f"{i}:"), F.substring(bits, a + 1, b - a)) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    blocks = fps.select("fp_hi", "fp_lo").distinct().select("fp_hi", "fp_lo", F.explode(keys).alias("block"))
-    other = blocks.select(F.col("fp_hi").alias("fp_hi2"), F.col("fp_lo").alias("fp_lo2"), "block")
+    rows = fps.select("fp_hi", "fp_lo").distinct().select("fp_hi", "fp_lo", F.lit(0).cast("long").alias("key"), bits.alias("rest"))
     first = (F.col("fp_hi") < F.col("fp_hi2")) | ((F.col("fp_hi") == F.col("fp_hi2")) & (F.col("fp_lo") < F.col("fp_lo2")))
     d = distance(F.col("fp_hi"), F.col("fp_lo"), F.col("fp_hi2"), F.col("fp_lo2"))
-    return blocks.join(other, "block").where(first & (d <= radius)).select("fp_hi", "fp_lo", "fp_hi2", "fp_lo2", d.alias("hamming")).distinct()
+    found = None
+    while True:
+        rows = _tables(rows, radius)
+        # keys are counted alone, so only the fingerprints of shared ones move
+        shared = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "fp_keys")
+        met = written(rows.join(shared, "key"), "fp_met")
+        few = met.where(F.col("n") <= bucket).select("fp_hi", "fp_lo", "key")
+        pairs = few.join(few.select(F.col("fp_hi").alias("fp_hi2"), F.col("fp_lo").alias("fp_lo2"), "key"), "key").where(first & (d <= radius)).select("fp_hi", "fp_lo", "fp_hi2", "fp_lo2", d.alias("hamming"))
+        found = pairs if found is None else found.unionByName(pairs)
+        rows = met.where(F.col("n") > bucket).select("fp_hi", "fp_lo", "key", "rest")
+        if rows.isEmpty():
+            return found.distinct()
+
+
+def classes(rows: DataFrame, radius: int = 3) -> DataFrame:
+    """rows (doc_id, fingerprint as ``as_text`` gives it, others) with class_id, the smallest doc_id that fingerprints within radius of one another reach, and class_rows, how many rows that are.
+
+    A class whose rows have no id has a null class_id. Equal fingerprints are
+    counted before they are shuffled; the few that very many rows share are
+    joined by broadcast (fewer than HOT of them)."""
+    rows = written(rows, "fp_rows")
+    half = lambda at: F.conv(F.substring("fingerprint", at, 16), 16, -10).cast("long")
+    sums = written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "fp_sums")
+    pairs = near_pairs(sums.select(half(1).alias("fp_hi"), half(17).alias("fp_lo")), radius)
+    label = graph.components(pairs.select(as_text(F.col("fp_hi"), F.col("fp_lo")).alias("a"), as_text(F.col("fp_hi2"), F.col("fp_lo2")).alias("b")))
+    labelled = sums.join(label, F.col("fingerprint") == F.col("node")).select("fingerprint", "least", "n", "label")
+    of_label = labelled.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_rows"))
+    linked = labelled.join(of_label, "label").select("fingerprint", F.col("class_id").alias("own_id"), F.col("class_rows").alias("own_rows"))
+    known = sums.join(linked, "fingerprint", "left").select("fingerprint", F.when(F.col("own_rows").isNull(), F.col("least")).otherwise(F.col("own_id")).alias("class_id"), F.coalesce("own_rows", "n").alias("class_rows"), "n")
+    known = written(known.where("class_rows > 1"), "fp_classes")
+    total = rows.count()
+    hot = known.where(F.col("n") * HOT > total).drop("n")
+    at_once = rows.join(F.broadcast(hot), "fingerprint", "left")
+    others = at_once.where("class_rows IS NULL").select(*rows.columns).join(known.where(F.col("n") * HOT <= total).drop("n"), "fingerprint", "left")
+    alone = F.col("class_rows").isNull()
+    others = others.select(*rows.columns, F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_rows", F.lit(1).cast("long")).alias("class_rows"))
+    return at_once.where("class_rows IS NOT NULL").select(*rows.columns, "class_id", "class_rows").unionByName(others)
 
 
 def _blocks(docs: DataFrame, doc_id: str) -> tuple[DataFrame, list]:

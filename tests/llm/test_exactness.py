@@ -176,6 +176,49 @@ def test_line_dedup_of_long_lines_and_clashing_names(spark):
     assert [(r.text, r.lid, r.ln_lines, r.ln_gone, r.ln_removed, r.ln_lines_, r.ln_removed_) for r in done] == [(f"{long} end\nshort", 7, 8, 9, "a", 2, 0), ("", 1, 2, 3, "b", 2, 2)]
 
 
+def test_classes_of_fingerprints_equal_brute_force(spark):
+    rng = random.Random(8)
+    ball = rng.getrandbits(128)
+    # one dense ball, whose block tables must be cut further, chains, copies and lone ones
+    values = [ball ^ sum(1 << k for k in rng.sample(range(128), rng.randrange(6))) for _ in range(400)]
+    for _ in range(30):
+        v = rng.getrandbits(128)
+        for _ in range(rng.randrange(1, 6)):
+            values.append(v)
+            v ^= sum(1 << k for k in rng.sample(range(128), rng.randrange(0, 5)))
+    values += [values[-1]] * 60 + [0, 0]
+    ids = rng.sample(range(10_000), len(values))
+    ids[-3], ids[-2], ids[-1] = None, None, None
+    rows = [(i, f"{v:032x}", "x") for i, v in zip(ids, values, strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, fingerprint string, text string")
+    for bucket in (256, 32):
+        hi, lo = (F.conv(F.substring("fingerprint", k, 16), 16, -10).cast("long") for k in (1, 17))
+        pairs = simhash.near_pairs(docs.select(hi.alias("fp_hi"), lo.alias("fp_lo")), 3, bucket).collect()
+        distinct = sorted(set(values))
+        want = {frozenset(p) for p in itertools.combinations(distinct, 2) if (p[0] ^ p[1]).bit_count() <= 3}
+        whole = lambda a, b: ((a & (2**64 - 1)) << 64) | (b & (2**64 - 1))
+        assert {frozenset((whole(r.fp_hi, r.fp_lo), whole(r.fp_hi2, r.fp_lo2))) for r in pairs} == want and len(pairs) == len(want)
+    group = {v: v for v in distinct}
+
+    def root(v):
+        while group[v] != v:
+            v = group[v]
+        return v
+
+    for p in want:
+        a, b = map(root, p)
+        group[a] = b
+    members = {}
+    for i, v in zip(ids, values, strict=True):
+        members.setdefault(root(v), []).append(i)
+    expected = sorted(((i, min((x for x in m if x is not None), default=None), len(m)) for m in members.values() for i in m), key=str)
+    got = simhash.classes(docs)
+    assert got.columns == ["doc_id", "fingerprint", "text", "class_id", "class_rows"]
+    assert sorted(((r.doc_id, r.class_id, r.class_rows) for r in got.collect()), key=str) == expected
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert simhash.classes(docs.limit(0)).collect() == []
+
+
 # ---- op3
 
 
