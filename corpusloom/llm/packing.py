@@ -8,8 +8,10 @@ ceil(tokens / length) bins nothing is left to gain. All underfull bins are in
 reach of a step, by an index on the sizes they hold.
 
 Pieces are dealt by hash to groups of about GROUP_PIECES, packed each on its
-own, so a group fits a task at any input size and costs at most a fraction of a
-bin each. Equal inputs give equal packings.
+own, so a group fits a task at any input size. Bins that are still underfull
+after that meet those of other groups: they are dealt anew, whole, to groups of
+about as many pieces, and the search goes on between them, until all of them
+are in one group or a round saves no bin. Equal inputs give equal packings.
 
 Defined results: a null text is empty and still takes its end id; repeated rows
 are packed as often as they stand there; a null doc_id is a row like any other;
@@ -218,7 +220,43 @@ def pack(items: DataFrame, length: str = "length", order: tuple[str, ...] = ("do
         return rows.drop(columns=group).assign(sequence_id=sequence, offset=offset)
 
     group = fresh(items, "pk_group")
-    return dealt(items, order, groups, group).groupBy(group).applyInPandas(one, schema)
+    first = dealt(items, order, groups, group).groupBy(group).applyInPandas(one, schema)
+    return first if groups == 1 else _leftovers(first, length, order, capacity, group_pieces, group)
+
+
+def _leftovers(first: DataFrame, length: str, order: tuple[str, ...], capacity: int, group_pieces: int, group: str) -> DataFrame:
+    """The packing after rounds of the search among the underfull bins of all groups; a bin's pieces stay in one group, and a group's bins keep their numbers."""
+    names = first.columns
+
+    def again(rows):
+        rows = rows.sort_values(["sequence_id", "offset"], kind="stable").drop(columns=group).reset_index(drop=True)
+        sizes = rows[length].tolist()
+        ids, place = np.unique(rows["sequence_id"].to_numpy(), return_inverse=True)
+        bins = [own.tolist() for own in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(place)) + 1)]
+        sequence, offset = np.zeros(len(sizes), "i8"), np.zeros(len(sizes), "i8")
+        for b, own in zip(ids, improve(bins, sizes, capacity), strict=False):
+            at = 0
+            for i in own:
+                sequence[i], offset[i] = b, at
+                at += sizes[i]
+        return rows.assign(sequence_id=sequence, offset=offset)[names]
+
+    done, held, number = None, written(first, "packed"), 0
+    while True:
+        fills = held.groupBy("sequence_id").agg(F.sum(length).alias("pk_fill"), F.count(F.lit(1)).alias("pk_pieces"))
+        under = written(fills.where(F.col("pk_fill") < capacity).select("sequence_id", "pk_fill", "pk_pieces"), "underfull")
+        bins, tokens, pieces = under.agg(F.count(F.lit(1)), F.coalesce(F.sum("pk_fill"), F.lit(0)), F.coalesce(F.sum("pk_pieces"), F.lit(0))).first()
+        if bins <= -(-tokens // capacity):
+            break
+        groups = max(1, -(-pieces // group_pieces))
+        full = held.join(under, "sequence_id", "left_anti").select(*names)
+        done = full if done is None else done.unionByName(full)
+        left = held.join(under, "sequence_id", "left_semi").withColumn(group, F.pmod(F.xxhash64("sequence_id", F.lit(number)), F.lit(groups)))
+        held = written(left.select(*names, group).groupBy(group).applyInPandas(again, first.schema), "repacked")
+        number += 1
+        if groups == 1 or held.select("sequence_id").distinct().count() == bins:
+            break
+    return held if done is None else done.unionByName(held)
 
 
 def dealt(items: DataFrame, order: tuple[str, ...], groups: int, group: str) -> DataFrame:

@@ -419,3 +419,29 @@ def test_stages_keep_columns_with_clashing_names(spark, tmp_path):
     third = corpus_pipeline.near_copies(spark, second, str(tmp_path))
     assert second.columns == third.columns == docs.columns
     assert sorted(map(tuple, third.collect())) == [(1, "a b c d e f\nx y z w", 3, 4), (2, "new words here", 5, 6)]
+
+
+def test_underfull_bins_of_all_groups_meet(spark):
+    rng = random.Random(6)
+    rows = [(None if i == 5 else i, 0, rng.randrange(1, 9) if i % 3 else 4, "x") for i in range(3000)]
+    items = spark.createDataFrame(rows, "doc_id long, piece int, length int, pk_fill string").repartition(5)
+    done = packing.pack(items, capacity=10, group_pieces=100).toPandas()
+    assert sorted(done.doc_id.fillna(-1).tolist()) == sorted(-1 if r[0] is None else r[0] for r in rows) and (done.pk_fill == "x").all()
+    assert done.length.sum() == sum(r[2] for r in rows)
+    fills = done.groupby("sequence_id").length.sum()
+    assert fills.max() <= 10
+    for _, own in done.sort_values("offset").groupby("sequence_id"):
+        assert own.offset.tolist() == [0, *own.length.cumsum()[:-1]]
+    # thirty groups apart waste more bins than all pieces in one group do; the rounds get back most of that
+    apart = sum(len(packing.packed([r[2] for r in rows[a : a + 100]], 10)) for a in range(0, 3000, 100))
+    at_once = len(packing.packed([r[2] for r in rows], 10))
+    assert at_once < apart and len(fills) - at_once <= (apart - at_once) / 2
+    again = packing.pack(items, capacity=10, group_pieces=100).toPandas()
+    key = ["doc_id", "sequence_id", "offset"]
+    assert done[key].sort_values(key).to_numpy().tolist()[:-1] == again[key].sort_values(key).to_numpy().tolist()[:-1]
+
+
+def test_bins_that_nothing_helps_end_after_one_round(spark):
+    items = spark.createDataFrame([(i, 0, 6) for i in range(900)], "doc_id long, piece int, length int")
+    done = packing.pack(items, capacity=10, group_pieces=100).toPandas()
+    assert len(done) == 900 and done.sequence_id.nunique() == 900 and (done.offset == 0).all()
