@@ -66,3 +66,26 @@ def test_endings_go_as_the_pattern_takes_them(spark):
     plain = F.transform("w", lambda w: F.regexp_replace(F.lower(w), "(ing|ed|s|tion)$", ""))
     r = rows.select(producers.stem(F.col("w")).alias("a"), plain.alias("b")).first()
     assert r.a == r.b
+
+
+def test_a_language_is_written_by_many_tasks_and_numbered_through(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from corpusloom.plans import services
+    from corpusloom.sources import corpus
+
+    docs = spark.createDataFrame([("en" if i % 5 else "fr", i, "\n".join(f"{i} {k}" for k in range(i % 4))) for i in range(400)], "lang string, key long, value string").repartition(7)
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = services._written_by_language(spark, docs, "parts")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+    assert len(list(Path(urlparse(path).path, "lang=en").glob("part-*"))) > 3
+    rows = corpus.numbered_lines(spark, path, lambda c: c != "", parts=True)
+    assert "SortMergeJoin" not in plan_of(rows)
+    for lang, own in (("fr", range(0, 400, 5)), ("en", [i for i in range(400) if i % 5])):
+        want = [f"{i} {k}" for i in own for k in range(i % 4)]
+        got = sorted((r["line"], r.text) for r in rows.where(F.col("file").contains(f"lang={lang}/")).collect())
+        assert got == [(n + 1, t) for n, t in enumerate(want)]
