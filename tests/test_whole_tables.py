@@ -89,3 +89,14 @@ def test_a_language_is_written_by_many_tasks_and_numbered_through(spark):
         want = [f"{i} {k}" for i in own for k in range(i % 4)]
         got = sorted((r["line"], r.text) for r in rows.where(F.col("file").contains(f"lang={lang}/")).collect())
         assert got == [(n + 1, t) for n, t in enumerate(want)]
+
+
+def test_locations_meet_texts_not_parses(spark):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan_of(catalogue.queries()["verse_entities"](spark, SF)).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    join = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line)
+    assert not any("Generate" in line for line in lines[join:]) and any("Generate" in line for line in lines[:join])
