@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.binding import once
+
 
 def batch_statistics(rows: DataFrame, words: Column, ok: Column) -> DataFrame:
     """total, successful and failed texts, words and unique words: one scan, each text split once. A text's first word, or its lack of words, stands for the text."""
@@ -48,6 +50,17 @@ def extracted_words(parses: DataFrame, key: str, groups: str) -> DataFrame:
     return words.select(key, "place", F.col("w.lemma").alias("lemma"), F.col("w.surface_form").alias("surface"), F.col("w.morphology.pos").alias("pos"), F.col("w.dhatu.dhatu_iast").alias("root"))
 
 
+def word_summary(parses: DataFrame, key: str, groups: str) -> DataFrame:
+    """(key, words, lemmas, roots, last_surface, verbs) of the first parse of each row that has words: counts over the row's own array, so nothing is shuffled; groups as in tree.FULL."""
+    rows = parses.select(key, once(F.flatten(F.transform(groups, lambda g: g["base_words"]))).alias("ws")).where(F.size("ws") > 0)
+    n = lambda c: F.size(c).cast("long")
+    of = lambda get: F.array_compact(F.transform("ws", get))
+    return rows.select(
+        key, n("ws").alias("words"), n(F.array_distinct(of(lambda w: w["lemma"]))).alias("lemmas"), n(of(lambda w: w["dhatu"]["dhatu_iast"])).alias("roots"),
+        F.element_at("ws", -1)["surface_form"].alias("last_surface"), n(F.filter("ws", lambda w: w["morphology"]["pos"] == "verb")).alias("verbs"),
+    )
+
+
 def confidence_summary(rows: DataFrame, confidence: str, error: str) -> DataFrame:
     """total_texts, successful_analyses, failed_analyses and average_confidence; a text with an error failed."""
     ok = F.col(error).isNull()
