@@ -100,3 +100,39 @@ def test_locations_meet_texts_not_parses(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     join = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line)
     assert not any("Generate" in line for line in lines[join:]) and any("Generate" in line for line in lines[:join])
+
+
+@pytest.mark.parametrize("name", ["analysis_tools", "batch_words"])
+def test_counts_of_a_parse_stay_in_its_row(spark, name):
+    plan = plan_of(catalogue.queries()[name](spark, SF))
+    assert "hashpartitioning" not in plan and "Aggregate" not in plan
+
+
+def _parses(spark):
+    from corpusloom.operators import tree
+
+    word = lambda lemma, pos, root, ms: (lemma, f"{lemma}-s", None, pos and (pos, None, None, None), ms, root and (root, 1, None, "x"), [], 0.5)
+    groups = [("g1", None, True, None, [word("a", "verb", "r", ["m"]), word("b", None, None, None)]), ("g2", "v", False, None, [word("a", "noun", None, [])]), ("g3", None, False, None, [])]
+    rows = [(1, [("p0", 0.5, None, 3, groups), ("p1", 0.4, None, 1, groups[1:])]), (2, [("p0", 0.5, None, 0, [])]), (3, [])]
+    return spark.createDataFrame(rows, f"id long, parses array<{tree.FULL}>")
+
+
+def test_tools_are_counted_in_the_row_as_over_findings(spark):
+    from corpusloom.operators import tree
+
+    rows = _parses(spark)
+    got = {r.id: r.n.asDict() for r in rows.select("id", tree.told(tree.findings(F.col("parses"))).alias("n")).collect()}
+    found = tree.walked(rows, "id")
+    for name in tree.TOOLS:
+        want = {r.id: r["count"] for r in tree.tool(found, name).groupBy("id").count().collect()}
+        assert {i: n[name] for i, n in got.items()} == {i: want.get(i, 0) for i in (1, 2, 3)}
+
+
+def test_words_are_counted_in_the_row_as_over_rows(spark):
+    from corpusloom.operators import stats
+
+    rows = _parses(spark).select("id", F.get("parses", F.lit(0))["sandhi_groups"].alias("g"))
+    words = stats.extracted_words(rows, "id", "g")
+    want = words.groupBy("id").agg(F.count(F.lit(1)).alias("words"), F.count_distinct("lemma").alias("lemmas"), F.count("root").alias("roots"), F.max_by("surface", "place").alias("last_surface"), F.count_if(F.col("pos") == "verb").alias("verbs"))
+    got = stats.word_summary(rows, "id", "g").collect()
+    assert got == want.collect() and got[0][1:] == (3, 2, 1, "a-s", 1)
