@@ -55,7 +55,8 @@ def store_index_maintained(spark, sf_dir):
     """All postings after four batches and a compaction, as an index that is built anew would have them."""
     own = _filled(spark, sf_dir)
     own.compacted(least=4)
-    listed = own.index().groupBy("doc_id").agg(F.sort_array(F.collect_list("term")).alias("l"))
+    # dealt before it is grouped: lists of terms don't get smaller by grouping them on both sides
+    listed = own.index().repartition("doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list("term")).alias("l"))
     return listed.select("doc_id", F.size("l").cast("long").alias("terms"), F.md5(F.array_join("l", " ").cast("binary")).alias("digest"))
 
 

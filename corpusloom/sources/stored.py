@@ -14,7 +14,8 @@ reads the buckets of what it asks for and no others: they are named before the
 scan, as a filter on partitions. A batch reads the old rows of its own keys and
 writes the difference: rows, and of their terms those that came and those that
 went. Readers take the latest version of each key (or term and key) and leave
-out what is gone. ``compacted`` writes the current state as one version of a new
+out what is gone. A version holds a key once, so only what belongs to keys that
+several versions hold is aggregated; all else passes as it was read. ``compacted`` writes the current state as one version of a new
 generation.
 
 A version counts only once its commit is there, and writing it again replaces
@@ -36,6 +37,8 @@ from corpusloom.operators.store import terms
 BUCKETS = 64
 #: versions that a generation should have at most
 VERSIONS = 16
+#: keys are counted before they are broadcast, and up to so many are
+MOST_KEYS = 1_000_000
 
 
 def bucket_of(c: Column, buckets: int) -> Column:
@@ -102,6 +105,25 @@ class Stored:
         """The buckets that these keys or terms are in: at most as many numbers as there are buckets."""
         return sorted(r[0] for r in rows.select(bucket_of(F.col(column), self.buckets)).distinct().collect())
 
+    def _several(self, before: int | None = None) -> bool:
+        return sum(before is None or v < before for v in self.versions()) > 1
+
+    def _again(self) -> DataFrame:
+        """The keys that more than one version holds."""
+        from corpusloom.session import written
+
+        held = self._read("rows", self.row).groupBy(self.key).agg(F.count(F.lit(1)).alias("sd_n"))
+        keys = written(held.where("sd_n > 1").select(self.key), "keys")
+        return F.broadcast(keys) if keys.count() <= MOST_KEYS else keys
+
+    def _settled(self, rows: DataFrame, latest) -> DataFrame:
+        """latest(rows), applied to no more than the keys that need it."""
+        if not self._several():
+            return rows
+        again = self._again()
+        once = rows.join(again, self.key, "left_anti")
+        return once.unionByName(latest(rows.join(again, self.key, "left_semi")))
+
     def _state(self, rows: DataFrame) -> DataFrame:
         """Each key's latest row with its version; gone ones too."""
         latest = F.max_by(F.struct("gone", *self.payload), F.col("version"))
@@ -109,7 +131,8 @@ class Stored:
 
     def rows(self) -> DataFrame:
         """key, payload and version of all that is there."""
-        return self._state(self._read("rows", self.row)).where("NOT gone").drop("gone")
+        held = self._read("rows", self.row).select(self.key, "gone", *self.payload, "version")
+        return self._settled(held, self._state).where("NOT gone").drop("gone")
 
     def get(self, keys: DataFrame, before: int | None = None) -> DataFrame:
         """The rows of these keys that are there; reads their buckets alone."""
@@ -117,22 +140,27 @@ class Stored:
 
     def _of(self, keys: DataFrame, before: int | None = None) -> DataFrame:
         asked = keys.select(self.key).where(F.col(self.key).isNotNull()).distinct()
-        return self._state(self._read("rows", self.row, before, self.buckets_of(asked, self.key)).join(asked, self.key, "left_semi"))
+        buckets = {r[0]: r[1] for r in asked.groupBy(bucket_of(F.col(self.key), self.buckets)).count().collect()}
+        # few keys are broadcast, so that the texts of all others stay where they are
+        asked = F.broadcast(asked) if sum(buckets.values()) <= MOST_KEYS else asked
+        own = self._read("rows", self.row, before, sorted(buckets)).join(asked, self.key, "left_semi").select(self.key, "gone", *self.payload, "version")
+        return self._state(own) if self._several(before) else own
 
     def index(self) -> DataFrame:
         """(term, key) of all rows that are there, as it has been maintained."""
-        return self._postings(self._read("postings", self.posting))
+        held = self._read("postings", self.posting).select("term", self.key, "there", "version")
+        return self._settled(held, self._postings).where("there").select("term", self.key)
 
     def _postings(self, rows: DataFrame) -> DataFrame:
-        latest = rows.groupBy("term", self.key).agg(F.max_by("there", "version").alias("there"))
-        return latest.where("there").drop("there")
+        """Each term and key's latest posting with its version; gone ones too."""
+        return rows.groupBy("term", self.key).agg(F.max_by("there", "version").alias("there"), F.max("version").alias("version"))
 
     def search(self, query: list[str]) -> DataFrame:
         """Keys of the rows that hold all terms; reads the terms' buckets alone."""
         wanted = sorted({t.lower() for t in query})
         asked = self.spark.createDataFrame([(t,) for t in wanted], "term string")
         held = self._read("postings", self.posting, buckets=self.buckets_of(asked, "term")).where(F.col("term").isin(wanted))
-        return self._postings(held).groupBy(self.key).agg(F.count(F.lit(1)).alias("sd_n")).where(F.col("sd_n") == len(wanted)).select(self.key)
+        return self._postings(held).where("there").groupBy(self.key).agg(F.count(F.lit(1)).alias("sd_n")).where(F.col("sd_n") == len(wanted)).select(self.key)
 
     def totals(self) -> DataFrame:
         """One row: total and done, the sums of what each batch changed."""
@@ -141,11 +169,11 @@ class Stored:
 
     # ---- writing
 
-    def _write(self, rows: DataFrame, what: str, version: int, partition: str | None = "bucket", mode: str = "overwrite", generation: int | None = None) -> None:
+    def _write(self, rows: DataFrame, what: str, version: int, partition: str | None = "bucket", mode: str = "overwrite", generation: int | None = None, dealt: bool = False) -> None:
         part = "batch" if what == "accesses" else "version"
         name = f"{self.path}/gen={self.generation if generation is None else generation}/{what}/{part}={version}"
         # a bucket's rows go to one task each, a large one's to several
-        rows = rows.hint("rebalance", partition) if partition else rows.coalesce(1)
+        rows = rows if dealt else rows.hint("rebalance", partition) if partition else rows.coalesce(1)
         writer = rows.write.mode(mode)
         (writer.partitionBy(partition) if partition else writer).parquet(name)
 
@@ -160,17 +188,25 @@ class Stored:
             return False
         gone = F.coalesce(F.col("gone"), F.lit(False)) if "gone" in changes.columns else F.lit(False)
         new = changes.where(F.col(self.key).isNotNull()).select(self.key, *[F.col(c) for c in self.payload if c in changes.columns], *[F.lit(None).cast(self.row[c].dataType).alias(c) for c in self.payload if c not in changes.columns], gone.alias("gone"), (F.col(order) if order else F.lit(0)).alias("sd_order"))
-        new = new.groupBy(self.key).agg(F.max_by(F.struct("gone", *self.payload), F.struct("sd_order", "gone", *self.payload)).alias("sd")).select(self.key, "sd.*").select(*self.row.names)
-        self._write(new.withColumn("bucket", bucket_of(F.col(self.key), self.buckets)), "rows", version)
+        # dealt once, by parts of buckets: a key's rows meet there and are written from there
+        parts = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        new = new.withColumns({"bucket": bucket_of(F.col(self.key), self.buckets), "sd_part": F.pmod(F.hash(self.key), F.lit(parts))}).repartition("bucket", "sd_part")
+        new = new.groupBy("bucket", "sd_part", self.key).agg(F.max(F.struct("sd_order", "gone", *self.payload)).alias("sd")).select(self.key, "sd.*", "bucket").select(*self.row.names, "bucket")
+        self._write(new, "rows", version, dealt=True)
         # from here on the batch is read back, so what it was made of is evaluated once
         held = self.spark.read.schema(self.row).parquet(f"{self.path}/gen={self.generation}/rows/version={version}")
         live = lambda c: F.when(~F.col("gone"), F.col(c))
-        was = self._of(held, version).select(self.key, live(self.text).alias("sd_text"), (~F.col("gone")).alias("sd_was"), (F.expr(self.done) & ~F.col("gone")).alias("sd_done"))
+        first = not any(v < version for v in self.versions())
+        was = (held.where("false").withColumn("version", F.lit(None)) if first else self._of(held, version)).select(self.key, live(self.text).alias("sd_text"), (~F.col("gone")).alias("sd_was"), (F.expr(self.done) & ~F.col("gone")).alias("sd_done"))
         both = held.withColumn("sd_now_done", F.coalesce(F.expr(self.done) & ~F.col("gone"), F.lit(False))).join(was, self.key, "left")
         of = lambda c: F.coalesce(F.array_distinct(terms(c)), F.array().cast("array<string>"))
-        words = both.select(self.key, of(live(self.text)).alias("now"), of(F.col("sd_text")).alias("old"))
         marked = lambda a, b, there: F.transform(F.array_except(a, b), lambda t: F.struct(t.alias("term"), F.lit(there).alias("there")))
-        changed = words.select(self.key, F.explode(F.concat(marked("now", "old", True), marked("old", "now", False))).alias("p")).select("p.term", self.key, "p.there")
+        if first:
+            # nothing to compare with
+            changed = held.select(F.explode(of(live(self.text))).alias("term"), self.key, F.lit(True).alias("there"))
+        else:
+            words = both.select(self.key, of(live(self.text)).alias("now"), of(F.col("sd_text")).alias("old"))
+            changed = words.select(self.key, F.explode(F.concat(marked("now", "old", True), marked("old", "now", False))).alias("p")).select("p.term", self.key, "p.there")
         self._write(changed.withColumn("bucket", bucket_of(F.col("term"), self.buckets)), "postings", version)
         number = lambda c: F.coalesce(c, F.lit(False)).cast("long")
         sums = both.agg(F.coalesce(F.sum(number(~F.col("gone")) - number(F.col("sd_was"))), F.lit(0)).alias("total"), F.coalesce(F.sum(number(F.col("sd_now_done")) - number(F.col("sd_done"))), F.lit(0)).alias("done"))

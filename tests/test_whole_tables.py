@@ -136,3 +136,48 @@ def test_words_are_counted_in_the_row_as_over_rows(spark):
     want = words.groupBy("id").agg(F.count(F.lit(1)).alias("words"), F.count_distinct("lemma").alias("lemmas"), F.count("root").alias("roots"), F.max_by("surface", "place").alias("last_surface"), F.count_if(F.col("pos") == "verb").alias("verbs"))
     got = stats.word_summary(rows, "id", "g").collect()
     assert got == want.collect() and got[0][1:] == (3, 2, 1, "a-s", 1)
+
+
+def _stored(spark, path):
+    from corpusloom.sources.stored import Stored
+
+    return Stored(spark, str(path), "text string", key="k", key_type="long", text="text", buckets=4)
+
+
+def test_one_version_is_read_without_aggregation(spark, tmp_path):
+    own = _stored(spark, tmp_path)
+    own.apply(spark.range(50).select(F.col("id").alias("k"), F.concat(F.lit("Word w"), F.col("id").cast("string")).alias("text")))
+    assert all("Aggregate" not in plan_of(df) and "Exchange" not in plan_of(df) for df in (own.rows(), own.index()))
+    assert own.rows().count() == 50 and own.index().count() == 100
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_only_keys_of_several_versions_are_aggregated(spark, tmp_path, monkeypatch, most):
+    from corpusloom.sources import stored
+
+    monkeypatch.setattr(stored, "MOST_KEYS", most)
+    own = _stored(spark, tmp_path)
+    text = lambda word: F.concat(F.lit(f"{word} w"), F.col("id").cast("string")).alias("text")
+    own.apply(spark.range(40).select(F.col("id").alias("k"), text("old")))
+    own.apply(spark.range(30, 60).select(F.col("id").alias("k"), text("new")))
+    own.delete(spark.range(35, 37).select(F.col("id").alias("k")))
+    assert {r.k for r in own._again().collect()} == set(range(30, 40)) and "LeftAnti" in plan_of(own.rows()) and "LeftAnti" in plan_of(own.index())
+    left = [i for i in range(60) if i not in (35, 36)]
+    word = lambda i: "old" if i < 30 else "new"
+    assert sorted((r.k, r.text, r.version) for r in own.rows().collect()) == [(i, f"{word(i)} w{i}", int(i >= 30)) for i in left]
+    assert {(r.term, r.k) for r in own.index().collect()} == {(t, i) for i in left for t in (word(i), f"w{i}")}
+    assert sorted(r.k for r in own.get(spark.range(20, 37).select(F.col("id").alias("k"))).collect()) == list(range(20, 35))
+
+
+def test_a_batch_is_dealt_once_to_its_buckets(spark, tmp_path, monkeypatch):
+    from corpusloom.sources.stored import Stored
+
+    plans, real = {}, Stored._write
+
+    def seen(self, rows, what, *a, **b):
+        plans[what] = plan_of(rows)
+        return real(self, rows, what, *a, **b)
+
+    monkeypatch.setattr(Stored, "_write", seen)
+    _stored(spark, tmp_path).apply(spark.range(9).select(F.col("id").alias("k"), F.lit("x").alias("text")))
+    assert plans["rows"].count("Exchange") == 1
