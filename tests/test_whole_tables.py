@@ -181,3 +181,10 @@ def test_a_batch_is_dealt_once_to_its_buckets(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(Stored, "_write", seen)
     _stored(spark, tmp_path).apply(spark.range(9).select(F.col("id").alias("k"), F.lit("x").alias("text")))
     assert plans["rows"].count("Exchange") == 1
+
+
+def test_outside_engines_are_asked_once(spark, monkeypatch):
+    asked, real = [], producers.run_outside
+    monkeypatch.setattr(producers, "run_outside", lambda *a, **b: asked.append(real(*a, **b)) or asked[-1])
+    plan = plan_of(catalogue.queries()["guarded_engines"](spark, SF))
+    assert len(asked) == 1 and "MapInArrow" in plan_of(asked[0]) and "MapInArrow" not in plan
