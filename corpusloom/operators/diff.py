@@ -48,11 +48,12 @@ def changes(left: Column, right: Column) -> Column:
 
     def line(x: Column, i: Column) -> Column:
         a, b, n = x["a"], x["b"], (i + 1).cast("string")
-        kind = word_kinds(a, b)
-        return (
+        told = lambda kind: (
             F.when(kind == "lemma", text("Word ", n, ": Different lemma - ", shown(a), " vs ", shown(b))).when(kind == "morphology", text("Word ", n, " (", shown(a), "): Different analysis - ", pos(a), " vs ", pos(b)))
             .when(kind == "only_left", text("Word ", n, ": ", script(a), " (only in left)")).when(kind == "only_right", text("Word ", n, ": ", script(b), " (only in right)"))
         )
+        # compared once, not once for each kind
+        return let(word_kinds(a, b), told)
 
     def listed(ws: Column) -> Column:
         pairs = F.transform(F.arrays_zip(ws["l"].alias("a"), ws["r"].alias("b")), lambda x: x)

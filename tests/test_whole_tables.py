@@ -188,3 +188,10 @@ def test_outside_engines_are_asked_once(spark, monkeypatch):
     monkeypatch.setattr(producers, "run_outside", lambda *a, **b: asked.append(real(*a, **b)) or asked[-1])
     plan = plan_of(catalogue.queries()["guarded_engines"](spark, SF))
     assert len(asked) == 1 and "MapInArrow" in plan_of(asked[0]) and "MapInArrow" not in plan
+
+
+def test_two_words_are_compared_once(spark):
+    from corpusloom.operators import diff
+
+    shown = str(diff.changes(F.col("a"), F.col("b")))
+    assert shown.count("only_right") == 2
