@@ -64,7 +64,9 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([p for p in [*paths, ROOT] if p])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a few unsplittable files dealt to all cores; tables of many files stay as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, tasks: int = 1) -> DataFrame:
+    """Rows of a few unsplittable files dealt to all cores; tables of many files stay as they are read.
+
+    tasks: so many tasks a core, for work that is long beside the shuffle of its rows: a last wave that fills a few cores costs less then."""
+    parts = tasks * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df

@@ -195,3 +195,37 @@ def test_two_words_are_compared_once(spark):
 
     shown = str(diff.changes(F.col("a"), F.col("b")))
     assert shown.count("only_right") == 2
+
+
+def test_long_work_is_dealt_in_several_tasks_a_core(spark, tmp_path):
+    from corpusloom.session import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("Word\n of  "), F.col("id").cast("string")).alias("text"))
+    rows.repartition(cores + 2).write.parquet(str(tmp_path / "documents.parquet"))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        files = spark.read.parquet(str(tmp_path / "documents.parquet"))
+        assert cores <= files.rdd.getNumPartitions() < 4 * cores and spread(files).rdd.getNumPartitions() == files.rdd.getNumPartitions()
+        assert spread(files, tasks=4).rdd.getNumPartitions() == 4 * cores
+        done = catalogue.queries()["tree_full_roundtrip"](spark, str(tmp_path))
+        assert f"RoundRobinPartitioning({4 * cores})" in plan_of(done) and {(r.doc_id, r.words) for r in done.collect()} == {(i, 3) for i in range(200)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+def test_a_tree_read_back_is_held_by_no_row(spark):
+    steps = [line for line in plan_of(catalogue.queries()["tree_full_roundtrip"](spark, SF)).splitlines() if "from_json" in line]
+    assert len(steps) == 1 and "Generate" in steps[0] and "md5" in steps[0]
+
+
+def test_marks_of_words_of_all_lengths(spark):
+    from corpusloom.plans.analysis import _full_parses
+
+    docs = spark.createDataFrame([(1, " ".join("ā" * n for n in range(1, 131))), (2, None), (3, " \n\t")], "doc_id long, text string")
+    got = {r.doc_id: r.p for r in _full_parses(spark, None, docs).collect()}
+    words = got[1].sandhi_groups[0].base_words
+    want = [("noun" if n % 4 else "verb", "masculine" if n % 3 == 1 else None, "singular", None, 0.5 + n % 8 / 16.0, n % 5 + 1, n % 10 + 1 if n % 4 == 0 else None) for n in range(1, 131)]
+    assert [(*w.morphology, w.confidence, len(w.meanings), w.dhatu and w.dhatu.gana) for w in words] == want and got[1].word_count == 130
+    assert got[2].sandhi_groups is None and [len(g.base_words) for g in got[3].sandhi_groups] == [0]
