@@ -229,3 +229,10 @@ def test_marks_of_words_of_all_lengths(spark):
     want = [("noun" if n % 4 else "verb", "masculine" if n % 3 == 1 else None, "singular", None, 0.5 + n % 8 / 16.0, n % 5 + 1, n % 10 + 1 if n % 4 == 0 else None) for n in range(1, 131)]
     assert [(*w.morphology, w.confidence, len(w.meanings), w.dhatu and w.dhatu.gana) for w in words] == want and got[1].word_count == 130
     assert got[2].sandhi_groups is None and [len(g.base_words) for g in got[3].sandhi_groups] == [0]
+
+
+def test_all_changes_of_a_long_parse_are_told(spark, tmp_path):
+    text = "\n".join(f"abc abcde w{n:04d}" for n in range(300))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    lines = catalogue.queries()["parse_changes"](spark, str(tmp_path)).first().changes.split("\n")
+    assert len(lines) == 2 + 900 and lines[-1] == "Word 900: ? (only in left)" and sum(map(len, lines)) > 4000
