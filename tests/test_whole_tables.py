@@ -236,3 +236,22 @@ def test_all_changes_of_a_long_parse_are_told(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     lines = catalogue.queries()["parse_changes"](spark, str(tmp_path)).first().changes.split("\n")
     assert len(lines) == 2 + 900 and lines[-1] == "Word 900: ? (only in left)" and sum(map(len, lines)) > 4000
+
+
+def test_a_bound_value_is_not_copied_by_a_transform(spark):
+    from corpusloom.functions.binding import let
+
+    rows = spark.createDataFrame([(1, ["a", "b"]), (2, None)], "id int, w array<string>")
+    bound = rows.select("id", let(F.col("w"), lambda w: F.struct(F.size(w).alias("n"), w.alias("w"))).alias("s"))
+    assert "transform(" not in plan_of(bound) and [(r.s.n, r.s.w) for r in bound.orderBy("id").collect()] == [(2, ["a", "b"]), (None, None)]
+
+
+def test_rules_take_candidates_from_flat_memory_and_rows_keep_no_segments(spark):
+    for name in ("best_parse_by_mode", "disambiguated_forest"):
+        plan = catalogue.queries()[name](spark, SF)
+        assert "an_listed" in plan_of(plan) and "sandhi_groups" not in plan_of(plan)
+    docs = spark.createDataFrame([(1, "running to trees"), (2, "a")], "doc_id long, text string")
+    held = {a: analysis.staged(docs, asking=a).orderBy("doc_id").collect() for a in (True, False)}
+    assert [c.segments is None for c in held[False][0].an_done.candidates] == [True] * len(held[True][0].an_done.candidates)
+    bare = [[(c["index"], c.confidence) for c in r.an_done.candidates] for r in held[True]]
+    assert bare == [[(c["index"], c.confidence) for c in r.an_done.candidates] for r in held[False]] and bare[0] and held[True][0].an_done.candidates[0].segments[0].surface == "running"
