@@ -254,4 +254,38 @@ def test_rules_take_candidates_from_flat_memory_and_rows_keep_no_segments(spark)
     held = {a: analysis.staged(docs, asking=a).orderBy("doc_id").collect() for a in (True, False)}
     assert [c.segments is None for c in held[False][0].an_done.candidates] == [True] * len(held[True][0].an_done.candidates)
     bare = [[(c["index"], c.confidence) for c in r.an_done.candidates] for r in held[True]]
-    assert bare == [[(c["index"], c.confidence) for c in r.an_done.candidates] for r in held[False]] and bare[0] and held[True][0].an_done.candidates[0].segments[0].surface == "running"
+    assert bare == [[(c["index"], c.confidence) for c in r.an_done.candidates] for r in held[False]] and bare[0] and held[True][0].an_done.candidates[1].segments[0].surface == "running"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_answers_vote_in_their_row_as_segments_do(spark, seed):
+    rng = random.Random(seed)
+
+    def engine(name):
+        def analyze(texts):
+            if any(len(t) % 7 == k for t in texts for k in [len(name)]):
+                raise ValueError("no")
+            own = random.Random(name)
+            return [[{"surface": f"s{n}", "lemma": own.choice(["a", "b", "", None]), "confidence": own.choice([0.5, 0.9, None])} for n in range(own.randrange(5))] for _ in texts]
+
+        return producers.Outside(name, analyze, lambda: name != "gone")
+
+    engines = tuple(map(engine, ("x", "yy", "zzz", "gone")))
+    docs = spark.createDataFrame([(i, "w" * rng.randrange(12) if i % 9 else None) for i in range(120)], "doc_id long, text string").repartition(3)
+    weights = {"x": 0.6, "yy": 0.4}
+    rows = producers.run_outside(docs, engines, batch=1)
+    merged = vote.merge_segments(producers.segments_of(rows), weights)
+    want = sorted((r.sentence_id, r.pos, r.surface, r.lemma, round(r.confidence, 9), r.agreement) for r in merged.collect())
+    together = producers.run_outside(docs, engines, batch=1, together=True)
+    got = together.select("doc_id", F.explode(vote.merge_answers(F.col("answers"), weights)).alias("s")).select("doc_id", "s.*").collect()
+    assert want and sorted((r.doc_id, r.pos, r.surface, r.lemma, round(r.confidence, 9), r.agreement) for r in got) == want
+    assert {r.doc_id for r in together.where(F.size("answers") == 4).collect()} == set(range(120))
+
+
+def test_answers_of_outside_engines_are_neither_shuffled_nor_written(spark, monkeypatch):
+    from corpusloom.plans import services
+
+    held = []
+    monkeypatch.setattr(services, "written", lambda df, name: held.append(df) or df)
+    plan = plan_of(catalogue.queries()["guarded_engines"](spark, SF))
+    assert "hashpartitioning" not in plan and "Window" not in plan and "segments" not in held[0].schema.simpleString()
