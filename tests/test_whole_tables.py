@@ -289,3 +289,12 @@ def test_answers_of_outside_engines_are_neither_shuffled_nor_written(spark, monk
     monkeypatch.setattr(services, "written", lambda df, name: held.append(df) or df)
     plan = plan_of(catalogue.queries()["guarded_engines"](spark, SF))
     assert "hashpartitioning" not in plan and "Window" not in plan and "segments" not in held[0].schema.simpleString()
+
+
+def test_tools_are_counted_in_the_tree_as_over_findings(spark):
+    from corpusloom.operators import tree
+
+    for suffixes in (lambda w: w["upasarga"], lambda w: w["meanings"]):
+        r = _parses(spark).select("id", tree.told(tree.findings(F.col("parses"), suffixes)).alias("a"), tree.counted(F.col("parses"), suffixes).alias("b")).collect()
+        assert len(r) == 3 and all(x.a == x.b for x in r)
+    assert "to_json" not in plan_of(catalogue.queries()["analysis_tools"](spark, SF))
