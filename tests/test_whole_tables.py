@@ -298,3 +298,10 @@ def test_tools_are_counted_in_the_tree_as_over_findings(spark):
         r = _parses(spark).select("id", tree.told(tree.findings(F.col("parses"), suffixes)).alias("a"), tree.counted(F.col("parses"), suffixes).alias("b")).collect()
         assert len(r) == 3 and all(x.a == x.b for x in r)
     assert "to_json" not in plan_of(catalogue.queries()["analysis_tools"](spark, SF))
+
+
+def test_exported_lines_are_packed(spark, tmp_path):
+    own = spark.createDataFrame([(1, [("b", ("noun",), None)], None), (2, [], "broken")], "id long, words array<struct<lemma:string,morphology:struct<pos:string>,dhatu:struct<root:string>>>, error string")
+    batch.export(own, own.select("id"), str(tmp_path / "out"))
+    assert list((tmp_path / "out/results").glob("part-*.gz")) and not list((tmp_path / "out/results").glob("part-*.txt"))
+    assert spark.read.text(str(tmp_path / "out/results")).count() == 2
